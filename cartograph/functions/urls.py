@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col, py_capitalize, py_title
@@ -86,45 +86,74 @@ def _drop_dot_segments(segs: Column) -> Column:
     return F.when(tail_dir, F.concat(folded, F.array(F.lit("")))).otherwise(folded)
 
 
-def resolve_url(base, href) -> Column:
-    """Python ``urllib.parse.urljoin(base, href)`` as one expression."""
-    base, href = col(base), col(href)
-    b = split_url(base)
-    u = split_url(href, default_scheme=b["scheme"])
-    scheme = u["scheme"]
-    other = (scheme != b["scheme"]) | ~scheme.isin(USES_RELATIVE)
-    in_netloc = scheme.isin(USES_NETLOC)
-    own_netloc = in_netloc & (u["netloc"] != "")
-    netloc = F.when(in_netloc, b["netloc"]).otherwise(u["netloc"])
-
-    upath = u["path"]
-    # empty reference path: base path, own query or else the base query
-    empty_path = unsplit_url(scheme, netloc, b["path"],
-                             F.when(u["query"] != "", u["query"]).otherwise(b["query"]),
-                             u["fragment"])
-    # merge with the base directory, then remove dot segments
-    bparts = F.split(b["path"], "/", -1)
+def _split_stage(df: DataFrame, c: str, p: str, default_scheme: str | None = None) -> DataFrame:
+    """Add ``{p}_scheme/_netloc/_path/_query/_frag`` columns for ``urlsplit(c)``."""
+    df = df.withColumn(f"{p}_s", clean_url(c))
+    s = F.col(f"{p}_s")
+    df = df.withColumn(f"{p}_sch0", F.lower(F.regexp_extract(s, SCHEME_PATTERN, 1)))
+    sch0 = F.col(f"{p}_sch0")
+    df = df.withColumn(f"{p}_rest", F.when(sch0 != "", F.substring(s, F.length(sch0) + 2, F.lit(1 << 30)))
+                       .otherwise(s))
+    rest = F.col(f"{p}_rest")
+    scheme = sch0 if default_scheme is None else F.when(sch0 != "", sch0).otherwise(F.col(default_scheme))
+    return df.select(
+        "*",
+        scheme.alias(f"{p}_scheme"),
+        F.regexp_extract(rest, REST_PATTERN, 2).alias(f"{p}_netloc"),
+        F.regexp_extract(rest, REST_PATTERN, 3).alias(f"{p}_path"),
+        F.regexp_extract(rest, REST_PATTERN, 5).alias(f"{p}_query"),
+        F.regexp_extract(rest, REST_PATTERN, 7).alias(f"{p}_frag"),
+    )
+
+
+def with_resolved_url(df: DataFrame, base: str, href: str, out: str, p: str = "_rz") -> DataFrame:
+    """Add ``out = urllib.parse.urljoin(base, href)``.
+
+    Computed in stages (one projection per step) so every URL part is
+    evaluated once per row; the dot-segment fold only runs for paths that
+    need it.
+    """
+    b, u = f"{p}b", f"{p}u"
+    df = _split_stage(df, base, b)
+    df = _split_stage(df, href, u, default_scheme=f"{b}_scheme")
+    c = F.col
+    scheme, upath = c(f"{u}_scheme"), c(f"{u}_path")
+    df = df.select(
+        "*",
+        scheme.isin(USES_NETLOC).alias(f"{p}_innet"),
+        F.split(c(f"{b}_path"), "/", -1).alias(f"{p}_bparts"),
+        F.split(upath, "/", -1).alias(f"{p}_uparts"),
+    )
+    bparts = c(f"{p}_bparts")
     bdir = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, 1, F.size(bparts) - 1)).otherwise(bparts)
-    rel = F.concat(bdir, F.split(upath, "/", -1))
-    n = F.size(rel)
-    rel = F.when(n > 2, F.concat(F.slice(rel, 1, 1),
-                                 F.filter(F.slice(rel, 2, n - 2), lambda x: x != ""),
-                                 F.slice(rel, n, 1))).otherwise(rel)
-    segs = F.when(upath.startswith("/"), F.split(upath, "/", -1)).otherwise(rel)
-    joined = F.array_join(_drop_dot_segments(segs), "/")
-    merged_path = F.when(joined == "", F.lit("/")).otherwise(joined)
-    # fast path: an absolute path without dot segments is already resolved
+    df = df.select(
+        "*",
+        F.when(c(f"{p}_innet"), c(f"{b}_netloc")).otherwise(c(f"{u}_netloc")).alias(f"{p}_netloc"),
+        F.concat(bdir, c(f"{p}_uparts")).alias(f"{p}_rel0"),
+    )
+    rel0 = c(f"{p}_rel0")
+    n = F.size(rel0)
+    rel = F.when(n > 2, F.concat(F.slice(rel0, 1, 1),
+                                 F.filter(F.slice(rel0, 2, n - 2), lambda x: x != ""),
+                                 F.slice(rel0, n, 1))).otherwise(rel0)
     plain_abs = upath.startswith("/") & ~upath.rlike(r"(^|/)\.\.?(/|\z)")
-    path = F.when(plain_abs, upath).otherwise(merged_path)
-    merged = unsplit_url(scheme, netloc, path, u["query"], u["fragment"])
-
-    return (
-        F.when(href == "", base)
-        .when(other, href)
-        .when(own_netloc, unsplit_url(scheme, u["netloc"], upath, u["query"], u["fragment"]))
-        .when(upath == "", empty_path)
-        .otherwise(merged)
+    segs = F.when(upath.startswith("/"), c(f"{p}_uparts")).otherwise(rel)
+    df = df.withColumn(f"{p}_mpath", F.when(plain_abs, upath).otherwise(
+        F.array_join(_drop_dot_segments(segs), "/")))
+    mpath = F.when(c(f"{p}_mpath") == "", F.lit("/")).otherwise(c(f"{p}_mpath"))
+    netloc, query, frag = c(f"{p}_netloc"), c(f"{u}_query"), c(f"{u}_frag")
+    other = (scheme != c(f"{b}_scheme")) | ~scheme.isin(USES_RELATIVE)
+    resolved = (
+        F.when(c(href) == "", c(base))
+        .when(other, c(href))
+        .when(c(f"{p}_innet") & (c(f"{u}_netloc") != ""),
+              unsplit_url(scheme, c(f"{u}_netloc"), upath, query, frag))
+        .when(upath == "", unsplit_url(scheme, netloc, c(f"{b}_path"),
+                                       F.when(query != "", query).otherwise(c(f"{b}_query")), frag))
+        .otherwise(unsplit_url(scheme, netloc, mpath, query, frag))
     )
+    df = df.withColumn(out, resolved)
+    return df.drop(*[x for x in df.columns if x.startswith(p)])
 
 
 def site_of(url) -> Column:

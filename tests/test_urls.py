@@ -25,7 +25,7 @@ HREFS = [
 def test_resolve_url_matches_urljoin(spark):
     rows = [(b, h) for b in BASES for h in HREFS]
     df = spark.createDataFrame(rows, "base string, href string")
-    got = df.select("base", "href", urls.resolve_url("base", "href").alias("r")).collect()
+    got = urls.with_resolved_url(df, "base", "href", "r").collect()
     bad = [(r.base, r.href, r.r, urljoin(r.base, r.href)) for r in got
            if r.r != urljoin(r.base, r.href)]
     # "..;x" differs: Python splits ;params off before removing dot segments
