@@ -75,3 +75,46 @@ def sitemap_links_ordered(spark, sf_dir):
 @query("sitemap_documents")
 def sitemap_documents(spark, sf_dir):
     return SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
+
+
+def _site_pages(spark, sf_dir):
+    """Kept pages with their 0-based order r inside the site (by page_id)."""
+    from pyspark.sql import Window
+    ix = _index(spark, sf_dir)
+    kept = ix.filter(F.col("title_state").isin("ok", "absent") & (F.col("site") != ""))
+    w = Window.partitionBy("site").orderBy("page_id")
+    return ix, kept.withColumn("r", F.row_number().over(w) - 1)
+
+
+def _tree_bfs(spark, sf_dir, max_pages_col):
+    from cartograph.operators import traverse as TR
+    ix, pages = _site_pages(spark, sf_dir)
+    graph = TR.build_graph(pages.select("url", "title"), TR.derived_tree_links(pages))
+    seeds = pages.filter(F.col("r") == 0).select(
+        "site", F.col("site").alias("base_url"), F.col("url").alias("start_url"),
+        max_pages_col.alias("max_pages"))
+    return TR.bounded_bfs(graph, seeds)
+
+
+@query("bfs_pages")
+def bfs_pages(spark, sf_dir):
+    """T1 on the derived tree per site with the default limit of 150 pages."""
+    return _tree_bfs(spark, sf_dir, F.lit(SM.DEFAULT_MAX_PAGES))
+
+
+@query("bfs_limit_per_site")
+def bfs_limit_per_site(spark, sf_dir):
+    """T1 with a different small limit per site: 1 + length(site) % 4."""
+    return _tree_bfs(spark, sf_dir, 1 + F.length("site") % 4)
+
+
+@query("bfs_captured_links")
+def bfs_captured_links(spark, sf_dir):
+    """T1 over the links extracted from the captured HTML, one seed per site."""
+    from cartograph.operators import traverse as TR
+    ix, pages = _site_pages(spark, sf_dir)
+    graph = TR.graph_from_index(ix, P.page_links(ix))
+    seeds = pages.filter(F.col("r") == 0).select(
+        "site", F.col("site").alias("base_url"), F.col("url").alias("start_url"),
+        F.lit(SM.DEFAULT_MAX_PAGES).alias("max_pages"))
+    return TR.bounded_bfs(graph, seeds)

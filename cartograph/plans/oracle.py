@@ -84,3 +84,20 @@ SELECT p.site, s.base_url, s.site_name, CAST(p.n_pages AS BIGINT) AS n_pages,
        '# ' || s.site_name || {NL} || {NL} || '> Site map of ' || s.site_name || ' (' || s.base_url
        || '), auto-generated for LLM context.' || {NL} || {NL} || p.body AS doc
 FROM per_site p JOIN ({_seeds_sql()}) s ON p.site = s.site"""
+
+
+def _site_pages_sql() -> str:
+    return (f"SELECT site, url, title, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS r "
+            f"FROM ({_index_sql()}) AS ix WHERE title_state IN ('ok', 'absent') AND site <> ''")
+
+
+# Derived tree: FIFO order equals r order, so the answer is r < max_pages.
+ORACLE["bfs_pages"] = f"""
+SELECT site, url, title, r + 1 AS rank FROM ({_site_pages_sql()}) AS q WHERE r < {DEFAULT_MAX_PAGES}"""
+
+ORACLE["bfs_limit_per_site"] = f"""
+SELECT site, url, title, r + 1 AS rank FROM ({_site_pages_sql()}) AS q WHERE r < 1 + length(site) % 4"""
+
+# Captured links never resolve to another captured page: only the seed is found.
+ORACLE["bfs_captured_links"] = f"""
+SELECT site, url, title, CAST(1 AS BIGINT) AS rank FROM ({_site_pages_sql()}) AS q WHERE r = 0"""
