@@ -118,3 +118,45 @@ def bfs_captured_links(spark, sf_dir):
         "site", F.col("site").alias("base_url"), F.col("url").alias("start_url"),
         F.lit(SM.DEFAULT_MAX_PAGES).alias("max_pages"))
     return TR.bounded_bfs(graph, seeds)
+
+
+def _map_lines(spark, sf_dir):
+    from cartograph.operators import conform as C
+    docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
+    variants = C.planted_variants(docs)
+    return C.line_table(variants, ["site", "variant"])
+
+
+@query("map_line_table")
+def map_line_table(spark, sf_dir):
+    return _map_lines(spark, sf_dir).select(
+        "site", "variant", F.col("line_no").cast("int").alias("line_no"), "kind", "section", "title", "url",
+        "description")
+
+
+@query("map_conformance")
+def map_conformance(spark, sf_dir):
+    from cartograph.operators import conform as C
+    return C.conformance(_map_lines(spark, sf_dir), ["site", "variant"])
+
+
+@query("map_url_preservation")
+def map_url_preservation(spark, sf_dir):
+    """Each planted variant against the generated map of its site."""
+    from cartograph.operators import conform as C
+    lines = _map_lines(spark, sf_dir)
+    source = (lines.filter(F.col("variant") == "basic").select("site", "kind", "url")
+              .join(lines.select("site", "variant").distinct(), "site"))
+    return C.url_preservation(source, lines, ["site", "variant"])
+
+
+@query("map_exact_duplicates")
+def map_exact_duplicates(spark, sf_dir):
+    from cartograph.operators import conform as C
+    return C.exact_duplicates(_map_lines(spark, sf_dir), ["site", "variant"])
+
+
+@query("map_near_duplicates")
+def map_near_duplicates(spark, sf_dir):
+    from cartograph.operators import conform as C
+    return C.near_duplicates(_map_lines(spark, sf_dir), ["site", "variant"])

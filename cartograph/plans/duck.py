@@ -203,3 +203,26 @@ def site_name_stages(base: str, out: str, p: str = "sn") -> list[list[str]]:
 
 def excluded_suffix(url: str) -> str:
     return "(" + " OR ".join(f"ends_with({url}, {lit(s)})" for s in U.EXCLUDED_SUFFIXES) + ")"
+
+
+# --- site-map documents -----------------------------------------------------
+
+def first_replace(s: str, old: str, new_sql: str) -> str:
+    return (f"(CASE WHEN instr({s}, {lit(old)}) > 0 THEN substr({s}, 1, instr({s}, {lit(old)}) - 1) || {new_sql} "
+            f"|| substr({s}, instr({s}, {lit(old)}) + {len(old)}) ELSE {s} END)")
+
+
+def line_kind(line: str) -> str:
+    from cartograph.operators import conform as C
+    whens = " ".join(f"WHEN regexp_matches({line}, {lit(p)}) THEN {lit(k)}" for k, p in C.LINE_KINDS)
+    return f"(CASE {whens} WHEN {py_strip(line)} = '' THEN 'blank' ELSE 'text' END)"
+
+
+def url_key(url: str) -> str:
+    head = f"lower(regexp_extract({url}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1))"
+    rest = f"regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^#]*)', 1)"
+    path = f"regexp_replace(regexp_extract({rest}, '^([^?]*)', 1), '(/index)?\\.html?$|/+$', '', 'g')"
+    query = f"regexp_extract({rest}, '\\?(.*)$', 1)"
+    kept = (f"array_to_string(list_filter(string_split({query}, '&'), "
+            f"lambda qp: qp <> '' AND NOT starts_with(qp, 'utm_')), '&')")
+    return f"({head} || {path} || (CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END))"

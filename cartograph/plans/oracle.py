@@ -101,3 +101,111 @@ SELECT site, url, title, r + 1 AS rank FROM ({_site_pages_sql()}) AS q WHERE r <
 # Captured links never resolve to another captured page: only the seed is found.
 ORACLE["bfs_captured_links"] = f"""
 SELECT site, url, title, CAST(1 AS BIGINT) AS rank FROM ({_site_pages_sql()}) AS q WHERE r = 0"""
+
+
+def _variants_sql() -> str:
+    from cartograph.operators import conform as C  # noqa: F401 (patterns shared)
+    docs = ORACLE["sitemap_documents"]
+    d = "doc"
+    link_start = f"instr({d}, {NL} || '- [')"
+    after = f"substr({d}, {link_start} + 1)"
+    first_link = f"split_part({after}, {NL}, 1)"
+    dropped = (f"CASE WHEN {link_start} > 0 THEN substr({d}, 1, {link_start}) || "
+               f"substr({after}, length({first_link}) + 2) ELSE {d} END")
+    link_line = r"'(?m)^(- \[.*\]\(https?://[^)]*\))$'"
+    described = f"regexp_replace({d}, {link_line}, '\\1: Short page description', 'g')"
+    long_desc = f"regexp_replace({d}, {link_line}, '\\1: {' '.join(['word'] * 16)}', 'g')"
+    optional = f"'## Optional' || {NL} || {NL} || '- [More pages](' || base_url || '/more)' || {NL} || {NL}"
+    variants = [
+        ("basic", d),
+        ("fenced", f"'```markdown' || {NL} || {d} || '```'"),
+        ("deep_heading", D.first_replace(d, "\n## ", f"{NL} || '### '")),
+        ("link_dropped", dropped),
+        ("link_invented", f"{d} || '- [Invented page](' || base_url || '/invented-page)' || {NL}"),
+        ("duplicate", f"{d} || {first_link} || {NL}"),
+        ("described", described),
+        ("long_description", long_desc),
+        ("with_optional", f"{described} || {optional}"),
+        ("optional_not_last", D.first_replace(
+            f"({described})", "\n## ",
+            f"{NL} || '## Optional' || {NL} || {NL} || '- [More pages](' || base_url || '/more)' || {NL} || {NL} || '## '")),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT site, base_url, {D.lit(name)} AS variant, {expr} AS doc FROM ({docs}) AS dq" for name, expr in variants)
+
+
+def _line_table_sql() -> str:
+    from cartograph.operators import conform as C
+    exploded = (f"SELECT site, variant, unnest(string_split(doc, {NL})) AS line, "
+                f"CAST(unnest(range(1, len(string_split(doc, {NL})) + 1)) AS INTEGER) AS line_no "
+                f"FROM ({_variants_sql()}) AS v")
+    return D.staged(exploded, [
+        [f"{D.line_kind('line')} AS kind"],
+        [f"last_value(CASE WHEN kind = 'h2' THEN {D.py_strip('substr(line, 4)')} END IGNORE NULLS) OVER "
+         f"(PARTITION BY site, variant ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section",
+         f"CASE WHEN kind = 'link' THEN regexp_extract(line, {D.lit(C.LINK_PATTERN)}, 1) END AS title",
+         f"CASE WHEN kind = 'link' THEN regexp_extract(line, {D.lit(C.LINK_PATTERN)}, 2) END AS url",
+         f"CASE WHEN kind = 'link' THEN regexp_extract(line, {D.lit(C.LINK_PATTERN)}, 3) END AS description"],
+    ])
+
+
+ORACLE["map_line_table"] = f"""
+SELECT site, variant, line_no, kind, section, title, url, description FROM ({_line_table_sql()}) AS q"""
+
+
+def _conformance_sql() -> str:
+    from cartograph.operators import conform as C
+    nonws = D.lit(C.NON_WS)
+    return f"""
+WITH lt AS ({_line_table_sql()}),
+l2 AS (
+  SELECT *, kind = 'quote' AND coalesce(lag(kind) OVER (PARTITION BY site, variant ORDER BY line_no), '') <> 'quote'
+            AS quote_start,
+         min(CASE WHEN kind = 'h2' THEN line_no END) OVER (PARTITION BY site, variant) AS first_h2
+  FROM lt)
+SELECT site, variant, count(*) AS n_lines,
+  count(*) FILTER (WHERE kind = 'h1') AS n_h1,
+  coalesce(max(CASE WHEN line_no = 1 THEN kind = 'h1' END), false) AS h1_first,
+  count(*) FILTER (WHERE quote_start) AS n_quote_blocks,
+  count(*) FILTER (WHERE kind = 'h2') AS n_h2,
+  count(*) FILTER (WHERE kind = 'deep') AS n_deep,
+  count(*) FILTER (WHERE kind IN ('h1', 'deep') AND line_no > 1 AND (first_h2 IS NULL OR line_no < first_h2))
+    AS n_intro_headings,
+  count(*) FILTER (WHERE kind = 'link') AS n_links,
+  count(*) FILTER (WHERE kind = 'link' AND description = '') AS n_links_no_desc,
+  count(*) FILTER (WHERE kind = 'link' AND len(regexp_extract_all(description, {nonws})) >= {C.MAX_DESCRIPTION_WORDS})
+    AS n_long_desc,
+  count(*) FILTER (WHERE kind = 'bullet') AS n_bullets,
+  count(*) FILTER (WHERE kind = 'fence') AS n_fence,
+  count(*) FILTER (WHERE kind = 'h2' AND section = {D.lit(C.OPTIONAL_SECTION)}) > 0 AS has_optional,
+  coalesce(arg_max(CASE WHEN kind = 'h2' THEN section END, CASE WHEN kind = 'h2' THEN line_no END)
+           = {D.lit(C.OPTIONAL_SECTION)}, false) AS optional_last
+FROM l2 GROUP BY site, variant"""
+
+
+ORACLE["map_conformance"] = f"""
+SELECT *, (n_h1 = 1 AND h1_first AND n_quote_blocks = 1 AND n_deep = 0 AND n_intro_headings = 0 AND n_h2 > 0
+           AND n_links_no_desc = 0 AND n_long_desc = 0 AND n_bullets = 0 AND n_fence = 0 AND has_optional
+           AND optional_last) AS ok
+FROM ({_conformance_sql()}) AS c"""
+
+ORACLE["map_url_preservation"] = f"""
+WITH lt AS ({_line_table_sql()}),
+src AS (SELECT DISTINCT b.site, v.variant, b.url, true AS in_s FROM lt b
+        JOIN (SELECT DISTINCT site, variant FROM lt) v ON b.site = v.site
+        WHERE b.variant = 'basic' AND b.kind = 'link'),
+tgt AS (SELECT DISTINCT site, variant, url, true AS in_t FROM lt WHERE kind = 'link')
+SELECT site, variant,
+  count(*) FILTER (WHERE in_s AND in_t IS NULL) AS n_lost,
+  count(*) FILTER (WHERE in_t AND in_s IS NULL) AS n_invented,
+  count(*) FILTER (WHERE in_s AND in_t) AS n_kept
+FROM src FULL OUTER JOIN tgt USING (site, variant, url) GROUP BY site, variant"""
+
+ORACLE["map_exact_duplicates"] = f"""
+SELECT site, variant, url, count(*) AS n_entries FROM ({_line_table_sql()}) AS q
+WHERE kind = 'link' GROUP BY site, variant, url HAVING count(*) > 1"""
+
+ORACLE["map_near_duplicates"] = f"""
+SELECT site, variant, url_key, count(*) AS n_entries, count(DISTINCT url) AS n_urls
+FROM (SELECT *, {D.url_key('url')} AS url_key FROM ({_line_table_sql()}) AS q WHERE kind = 'link') AS k
+GROUP BY site, variant, url_key HAVING count(DISTINCT url) > 1"""
