@@ -160,3 +160,44 @@ def map_exact_duplicates(spark, sf_dir):
 def map_near_duplicates(spark, sf_dir):
     from cartograph.operators import conform as C
     return C.near_duplicates(_map_lines(spark, sf_dir), ["site", "variant"])
+
+
+def _judge(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    from cartograph.sources import fixtures as FX
+    return X.parse_judge(FX.judge_raw(P.read_table(spark, sf_dir, "events")))
+
+
+@query("judge_parse")
+def judge_parse(spark, sf_dir):
+    return _judge(spark, sf_dir)
+
+
+@query("judge_failures")
+def judge_failures(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    return X.judge_failures(_judge(spark, sf_dir))
+
+
+@query("criterion_means")
+def criterion_means(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    return X.criterion_means(_judge(spark, sf_dir))
+
+
+@query("overall_improvement")
+def overall_improvement(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    return X.overall_improvement(_judge(spark, sf_dir))
+
+
+@query("query_deltas")
+def query_deltas(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    return X.query_deltas(_judge(spark, sf_dir))
+
+
+@query("pooled_means")
+def pooled_means(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    return X.pooled_means(_judge(spark, sf_dir))

@@ -226,3 +226,41 @@ def url_key(url: str) -> str:
     kept = (f"array_to_string(list_filter(string_split({query}, '&'), "
             f"lambda qp: qp <> '' AND NOT starts_with(qp, 'utm_')), '&')")
     return f"({head} || {path} || (CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END))"
+
+
+# --- model replies ----------------------------------------------------------
+
+def unfence(raw: str) -> str:
+    from cartograph.functions import jsonparse as J
+    return (f"(CASE WHEN regexp_matches({raw}, {lit(J.FENCE_PATTERN)}) "
+            f"THEN regexp_extract({raw}, {lit(J.FENCE_PATTERN)}, 1) ELSE {raw} END)")
+
+
+def bracket_slice(s: str, o: str, c: str) -> str:
+    start = f"instr({s}, {lit(o)})"
+    rpos = f"instr(reverse({s}), {lit(c)})"
+    end = f"(length({s}) - {rpos} + 1)"
+    return (f"(CASE WHEN {start} = 0 OR {rpos} = 0 THEN {s} WHEN {end} >= {start} "
+            f"THEN substr({s}, {start}, {end} - {start} + 1) ELSE '' END)")
+
+
+def has_brackets(s: str, o: str, c: str) -> str:
+    return f"(instr({s}, {lit(o)}) > 0 AND instr({s}, {lit(c)}) > 0)"
+
+
+def single_value(s: str) -> str:
+    from cartograph.functions import jsonparse as J
+    skel = f"regexp_replace({s}, {lit(J.STRING_LITERAL_PATTERN)}, '\"\"', 'g')"
+    delta = "(CASE WHEN ch IN ('{', '[') THEN 1 WHEN ch IN ('}', ']') THEN -1 ELSE 0 END)"
+    blank = f"regexp_matches(ch, {lit('^' + T.PY_WS_CLASS + '$')})"
+    step = (f"{{'d': acc.d + {delta}, 'closed': acc.closed OR (acc.d + {delta} = 0 AND {delta} = -1), "
+            f"'extra': acc.extra OR (acc.closed AND NOT {blank}) OR acc.d + {delta} < 0}}")
+    r = f"list_reduce(string_split({skel}, ''), lambda acc, ch: {step}, {{'d': 0, 'closed': false, 'extra': false}})"
+    tokens_ok = (f"regexp_matches(regexp_replace({skel}, {lit(J.SCALAR_PATTERN)}, '0', 'g'), "
+                 f"{lit(J.SKELETON_PATTERN)})")
+    return f"({tokens_ok} AND {r}.closed AND NOT {r}.extra)"
+
+
+def json_number(s: str, path: str) -> str:
+    return (f"(CASE WHEN json_valid({s}) AND json_type({s}, {lit(path)}) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') "
+            f"THEN CAST(json_extract({s}, {lit(path)}) AS DOUBLE) END)")

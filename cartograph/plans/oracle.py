@@ -209,3 +209,75 @@ ORACLE["map_near_duplicates"] = f"""
 SELECT site, variant, url_key, count(*) AS n_entries, count(DISTINCT url) AS n_urls
 FROM (SELECT *, {D.url_key('url')} AS url_key FROM ({_line_table_sql()}) AS q WHERE kind = 'link') AS k
 GROUP BY site, variant, url_key HAVING count(DISTINCT url) > 1"""
+
+
+def _judge_sql() -> str:
+    from cartograph.functions import jsonparse as J
+    from cartograph.sources import fixtures as FX
+    raw = ", ".join(f"{expr} AS {name}" for name, expr in FX.JUDGE_COLUMNS.items())
+    src = f"SELECT {raw} FROM events"
+    scores = [f"{D.json_number('s2', f'$.{a}.{c}')} AS sc_{a[0]}_{c}" for a in J.ARMS for c in J.CRITERIA]
+    all_num = " AND ".join(f"sc_{a[0]}_{c} IS NOT NULL" for a in J.ARMS for c in J.CRITERIA)
+    notes = [f"CASE WHEN json_valid(s2) THEN json_extract_string(s2, '$.{a}.notes') END AS nt_{a[0]}" for a in J.ARMS]
+    reason = (f"CASE WHEN NOT {D.has_brackets('s1', '{', '}')} THEN 'no_object' "
+              f"WHEN NOT (CASE WHEN json_valid(s2) THEN json_type(s2) = 'OBJECT' AND {D.single_value('s2')} ELSE false END) "
+              f"THEN 'not_strict_json' "
+              f"WHEN NOT ({all_num}) THEN 'bad_scores' ELSE 'ok' END AS reason")
+    st = D.staged(src, [
+        [f"{D.unfence('raw')} AS s1"],
+        [f"{D.bracket_slice('s1', '{', '}')} AS s2"],
+        scores + notes,
+        [reason],
+    ])
+    out = [f"CASE WHEN reason = 'ok' THEN sc_{a[0]}_{c} END AS {a[0]}_{c}" for a in J.ARMS for c in J.CRITERIA]
+    out += [f"CASE WHEN reason = 'ok' THEN nt_{a[0]} END AS {a[0]}_notes" for a in J.ARMS]
+    return (f"SELECT run_id, query_id, coalesce(category, 'general') AS category, reason, {', '.join(out)} "
+            f"FROM ({st}) AS j")
+
+
+def _sum_arm(a: str) -> str:
+    from cartograph.functions import jsonparse as J
+    return "(" + " + ".join(f"{a[0]}_{c}" for c in J.CRITERIA) + ")"
+
+
+ORACLE["judge_parse"] = _judge_sql()
+
+ORACLE["judge_failures"] = f"SELECT run_id, reason, count(*) AS n FROM ({_judge_sql()}) AS q GROUP BY run_id, reason"
+
+ORACLE["criterion_means"] = f"""
+WITH lg AS (
+  SELECT run_id, query_id, unnest(['baseline', 'baseline', 'baseline', 'baseline',
+                                   'enhanced', 'enhanced', 'enhanced', 'enhanced']) AS arm,
+         unnest(['accuracy', 'completeness', 'specificity', 'actionability',
+                 'accuracy', 'completeness', 'specificity', 'actionability']) AS criterion,
+         unnest([b_accuracy, b_completeness, b_specificity, b_actionability,
+                 e_accuracy, e_completeness, e_specificity, e_actionability]) AS score
+  FROM ({_judge_sql()}) AS q WHERE reason = 'ok')
+SELECT run_id, criterion, n, sb / n AS baseline_mean, se / n AS enhanced_mean, se / n - sb / n AS delta
+FROM (SELECT run_id, criterion, sum(score) FILTER (WHERE arm = 'baseline') AS sb,
+             sum(score) FILTER (WHERE arm = 'enhanced') AS se, count(*) FILTER (WHERE arm = 'baseline') AS n
+      FROM lg GROUP BY run_id, criterion) AS g"""
+
+ORACLE["overall_improvement"] = f"""
+SELECT run_id, n_queries, b AS overall_baseline, e AS overall_enhanced, e - b AS overall_delta,
+       CASE WHEN b > 0 THEN (e - b) / b * 100 END AS improvement_pct
+FROM (SELECT run_id, n_queries, tb / (n_queries * 4) AS b, te / (n_queries * 4) AS e
+      FROM (SELECT run_id, count(*) AS n_queries, sum({_sum_arm('baseline')}) AS tb, sum({_sum_arm('enhanced')}) AS te
+            FROM ({_judge_sql()}) AS q WHERE reason = 'ok' GROUP BY run_id) AS g) AS h"""
+
+ORACLE["query_deltas"] = f"""
+SELECT run_id, query_id, category, {_sum_arm('baseline')} / 4.0 AS baseline_mean,
+       {_sum_arm('enhanced')} / 4.0 AS enhanced_mean,
+       {_sum_arm('enhanced')} / 4.0 - {_sum_arm('baseline')} / 4.0 AS delta,
+       e_accuracy - b_accuracy AS d_accuracy, e_completeness - b_completeness AS d_completeness,
+       e_specificity - b_specificity AS d_specificity, e_actionability - b_actionability AS d_actionability
+FROM ({_judge_sql()}) AS q WHERE reason = 'ok'"""
+
+ORACLE["pooled_means"] = f"""
+SELECT run_id, n_input, n_tested, n_input - n_tested AS n_dropped, b AS pooled_baseline, e AS pooled_enhanced,
+       CASE WHEN b > 0 THEN (e - b) / b * 100 ELSE 0.0 END AS console_pct
+FROM (SELECT run_id, n_input, n_tested, tb / (n_tested * 4) AS b, te / (n_tested * 4) AS e
+      FROM (SELECT run_id, count(*) AS n_input, count(*) FILTER (WHERE reason = 'ok') AS n_tested,
+                   sum(CASE WHEN reason = 'ok' THEN {_sum_arm('baseline')} END) AS tb,
+                   sum(CASE WHEN reason = 'ok' THEN {_sum_arm('enhanced')} END) AS te
+            FROM ({_judge_sql()}) AS q GROUP BY run_id) AS g) AS h"""
