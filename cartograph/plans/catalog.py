@@ -201,3 +201,22 @@ def query_deltas(spark, sf_dir):
 def pooled_means(spark, sf_dir):
     from cartograph.operators import experiment as X
     return X.pooled_means(_judge(spark, sf_dir))
+
+
+@query("fact_coverage")
+def fact_coverage(spark, sf_dir):
+    """K1 pairs: documents as responses, benchmark items as key facts."""
+    from cartograph.operators import coverage as K
+    return K.covered_facts(P.read_table(spark, sf_dir, "documents"), P.read_table(spark, sf_dir, "benchmark"))
+
+
+@query("response_coverage")
+def response_coverage(spark, sf_dir):
+    from cartograph.operators import coverage as K
+    return K.response_coverage(P.read_table(spark, sf_dir, "documents"), P.read_table(spark, sf_dir, "benchmark"))
+
+
+@query("signal_counts")
+def signal_counts(spark, sf_dir):
+    from cartograph.operators import coverage as K
+    return K.signal_counts(P.read_table(spark, sf_dir, "documents"))

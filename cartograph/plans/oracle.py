@@ -281,3 +281,35 @@ FROM (SELECT run_id, n_input, n_tested, tb / (n_tested * 4) AS b, te / (n_tested
                    sum(CASE WHEN reason = 'ok' THEN {_sum_arm('baseline')} END) AS tb,
                    sum(CASE WHEN reason = 'ok' THEN {_sum_arm('enhanced')} END) AS te
             FROM ({_judge_sql()}) AS q GROUP BY run_id) AS g) AS h"""
+
+
+def _tok(x: str) -> str:
+    from cartograph.operators import coverage as K
+    return f"list_distinct(regexp_extract_all(lower({x}), {D.lit(K.TOKEN_PATTERN)}))"
+
+
+_FACT_PAIRS = f"""
+WITH d AS (SELECT doc_id, {_tok('text')} AS toks FROM documents),
+f AS (SELECT item_id, {_tok('text')} AS toks FROM benchmark WHERE len({_tok('text')}) > 0)
+SELECT d.doc_id, f.item_id, CAST(len(f.toks) AS INTEGER) AS n_tokens FROM d, f WHERE list_has_all(d.toks, f.toks)"""
+
+ORACLE["fact_coverage"] = _FACT_PAIRS
+
+ORACLE["response_coverage"] = f"""
+WITH c AS (SELECT doc_id, count(*) AS n_covered FROM ({_FACT_PAIRS}) AS p GROUP BY doc_id),
+n AS (SELECT count(*) AS n_facts FROM benchmark WHERE len({_tok('text')}) > 0)
+SELECT d.doc_id, coalesce(c.n_covered, 0) AS n_covered, n.n_facts, coalesce(c.n_covered, 0) / n.n_facts AS coverage
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id, n"""
+
+
+def _count(p: str) -> str:
+    return f"CAST(len(regexp_extract_all(text, {D.lit(p)})) AS BIGINT)"
+
+
+def _signals_sql() -> str:
+    from cartograph.operators import coverage as K
+    return (f"SELECT doc_id, {_count(K.URL_PATTERN)} AS n_urls, {_count(K.EMAIL_PATTERN)} AS n_emails, "
+            f"{_count(K.NUMBER_PATTERN)} AS n_numbers, {_count(K.MD_LINK_PATTERN)} AS n_md_links FROM documents")
+
+
+ORACLE["signal_counts"] = _signals_sql()
