@@ -102,3 +102,72 @@ def pooled_means(parsed: DataFrame) -> DataFrame:
 def judge_failures(parsed: DataFrame) -> DataFrame:
     """dropped items per run and reason."""
     return parsed.groupBy("run_id", "reason").agg(F.count("*").alias("n"))
+
+
+# --- inputs and prompts (S3, J4, P15, P16, W2, O4) ---------------------------
+
+def qa_pairs(conversations: DataFrame) -> DataFrame:
+    """(run_id, query_id, query, answer): each user turn with the next assistant turn.
+
+    Paired by role, not turn parity (some conversations open with a system
+    turn). The window is per conversation, which a conversation's length
+    bounds.
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    nxt = F.first(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(w)
+    return (conversations.select("conv_id", "turn", "role", "text", nxt.alias("answer"))
+            .filter(F.col("role") == "user")
+            .select(F.col("conv_id").alias("run_id"), F.col("turn").alias("query_id"),
+                    F.col("text").alias("query"), "answer"))
+
+
+def choose_context(full: DataFrame, index: DataFrame) -> DataFrame:
+    """S3: the full document when given and present, else the index document.
+
+    ``full``/``index``: (run_id, text). Returns (run_id, kind, context, n_chars).
+    """
+    j = index.select("run_id", F.col("text").alias("idx")).join(
+        full.select("run_id", F.col("text").alias("full")), "run_id", "full_outer")
+    return j.select(
+        "run_id",
+        F.when(F.col("full").isNotNull(), F.lit("full")).otherwise(F.lit("index")).alias("kind"),
+        F.coalesce("full", "idx").alias("context"),
+        F.length(F.coalesce("full", "idx")).cast("bigint").alias("n_chars"))
+
+
+def limit_queries(queries: DataFrame, n: int | None) -> DataFrame:
+    """First ``n`` queries per run by query_id; ``None`` or 0 keeps all."""
+    if not n:
+        return queries
+    if n < 0:
+        raise ValueError("a negative query limit is not supported")
+    from pyspark.sql import Window
+    w = Window.partitionBy("run_id").orderBy("query_id")
+    return queries.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def arm_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
+    """J4 + P15: every query in both arms with the run's context (joined on run_id).
+
+    The two arms are generated per row, not joined.
+    """
+    from cartograph.functions import prompts as PR
+    q = queries.join(contexts.select("run_id", "context"), "run_id", "left")
+    return q.select("run_id", "query_id", F.explode(F.array(*[F.lit(a) for a in PR.ARM_NAMES])).alias("arm"),
+                    "query", F.coalesce("context", F.lit("")).alias("context")) \
+        .select("run_id", "query_id", "arm", PR.arm_system("arm", "context").alias("system"),
+                F.col("query").alias("prompt"))
+
+
+def judge_prompts(items: DataFrame) -> DataFrame:
+    """(run_id, query_id, system, prompt) from query, key_facts, baseline, enhanced."""
+    from cartograph.functions import prompts as PR
+    return items.select("run_id", "query_id", F.lit(PR.JUDGE_SYSTEM).alias("system"),
+                        PR.judge_prompt("query", "key_facts", "baseline", "enhanced").alias("prompt"))
+
+
+def results(items: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Query item x responses x valid scores on (run_id, query_id); a failure on
+    any side drops the query."""
+    return items.join(valid(parsed).drop("category"), ["run_id", "query_id"], "inner")

@@ -220,3 +220,44 @@ def response_coverage(spark, sf_dir):
 def signal_counts(spark, sf_dir):
     from cartograph.operators import coverage as K
     return K.signal_counts(P.read_table(spark, sf_dir, "documents"))
+
+
+def _contexts(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    conv = P.read_table(spark, sf_dir, "conversations")
+    full = (conv.filter(F.col("role") == "system").groupBy(F.col("conv_id").alias("run_id"))
+            .agg(F.min_by("text", "turn").alias("text")))
+    index = P.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text") \
+        .join(conv.select(F.col("conv_id").alias("run_id")).distinct(), "run_id", "left_semi")
+    return X.choose_context(full, index)
+
+
+@query("context_choice")
+def context_choice(spark, sf_dir):
+    """S2/S3 per run: system turn as the full document, else the run's index document."""
+    return _contexts(spark, sf_dir).select("run_id", "kind", "n_chars")
+
+
+@query("arm_prompts")
+def arm_prompts(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    qa = X.qa_pairs(P.read_table(spark, sf_dir, "conversations"))
+    return X.arm_prompts(qa, _contexts(spark, sf_dir))
+
+
+def _judge_items(spark, sf_dir):
+    """Query items from conversations: key facts = non-empty lines of the answer;
+    responses: baseline = the answer, enhanced = the run's context document."""
+    from cartograph.operators import experiment as X
+    qa = X.qa_pairs(P.read_table(spark, sf_dir, "conversations"))
+    ctx = _contexts(spark, sf_dir).select("run_id", "context")
+    facts = F.filter(F.split(F.coalesce("answer", F.lit("")), "\n", -1), lambda x: x != "")
+    return qa.join(ctx, "run_id", "left").select(
+        "run_id", "query_id", "query", facts.alias("key_facts"),
+        F.coalesce("answer", F.lit("")).alias("baseline"), F.coalesce("context", F.lit("")).alias("enhanced"))
+
+
+@query("judge_prompts")
+def judge_prompts(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    return X.judge_prompts(_judge_items(spark, sf_dir))

@@ -313,3 +313,55 @@ def _signals_sql() -> str:
 
 
 ORACLE["signal_counts"] = _signals_sql()
+
+
+_CONTEXTS = """
+SELECT coalesce(f.run_id, i.run_id) AS run_id, CASE WHEN f.text IS NOT NULL THEN 'full' ELSE 'index' END AS kind,
+       coalesce(f.text, i.text) AS context, CAST(length(coalesce(f.text, i.text)) AS BIGINT) AS n_chars
+FROM (SELECT doc_id AS run_id, text FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)) AS i
+FULL OUTER JOIN (SELECT conv_id AS run_id, arg_min(text, turn) AS text FROM conversations
+                 WHERE role = 'system' GROUP BY conv_id) AS f ON i.run_id = f.run_id"""
+
+ORACLE["context_choice"] = f"SELECT run_id, kind, n_chars FROM ({_CONTEXTS}) AS c"
+
+_QA = """
+SELECT conv_id AS run_id, turn AS query_id, text AS query, answer FROM (
+  SELECT *, first(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (
+    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS answer
+  FROM conversations) AS t WHERE role = 'user'"""
+
+
+def _arm_prompts_sql() -> str:
+    from cartograph.functions import prompts as PR
+    pre, post = PR.ENHANCED_SYSTEM.split("{context}")
+    return f"""
+SELECT q.run_id, q.query_id, a.arm,
+       CASE WHEN a.arm = 'baseline' THEN {D.lit(PR.BASELINE_SYSTEM)}
+            ELSE {D.lit(pre)} || coalesce(c.context, '') || {D.lit(post)} END AS system,
+       q.query AS prompt
+FROM ({_QA}) AS q LEFT JOIN ({_CONTEXTS}) AS c ON q.run_id = c.run_id,
+     (SELECT unnest(['baseline', 'enhanced']) AS arm) AS a"""
+
+
+ORACLE["arm_prompts"] = _arm_prompts_sql()
+
+
+def _judge_prompts_sql() -> str:
+    import re
+    from cartograph.functions import prompts as PR
+    values = {"query": "q.query",
+              "key_facts_formatted": "array_to_string(list_transform(list_filter(string_split(coalesce(q.answer, ''), "
+                                     "chr(10)), lambda x: x <> ''), lambda x: '- ' || x), chr(10))",
+              "baseline": "coalesce(q.answer, '')", "enhanced": "coalesce(c.context, '')"}
+    parts, pos = [], 0
+    for m in re.finditer(r"\{([a-z_]+)\}", PR.JUDGE_TEMPLATE):
+        if m.group(1) in values:
+            parts += [D.lit(PR.JUDGE_TEMPLATE[pos:m.start()]), values[m.group(1)]]
+            pos = m.end()
+    parts.append(D.lit(PR.JUDGE_TEMPLATE[pos:]))
+    return f"""
+SELECT q.run_id, q.query_id, {D.lit(PR.JUDGE_SYSTEM)} AS system, {' || '.join(parts)} AS prompt
+FROM ({_QA}) AS q LEFT JOIN ({_CONTEXTS}) AS c ON q.run_id = c.run_id"""
+
+
+ORACLE["judge_prompts"] = _judge_prompts_sql()
