@@ -18,6 +18,7 @@ FENCE_PATTERN = rf"(?s)```(?:json)?{PY_WS_CLASS}*(.*?)```"
 STRING_LITERAL_PATTERN = r'"(?:[^"\\]|\\.)*"'
 SCALAR_PATTERN = r"true|false|null|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 SKELETON_PATTERN = r'^[{}\[\]:,0"\t\n\r ]*$'
+TRAILING_COMMA_PATTERN = r",[\t\n\r ]*[\]}]"
 CRITERIA = ["accuracy", "completeness", "specificity", "actionability"]
 ARMS = ["baseline", "enhanced"]
 # ---------------------------------------------------------------------------
@@ -59,7 +60,8 @@ def single_value(s) -> Column:
     parser also accepts ``{...} text {...}``).
     """
     skel = F.regexp_replace(col(s), STRING_LITERAL_PATTERN, '""')
-    tokens_ok = F.regexp_replace(skel, SCALAR_PATTERN, "0").rlike(SKELETON_PATTERN)
+    tokens_ok = (F.regexp_replace(skel, SCALAR_PATTERN, "0").rlike(SKELETON_PATTERN)
+                 & ~skel.rlike(TRAILING_COMMA_PATTERN))
     chars = F.split(skel, "", -1)
 
     def step(acc, ch):

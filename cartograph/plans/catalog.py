@@ -261,3 +261,74 @@ def _judge_items(spark, sf_dir):
 def judge_prompts(spark, sf_dir):
     from cartograph.operators import experiment as X
     return X.judge_prompts(_judge_items(spark, sf_dir))
+
+
+@query("generated_queries_parse")
+def generated_queries_parse(spark, sf_dir):
+    """P12 + S4 shape: question lists in model replies -> query items."""
+    from cartograph.functions import jsonparse as J
+    from cartograph.sources import fixtures as FX
+    raw = FX.querygen_raw(P.read_table(spark, sf_dir, "events"))
+    parsed = J.with_parsed_query_items(raw, "raw")
+    return parsed.select("reply_id", "run_id", F.posexplode("items").alias("item_pos", "it")).select(
+        "reply_id", "run_id", "item_pos", F.col("it.query").alias("query"),
+        F.coalesce("it.category", F.lit("general")).alias("category"),
+        F.array_join("it.key_facts", " | ").alias("key_facts_text"),
+        F.size("it.key_facts").alias("n_key_facts"))
+
+
+@query("batch_infer")
+def batch_infer(spark, sf_dir):
+    """X1 over the judge prompts with the deterministic stand-in model."""
+    from cartograph.operators import infer as XI
+    prompts = judge_prompts(spark, sf_dir)
+    return XI.batch_infer(prompts, XI.length_model, ["run_id", "query_id"])
+
+
+def _report_inputs(spark, sf_dir):
+    from cartograph.operators import experiment as X
+    ev = P.read_table(spark, sf_dir, "events")
+    parsed = _judge(spark, sf_dir)
+    items = ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("query_id"),
+                      F.concat(F.lit("What did event "), F.col("event_id").cast("string"), F.lit(" record?")).alias("query"),
+                      F.col("props").alias("baseline"),
+                      F.concat(F.lit("Event of type "), F.col("event_type"), F.lit(" with value "),
+                               F.col("value").cast("string")).alias("enhanced"))
+    return parsed, X.results(items, parsed).join(parsed.select("run_id", "query_id", "category"),
+                                                 ["run_id", "query_id"])
+
+
+@query("report_lines")
+def report_lines(spark, sf_dir):
+    """R2 + R3 as ordered line rows per run (text rounding: see README)."""
+    from cartograph.operators import report as R
+    parsed, results = _report_inputs(spark, sf_dir)
+    return R.report_lines(parsed, results)
+
+
+@query("map_unfence")
+def map_unfence(spark, sf_dir):
+    """P10 on the basic and fenced map variants."""
+    from cartograph.functions import text as T
+    from cartograph.operators import conform as C
+    docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
+    v = C.planted_variants(docs).filter(F.col("variant").isin("basic", "fenced"))
+    return v.select("site", "variant", T.strip_code_fence("doc").alias("doc"))
+
+
+@query("rewrite_prompts")
+def rewrite_prompts(spark, sf_dir):
+    """The rewrite prompt for every generated site map."""
+    from cartograph.functions import prompts as PR
+    docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
+    return docs.select("site", PR.rewrite_prompt("doc", "site_name").alias("prompt"))
+
+
+@query("query_gen_prompts")
+def query_gen_prompts(spark, sf_dir):
+    """Question-generation prompt from each run's index document."""
+    from cartograph.functions import prompts as PR
+    conv = P.read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id")).distinct()
+    idx = P.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text") \
+        .join(conv, "run_id", "left_semi")
+    return idx.select("run_id", PR.query_gen_prompt("text").alias("prompt"))

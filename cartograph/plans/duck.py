@@ -256,8 +256,8 @@ def single_value(s: str) -> str:
     step = (f"{{'d': acc.d + {delta}, 'closed': acc.closed OR (acc.d + {delta} = 0 AND {delta} = -1), "
             f"'extra': acc.extra OR (acc.closed AND NOT {blank}) OR acc.d + {delta} < 0}}")
     r = f"list_reduce(string_split({skel}, ''), lambda acc, ch: {step}, {{'d': 0, 'closed': false, 'extra': false}})"
-    tokens_ok = (f"regexp_matches(regexp_replace({skel}, {lit(J.SCALAR_PATTERN)}, '0', 'g'), "
-                 f"{lit(J.SKELETON_PATTERN)})")
+    tokens_ok = (f"(regexp_matches(regexp_replace({skel}, {lit(J.SCALAR_PATTERN)}, '0', 'g'), "
+                 f"{lit(J.SKELETON_PATTERN)}) AND NOT regexp_matches({skel}, {lit(J.TRAILING_COMMA_PATTERN)}))")
     return f"({tokens_ok} AND {r}.closed AND NOT {r}.extra)"
 
 

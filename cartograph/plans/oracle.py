@@ -365,3 +365,63 @@ FROM ({_QA}) AS q LEFT JOIN ({_CONTEXTS}) AS c ON q.run_id = c.run_id"""
 
 
 ORACLE["judge_prompts"] = _judge_prompts_sql()
+
+
+def _querygen_sql() -> str:
+    from cartograph.sources import fixtures as FX
+    raw = ", ".join(f"{expr} AS {name}" for name, expr in FX.QUERYGEN_COLUMNS.items())
+    st = D.staged(f"SELECT {raw} FROM events", [
+        [f"{D.unfence('raw')} AS s1"],
+        [f"{D.bracket_slice('s1', '[', ']')} AS s2"],
+        [f"CASE WHEN {D.has_brackets('s1', '[', ']')} AND json_valid(s2) AND json_type(s2) = 'ARRAY' "
+         f"AND {D.single_value('s2')} THEN from_json(s2, "
+         "'[{\"query\": \"VARCHAR\", \"category\": \"VARCHAR\", \"key_facts\": [\"VARCHAR\"]}]') END AS items"],
+    ])
+    return f"""
+SELECT reply_id, run_id, CAST(item_pos AS INTEGER) AS item_pos, it.query AS query,
+       coalesce(it.category, 'general') AS category, array_to_string(it.key_facts, ' | ') AS key_facts_text,
+       CAST(len(it.key_facts) AS INTEGER) AS n_key_facts
+FROM (SELECT reply_id, run_id, unnest(items) AS it, unnest(range(len(items))) AS item_pos
+      FROM ({st}) AS q WHERE items IS NOT NULL) AS u"""
+
+
+ORACLE["generated_queries_parse"] = _querygen_sql()
+
+ORACLE["batch_infer"] = f"""
+SELECT run_id, query_id,
+       CASE WHEN length(prompt) % 7 = 0 THEN NULL ELSE 'len=' || CAST(length(prompt) AS VARCHAR) END AS response,
+       CASE WHEN length(prompt) % 7 = 0 THEN 'ValueError: refused' END AS error
+FROM ({_judge_prompts_sql()}) AS p"""
+
+ORACLE["map_unfence"] = f"""
+SELECT site, variant, {D.strip_code_fence('doc')} AS doc
+FROM ({_variants_sql()}) AS v WHERE variant IN ('basic', 'fenced')"""
+
+
+def _fill_sql(template: str, values: dict[str, str]) -> str:
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{([a-z_]+)\}", template):
+        if m.group(1) in values:
+            parts += [D.lit(template[pos:m.start()]), values[m.group(1)]]
+            pos = m.end()
+    parts.append(D.lit(template[pos:]))
+    return "(" + " || ".join(parts) + ")"
+
+
+def _rewrite_sql() -> str:
+    from cartograph.functions import prompts as PR
+    return (f"SELECT site, {_fill_sql(PR.REWRITE_TEMPLATE, {'basic_map': 'doc', 'site_name': 'site_name'})} AS prompt "
+            f"FROM ({ORACLE['sitemap_documents']}) AS d")
+
+
+ORACLE["rewrite_prompts"] = _rewrite_sql()
+
+
+def _querygen_prompts_sql() -> str:
+    from cartograph.functions import prompts as PR
+    return (f"SELECT doc_id AS run_id, {_fill_sql(PR.QUERY_GEN_TEMPLATE, {'llms_content': 'text'})} AS prompt "
+            f"FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)")
+
+
+ORACLE["query_gen_prompts"] = _querygen_prompts_sql()

@@ -8,7 +8,7 @@ filler built from real rows and is labelled so in the README.
   event_type; eight integer scores from arithmetic on the ids; reply shape
   chosen by ``event_id % 17`` (plain, fenced, prose around it, malformed,
   a criterion missing, a score as a string, two objects, truncated, ...).
-* generated question lists from ``events`` the same way (one reply per user).
+* generated question lists from ``events`` the same way (one reply per event).
 """
 
 from __future__ import annotations
@@ -68,18 +68,24 @@ JUDGE_COLUMNS = {
     "raw": JUDGE_RAW_SQL,
 }
 
-# One generated-questions reply per user: a JSON array of question objects.
-_ITEM = ("'{\"query\": \"What happened in ' || event_type || ' ' || CAST(event_id AS STRING) || '?\", "
-         "\"category\": \"' || event_type || '\", \"key_facts\": [\"' || event_type || '\", \"id ' "
-         "|| CAST(event_id AS STRING) || '\"]}'")
-QUERYGEN_ITEM_SQL = _ITEM
-QUERYGEN_WRAP = {
-    0: "'```json' || {nl} || '[' || {items} || ']' || {nl} || '```'",
-    1: "'Here are the questions: [' || {items} || '] Enjoy.'",
-    2: "'[' || {items} || ', ]'",
-    3: "'No questions today.'",
-}
-
-
 def judge_raw(events: DataFrame) -> DataFrame:
     return events.selectExpr(*[f"{expr} AS {name}" for name, expr in JUDGE_COLUMNS.items()])
+
+
+# Generated-question replies, one per event (bounded size).
+_ITEM1 = ("'{\"query\": \"What happened in ' || event_type || ' ' || CAST(event_id AS STRING) || '?\", "
+          "\"category\": \"' || event_type || '\", \"key_facts\": [\"' || event_type || '\", \"id ' "
+          "|| CAST(event_id AS STRING) || '\"]}'")
+_ITEM2 = ("'{\"query\": \"Who is user ' || CAST(user_id AS STRING) || '?\", \"key_facts\": [\"user ' "
+          "|| CAST(user_id AS STRING) || '\"]}'")
+QUERYGEN_RAW_SQL = f"""CASE event_id % 5
+  WHEN 0 THEN '```json' || {NL} || '[' || {_ITEM1} || ', ' || {_ITEM2} || ']' || {NL} || '```'
+  WHEN 1 THEN 'Here are the questions: [' || {_ITEM1} || '] Enjoy.'
+  WHEN 2 THEN '[' || {_ITEM1} || ', ]'
+  WHEN 3 THEN 'No questions today.'
+  ELSE '[' || {_ITEM1} || ', ' || {_ITEM2} || ']' END"""
+QUERYGEN_COLUMNS = {"reply_id": "event_id", "run_id": "user_id", "raw": QUERYGEN_RAW_SQL}
+
+
+def querygen_raw(events: DataFrame) -> DataFrame:
+    return events.selectExpr(*[f"{expr} AS {name}" for name, expr in QUERYGEN_COLUMNS.items()])
