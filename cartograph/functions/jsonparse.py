@@ -19,6 +19,9 @@ STRING_LITERAL_PATTERN = r'"(?:[^"\\]|\\.)*"'
 SCALAR_PATTERN = r"true|false|null|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 SKELETON_PATTERN = r'^[{}\[\]:,0"\t\n\r ]*$'
 TRAILING_COMMA_PATTERN = r",[\t\n\r ]*[\]}]"
+INNER_PATTERN = r"\{[^{}\[\]]*\}|\[[^{}\[\]]*\]"
+SINGLE_PATTERN = r"^[\t\n\r ]*0[\t\n\r ]*$"
+MAX_DEPTH = 16
 CRITERIA = ["accuracy", "completeness", "specificity", "actionability"]
 ARMS = ["baseline", "enhanced"]
 # ---------------------------------------------------------------------------
@@ -53,30 +56,19 @@ def has_brackets(s, open_ch: str, close_ch: str) -> Column:
 def single_value(s) -> Column:
     """True when the text is one bracketed JSON value with nothing after it.
 
-    String literals are blanked first. What is left may only hold JSON
-    punctuation, numbers and ``true``/``false``/``null`` (a lenient parser
-    accepts single quotes and bare words), and a depth fold over the
-    characters must close the outer bracket exactly at the end (a lenient
-    parser also accepts ``{...} text {...}``).
+    String literals are blanked, scalars become ``0``; what is left may only
+    hold JSON punctuation (a lenient parser accepts single quotes, bare words
+    and trailing commas). Innermost brackets are then reduced to ``0`` up to
+    ``MAX_DEPTH`` times; one value leaves exactly ``0`` (a lenient parser
+    also accepts ``{...} text {...}``). Deeper values are rejected.
     """
     skel = F.regexp_replace(col(s), STRING_LITERAL_PATTERN, '""')
-    tokens_ok = (F.regexp_replace(skel, SCALAR_PATTERN, "0").rlike(SKELETON_PATTERN)
-                 & ~skel.rlike(TRAILING_COMMA_PATTERN))
-    chars = F.split(skel, "", -1)
-
-    def step(acc, ch):
-        delta = (F.when(ch.isin("{", "["), F.lit(1)).when(ch.isin("}", "]"), F.lit(-1)).otherwise(F.lit(0)))
-        d = acc["d"] + delta
-        blank = ch.rlike(f"^{PY_WS_CLASS}$")
-        return F.struct(
-            d.alias("d"),
-            (acc["closed"] | ((d == 0) & (delta == -1))).alias("closed"),
-            (acc["extra"] | (acc["closed"] & ~blank) | (d < 0)).alias("extra"),
-        )
-
-    init = F.struct(F.lit(0).alias("d"), F.lit(False).alias("closed"), F.lit(False).alias("extra"))
-    r = F.aggregate(chars, init, step)
-    return tokens_ok & r["closed"] & ~r["extra"]
+    flat = F.regexp_replace(skel, SCALAR_PATTERN, "0")
+    tokens_ok = flat.rlike(SKELETON_PATTERN) & ~skel.rlike(TRAILING_COMMA_PATTERN)
+    red = F.regexp_replace(flat, r'""', "0")
+    for _ in range(MAX_DEPTH):
+        red = F.regexp_replace(red, INNER_PATTERN, "0")
+    return tokens_ok & red.rlike(SINGLE_PATTERN)
 
 
 def with_parsed_scores(df: DataFrame, raw: str) -> DataFrame:

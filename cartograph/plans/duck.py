@@ -251,14 +251,13 @@ def has_brackets(s: str, o: str, c: str) -> str:
 def single_value(s: str) -> str:
     from cartograph.functions import jsonparse as J
     skel = f"regexp_replace({s}, {lit(J.STRING_LITERAL_PATTERN)}, '\"\"', 'g')"
-    delta = "(CASE WHEN ch IN ('{', '[') THEN 1 WHEN ch IN ('}', ']') THEN -1 ELSE 0 END)"
-    blank = f"regexp_matches(ch, {lit('^' + T.PY_WS_CLASS + '$')})"
-    step = (f"{{'d': acc.d + {delta}, 'closed': acc.closed OR (acc.d + {delta} = 0 AND {delta} = -1), "
-            f"'extra': acc.extra OR (acc.closed AND NOT {blank}) OR acc.d + {delta} < 0}}")
-    r = f"list_reduce(string_split({skel}, ''), lambda acc, ch: {step}, {{'d': 0, 'closed': false, 'extra': false}})"
-    tokens_ok = (f"(regexp_matches(regexp_replace({skel}, {lit(J.SCALAR_PATTERN)}, '0', 'g'), "
-                 f"{lit(J.SKELETON_PATTERN)}) AND NOT regexp_matches({skel}, {lit(J.TRAILING_COMMA_PATTERN)}))")
-    return f"({tokens_ok} AND {r}.closed AND NOT {r}.extra)"
+    flat = f"regexp_replace({skel}, {lit(J.SCALAR_PATTERN)}, '0', 'g')"
+    tokens_ok = (f"(regexp_matches({flat}, {lit(J.SKELETON_PATTERN)}) "
+                 f"AND NOT regexp_matches({skel}, {lit(J.TRAILING_COMMA_PATTERN)}))")
+    red = f"regexp_replace({flat}, '\"\"', '0', 'g')"
+    for _ in range(J.MAX_DEPTH):
+        red = f"regexp_replace({red}, {lit(J.INNER_PATTERN)}, '0', 'g')"
+    return f"({tokens_ok} AND regexp_matches({red}, {lit(J.SINGLE_PATTERN)}))"
 
 
 def json_number(s: str, path: str) -> str:

@@ -16,8 +16,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Parquet table; spread over the cores when the files give fewer splits.
+
+    On a cluster a large table has far more splits than cores and is left
+    alone; a small single-row-group file is round-robin spread so that the
+    per-row regex work runs on every core instead of one.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
