@@ -21,8 +21,8 @@ CLEAN_PATTERN = (
 )
 TITLE_PATTERN = rf"(?is)<title\b[^>]*>(.*?)</title{_W}*>"
 HREF_PATTERN = (
-    rf"(?is)<a{_W}(?:[^>]*?{_W})?href{_W}*={_W}*"
-    rf"(\"[^\"]*\"|'[^']*'|[^\t\n\x{{0B}}\f\r >]*)"
+    rf"(?is)<a{_W}(?:[^>]*?{_W})?href(?:{_W}*={_W}*"
+    rf"(\"[^\"]*\"|'[^']*'|[^\t\n\x{{0B}}\f\r >]*)|[\t\n\x{{0B}}\f\r />])"
 )
 # A child node inside <title>: start tag, end tag, comment or declaration.
 NESTED_PATTERN = r"<[a-zA-Z/!?]"
@@ -107,7 +107,7 @@ def extract_hrefs(clean) -> Column:
     """Every ``<a>`` ``href`` value in document order, unquoted and decoded."""
     raw = F.regexp_extract_all(col(clean), F.lit(HREF_PATTERN), 1)
     return F.transform(
-        raw,
+        F.transform(raw, lambda v: F.coalesce(v, F.lit(""))),
         lambda v: decode_entities(
             F.when(v.rlike(r"(?s)^\".*\"\z|^'.*'\z") & (F.length(v) >= 2),
                    F.substring(v, 2, F.length(v) - 2)).otherwise(v)

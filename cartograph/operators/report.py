@@ -44,19 +44,19 @@ def summary_lines(parsed: DataFrame) -> DataFrame:
     rows = cm.select("run_id", F.lit(1).alias("block"), F.lit(0).alias("query_no"),
                      (crit_ord + len(SUMMARY_HEADER)).alias("line_no"),
                      F.concat(F.lit("| "), T.py_capitalize("criterion"), F.lit(" | "),
-                              F.format_string("%.1f", "baseline_mean"), F.lit(" | "),
-                              F.format_string("%.1f", "enhanced_mean"), F.lit(" | "),
+                              T.py_format("baseline_mean", ".1f"), F.lit(" | "),
+                              T.py_format("enhanced_mean", ".1f"), F.lit(" | "),
                               T.signed("delta"), F.lit(" |")).alias("line"))
     head = ov.select("run_id", F.posexplode(F.array(*[F.lit(h) for h in SUMMARY_HEADER])).alias("line_no", "line")) \
         .select("run_id", F.lit(1).alias("block"), F.lit(0).alias("query_no"), "line_no", "line")
     n = len(SUMMARY_HEADER) + len(CRITERIA)
     tail = ov.select("run_id", F.explode(_lines(
-        F.concat(F.lit("| **Overall** | **"), F.format_string("%.1f", "overall_baseline"), F.lit("** | **"),
-                 F.format_string("%.1f", "overall_enhanced"), F.lit("** | **"), T.signed("overall_delta"),
+        F.concat(F.lit("| **Overall** | **"), T.py_format("overall_baseline", ".1f"), F.lit("** | **"),
+                 T.py_format("overall_enhanced", ".1f"), F.lit("** | **"), T.signed("overall_delta"),
                  F.lit("** |")),
         "",
         F.when(F.col("improvement_pct").isNotNull(),
-               F.concat(F.lit("**Overall improvement: "), F.format_string("%+.0f", "improvement_pct"),
+               F.concat(F.lit("**Overall improvement: "), T.py_format("improvement_pct", "+.0f"),
                         F.lit("%**"))),
         "")).alias("x")).filter(F.col("x.line").isNotNull()) \
         .select("run_id", F.lit(1).alias("block"), F.lit(0).alias("query_no"),

@@ -16,8 +16,11 @@ def write_site_maps(docs: DataFrame, path: str, enhanced: DataFrame | None = Non
     if enhanced is not None:
         out = out.join(enhanced.select("site", F.col("doc").alias("enh")), "site", "left") \
             .select("site", F.coalesce("enh", "basic").alias("basic"))
-    (out.repartition("site").select("site", F.col("basic").alias("value"))
-     .write.mode("overwrite").partitionBy("site").option("lineSep", "").text(path))
+    # the text writer ends every row with "\n": drop one final newline first
+    value = F.when(F.col("basic").endswith("\n"), F.expr("substring(basic, 1, length(basic) - 1)")) \
+        .otherwise(F.col("basic"))
+    (out.repartition("site").select("site", value.alias("value"))
+     .write.mode("overwrite").partitionBy("site").text(path))
 
 
 def write_full_maps(docs: DataFrame, path: str) -> None:
