@@ -59,39 +59,37 @@ def line_table(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def conformance(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """C2-C6, C9 per document, plus ``ok`` when every rule holds."""
+    """C2-C6, C9 per document, plus ``ok`` when every rule holds.
+
+    One pass: both windows and the aggregate share the partitioning by
+    document, so the line table is shuffled once.
+    """
     k = F.col("kind")
-    prev_kind = F.lag("kind").over(Window.partitionBy(*keys).orderBy("line_no"))
-    lines = lines.withColumn("quote_start", (k == "quote") & (F.coalesce(prev_kind, F.lit("")) != "quote"))
-    first_h2 = F.min(F.when(k == "h2", F.col("line_no")))
-    last_h2 = F.max_by(F.when(k == "h2", F.col("section")), F.when(k == "h2", F.col("line_no")))
-    desc_words = word_count("description")
-    agg = lines.groupBy(*keys).agg(
+    by_doc = Window.partitionBy(*keys)
+    prev_kind = F.lag("kind").over(by_doc.orderBy("line_no"))
+    lines = lines.select(
+        *keys, "line_no", "kind", "section", "description",
+        ((k == "quote") & (F.coalesce(prev_kind, F.lit("")) != "quote")).alias("quote_start"),
+        F.min(F.when(k == "h2", F.col("line_no"))).over(by_doc).alias("first_h2"))
+    h2_line = F.when(k == "h2", F.col("line_no"))
+    intro_heading = (k.isin("h1", "deep") & (F.col("line_no") > 1)
+                     & (F.col("first_h2").isNull() | (F.col("line_no") < F.col("first_h2"))))
+    out = lines.groupBy(*keys).agg(
         F.count("*").alias("n_lines"),
         F.count_if(k == "h1").alias("n_h1"),
-        F.max(F.when(F.col("line_no") == 1, k == "h1")).alias("h1_first"),
+        F.coalesce(F.max(F.when(F.col("line_no") == 1, k == "h1")), F.lit(False)).alias("h1_first"),
         F.count_if(F.col("quote_start")).alias("n_quote_blocks"),
         F.count_if(k == "h2").alias("n_h2"),
         F.count_if(k == "deep").alias("n_deep"),
-        first_h2.alias("first_h2"),
+        F.count_if(intro_heading).alias("n_intro_headings"),
         F.count_if(k == "link").alias("n_links"),
         F.count_if((k == "link") & (F.col("description") == "")).alias("n_links_no_desc"),
-        F.count_if((k == "link") & (desc_words >= MAX_DESCRIPTION_WORDS)).alias("n_long_desc"),
+        F.count_if((k == "link") & (word_count("description") >= MAX_DESCRIPTION_WORDS)).alias("n_long_desc"),
         F.count_if(k == "bullet").alias("n_bullets"),
         F.count_if(k == "fence").alias("n_fence"),
-        F.count_if((k == "h2") & (F.col("section") == OPTIONAL_SECTION)).alias("n_optional"),
-        last_h2.alias("last_h2"),
-    )
-    intro = lines.join(agg.select(*keys, "first_h2"), keys).groupBy(*keys).agg(
-        F.count_if(F.col("kind").isin("h1", "deep") & (F.col("line_no") > 1)
-                   & (F.col("first_h2").isNull() | (F.col("line_no") < F.col("first_h2"))))
-        .alias("n_intro_headings"))
-    out = agg.join(intro, keys).select(
-        *keys, "n_lines", "n_h1", F.coalesce("h1_first", F.lit(False)).alias("h1_first"),
-        "n_quote_blocks", "n_h2", "n_deep", "n_intro_headings", "n_links", "n_links_no_desc",
-        "n_long_desc", "n_bullets", "n_fence",
-        (F.col("n_optional") > 0).alias("has_optional"),
-        F.coalesce(F.col("last_h2") == OPTIONAL_SECTION, F.lit(False)).alias("optional_last"),
+        (F.count_if((k == "h2") & (F.col("section") == OPTIONAL_SECTION)) > 0).alias("has_optional"),
+        F.coalesce(F.max_by(F.when(k == "h2", F.col("section")), h2_line) == OPTIONAL_SECTION,
+                   F.lit(False)).alias("optional_last"),
     )
     ok = ((F.col("n_h1") == 1) & F.col("h1_first") & (F.col("n_quote_blocks") == 1) & (F.col("n_deep") == 0)
           & (F.col("n_intro_headings") == 0) & (F.col("n_h2") > 0) & (F.col("n_links_no_desc") == 0)

@@ -30,7 +30,8 @@ def tokens(text) -> F.Column:
 def covered_facts(responses: DataFrame, facts: DataFrame, resp_id: str = "doc_id",
                   fact_id: str = "item_id") -> DataFrame:
     """(resp_id, fact_id, n_tokens) for every response that covers a fact."""
-    rt = responses.select(resp_id, F.explode(tokens("text")).alias("tok"))
+    # the token index is read three times: tokenise the whole texts once
+    rt = responses.select(resp_id, F.explode(tokens("text")).alias("tok")).checkpoint(eager=True)
     ft = facts.select(fact_id, tokens("text").alias("toks")).filter(F.size("toks") > 0)
     df = rt.groupBy("tok").agg(F.count("*").alias("df"))
     fe = ft.select(fact_id, F.size("toks").alias("n_tokens"), F.explode("toks").alias("tok"))

@@ -122,18 +122,18 @@ def qa_pairs(conversations: DataFrame) -> DataFrame:
                     F.col("text").alias("query"), "answer"))
 
 
-def choose_context(full: DataFrame, index: DataFrame) -> DataFrame:
+def choose_context(runs: DataFrame, index: DataFrame) -> DataFrame:
     """S3: the full document when given and present, else the index document.
 
-    ``full``/``index``: (run_id, text). Returns (run_id, kind, context, n_chars).
+    ``runs``: (run_id, full) with ``full`` NULL when not given; ``index``:
+    (run_id, idx). Returns (run_id, kind, context, n_chars).
     """
-    j = index.select("run_id", F.col("text").alias("idx")).join(
-        full.select("run_id", F.col("text").alias("full")), "run_id", "full_outer")
+    j = runs.join(index, "run_id", "left")
+    ctx = F.coalesce("full", "idx")
     return j.select(
         "run_id",
         F.when(F.col("full").isNotNull(), F.lit("full")).otherwise(F.lit("index")).alias("kind"),
-        F.coalesce("full", "idx").alias("context"),
-        F.length(F.coalesce("full", "idx")).cast("bigint").alias("n_chars"))
+        ctx.alias("context"), F.length(ctx).cast("bigint").alias("n_chars"))
 
 
 def limit_queries(queries: DataFrame, n: int | None) -> DataFrame:

@@ -83,12 +83,14 @@ def render_documents(ranked: DataFrame, seeds: DataFrame | None = None) -> DataF
         F.sum("n_pages").alias("n_pages"),
         F.count("*").alias("n_sections"),
     )
-    if seeds is None:
-        seeds = site_seeds(ranked)
     header = F.concat(
         F.lit("# "), F.col("site_name"), F.lit("\n\n> Site map of "), F.col("site_name"),
         F.lit(" ("), F.col("base_url"), F.lit("), auto-generated for LLM context.\n\n"))
-    return per_site.join(seeds, "site").select(
+    if seeds is None:  # default seed per site, derived in place (no second pass)
+        per_site = per_site.select("*", F.col("site").alias("base_url"), U.site_name("site").alias("site_name"))
+    else:
+        per_site = per_site.join(seeds.select("site", "base_url", "site_name"), "site")
+    return per_site.select(
         "site", "base_url", "site_name",
         F.col("n_pages").cast("bigint").alias("n_pages"),
         F.col("n_sections").cast("bigint").alias("n_sections"),

@@ -142,9 +142,13 @@ def map_conformance(spark, sf_dir):
 
 @query("map_url_preservation")
 def map_url_preservation(spark, sf_dir):
-    """Each planted variant against the generated map of its site."""
+    """Each planted variant against the generated map of its site.
+
+    The line table feeds three branches, so it is checkpointed once instead
+    of re-running extraction and rendering per branch.
+    """
     from cartograph.operators import conform as C
-    lines = _map_lines(spark, sf_dir)
+    lines = _map_lines(spark, sf_dir).checkpoint(eager=True)
     source = (lines.filter(F.col("variant") == "basic").select("site", "kind", "url")
               .join(lines.select("site", "variant").distinct(), "site"))
     return C.url_preservation(source, lines, ["site", "variant"])
@@ -223,13 +227,14 @@ def signal_counts(spark, sf_dir):
 
 
 def _contexts(spark, sf_dir):
+    """Per run (conversation): its first system turn as the full document, else
+    the run's index document (``documents`` row with doc_id = run)."""
     from cartograph.operators import experiment as X
     conv = P.read_table(spark, sf_dir, "conversations")
-    full = (conv.filter(F.col("role") == "system").groupBy(F.col("conv_id").alias("run_id"))
-            .agg(F.min_by("text", "turn").alias("text")))
-    index = P.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text") \
-        .join(conv.select(F.col("conv_id").alias("run_id")).distinct(), "run_id", "left_semi")
-    return X.choose_context(full, index)
+    runs = conv.groupBy(F.col("conv_id").alias("run_id")).agg(
+        F.min(F.when(F.col("role") == "system", F.struct("turn", "text")))["text"].alias("full"))
+    index = P.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("idx"))
+    return X.choose_context(runs, index)
 
 
 @query("context_choice")

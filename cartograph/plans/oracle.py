@@ -316,11 +316,11 @@ ORACLE["signal_counts"] = _signals_sql()
 
 
 _CONTEXTS = """
-SELECT coalesce(f.run_id, i.run_id) AS run_id, CASE WHEN f.text IS NOT NULL THEN 'full' ELSE 'index' END AS kind,
-       coalesce(f.text, i.text) AS context, CAST(length(coalesce(f.text, i.text)) AS BIGINT) AS n_chars
-FROM (SELECT doc_id AS run_id, text FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)) AS i
-FULL OUTER JOIN (SELECT conv_id AS run_id, arg_min(text, turn) AS text FROM conversations
-                 WHERE role = 'system' GROUP BY conv_id) AS f ON i.run_id = f.run_id"""
+SELECT r.run_id, CASE WHEN r.full IS NOT NULL THEN 'full' ELSE 'index' END AS kind,
+       coalesce(r.full, d.text) AS context, CAST(length(coalesce(r.full, d.text)) AS BIGINT) AS n_chars
+FROM (SELECT conv_id AS run_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS full
+      FROM conversations GROUP BY conv_id) AS r
+LEFT JOIN documents d ON d.doc_id = r.run_id"""
 
 ORACLE["context_choice"] = f"SELECT run_id, kind, n_chars FROM ({_CONTEXTS}) AS c"
 
