@@ -75,25 +75,20 @@ def bounded_bfs(graph: DataFrame, seeds: DataFrame, max_levels: int | None = Non
         F.lit(0).cast("bigint").alias("found"), F.col("start_url").alias("url"),
         F.lit(0).cast("bigint").alias("parent_rank"), F.lit(0).cast("bigint").alias("pos"),
     ).checkpoint(eager=True)
-    seen = frontier.select("site", "url").checkpoint(eager=True)
+    seen = frontier.select("site", "url")
     levels: list[DataFrame] = []
     by_site = Window.partitionBy("site")
     order = by_site.orderBy("parent_rank", "pos")
+    frontier_cols = ["site", "base_url", "max_pages", "found", "url", "parent_rank", "pos"]
     depth = 0
     while True:
         hits = frontier.filter(U.in_scope("url", "base_url")).join(graph, "url")
-        ranked = hits.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= cap)
         accepted = (
-            ranked.withColumn("rank", F.col("found") + F.col("rn"))
+            hits.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= cap)
+            .withColumn("rank", F.col("found") + F.col("rn"))
             .filter(F.col("rank") <= F.col("max_pages"))
             .withColumn("found_after", F.max("rank").over(by_site))
-            .drop("rn")
-            .checkpoint(eager=True)
         )
-        levels.append(accepted.select("site", "url", "title", "rank"))
-        depth += 1
-        if max_levels is not None and depth >= max_levels:
-            break
         cand = (
             accepted.filter(F.col("found_after") < F.col("max_pages"))
             .select("site", "base_url", "max_pages", F.col("found_after").alias("found"),
@@ -103,16 +98,25 @@ def bounded_bfs(graph: DataFrame, seeds: DataFrame, max_levels: int | None = Non
         first = cand.groupBy("site", "url").agg(
             F.min(F.struct(F.col("parent_rank"), F.col("pos").cast("bigint").alias("pos"),
                            "base_url", "max_pages", "found")).alias("m"))
-        nxt = (
-            first.join(seen, ["site", "url"], "left_anti")
-            .select("site", "m.base_url", "m.max_pages", "m.found", "url", "m.parent_rank", "m.pos")
+        nxt = (first.join(seen, ["site", "url"], "left_anti")
+               .select("site", "m.base_url", "m.max_pages", "m.found", "url", "m.parent_rank", "m.pos"))
+        # One write per level: accepted pages and the next frontier together
+        # (the shared window stage is computed once and reused).
+        level = (
+            accepted.select("site", "url", "title", "rank", *[F.lit(None).cast(t).alias(c) for c, t in (
+                ("base_url", "string"), ("max_pages", "bigint"), ("found", "bigint"),
+                ("parent_rank", "bigint"), ("pos", "bigint"))], F.lit(True).alias("is_page"))
+            .unionByName(nxt.select(*frontier_cols, F.lit(None).cast("string").alias("title"),
+                                    F.lit(None).cast("bigint").alias("rank"), F.lit(False).alias("is_page")))
             .checkpoint(eager=True)
         )
-        if nxt.isEmpty():
+        levels.append(level.filter(F.col("is_page")).select("site", "url", "title", "rank"))
+        depth += 1
+        frontier = level.filter(~F.col("is_page")).select(*frontier_cols)
+        if (max_levels is not None and depth >= max_levels) or frontier.isEmpty():
             break
         # a union of checkpointed pieces: shallow lineage without another write
-        seen = seen.unionByName(nxt.select("site", "url"))
-        frontier = nxt
+        seen = seen.unionByName(frontier.select("site", "url"))
     return reduce(DataFrame.unionByName, levels) if levels else empty
 
 

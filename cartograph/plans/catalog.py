@@ -89,6 +89,7 @@ def _site_pages(spark, sf_dir):
 def _tree_bfs(spark, sf_dir, max_pages_col):
     from cartograph.operators import traverse as TR
     ix, pages = _site_pages(spark, sf_dir)
+    pages = pages.checkpoint(eager=True)  # read by the graph build and the seeds
     graph = TR.build_graph(pages.select("url", "title"), TR.derived_tree_links(pages))
     seeds = pages.filter(F.col("r") == 0).select(
         "site", F.col("site").alias("base_url"), F.col("url").alias("start_url"),
@@ -113,6 +114,10 @@ def bfs_captured_links(spark, sf_dir):
     """T1 over the links extracted from the captured HTML, one seed per site."""
     from cartograph.operators import traverse as TR
     ix, pages = _site_pages(spark, sf_dir)
+    ix = ix.checkpoint(eager=True)  # extracted once; read for nodes, links and seeds
+    kept = ix.filter(F.col("title_state").isin("ok", "absent") & (F.col("site") != ""))
+    from pyspark.sql import Window
+    pages = kept.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy("page_id")) - 1)
     graph = TR.graph_from_index(ix, P.page_links(ix))
     seeds = pages.filter(F.col("r") == 0).select(
         "site", F.col("site").alias("base_url"), F.col("url").alias("start_url"),
