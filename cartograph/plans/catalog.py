@@ -342,3 +342,17 @@ def query_gen_prompts(spark, sf_dir):
     idx = P.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text") \
         .join(conv, "run_id", "left_semi")
     return idx.select("run_id", PR.query_gen_prompt("text").alias("prompt"))
+
+
+@query("query_limit")
+def query_limit(spark, sf_dir):
+    """O4 (--max-queries): the first 3 questions of every run by query_id."""
+    from cartograph.operators import experiment as X
+    qa = X.qa_pairs(P.read_table(spark, sf_dir, "conversations"))
+    return X.limit_queries(qa, 3).select("run_id", "query_id", "query")
+
+
+@query("sitemap_documents_full")
+def sitemap_documents_full(spark, sf_dir):
+    """S7 with a truly higher page limit (1,000 pages per site)."""
+    return SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir), 1000))

@@ -425,3 +425,11 @@ def _querygen_prompts_sql() -> str:
 
 
 ORACLE["query_gen_prompts"] = _querygen_prompts_sql()
+
+
+ORACLE["query_limit"] = f"""
+SELECT run_id, query_id, query FROM ({_QA}) AS q
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY query_id) <= 3"""
+
+ORACLE["sitemap_documents_full"] = ORACLE["sitemap_documents"].replace(
+    f"QUALIFY rank <= {DEFAULT_MAX_PAGES}", "QUALIFY rank <= 1000")
