@@ -280,7 +280,11 @@ def generated_queries_parse(spark, sf_dir):
     from cartograph.sources import fixtures as FX
     raw = FX.querygen_raw(P.read_table(spark, sf_dir, "events"))
     parsed = J.with_parsed_query_items(raw, "raw")
-    return parsed.select("reply_id", "run_id", F.posexplode("items").alias("item_pos", "it")).select(
+    # posexplode_outer + a filter on the generated column: a plain posexplode
+    # makes Catalyst infer a not-null filter on ``items`` and push it below
+    # the parse projections, which would re-run the parse per reference.
+    exploded = parsed.select("reply_id", "run_id", F.posexplode_outer("items").alias("item_pos", "it"))
+    return exploded.filter(F.col("it").isNotNull()).select(
         "reply_id", "run_id", "item_pos", F.col("it.query").alias("query"),
         F.coalesce("it.category", F.lit("general")).alias("category"),
         F.array_join("it.key_facts", " | ").alias("key_facts_text"),
