@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,7 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
@@ -46,3 +48,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="cartograph-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cartograph`` importable in Python workers (``addPyFile``).
+
+    Python tasks (batch inference, report formatting) unpickle functions that
+    live in this package; executors started elsewhere than the repository
+    cannot import it otherwise. Done once per SparkContext.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(
+        os.path.join(root, f) for root, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha256()
+    for f in files:
+        with open(f, "rb") as fh:
+            digest.update(f.encode() + fh.read())
+    folder = tempfile.mkdtemp(prefix="cartograph-pyfiles-")
+    path = os.path.join(folder, f"cartograph-{digest.hexdigest()[:12]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in files:
+            z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
+def prepare_session(spark: SparkSession) -> str:
+    """Checkpoint directory and package shipping; call before running queries."""
+    ship_package(spark)
+    return ensure_checkpoint_dir(spark)
