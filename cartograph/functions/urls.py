@@ -185,9 +185,19 @@ def site_name(base_url) -> Column:
     return F.when(F.size(parts) > 1, py_capitalize(F.element_at(parts, -2))).otherwise(netloc)
 
 
-def in_scope(url, base_url) -> Column:
-    """F2 (and F3, which it implies): raw, case-sensitive string prefix."""
-    return col(url).startswith(col(base_url))
+def in_scope(url, base_url, scope: str = "prefix") -> Column:
+    """F2 (and F3, which it implies).
+
+    ``prefix`` (the reference): raw, case-sensitive string prefix, so
+    ``http://a.co`` admits ``http://a.com/x``. ``authority``: the prefix and
+    the same ``scheme://authority`` as the base.
+    """
+    pref = col(url).startswith(col(base_url))
+    if scope == "prefix":
+        return pref
+    if scope == "authority":
+        return pref & (site_of(url) == site_of(base_url))
+    raise ValueError(f"unknown scope {scope!r}")
 
 
 def excluded_suffix(url) -> Column:

@@ -22,6 +22,7 @@ LINE_KINDS = [  # checked in this order
     ("h2", r"^## "),
     ("deep", r"^#{3,} "),
     ("quote", r"^>"),
+    ("json", r"^[{\[]"),
     ("link", LINK_PATTERN),
     ("bullet", r"^[-*+] "),
 ]
@@ -87,6 +88,7 @@ def conformance(lines: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if((k == "link") & (word_count("description") >= MAX_DESCRIPTION_WORDS)).alias("n_long_desc"),
         F.count_if(k == "bullet").alias("n_bullets"),
         F.count_if(k == "fence").alias("n_fence"),
+        F.count_if(k == "json").alias("n_json"),
         (F.count_if((k == "h2") & (F.col("section") == OPTIONAL_SECTION)) > 0).alias("has_optional"),
         F.coalesce(F.max_by(F.when(k == "h2", F.col("section")), h2_line) == OPTIONAL_SECTION,
                    F.lit(False)).alias("optional_last"),
@@ -94,7 +96,7 @@ def conformance(lines: DataFrame, keys: list[str]) -> DataFrame:
     ok = ((F.col("n_h1") == 1) & F.col("h1_first") & (F.col("n_quote_blocks") == 1) & (F.col("n_deep") == 0)
           & (F.col("n_intro_headings") == 0) & (F.col("n_h2") > 0) & (F.col("n_links_no_desc") == 0)
           & (F.col("n_long_desc") == 0) & (F.col("n_bullets") == 0) & (F.col("n_fence") == 0)
-          & F.col("has_optional") & F.col("optional_last"))
+          & (F.col("n_json") == 0) & F.col("has_optional") & F.col("optional_last"))
     return out.withColumn("ok", ok)
 
 
@@ -163,6 +165,8 @@ def planted_variants(docs: DataFrame) -> DataFrame:
     variants = [
         ("basic", d),
         ("fenced", F.concat(F.lit("```markdown\n"), d, F.lit("```"))),
+        ("json_metadata", F.concat(d, F.lit('{"generated_by": "model", "pages": '),
+                                   F.length(d).cast("string"), F.lit("}\n"))),
         ("deep_heading", first_replace(d, "\n## ", "\n### ")),
         ("link_dropped", dropped),
         ("link_invented", F.concat(d, F.lit("- [Invented page]("), base, F.lit("/invented-page)\n"))),

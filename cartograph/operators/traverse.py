@@ -52,7 +52,8 @@ def build_graph(nodes: DataFrame, links: DataFrame, num_partitions: int | None =
         spark.conf.set(key, before)
 
 
-def bounded_bfs(graph: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
+def bounded_bfs(graph: DataFrame, seeds: DataFrame, max_levels: int | None = None,
+                scope: str = "prefix") -> DataFrame:
     """Traverse every seed's site; returns (site, url, title, rank).
 
     ``seeds``: (site, base_url, max_pages) plus optional ``start_url``
@@ -82,7 +83,7 @@ def bounded_bfs(graph: DataFrame, seeds: DataFrame, max_levels: int | None = Non
     frontier_cols = ["site", "base_url", "max_pages", "found", "url", "parent_rank", "pos"]
     depth = 0
     while True:
-        hits = frontier.filter(U.in_scope("url", "base_url")).join(graph, "url")
+        hits = frontier.filter(U.in_scope("url", "base_url", scope)).join(graph, "url")
         accepted = (
             hits.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= cap)
             .withColumn("rank", F.col("found") + F.col("rn"))
@@ -93,7 +94,7 @@ def bounded_bfs(graph: DataFrame, seeds: DataFrame, max_levels: int | None = Non
             accepted.filter(F.col("found_after") < F.col("max_pages"))
             .select("site", "base_url", "max_pages", F.col("found_after").alias("found"),
                     F.col("rank").alias("parent_rank"), F.posexplode("links").alias("pos", "url"))
-            .filter(U.in_scope("url", "base_url") & ~U.excluded_suffix("url"))
+            .filter(U.in_scope("url", "base_url", scope) & ~U.excluded_suffix("url"))
         )
         first = cand.groupBy("site", "url").agg(
             F.min(F.struct(F.col("parent_rank"), F.col("pos").cast("bigint").alias("pos"),

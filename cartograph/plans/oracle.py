@@ -119,6 +119,7 @@ def _variants_sql() -> str:
     variants = [
         ("basic", d),
         ("fenced", f"'```markdown' || {NL} || {d} || '```'"),
+        ("json_metadata", f"{d} || '{{\"generated_by\": \"model\", \"pages\": ' || CAST(length({d}) AS VARCHAR) || '}}' || {NL}"),
         ("deep_heading", D.first_replace(d, "\n## ", f"{NL} || '### '")),
         ("link_dropped", dropped),
         ("link_invented", f"{d} || '- [Invented page](' || base_url || '/invented-page)' || {NL}"),
@@ -177,6 +178,7 @@ SELECT site, variant, count(*) AS n_lines,
     AS n_long_desc,
   count(*) FILTER (WHERE kind = 'bullet') AS n_bullets,
   count(*) FILTER (WHERE kind = 'fence') AS n_fence,
+  count(*) FILTER (WHERE kind = 'json') AS n_json,
   count(*) FILTER (WHERE kind = 'h2' AND section = {D.lit(C.OPTIONAL_SECTION)}) > 0 AS has_optional,
   coalesce(arg_max(CASE WHEN kind = 'h2' THEN section END, CASE WHEN kind = 'h2' THEN line_no END)
            = {D.lit(C.OPTIONAL_SECTION)}, false) AS optional_last
@@ -185,7 +187,7 @@ FROM l2 GROUP BY site, variant"""
 
 ORACLE["map_conformance"] = f"""
 SELECT *, (n_h1 = 1 AND h1_first AND n_quote_blocks = 1 AND n_deep = 0 AND n_intro_headings = 0 AND n_h2 > 0
-           AND n_links_no_desc = 0 AND n_long_desc = 0 AND n_bullets = 0 AND n_fence = 0 AND has_optional
+           AND n_links_no_desc = 0 AND n_long_desc = 0 AND n_bullets = 0 AND n_fence = 0 AND n_json = 0 AND has_optional
            AND optional_last) AS ok
 FROM ({_conformance_sql()}) AS c"""
 

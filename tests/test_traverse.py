@@ -69,3 +69,14 @@ def test_seed_is_base_url_and_zero_limit(spark):
     got = sorted((r.site, r.url, r.rank) for r in TR.bounded_bfs(graph, seeds).collect())
     # the raw prefix scope admits http://a.company/y, as in the reference
     assert got == sorted([("a", "http://a.com", 1), ("a", "http://a.company/y", 2), ("a", "http://a.com/x", 3)])
+
+
+def test_authority_scope_excludes_prefix_only_hosts(spark):
+    nodes = spark.createDataFrame([("http://a.com", "A"), ("http://a.com/x", "X"), ("http://a.company/y", "Y")],
+                                  "url string, title string")
+    links = spark.createDataFrame([("http://a.com", 0, "http://a.company/y"), ("http://a.com", 1, "http://a.com/x")],
+                                  "src_url string, pos int, dst_url string")
+    graph = TR.build_graph(nodes, links)
+    seeds = spark.createDataFrame([("a", "http://a.com", 10)], "site string, base_url string, max_pages int")
+    got = sorted((r.url, r.rank) for r in TR.bounded_bfs(graph, seeds, scope="authority").collect())
+    assert got == [("http://a.com", 1), ("http://a.com/x", 2)]
