@@ -75,3 +75,12 @@ def test_code_fence_excerpt_signed(spark):
     assert row.e == long[:500] + "..."
     assert (row.sa, row.sb, row.sc) == ("+1.3", "-0.0", "0.0")
     assert F is not None
+
+
+def test_status_filter_and_lowest_page_id(spark):
+    from cartograph.sources import pages as P
+    rows = [(1, "http://a.com/x", "<title>late</title>", 200), (0, "http://a.com/x", "<title>first</title>", 200),
+            (2, "http://a.com/y", "<title>gone</title>", 404), (3, "http://a.com/z", "<title>z</title>", 200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, status int")
+    got = {r.url: (r.page_id, r.title) for r in P.page_index(df).collect()}
+    assert got == {"http://a.com/x": (0, "first"), "http://a.com/z": (3, "z")}
