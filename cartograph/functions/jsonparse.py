@@ -15,7 +15,11 @@ from .text import PY_WS_CLASS, col
 
 # --- fixed values -----------------------------------------------------------
 FENCE_PATTERN = rf"(?s)```(?:json)?{PY_WS_CLASS}*(.*?)```"
-STRING_LITERAL_PATTERN = r'"(?:[^"\\]|\\.)*"'
+# Escapes are replaced first (one flat pass), so string literals need no
+# repeated group: Java's regex engine recurses once per group repetition and
+# overflows its stack on long strings.
+ESCAPE_PATTERN = r"(?s)\\."
+STRING_LITERAL_PATTERN = r'"[^"]*"'
 SCALAR_PATTERN = r"true|false|null|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 SKELETON_PATTERN = r'^[{}\[\]:,0"\t\n\r ]*$'
 TRAILING_COMMA_PATTERN = r",[\t\n\r ]*[\]}]"
@@ -62,7 +66,7 @@ def single_value(s) -> Column:
     ``MAX_DEPTH`` times; one value leaves exactly ``0`` (a lenient parser
     also accepts ``{...} text {...}``). Deeper values are rejected.
     """
-    skel = F.regexp_replace(col(s), STRING_LITERAL_PATTERN, '""')
+    skel = F.regexp_replace(F.regexp_replace(col(s), ESCAPE_PATTERN, "__"), STRING_LITERAL_PATTERN, '""')
     flat = F.regexp_replace(skel, SCALAR_PATTERN, "0")
     tokens_ok = flat.rlike(SKELETON_PATTERN) & ~skel.rlike(TRAILING_COMMA_PATTERN)
     red = F.regexp_replace(flat, r'""', "0")

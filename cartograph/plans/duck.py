@@ -250,7 +250,8 @@ def has_brackets(s: str, o: str, c: str) -> str:
 
 def single_value(s: str) -> str:
     from cartograph.functions import jsonparse as J
-    skel = f"regexp_replace({s}, {lit(J.STRING_LITERAL_PATTERN)}, '\"\"', 'g')"
+    unescaped = f"regexp_replace({s}, {lit(J.ESCAPE_PATTERN)}, '__', 'g')"
+    skel = f"regexp_replace({unescaped}, {lit(J.STRING_LITERAL_PATTERN)}, '\"\"', 'g')"
     flat = f"regexp_replace({skel}, {lit(J.SCALAR_PATTERN)}, '0', 'g')"
     tokens_ok = (f"(regexp_matches({flat}, {lit(J.SKELETON_PATTERN)}) "
                  f"AND NOT regexp_matches({skel}, {lit(J.TRAILING_COMMA_PATTERN)}))")

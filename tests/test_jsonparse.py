@@ -53,3 +53,11 @@ def test_parse_query_items(spark):
     assert out[2].reason == "not_strict_json"
     assert out[3].reason == "no_array"
     assert out[4].reason == "not_strict_json"
+
+
+def test_long_string_values_do_not_overflow(spark):
+    note = ("word \\\"quoted\\\" " * 20000)
+    raw = OBJ.replace('"notes": "b {x}"', f'"notes": "{note}"')
+    df = spark.createDataFrame([(0, raw)], "i int, raw string")
+    row = J.with_parsed_scores(df, "raw").first()
+    assert row.reason == "ok" and row.b_accuracy == 5.0
