@@ -36,11 +36,14 @@ def tokens(text) -> F.Column:
 def covered_facts(responses: DataFrame, facts: DataFrame, resp_id: str = "doc_id",
                   fact_id: str = "item_id") -> DataFrame:
     """(resp_id, fact_id, n_tokens) for every response that covers a fact."""
-    # the token index is read three times: tokenise the whole texts once
-    rt = responses.select(resp_id, F.explode(tokens("text")).alias("tok")).checkpoint(eager=True)
     ft = facts.select(fact_id, tokens("text").alias("toks")).filter(F.size("toks") > 0)
-    df = rt.groupBy("tok").agg(F.count("*").alias("df"))
     fe = ft.select(fact_id, F.size("toks").alias("n_tokens"), F.explode("toks").alias("tok"))
+    # Only tokens some fact uses can matter: semi-join the response tokens to
+    # the fact vocabulary, then checkpoint (the index is read three times).
+    vocab = fe.select("tok").distinct()
+    rt = (responses.select(resp_id, F.explode(tokens("text")).alias("tok"))
+          .join(vocab, "tok", "left_semi").checkpoint(eager=True))
+    df = rt.groupBy("tok").agg(F.count("*").alias("df"))
     rare = fe.join(df, "tok").groupBy(fact_id, "n_tokens").agg(
         F.min(F.struct("df", "tok"))["tok"].alias("tok"),
         F.count("*").alias("n_present"))
