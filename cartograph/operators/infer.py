@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from cartograph.session import ensure_checkpoint_dir
@@ -79,5 +78,3 @@ def length_model(prompts, systems=None):
         out.append(f"len={len(p)}")
     return out
 
-
-__all__ = ["batch_infer", "length_model", "pd"]
