@@ -360,3 +360,13 @@ def query_limit(spark, sf_dir):
 def sitemap_documents_full(spark, sf_dir):
     """S7 with a truly higher page limit (1,000 pages per site)."""
     return SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir), 1000))
+
+
+@query("bfs_sitemap_documents")
+def bfs_sitemap_documents(spark, sf_dir):
+    """The reference's pipeline end to end: traversal (T1) -> site map.
+
+    On the derived tree the visit order is page_id order, so the result
+    equals the captured-corpus site maps with the same page limit.
+    """
+    return SM.render_documents(_tree_bfs(spark, sf_dir, F.lit(SM.DEFAULT_MAX_PAGES)))

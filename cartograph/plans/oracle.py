@@ -435,3 +435,6 @@ QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY query_id) <= 3"""
 
 ORACLE["sitemap_documents_full"] = ORACLE["sitemap_documents"].replace(
     f"QUALIFY rank <= {DEFAULT_MAX_PAGES}", "QUALIFY rank <= 1000")
+
+# T1 on the derived tree visits pages in page_id order: same documents.
+ORACLE["bfs_sitemap_documents"] = ORACLE["sitemap_documents"]
