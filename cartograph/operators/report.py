@@ -6,11 +6,12 @@ A run's report is never gathered into one string: it is a set of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions import text as T
 from cartograph.functions.jsonparse import CRITERIA
+from cartograph.operators.numbering import row_number_by
 
 # --- fixed values -----------------------------------------------------------
 SUMMARY_HEADER = [
@@ -70,8 +71,8 @@ def query_lines(results: DataFrame) -> DataFrame:
     ``results``: run_id, query_id, query, category, baseline, enhanced and
     the parsed b_*/e_* scores and notes.
     """
-    w = Window.partitionBy("run_id").orderBy("query_id")
-    r = results.withColumn("query_no", F.row_number().over(w))
+    # W2 without a per-run window: a run with most of the rows still spreads
+    r = row_number_by(results, "run_id", ["query_id"], out="query_no")
     crit = []
     for c in CRITERIA:
         b, e = F.col(f"b_{c}"), F.col(f"e_{c}")
