@@ -16,18 +16,25 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+SPREAD_BYTES_PER_TASK = 256 * 1024  # compressed input per task for regex-heavy stages
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Parquet table; spread over the cores when the files give fewer splits.
+    """Parquet table; spread over more tasks when the files give too few splits.
 
-    On a cluster a large table has far more splits than cores and is left
-    alone; a small single-row-group file is round-robin spread so that the
-    per-row regex work runs on every core instead of one.
+    The target is one task per ``SPREAD_BYTES_PER_TASK`` of input (from the
+    planner's size estimate, no job), capped at the cores. A 100 TB table has
+    far more splits than cores and is left alone; a tiny table stays in one
+    task; a small single-row-group file is round-robin spread so the per-row
+    regex work runs on every core.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if spread:
         cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        target = min(cores, max(1, -(-size // SPREAD_BYTES_PER_TASK)))
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
     return df
 
 
