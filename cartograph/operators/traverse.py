@@ -137,3 +137,28 @@ def derived_tree_links(ranked_pages: DataFrame) -> DataFrame:
         2 * F.col("r") + 1, 2 * F.col("r") + 2, F.col("r") - 1, F.col("r"))).alias("pos", "t"))
     dst = ranked_pages.select("site", F.col("r").alias("t"), F.col("url").alias("dst_url"))
     return edges.join(dst, ["site", "t"]).select("src_url", "pos", "dst_url")
+
+
+def prefix_scope_join(pages: DataFrame, seeds: DataFrame, scope: str = "prefix") -> DataFrame:
+    """J3 for many seeds: (site, base_url, url) for every page in a seed's scope.
+
+    An exact prefix join with no pages x seeds product: each URL is cut at
+    the distinct seed lengths (a short list: lengths of URL strings) and the
+    prefixes are equi-joined to the seeds. ``scope='authority'`` also
+    requires the same ``scheme://authority`` (SURVEY: the equi form on the
+    authority alone would drop prefix-only hits such as http://a.co ->
+    http://a.com/x, which the reference admits).
+    """
+    lengths = sorted(r[0] for r in seeds.select(F.length("base_url").alias("n")).distinct().collect()
+                     if r[0] is not None)
+    if not lengths:
+        return seeds.select("site", "base_url").limit(0).withColumn("url", F.lit(None).cast("string"))
+    cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("url"))
+    cand = pages.select("url", F.explode(F.transform(cut, lambda n: F.substring("url", 1, n))).alias("prefix"))
+    out = cand.join(seeds.select("site", F.col("base_url").alias("prefix")), "prefix") \
+        .select("site", F.col("prefix").alias("base_url"), "url")
+    if scope == "authority":
+        out = out.filter(U.site_of("url") == U.site_of("base_url"))
+    elif scope != "prefix":
+        raise ValueError(f"unknown scope {scope!r}")
+    return out

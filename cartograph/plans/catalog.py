@@ -370,3 +370,21 @@ def bfs_sitemap_documents(spark, sf_dir):
     equals the captured-corpus site maps with the same page limit.
     """
     return SM.render_documents(_tree_bfs(spark, sf_dir, F.lit(SM.DEFAULT_MAX_PAGES)))
+
+
+@query("seed_prefix_scope")
+def seed_prefix_scope(spark, sf_dir):
+    """Pages per seed under the raw prefix scope and the authority scope.
+
+    Seeds are the corpus sites (``scheme://authority``), so a seed such as
+    http://a.example.co would also admit pages of http://a.example.com.
+    """
+    from cartograph.operators import traverse as TR
+    ix = _index(spark, sf_dir).checkpoint(eager=True)
+    pages = ix.select("url")
+    seeds = ix.filter(F.col("site") != "").select("site", F.col("site").alias("base_url")).distinct()
+    pre = TR.prefix_scope_join(pages, seeds).groupBy("site").agg(F.count("*").alias("n_prefix"))
+    auth = TR.prefix_scope_join(pages, seeds, "authority").groupBy("site").agg(F.count("*").alias("n_authority"))
+    return seeds.join(pre, "site", "left").join(auth, "site", "left").select(
+        "site", F.coalesce("n_prefix", F.lit(0)).alias("n_prefix"),
+        F.coalesce("n_authority", F.lit(0)).alias("n_authority"))

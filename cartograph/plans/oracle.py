@@ -438,3 +438,12 @@ ORACLE["sitemap_documents_full"] = ORACLE["sitemap_documents"].replace(
 
 # T1 on the derived tree visits pages in page_id order: same documents.
 ORACLE["bfs_sitemap_documents"] = ORACLE["sitemap_documents"]
+
+ORACLE["seed_prefix_scope"] = f"""
+WITH ix AS ({_index_sql()}),
+seeds AS (SELECT DISTINCT site, site AS base_url FROM ix WHERE site <> '')
+SELECT s.site,
+       count(p.url) AS n_prefix,
+       count(p.url) FILTER (WHERE {D.site_of('p.url')} = {D.site_of('s.base_url')}) AS n_authority
+FROM seeds s LEFT JOIN (SELECT url FROM ix) p ON starts_with(p.url, s.base_url)
+GROUP BY s.site"""

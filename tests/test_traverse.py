@@ -80,3 +80,14 @@ def test_authority_scope_excludes_prefix_only_hosts(spark):
     seeds = spark.createDataFrame([("a", "http://a.com", 10)], "site string, base_url string, max_pages int")
     got = sorted((r.url, r.rank) for r in TR.bounded_bfs(graph, seeds, scope="authority").collect())
     assert got == [("http://a.com", 1), ("http://a.com/x", 2)]
+
+
+def test_prefix_scope_join_matches_brute_force(spark):
+    urls = ["http://a.co", "http://a.com/x", "http://a.co/y", "https://a.co/z", "http://a.co.uk/", "http://b.org/a"]
+    seeds = [("s1", "http://a.co"), ("s2", "http://a.com"), ("s3", "https://a.co/z"), ("s4", "http://nope")]
+    p = spark.createDataFrame([(u,) for u in urls], "url string")
+    s = spark.createDataFrame(seeds, "site string, base_url string")
+    got = sorted((r.site, r.url) for r in TR.prefix_scope_join(p, s).collect())
+    assert got == sorted((k, u) for k, b in seeds for u in urls if u.startswith(b))
+    got = sorted((r.site, r.url) for r in TR.prefix_scope_join(p, s, "authority").collect())
+    assert got == [("s1", "http://a.co"), ("s1", "http://a.co/y"), ("s2", "http://a.com/x"), ("s3", "https://a.co/z")]
