@@ -110,16 +110,59 @@ def qa_pairs(conversations: DataFrame) -> DataFrame:
     """(run_id, query_id, query, answer): each user turn with the next assistant turn.
 
     Paired by role, not turn parity (some conversations open with a system
-    turn). The window is per conversation, which a conversation's length
-    bounds.
+    turn). No per-conversation window: turns are range-partitioned on
+    (conv_id, turn descending), so a huge conversation spans many tasks. Each
+    sorted partition is scanned once, carrying the latest assistant text. A
+    question whose answer lies in an earlier partition takes it from a small
+    table with one row per (partition, conversation) piece.
     """
+    from cartograph.session import ensure_checkpoint_dir
+    spark = conversations.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    conv = conversations.select("conv_id", "turn", "role", "text")
+    ranged = (conv.repartitionByRange(n, F.col("conv_id"), F.col("turn").desc())
+              .sortWithinPartitions(F.col("conv_id"), F.col("turn").desc())
+              .withColumn("_pid", F.spark_partition_id()))
+    schema = ("_pid int, conv_id long, turn long, text string, answer string, "
+              "needs_carry boolean, is_piece boolean")
+
+    def scan(batches):
+        import pandas as pd
+        cur, latest, pid = object(), None, None
+        pieces = {}
+        for pdf in batches:
+            out = {"_pid": [], "conv_id": [], "turn": [], "text": [], "answer": [], "needs_carry": [],
+                   "is_piece": []}
+            for p_id, c, t, role, text in zip(pdf["_pid"], pdf["conv_id"], pdf["turn"], pdf["role"], pdf["text"]):
+                pid = int(p_id)
+                if c != cur:
+                    cur, latest, seen_asst = c, None, False
+                    pieces.setdefault(c, None)
+                if role == "assistant":
+                    latest, seen_asst = text, True
+                    pieces[c] = text  # earliest assistant of this piece so far
+                elif role == "user":
+                    out["_pid"].append(pid); out["conv_id"].append(int(c)); out["turn"].append(int(t))
+                    out["text"].append(text); out["answer"].append(latest)
+                    out["needs_carry"].append(not seen_asst); out["is_piece"].append(False)
+            yield pd.DataFrame(out)
+        if pieces:
+            yield pd.DataFrame({"_pid": [pid] * len(pieces), "conv_id": [int(c) for c in pieces],
+                                "turn": [None] * len(pieces), "text": [None] * len(pieces),
+                                "answer": list(pieces.values()), "needs_carry": [False] * len(pieces),
+                                "is_piece": [True] * len(pieces)})
+
+    # materialise once: range bounds come from sampling and must be drawn once
+    scanned = ranged.mapInPandas(scan, schema).checkpoint(eager=True)
     from pyspark.sql import Window
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(w)
-    return (conversations.select("conv_id", "turn", "role", "text", nxt.alias("answer"))
-            .filter(F.col("role") == "user")
-            .select(F.col("conv_id").alias("run_id"), F.col("turn").alias("query_id"),
-                    F.col("text").alias("query"), "answer"))
+    pieces = scanned.filter(F.col("is_piece")).select("_pid", "conv_id", F.col("answer").alias("piece_answer"))
+    w = Window.partitionBy("conv_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = pieces.select("_pid", "conv_id", F.last("piece_answer", ignorenulls=True).over(w).alias("carry"))
+    users = scanned.filter(~F.col("is_piece")).join(carry, ["_pid", "conv_id"], "left")
+    return users.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("query_id"),
+                        F.col("text").alias("query"),
+                        F.when(F.col("needs_carry"), F.col("carry")).otherwise(F.col("answer")).alias("answer"))
 
 
 def choose_context(runs: DataFrame, index: DataFrame) -> DataFrame:
