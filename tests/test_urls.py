@@ -54,7 +54,7 @@ def test_section_label_matches_python_title(spark):
 
 
 def test_site_name(spark):
-    bases = ["https://giesbusiness.illinois.edu", "http://x.co.uk", "http://localhost", "http://a.com:8080", "https://m.ththth.example.net"]
+    bases = ["https://business.school-example.edu", "http://x.co.uk", "http://localhost", "http://a.com:8080", "https://m.ththth.example.net"]
     df = spark.createDataFrame([(b,) for b in bases], "b string")
     got = [r[0] for r in df.select(urls.site_name("b")).collect()]
 
