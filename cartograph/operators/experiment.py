@@ -127,31 +127,41 @@ def qa_pairs(conversations: DataFrame) -> DataFrame:
     schema = ("_pid int, conv_id long, turn long, text string, answer string, "
               "needs_carry boolean, is_piece boolean")
 
-    def scan(batches):
+    def frame(cols):
         import pandas as pd
-        cur, latest, pid = object(), None, None
+        return pd.DataFrame({
+            "_pid": pd.Series(cols["_pid"], dtype="int32"),
+            "conv_id": pd.Series(cols["conv_id"], dtype="int64"),
+            "turn": pd.Series(cols["turn"], dtype="Int64"),
+            "text": pd.Series(cols["text"], dtype="object"),
+            "answer": pd.Series(cols["answer"], dtype="object"),
+            "needs_carry": pd.Series(cols["needs_carry"], dtype="bool"),
+            "is_piece": pd.Series(cols["is_piece"], dtype="bool"),
+        })
+
+    def scan(batches):
+        cur, latest, seen_asst, pid = object(), None, False, None
         pieces = {}
         for pdf in batches:
-            out = {"_pid": [], "conv_id": [], "turn": [], "text": [], "answer": [], "needs_carry": [],
-                   "is_piece": []}
+            out = {k: [] for k in ("_pid", "conv_id", "turn", "text", "answer", "needs_carry", "is_piece")}
             for p_id, c, t, role, text in zip(pdf["_pid"], pdf["conv_id"], pdf["turn"], pdf["role"], pdf["text"]):
                 pid = int(p_id)
                 if c != cur:
                     cur, latest, seen_asst = c, None, False
-                    pieces.setdefault(c, None)
+                    pieces.setdefault(int(c), None)
                 if role == "assistant":
                     latest, seen_asst = text, True
-                    pieces[c] = text  # earliest assistant of this piece so far
+                    pieces[int(c)] = text  # earliest assistant of this piece so far
                 elif role == "user":
                     out["_pid"].append(pid); out["conv_id"].append(int(c)); out["turn"].append(int(t))
                     out["text"].append(text); out["answer"].append(latest)
                     out["needs_carry"].append(not seen_asst); out["is_piece"].append(False)
-            yield pd.DataFrame(out)
+            if out["conv_id"]:
+                yield frame(out)
         if pieces:
-            yield pd.DataFrame({"_pid": [pid] * len(pieces), "conv_id": [int(c) for c in pieces],
-                                "turn": [None] * len(pieces), "text": [None] * len(pieces),
-                                "answer": list(pieces.values()), "needs_carry": [False] * len(pieces),
-                                "is_piece": [True] * len(pieces)})
+            k = len(pieces)
+            yield frame({"_pid": [pid] * k, "conv_id": list(pieces), "turn": [None] * k, "text": [None] * k,
+                         "answer": list(pieces.values()), "needs_carry": [False] * k, "is_piece": [True] * k})
 
     # materialise once: range bounds come from sampling and must be drawn once
     scanned = ranged.mapInPandas(scan, schema).checkpoint(eager=True)

@@ -56,10 +56,14 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``cartograph`` importable in Python workers (``addPyFile``).
 
-    Python tasks (batch inference, report formatting) unpickle functions that
-    live in this package; executors started elsewhere than the repository
-    cannot import it otherwise. Done once per SparkContext.
+    Python tasks (batch inference, report formatting, per-partition scans)
+    unpickle functions that live in this package; executors started elsewhere
+    cannot import it otherwise. The zip is built in memory and written to the
+    shared checkpoint folder through Hadoop's FileSystem API, so it works with
+    any cluster store. Done once per SparkContext.
     """
+    import io
+
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
@@ -68,14 +72,24 @@ def ship_package(spark: SparkSession) -> None:
     files = sorted(
         os.path.join(root, f) for root, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
     digest = hashlib.sha256()
-    for f in files:
-        with open(f, "rb") as fh:
-            digest.update(f.encode() + fh.read())
-    folder = tempfile.mkdtemp(prefix="cartograph-pyfiles-")
-    path = os.path.join(folder, f"cartograph-{digest.hexdigest()[:12]}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for f in files:
-            z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
+            with open(f, "rb") as fh:
+                data = fh.read()
+            digest.update(f.encode() + data)
+            z.writestr(os.path.relpath(f, os.path.dirname(pkg)), data)
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{folder}/_pyfiles/cartograph-{digest.hexdigest()[:12]}.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        out = fs.create(hpath, True)
+        try:
+            out.write(bytearray(buf.getvalue()))
+        finally:
+            out.close()
     sc.addPyFile(path)
     _SHIPPED.add(key)
 
