@@ -6,6 +6,8 @@ Comments and the bodies of ``<script>``/``<style>`` are blanked first, so a
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,15 +32,9 @@ HREF_PATTERN = (
 )
 # A child node inside <title>: start tag, end tag, comment or declaration.
 NESTED_PATTERN = r"<[a-zA-Z/!?]"
-# Character references the decoder knows, with or without the semicolon.
-NAMED_ENTITIES = {
-    "amp": "&",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": " ",
-}
+# Character references the decoder knows, with or without the semicolon:
+# the HTML 4 named set from Python's standard library, plus "apos".
+NAMED_ENTITIES = {**{name: chr(cp) for name, cp in html.entities.name2codepoint.items()}, "apos": "'"}
 ENTITY_TOKEN_PATTERN = (
     r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][-.a-zA-Z0-9]*;?|[^&]+|&"
 )
@@ -55,6 +51,11 @@ def _codepoint_char(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
+def _entity_map() -> Column:
+    # built per call: Columns need an active SparkContext
+    return F.create_map(*[F.lit(x) for k, v in sorted(NAMED_ENTITIES.items()) for x in (k, v)])
+
+
 def _decode_token(t: Column) -> Column:
     dec = F.regexp_extract(t, r"^&#([0-9]{1,7});?$", 1)
     hx = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]{1,6});?$", 1)
@@ -63,10 +64,10 @@ def _decode_token(t: Column) -> Column:
     hex_n = F.when(hx != "", F.conv(hx, 16, 10).cast("int"))
     n = F.coalesce(dec_n, hex_n)
     valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    expr = F.when(n.isNotNull() & valid, _codepoint_char(n))
-    for key, ch in NAMED_ENTITIES.items():
-        expr = expr.when(name == key, F.lit(ch))
-    return expr.otherwise(t)
+    named = F.try_element_at(_entity_map(), name)
+    return (F.when(n.isNotNull() & valid, _codepoint_char(n))
+            .when(named.isNotNull(), named)
+            .otherwise(t))
 
 
 def decode_entities(c) -> Column:

@@ -64,9 +64,9 @@ def _decode_token(t: str) -> str:
     hx = f"regexp_extract({t}, '^&#[xX]([0-9a-fA-F]{{1,6}});?$', 1)"
     name = f"regexp_extract({t}, '^&([a-zA-Z][-.a-zA-Z0-9]*);?$', 1)"
     n = f"(CASE WHEN {dec} <> '' THEN CAST({dec} AS INTEGER) WHEN {hx} <> '' THEN CAST('0x' || {hx} AS INTEGER) END)"
-    named = " ".join(f"WHEN {name} = {lit(k)} THEN {lit(v)}" for k, v in H.NAMED_ENTITIES.items())
+    emap = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in sorted(H.NAMED_ENTITIES.items())) + "}"
     return (f"CASE WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) THEN chr({n}) "
-            f"{named} ELSE {t} END")
+            f"WHEN {emap}[{name}] IS NOT NULL THEN {emap}[{name}] ELSE {t} END")
 
 
 def decode_entities(x: str) -> str:

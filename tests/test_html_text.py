@@ -39,12 +39,13 @@ def test_titles_states_and_links(spark):
 
 
 def test_entity_decoding(spark):
-    cases = ["a &amp; b", "&lt;x&gt;", "&#65;&#x42;", "&amp;lt;", "&unknown; &", "&quot;q&quot;", "&apos;", "&#0;"]
+    cases = ["a &amp; b", "&lt;x&gt;", "&#65;&#x42;", "&amp;lt;", "&unknown; &", "&quot;q&quot;", "&apos;",
+             "caf&eacute; &copy; 2024 &hellip; &mdash; &rsquo;s", "&#0;"]
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     got = [r[0] for r in df.select(H.decode_entities("s")).collect()]
-    assert got == ["a & b", "<x>", "AB", "&lt;", "&unknown; &", '"q"', "'", "&#0;"]
+    assert got == ["a & b", "<x>", "AB", "&lt;", "&unknown; &", '"q"', "'", "café © 2024 … — ’s", "&#0;"]
     # agrees with html.unescape where the named set covers the input
-    for c, g in zip(cases[:7], got[:7]):
+    for c, g in zip(cases[:8], got[:8]):
         assert g == pyhtml.unescape(c)
 
 
@@ -84,3 +85,18 @@ def test_status_filter_and_lowest_page_id(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, status int")
     got = {r.url: (r.page_id, r.title) for r in P.page_index(df).collect()}
     assert got == {"http://a.com/x": (0, "first"), "http://a.com/z": (3, "z")}
+
+
+def test_duckdb_entity_twin_matches_spark(spark):
+    import duckdb
+
+    from cartograph.plans import duck as D
+    cases = ["a &amp; b", "&lt;x&gt;", "&#65;&#x42;", "&amp;lt;", "&unknown; &", "&apos;&nbsp;",
+             "caf&eacute; &copy; 2024 &hellip; &mdash; &rsquo;s", "&amp", "&ampx", "&#0;", "plain"]
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    want = [r[0] for r in df.select(H.decode_entities("s")).collect()]
+    con = duckdb.connect()
+    con.execute("create table t(i int, s varchar)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(cases)))
+    got = [r[0] for r in con.execute(f"select {D.decode_entities('s')} from t order by i").fetchall()]
+    assert got == want
