@@ -28,7 +28,6 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, overlap: int, size: int = CHUNK
     ``overlap + 1`` bytes lies whole in the chunk in which it starts.
     """
     total = int(offsets[-1])
-    lens = np.diff(offsets)
     for lo in range(0, total, size):
         own = min(size, total - lo)
         hi = min(lo + size + overlap, total)
@@ -37,4 +36,3 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, overlap: int, size: int = CHUNK
         inside = np.minimum(offsets[first + 1:last + 1], hi) - np.maximum(offsets[first:last], lo)
         doc = np.repeat(np.arange(first, last), inside)
         yield raw[lo:hi], doc, own
-    del lens

@@ -115,16 +115,17 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     m = mix(docs, weights, max_copies, seed)
     # rows that agree in all three are the same document; their copies are spread over them
     key = ["doc_id", "source", "text_hash"]
-    per_key = m.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    per_key = per_key.select(*[F.col(c).alias(f"_{c}") for c in key], "_copies", "_rows").where("_copies > 0")
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    joined = hashed.join(per_key, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
-                         & (F.col("_h") == F.col("_text_hash")))
-    single = joined.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    nth = F.row_number().over(W.partitionBy("_doc_id", "_source", "_text_hash").orderBy(F.lit(1)))
-    several = (joined.where("_rows > 1").withColumn("_k", nth)
-               .withColumn("_n", F.floor(F.col("_copies") * F.col("_k") / F.col("_rows"))
-                           - F.floor(F.col("_copies") * (F.col("_k") - 1) / F.col("_rows"))))
-    out = single.select(*docs.columns, "_n").unionByName(several.select(*docs.columns, "_n"))
-    return (out.where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-            .select(*docs.columns))
+    per_key = (m.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+               .where("copies > 0").select(F.struct(*key).alias("key"), "copies", "rows"))
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.struct(
+        F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"),
+        F.xxhash64("row.text").alias("text_hash")).alias("key"))
+    joined = rows.join(per_key, "key")
+    single = joined.where("rows = 1").select("row", F.col("copies").alias("n"))
+    nth = F.row_number().over(W.partitionBy("key").orderBy(F.lit(1)))
+    share = lambda k: F.floor(F.col("copies") * k / F.col("rows"))
+    several = (joined.where("rows > 1").withColumn("k", nth)
+               .select("row", (share(F.col("k")) - share(F.col("k") - 1)).alias("n")))
+    return (single.unionByName(several).where("n > 0")
+            .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+            .select(*[F.col("row")[c].alias(c) for c in docs.columns]))

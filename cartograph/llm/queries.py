@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartograph.llm import mixing, packing, quality, simhash, toxicity
+from cartograph.llm import ann, linededup, mixing, packing, quality, simhash, substring, tokencounts, toxicity, vectordedup
 from cartograph.llm.common import read_table
 from cartograph.session import prepare_session
 
@@ -16,6 +16,13 @@ def _on_documents(fn):
     return query
 
 
+def _on_embeddings(fn):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare_session(spark)
+        return fn(read_table(spark, sf_dir, "embeddings"))
+    return query
+
+
 def _on_labelled(fn):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare_session(spark)
@@ -26,9 +33,16 @@ def _on_labelled(fn):
 QUERIES = {
     "op1_quality_classifier": _on_labelled(quality.classify),
     "op2_best_fit_packing": _on_documents(packing.packed_pieces),
+    "op3_line_dedup": _on_documents(linededup.digest),
+    "op4_nearest_neighbours": _on_embeddings(ann.digest),
     "op5_mixing": _on_documents(mixing.digest),
+    "op6_token_counts": _on_documents(tokencounts.maintained),
+    "op7_embedding_near_dedup": _on_embeddings(vectordedup.digest),
     "op8_simhash_near_dedup": _on_documents(simhash.digest),
     "op9_toxicity": _on_labelled(toxicity.classify),
+    "op10_substring_dedup": _on_documents(substring.digest),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_line_dedup": linededup.ORACLE,
+}

@@ -237,14 +237,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     survivors = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
     with_id = docs.join(survivors.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     kept = with_id.dropDuplicates(["doc_id"])
-    nulls = fingerprinted_nulls(docs, shingle).join(
-        survivors.where("doc_id is null").select("fp"), "fp", "left_semi").dropDuplicates(["fp"]).drop("fp")
-    return kept.unionByName(nulls.select(*docs.columns))
-
-
-def fingerprinted_nulls(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows without an id, with their fingerprint: few, and keyed by their text."""
-    rows = docs.where("doc_id is null")
-    texts = rows.select("text").distinct()
-    fps = fingerprints(texts.withColumn("_key", F.col("text")), shingle, "_key", "text")
-    return rows.join(fps, rows["text"].eqNullSafe(fps["_key"])).drop("_key")
+    # rows without an id are matched by their text
+    rows = docs.where("doc_id is null").select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("t"))
+    by_text = fingerprints(rows.select("t").distinct().withColumn("text", F.col("t")), shingle, "t", "text")
+    nulls = (rows.join(by_text, "t").join(survivors.where("doc_id is null").select("fp"), "fp", "left_semi")
+             .dropDuplicates(["fp"]).select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    return kept.unionByName(nulls)
