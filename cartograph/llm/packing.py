@@ -85,14 +85,14 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
 
     def best_pair(x: int, room: int) -> int:
         """Largest sum of two items that fit beside one x (0 if none)."""
-        best, i, j = 0, 0, len(sizes) - 1
-        have = {**counts, x: counts[x] - 1}
+        have = [s for s in sizes if s != x or counts[s] > 1]
+        best, i, j = 0, 0, len(have) - 1
         while i <= j:
-            a, b = sizes[i], sizes[j]
+            a, b = have[i], have[j]
             if a + b > room:
                 j -= 1
                 continue
-            if (a != b and have[a] and have[b]) or (a == b and have[a] > 1):
+            if a != b or counts[a] - (a == x) > 1:
                 best = max(best, a + b)
             i += 1
         return best
