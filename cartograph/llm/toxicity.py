@@ -24,6 +24,8 @@ BITS = 22
 MAX_ROWS = 8_000          # labelled rows of either class in the fit, at most
 MAX_FEATURES = 16_384
 MIN_DOCS = 3
+MIN_CHI = 10.0             # chi-squared (continuity corrected) a feature needs
+DECAY = 3.0                # L2 penalty, divided by the number of texts
 THRESHOLD = 0.5
 
 
@@ -107,8 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": 0.0}
     share = n_toxic / (n_toxic + n_clean)
     expected = (F.col("p") + F.col("q")) * F.lit(share)
-    chi = (F.col("p") - expected) ** 2 / (expected * F.lit(1 - share))
-    top = total.orderBy(chi.desc(), "code").limit(max_features).toPandas()
+    chi = F.greatest(F.abs(F.col("p") - expected) - 0.5, F.lit(0.0)) ** 2 / (expected * F.lit(1 - share))
+    top = total.where(chi >= MIN_CHI).orderBy(chi.desc(), "code").limit(max_features).toPandas()
     code, p, q = (top[c].to_numpy(np.int64) for c in ("code", "p", "q"))
     ratio = np.log((p + 1.0) / (n_toxic + 2.0)) - np.log((q + 1.0) / (n_clean + 2.0))
     place = np.full(1 << BITS, -1, np.int32)
@@ -133,10 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     scaled = ratio[col]
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
 
+    decay = DECAY / max(len(y), 1)
+
     def gradient(w):
         z = np.bincount(row, scaled * w[col], minlength=len(y)) + w[-1]
         e = (_sigmoid(z) - y) * weight
-        return np.append(np.bincount(col, scaled * e[row], minlength=len(code)), e.sum()) + 1e-5 * np.append(w[:-1], 0)
+        return np.append(np.bincount(col, scaled * e[row], minlength=len(code)), e.sum()) + decay * np.append(w[:-1], 0)
 
     w = _minimise(gradient, len(code) + 1, 200)
     weights = np.zeros(1 << BITS, np.float32)
