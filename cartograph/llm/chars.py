@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -21,6 +21,16 @@ def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def slices(column, size: int = CHUNK):
+    """(first row, sub-array) of an Arrow string array: whole texts, about ``size`` bytes at a time."""
+    _, offsets = bytes_of(column)
+    lo, n = 0, len(column)
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
+        yield lo, column.slice(lo, hi - lo)
+        lo = hi
+
+
 def chunks(raw: np.ndarray, offsets: np.ndarray, overlap: int, size: int = CHUNK):
     """(bytes, document of each byte, bytes that start here) chunk by chunk, whatever the texts' lengths.
 

@@ -21,8 +21,8 @@ from cartograph.llm.quality import _minimise, _sample, _sigmoid
 
 ORDERS = (3, 4, 5, 6)
 BITS = 22
-MAX_ROWS = 8_000          # labelled rows of either class in the fit, at most
-MAX_FEATURES = 16_384
+MAX_ROWS = 5_000          # labelled rows of either class in the fit, at most
+MAX_FEATURES = 8_192
 MIN_DOCS = 3
 MIN_CHI = 10.0             # chi-squared (continuity corrected) a feature needs
 DECAY = 3.0                # L2 penalty, divided by the number of texts
@@ -67,6 +67,8 @@ def grams(column, chosen=None):
                 ok &= chosen[code]
             pair = (doc[:m][ok].astype(np.int64) << BITS) | code[ok]
             found.append(np.unique(pair))
+        if len(found) > 16:                          # one very long text: keep what is distinct
+            found = [np.unique(np.concatenate(found))]
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
@@ -78,6 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     """
     import numpy as np
 
+    from cartograph.llm.chars import slices
+
     fold = F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))
     marked = labels.where(fold).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     ids = _sample(marked.where("y = 1"), max_rows, F.col("doc_id")).unionByName(
@@ -91,9 +95,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
         both = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
         for b in batches:
             y = b.column("y").to_numpy(zero_copy_only=False)
-            doc, code = grams(b.column("text"))
-            for k in (0, 1):
-                both[k] += np.bincount(code[y[doc] == k], minlength=1 << BITS).astype(np.int32)
+            for lo, texts in slices(b.column("text")):
+                doc, code = grams(texts)
+                for k in (0, 1):
+                    one, n = np.unique(code[y[lo + doc] == k], return_counts=True)
+                    both[k][one] += n.astype(np.int32)
         seen = np.flatnonzero(both[0] + both[1])
         for lo in range(0, len(seen), 200_000):
             at = seen[lo:lo + 200_000]
@@ -121,18 +127,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
         import pyarrow as pa
 
         for b in batches:
-            doc, c = grams(b.column("text"), chosen)
-            cut = np.searchsorted(doc, np.arange(len(b.column("y")) + 1))
-            spots = place[c].astype("<i4")
-            yield pa.RecordBatch.from_arrays(
-                [b.column("y"), pa.array([spots[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["y", "x"])
+            for lo, texts in slices(b.column("text")):
+                doc, c = grams(texts, chosen)
+                cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+                spots = place[c].astype("<i4")
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("y").slice(lo, len(texts)),
+                     pa.array([spots[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["y", "x"])
 
     kind = dict(rows.dtypes)["y"]
     sample = rows.mapInArrow(pick, f"y {kind}, x binary").toArrow()
     y = sample.column("y").to_numpy().astype(float)
     x = [np.frombuffer(v, "<i4") for v in sample.column("x").to_pylist()]
-    row, col = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x) if x else np.zeros(0, np.int32)
-    scaled = ratio[col]
+    row = np.repeat(np.arange(len(x), dtype=np.int32), [len(v) for v in x])
+    col = np.concatenate(x) if x else np.zeros(0, np.int32)
+    scaled = ratio[col].astype(np.float32)
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
 
     decay = DECAY / max(len(y), 1)
@@ -152,6 +161,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
     """(id_col, score) of every whole text; null and empty texts are scored by the bias."""
     import numpy as np
 
+    from cartograph.llm.chars import slices
+
     code = np.flatnonzero(model["weights"])
     value, bias = model["weights"][code], model["bias"]          # bounded by max_features
 
@@ -162,8 +173,10 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
         weights[code] = value
         chosen = weights != 0
         for b in batches:
-            doc, c = grams(b.column(1), chosen)
-            z = np.bincount(doc, weights[c], minlength=b.num_rows) + bias
+            z = np.full(b.num_rows, bias)
+            for lo, texts in slices(b.column(1)):
+                doc, c = grams(texts, chosen)
+                z[lo:lo + len(texts)] += np.bincount(doc, weights[c], minlength=len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(z), pa.float64())], names=[id_col, "score"])
 
     narrow = docs.select(id_col, F.col("text").cast("string").alias("text"))
