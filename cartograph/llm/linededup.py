@@ -102,7 +102,8 @@ def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     start = lambda i: F.when(i == 0, 0).otherwise(spans[i - 1]["first_line"] + spans[i - 1]["n_lines"])
     end = lambda i: F.when(i == F.size(spans), F.size(lines)).otherwise(spans[i]["first_line"])
     between = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.slice(lines, start(i) + 1, end(i) - start(i)))
-    return (rows.join(per_doc, KEY, "left").withColumn("lines", F.split("row.text", "\n", -1))
+    # a merge join at every size: what it would broadcast grows with the documents
+    return (rows.join(per_doc.hint("merge"), KEY, "left").withColumn("lines", F.split("row.text", "\n", -1))
             .select("row", F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("bigint").alias("n_lines"),
                     F.coalesce("gone", F.lit(0)).cast("bigint").alias("n_removed"),
                     F.when(F.col("gone").isNull(), F.col("row.text"))
