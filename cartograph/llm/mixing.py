@@ -120,7 +120,8 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     rows = docs.select(F.struct("*").alias("row")).select("row", F.struct(
         F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"),
         F.xxhash64("row.text").alias("text_hash")).alias("key"))
-    joined = rows.join(per_key, "key")
+    # a merge join at every size: what it would broadcast grows with the documents
+    joined = rows.join(per_key.hint("merge"), "key")
     single = joined.where("rows = 1").select("row", F.col("copies").alias("n"))
     nth = F.row_number().over(W.partitionBy("key").orderBy(F.lit(1)))
     share = lambda k: F.floor(F.col("copies") * k / F.col("rows"))

@@ -235,7 +235,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     """
     marked = near_duplicates(docs, shingle, max_bits)
     survivors = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    with_id = docs.join(survivors.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    # a merge join at every size: what it would broadcast grows with the documents
+    with_id = docs.join(survivors.where("doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     kept = with_id.dropDuplicates(["doc_id"])
     # rows without an id are matched by their text
     rows = docs.where("doc_id is null").select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("t"))
