@@ -58,13 +58,11 @@ def covered_facts(responses: DataFrame, facts: DataFrame, resp_id: str = "doc_id
 def response_coverage(responses: DataFrame, facts: DataFrame, resp_id: str = "doc_id",
                       fact_id: str = "item_id") -> DataFrame:
     """Per response: facts covered and the covered share of all facts."""
-    # one scalar through the driver
-    n_facts = facts.select(tokens("text").alias("toks")).filter(F.size("toks") > 0).count()
+    total = facts.select(tokens("text").alias("toks")).agg(F.count_if(F.size("toks") > 0).alias("n_facts"))
     cov = covered_facts(responses, facts, resp_id, fact_id).groupBy(resp_id).agg(F.count("*").alias("n_covered"))
     covered = F.coalesce("n_covered", F.lit(0)).cast("bigint")
-    return (responses.select(resp_id).join(cov, resp_id, "left")
-            .select(resp_id, covered.alias("n_covered"), F.lit(n_facts).cast("bigint").alias("n_facts"),
-                    (covered / F.lit(n_facts)).alias("coverage")))
+    return (responses.select(resp_id).join(cov, resp_id, "left").join(F.broadcast(total))    # one row
+            .select(resp_id, covered.alias("n_covered"), "n_facts", F.try_divide(covered, "n_facts").alias("coverage")))
 
 
 def signal_counts(responses: DataFrame, resp_id: str = "doc_id") -> DataFrame:

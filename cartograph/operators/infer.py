@@ -2,9 +2,10 @@
 
 ``fn(prompts: list[str], systems: list[str] | None) -> list[str]`` is called
 on Arrow batches inside ``mapInPandas``. If a call raises, the batch is
-retried row by row so the error lands on the row that caused it (F5). The
-output is written to a table under the checkpoint directory and read back,
-so a lost executor or a later action never calls the model twice.
+halved until the error stands on the row that caused it (F5). The output is
+written to a table under the checkpoint directory and read back, so later
+actions never call the model again; a task that is retried before its write
+commits does call it again for that task's rows.
 """
 
 from __future__ import annotations
@@ -29,17 +30,19 @@ def batch_infer(df: DataFrame, fn: InferFn, keys: list[str], prompt_col: str = "
     schema = f"{key_ddl}, response string, error string"
     cols = keys + [prompt_col] + ([system_col] if system_col else [])
 
-    def call_rows(prompts, systems):
-        out, err = [], []
-        for i, p in enumerate(prompts):
-            try:
-                r = fn([p], [systems[i]] if systems is not None else None)
-                out.append(None if r is None else str(r[0]))
-                err.append(None)
-            except Exception as e:  # noqa: BLE001 - isolate per row
-                out.append(None)
-                err.append(f"{type(e).__name__}: {e}"[:1000])
-        return out, err
+    def call(prompts, systems):
+        """Responses and errors of a batch; a batch that fails is halved until the failing rows stand alone."""
+        try:
+            out = list(fn(prompts, systems))
+            if len(out) != len(prompts):
+                raise ValueError("batch function returned a different number of rows")
+            return [None if r is None else str(r) for r in out], [None] * len(out)
+        except Exception as e:  # noqa: BLE001 - isolate the failing rows
+            if len(prompts) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+            half = len(prompts) // 2
+            parts = [call(prompts[lo:hi], systems and systems[lo:hi]) for lo, hi in ((0, half), (half, None))]
+            return [x for p in parts for x in p[0]], [x for p in parts for x in p[1]]
 
     def run(batches):
         for pdf in batches:
@@ -47,14 +50,7 @@ def batch_infer(df: DataFrame, fn: InferFn, keys: list[str], prompt_col: str = "
                 part = pdf.iloc[start:start + batch_size]
                 prompts = part[prompt_col].tolist()
                 systems = part[system_col].tolist() if system_col else None
-                try:
-                    out = list(fn(prompts, systems))
-                    if len(out) != len(prompts):
-                        raise ValueError("batch function returned a different number of rows")
-                    out = [None if r is None else str(r) for r in out]
-                    err = [None] * len(out)
-                except Exception:  # noqa: BLE001 - fall back to row by row
-                    out, err = call_rows(prompts, systems)
+                out, err = call(prompts, systems)
                 res = part[keys].copy()
                 res["response"] = out
                 res["error"] = err

@@ -1,56 +1,42 @@
 """Row numbers per key without putting a key's rows in one task.
 
 ``row_number() OVER (PARTITION BY key ORDER BY ...)`` sends every row of a
-key to one task. Here the rows are range-partitioned on (key, order), so a
-hot key spans many partitions. Each sorted partition numbers its rows
-locally (``mapInPandas``), and every (partition, key) piece gets the count
-of the same key's rows in earlier partitions as its offset. The offset table
-has one row per (partition, key) piece.
+key to one task. Here only (key, order) are range-partitioned, so a hot key
+spans many partitions; each partition numbers its own rows of a key, and the
+rows of the same key in earlier partitions are added from a table with one
+row per (partition, key). Other columns are joined back by (key, order).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from cartograph.session import ensure_checkpoint_dir
 
 
-def row_number_by(df: DataFrame, key: str, order: list[str], out: str = "row_no",
+def row_number_by(df: DataFrame, key: str | list[str], order: list[str], out: str = "row_no",
                   num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of the row within its ``key`` by ``order``.
 
-    ``order`` must be unique within a key (as for a deterministic row_number).
+    ``order`` must be unique within a key (as for a deterministic row_number),
+    and neither may be null.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    keys = [key] if isinstance(key, str) else key
+    cols = [*keys, *order]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-    tagged = ranged.withColumn("_pid", F.spark_partition_id())
-    schema = StructType(tagged.schema.fields + [StructField("_local", LongType(), False)])
-
-    def local(batches):
-        last_key, count = object(), 0
-        for pdf in batches:
-            keys = pdf[key].tolist()
-            nums = []
-            for k in keys:
-                if k != last_key:
-                    last_key, count = k, 0
-                count += 1
-                nums.append(count)
-            pdf = pdf.copy()
-            pdf["_local"] = pd.Series(nums, index=pdf.index, dtype="int64")
-            yield pdf
-
-    # materialise once: the range bounds come from sampling and must not be
-    # drawn twice for the numbering and the offsets
-    numbered = tagged.mapInPandas(local, schema).checkpoint(eager=True)
-    pieces = numbered.groupBy("_pid", key).agg(F.max("_local").alias("_n"))
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select("_pid", key, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (numbered.join(offsets, ["_pid", key])
-            .withColumn(out, F.col("_off") + F.col("_local"))
-            .drop("_pid", "_local", "_off"))
+    # written once: the range bounds come from sampling and must not be drawn twice
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/row_numbers/{uuid.uuid4().hex}"
+    narrow = df.select(*cols)
+    narrow.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema(narrow.withColumn("_pid", F.lit(0)).schema).parquet(path)
+    local = F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy(*order))
+    pieces = ranged.groupBy("_pid", *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    numbers = (ranged.withColumn("_local", local).join(offsets, ["_pid", *keys])
+               .select(*cols, (F.col("_off") + F.col("_local")).alias(out)))
+    return df.join(numbers, cols)

@@ -1,7 +1,9 @@
 """Site-map grouping, ordering and rendering.
 
-Each site's page set is bounded by ``max_pages`` before anything is grouped
-per site, so no task ever holds more than ``max_pages`` pages of one site.
+All kept pages of a site are mapped. ``map_lines`` is the form for sites of
+any size: ordered line rows, numbered without putting a site into one task.
+``render_documents`` builds one string per site, as a document is one value;
+callers that bound a site do so with the traversal's page limit (T1, O3).
 """
 
 from __future__ import annotations
@@ -11,23 +13,24 @@ from pyspark.sql import functions as F
 
 from cartograph.functions import text as T
 from cartograph.functions import urls as U
+from cartograph.operators.numbering import row_number_by
 
-DEFAULT_MAX_PAGES = 150  # fixed value: the reference's page limit
+DEFAULT_MAX_PAGES = 150  # fixed value: the traversal's page limit
 
 
-def corpus_ranked(index: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """Captured-corpus mode: a site's first ``max_pages`` kept pages by page_id.
+def corpus_ranked(index: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Captured-corpus mode: every kept page of a site, ordered by page_id.
 
-    ``row_number() <= k`` lets Spark insert a partial WindowGroupLimit before
-    the shuffle, so a hot site sends at most k rows per map task.
+    ``rank`` is the page_id itself, so no window is needed. With ``max_pages``
+    only a site's first pages stay, and ``row_number() <= k`` lets Spark put a
+    partial WindowGroupLimit before the shuffle.
     """
+    pages = (index.filter(F.col("title_state").isin("ok", "absent") & (F.col("site") != ""))
+             .select("site", "url", "title", "page_id"))
+    if max_pages is None:
+        return pages.withColumn("rank", F.col("page_id"))
     w = Window.partitionBy("site").orderBy("page_id")
-    return (
-        index.filter(F.col("title_state").isin("ok", "absent") & (F.col("site") != ""))
-        .select("site", "url", "title", "page_id")
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= max_pages)
-    )
+    return pages.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_pages)
 
 
 def site_seeds(ranked: DataFrame) -> DataFrame:
@@ -50,24 +53,51 @@ def section_counts(ranked: DataFrame) -> DataFrame:
     return section_rows(ranked).groupBy("site", "section", "label").agg(F.count("*").alias("n_pages"))
 
 
+def section_order(rows: DataFrame) -> DataFrame:
+    """O1: (site, section, label, section_ord): Home first, then raw slugs, 1-based."""
+    by_slug = Window.partitionBy("site").orderBy(F.col("section") != U.HOME_SECTION, "section")
+    return (rows.select("site", "section", "label").distinct()
+            .withColumn("section_ord", F.row_number().over(by_slug).cast("bigint")))
+
+
 def ordered_links(ranked: DataFrame) -> DataFrame:
     """O1/O2: section order (Home first, then raw slug) and link order (URL length, rank)."""
-    rows = section_rows(ranked)
-    sec_w = Window.partitionBy("site").orderBy(F.col("section") != U.HOME_SECTION, "section")
-    link_w = Window.partitionBy("site", "section").orderBy(F.length("url"), "rank")
-    return (
-        rows.withColumn("link_ord", F.row_number().over(link_w))
-        .withColumn("section_ord", F.dense_rank().over(sec_w))
-    )
+    rows = section_rows(ranked).withColumn("url_chars", F.length("url"))
+    numbered = row_number_by(rows, ["site", "section"], ["url_chars", "rank"], "link_ord")
+    return numbered.drop("url_chars").join(
+        section_order(rows).select("site", "section", "section_ord"), ["site", "section"])
 
 
-def render_documents(ranked: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """One markdown document per site.
+def map_lines(ranked: DataFrame) -> DataFrame:
+    """R1 as ordered rows: (site, section_ord, link_ord, line).
 
-    Lines are gathered per section, then sections per site; both groups are
-    bounded by the page limit applied upstream.
+    Section 0 is the site's header. In a section, ``link_ord`` -1 and 0 are
+    the heading and the blank line below it, 1.. are the links, and the blank
+    line that ends the section comes after the last of them.
     """
     rows = section_rows(ranked)
+    links = ordered_links(ranked).select("site", "section_ord", "link_ord", "line")
+    sections = rows.groupBy("site", "section").agg(F.count("*").alias("n")).join(section_order(rows), ["site", "section"])
+
+    def fixed(df: DataFrame, section_ord, lines) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(n).cast("bigint").alias("link_ord") if isinstance(n, int) else n.alias("link_ord"),
+                                   (F.lit(x) if isinstance(x, str) else x).alias("line")) for n, x in lines])
+        return df.select("site", section_ord.alias("section_ord"), F.explode(cells).alias("x")).select(
+            "site", "section_ord", "x.link_ord", "x.line")
+
+    name = U.site_name("site")
+    quote = F.concat(F.lit("> Site map of "), F.col("site_name"), F.lit(" ("), F.col("base_url"),
+                     F.lit("), auto-generated for LLM context."))
+    seeds = rows.select("site").distinct().select("site", F.col("site").alias("base_url"), name.alias("site_name"))
+    head = fixed(seeds, F.lit(0).cast("bigint"), [(0, F.concat(F.lit("# "), F.col("site_name"))), (1, ""), (2, quote), (3, "")])
+    around = fixed(sections, F.col("section_ord"), [
+        (-1, F.concat(F.lit("## "), F.col("label"))), (0, ""), (F.col("n") + 1, "")])
+    return links.unionByName(head).unionByName(around)
+
+
+def render_documents(ranked: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """One markdown document per site, gathered per section, then per site."""
+    rows = section_rows(ranked)
     sections = rows.groupBy("site", "section", "label").agg(
         F.array_sort(F.collect_list(F.struct(F.length("url").alias("n"), F.col("rank"), F.col("line")))).alias("ls"),
         F.count("*").alias("n_pages"),

@@ -72,24 +72,31 @@ def sitemap_links_ordered(spark, sf_dir):
         F.col("link_ord").cast("bigint").alias("link_ord"), "url", "line")
 
 
+@query("sitemap_lines")
+def sitemap_lines(spark, sf_dir):
+    """R1 as ordered line rows: every site's whole map, whatever its size."""
+    return SM.map_lines(SM.corpus_ranked(_index(spark, sf_dir)))
+
+
 @query("sitemap_documents")
 def sitemap_documents(spark, sf_dir):
     return SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
 
 
+def _kept_pages(index):
+    return index.filter(F.col("title_state").isin("ok", "absent") & (F.col("site") != ""))
+
+
 def _site_pages(spark, sf_dir):
     """Kept pages with their 0-based order r inside the site (by page_id)."""
-    from pyspark.sql import Window
-    ix = _index(spark, sf_dir)
-    kept = ix.filter(F.col("title_state").isin("ok", "absent") & (F.col("site") != ""))
-    w = Window.partitionBy("site").orderBy("page_id")
-    return ix, kept.withColumn("r", F.row_number().over(w) - 1)
+    from cartograph.operators.numbering import row_number_by
+    kept = _kept_pages(_index(spark, sf_dir)).select("site", "url", "title", "page_id")
+    return row_number_by(kept, "site", ["page_id"], "r").withColumn("r", F.col("r") - 1)
 
 
 def _tree_bfs(spark, sf_dir, max_pages_col):
     from cartograph.operators import traverse as TR
-    ix, pages = _site_pages(spark, sf_dir)
-    pages = pages.checkpoint(eager=True)  # read by the graph build and the seeds
+    pages = _site_pages(spark, sf_dir).checkpoint(eager=True)  # read by the graph build and the seeds
     graph = TR.build_graph(pages.select("url", "title"), TR.derived_tree_links(pages))
     seeds = pages.filter(F.col("r") == 0).select(
         "site", F.col("site").alias("base_url"), F.col("url").alias("start_url"),
@@ -113,15 +120,11 @@ def bfs_limit_per_site(spark, sf_dir):
 def bfs_captured_links(spark, sf_dir):
     """T1 over the links extracted from the captured HTML, one seed per site."""
     from cartograph.operators import traverse as TR
-    ix, pages = _site_pages(spark, sf_dir)
-    ix = ix.checkpoint(eager=True)  # extracted once; read for nodes, links and seeds
-    kept = ix.filter(F.col("title_state").isin("ok", "absent") & (F.col("site") != ""))
-    from pyspark.sql import Window
-    pages = kept.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy("page_id")) - 1)
+    ix = _index(spark, sf_dir).checkpoint(eager=True)  # extracted once; read for nodes, links and seeds
     graph = TR.graph_from_index(ix, P.page_links(ix))
-    seeds = pages.filter(F.col("r") == 0).select(
-        "site", F.col("site").alias("base_url"), F.col("url").alias("start_url"),
-        F.lit(SM.DEFAULT_MAX_PAGES).alias("max_pages"))
+    first = _kept_pages(ix).groupBy("site").agg(F.min(F.struct("page_id", "url")).alias("p"))
+    seeds = first.select("site", F.col("site").alias("base_url"), F.col("p.url").alias("start_url"),
+                         F.lit(SM.DEFAULT_MAX_PAGES).alias("max_pages"))
     return TR.bounded_bfs(graph, seeds)
 
 
@@ -322,12 +325,11 @@ def report_lines(spark, sf_dir):
 
 @query("map_unfence")
 def map_unfence(spark, sf_dir):
-    """P10 on the basic and fenced map variants."""
+    """P10 on all planted map variants."""
     from cartograph.functions import text as T
     from cartograph.operators import conform as C
     docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
-    v = C.planted_variants(docs).filter(F.col("variant").isin("basic", "fenced"))
-    return v.select("site", "variant", T.strip_code_fence("doc").alias("doc"))
+    return C.planted_variants(docs).select("site", "variant", T.strip_code_fence("doc").alias("doc"))
 
 
 @query("rewrite_prompts")
@@ -340,12 +342,10 @@ def rewrite_prompts(spark, sf_dir):
 
 @query("query_gen_prompts")
 def query_gen_prompts(spark, sf_dir):
-    """Question-generation prompt from each run's index document."""
+    """The question-generation prompt for every document."""
     from cartograph.functions import prompts as PR
-    conv = P.read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id")).distinct()
-    idx = P.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text") \
-        .join(conv, "run_id", "left_semi")
-    return idx.select("run_id", PR.query_gen_prompt("text").alias("prompt"))
+    return P.read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("run_id"), PR.query_gen_prompt(F.coalesce("text", F.lit(""))).alias("prompt"))
 
 
 @query("query_limit")
@@ -358,8 +358,8 @@ def query_limit(spark, sf_dir):
 
 @query("sitemap_documents_full")
 def sitemap_documents_full(spark, sf_dir):
-    """S7 with a truly higher page limit (1,000 pages per site)."""
-    return SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir), 1000))
+    """The full map, every kept page of every site."""
+    return SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
 
 
 @query("bfs_sitemap_documents")
@@ -367,7 +367,7 @@ def bfs_sitemap_documents(spark, sf_dir):
     """The reference's pipeline end to end: traversal (T1) -> site map.
 
     On the derived tree the visit order is page_id order, so the result
-    equals the captured-corpus site maps with the same page limit.
+    equals the captured-corpus site maps cut at the traversal's page limit.
     """
     return SM.render_documents(_tree_bfs(spark, sf_dir, F.lit(SM.DEFAULT_MAX_PAGES)))
 

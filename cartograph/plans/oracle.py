@@ -28,14 +28,14 @@ def _links_sql() -> str:
     return D.staged(src, D.resolve_stages("src_url", "href", "dst_url"))
 
 
-def _ranked_sql(max_pages: int = DEFAULT_MAX_PAGES) -> str:
+def _ranked_sql(max_pages: int | None = None) -> str:
+    cut = "" if max_pages is None else f"QUALIFY rank <= {max_pages}"
     return (f"SELECT site, url, title, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank "
-            f"FROM ({_index_sql()}) AS ix WHERE title_state IN ('ok', 'absent') AND site <> '' "
-            f"QUALIFY rank <= {max_pages}")
+            f"FROM ({_index_sql()}) AS ix WHERE title_state IN ('ok', 'absent') AND site <> '' {cut}")
 
 
-def _rows_sql() -> str:
-    return D.staged(_ranked_sql(), D.section_stages("url", "section") + [
+def _rows_sql(max_pages: int | None = None) -> str:
+    return D.staged(_ranked_sql(max_pages), D.section_stages("url", "section") + [
         [f"{D.section_label('section')} AS label",
          f"{D.link_line(D.collapse_ws('title'), 'url')} AS line"],
     ])
@@ -69,11 +69,12 @@ SELECT site, section,
        url, line
 FROM ({_rows_sql()}) AS q"""
 
-ORACLE["sitemap_documents"] = f"""
+def _documents_sql(max_pages: int | None = None) -> str:
+    return f"""
 WITH sec AS (
   SELECT site, section, count(*) AS n_pages,
          '## ' || label || {NL} || {NL} || string_agg(line || {NL}, '' ORDER BY length(url), rank) || {NL} AS text
-  FROM ({_rows_sql()}) AS q GROUP BY site, section, label
+  FROM ({_rows_sql(max_pages)}) AS q GROUP BY site, section, label
 ), per_site AS (
   SELECT site, string_agg(text, '' ORDER BY section <> 'Home', section) AS body,
          sum(n_pages) AS n_pages, count(*) AS n_sections
@@ -86,6 +87,21 @@ SELECT p.site, s.base_url, s.site_name, CAST(p.n_pages AS BIGINT) AS n_pages,
 FROM per_site p JOIN ({_seeds_sql()}) s ON p.site = s.site"""
 
 
+ORACLE["sitemap_documents"] = _documents_sql()
+
+ORACLE["sitemap_lines"] = f"""
+WITH docs AS ({ORACLE["sitemap_documents"]}),
+cut AS (SELECT site, unnest(string_split(doc, {NL})) AS line,
+               CAST(unnest(range(len(string_split(doc, {NL})))) AS BIGINT) AS n, len(string_split(doc, {NL})) AS lines FROM docs),
+marked AS (SELECT site, line, n,
+                  sum(CASE WHEN n >= 4 AND starts_with(line, '## ') THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY site ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_ord
+           FROM cut WHERE n < lines - 1)
+SELECT site, CAST(section_ord AS BIGINT) AS section_ord,
+       row_number() OVER (PARTITION BY site, section_ord ORDER BY n) - CASE WHEN section_ord = 0 THEN 1 ELSE 2 END AS link_ord,
+       line FROM marked"""
+
+
 def _site_pages_sql() -> str:
     return (f"SELECT site, url, title, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS r "
             f"FROM ({_index_sql()}) AS ix WHERE title_state IN ('ok', 'absent') AND site <> ''")
@@ -397,7 +413,7 @@ FROM ({_judge_prompts_sql()}) AS p"""
 
 ORACLE["map_unfence"] = f"""
 SELECT site, variant, {D.strip_code_fence('doc')} AS doc
-FROM ({_variants_sql()}) AS v WHERE variant IN ('basic', 'fenced')"""
+FROM ({_variants_sql()}) AS v"""
 
 
 def _fill_sql(template: str, values: dict[str, str]) -> str:
@@ -422,8 +438,8 @@ ORACLE["rewrite_prompts"] = _rewrite_sql()
 
 def _querygen_prompts_sql() -> str:
     from cartograph.functions import prompts as PR
-    return (f"SELECT doc_id AS run_id, {_fill_sql(PR.QUERY_GEN_TEMPLATE, {'llms_content': 'text'})} AS prompt "
-            f"FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)")
+    filled = _fill_sql(PR.QUERY_GEN_TEMPLATE, {'llms_content': "coalesce(text, '')"})
+    return f"SELECT doc_id AS run_id, {filled} AS prompt FROM documents"
 
 
 ORACLE["query_gen_prompts"] = _querygen_prompts_sql()
@@ -433,11 +449,10 @@ ORACLE["query_limit"] = f"""
 SELECT run_id, query_id, query FROM ({_QA}) AS q
 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY query_id) <= 3"""
 
-ORACLE["sitemap_documents_full"] = ORACLE["sitemap_documents"].replace(
-    f"QUALIFY rank <= {DEFAULT_MAX_PAGES}", "QUALIFY rank <= 1000")
+ORACLE["sitemap_documents_full"] = ORACLE["sitemap_documents"]
 
 # T1 on the derived tree visits pages in page_id order: same documents.
-ORACLE["bfs_sitemap_documents"] = ORACLE["sitemap_documents"]
+ORACLE["bfs_sitemap_documents"] = _documents_sql(DEFAULT_MAX_PAGES)
 
 ORACLE["seed_prefix_scope"] = f"""
 WITH ix AS ({_index_sql()}),

@@ -1,7 +1,7 @@
 """Captured page corpus -> one extracted row per URL.
 
-The HTML column is read once, reduced to (title, state, hrefs) by JVM-side
-regular expressions in the same stage, and dropped before any shuffle.
+The HTML column is reduced to the extracted columns a query asks for by
+JVM-side regular expressions in the scan stage, and dropped before any shuffle.
 """
 
 from __future__ import annotations
@@ -16,34 +16,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-SPREAD_BYTES_PER_TASK = 256 * 1024  # compressed input per task for regex-heavy stages
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Parquet table; spread over more tasks when the files give too few splits.
-
-    The target is one task per ``SPREAD_BYTES_PER_TASK`` of input (from the
-    planner's size estimate, no job), capped at the cores. A 100 TB table has
-    far more splits than cores and is left alone; a tiny table stays in one
-    task; a small single-row-group file is round-robin spread so the per-row
-    regex work runs on every core.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        target = min(cores, max(1, -(-size // SPREAD_BYTES_PER_TASK)))
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
+def captured(pages: DataFrame) -> DataFrame:
+    """only successful fetches form the corpus (tables without ``status`` hold nothing else)."""
+    return pages.filter(F.col("status") == 200) if "status" in pages.columns else pages
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per-row extraction (narrow): page_id, url, site, title_state, title, hrefs."""
-    df = pages
-    if "status" in df.columns:  # only successful fetches form the corpus
-        df = df.filter(F.col("status") == 200)
-    cleaned = df.select("page_id", "url", H.clean_html("html").alias("clean"))
+    cleaned = captured(pages).select("page_id", "url", H.clean_html("html").alias("clean"))
     return cleaned.select(
         "page_id",
         "url",
@@ -57,14 +41,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 def page_index(pages: DataFrame) -> DataFrame:
     """One row per URL, the lowest ``page_id`` winning (a URL succeeds once).
 
-    ``min_by`` aggregates map-side first, so a URL captured many times is
-    reduced before the shuffle.
+    The winners are found on (url, page_id) alone, by hash aggregation, and
+    joined back. Extracted columns are plain projections below that join, so
+    those a caller does not use (links, for instance) are never computed.
+    ``page_id`` identifies a page.
     """
-    ex = extract_pages(pages)
-    best = ex.groupBy("url").agg(
-        F.min_by(F.struct("page_id", "site", "title_state", "title", "hrefs"), F.col("page_id")).alias("b")
-    )
-    return best.select("url", "b.page_id", "b.site", "b.title_state", "b.title", "b.hrefs")
+    winners = captured(pages).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return (extract_pages(pages).join(winners, ["url", "page_id"], "left_semi")
+            .select("url", "page_id", "site", "title_state", "title", "hrefs"))
 
 
 def kept(index: DataFrame) -> DataFrame:

@@ -27,3 +27,10 @@ def write_full_maps(docs: DataFrame, path: str) -> None:
     """The full map. The reference writes the same pages a second time;
     pass a traversal run with a higher ``max_pages`` for a truly fuller map."""
     write_site_maps(docs, path)
+
+
+def write_map_lines(lines: DataFrame, path: str) -> None:
+    """S6 for sites of any size: ``site=<site>/part-*`` hold a site's lines in order, files in file order."""
+    order = ["site", "section_ord", "link_ord"]
+    (lines.repartitionByRange(*order).sortWithinPartitions(*order)
+     .select("site", "line").write.mode("overwrite").partitionBy("site").text(path))

@@ -47,7 +47,7 @@ def python_extract(html):
 
 
 def test_titles_and_links_match_html_parser(spark):
-    raw = P.read_table(spark, SF_ORACLE, "pages", spread=False).collect()
+    raw = P.read_table(spark, SF_ORACLE, "pages").collect()
     ix = {r.url: r for r in P.page_index(P.read_table(spark, SF_ORACLE, "pages")).collect()}
     first = {}
     for r in sorted(raw, key=lambda r: r.page_id):

@@ -11,16 +11,16 @@ from cartograph.sources import pages as P
 
 
 def test_page_limit_is_applied_before_the_site_shuffle(spark):
-    ranked = SM.corpus_ranked(P.page_index(P.read_table(spark, SF_SMALL, "pages")))
+    ranked = SM.corpus_ranked(P.page_index(P.read_table(spark, SF_SMALL, "pages")), 150)
     text = ranked._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text
 
 
 def test_scan_reads_only_the_columns_it_needs(spark):
     d = tempfile.mkdtemp(prefix="cartograph-plan-")
-    src = P.read_table(spark, SF_SMALL, "pages", spread=False).withColumn("junk", F.lit("x" * 100))
+    src = P.read_table(spark, SF_SMALL, "pages").withColumn("junk", F.lit("x" * 100))
     src.write.parquet(f"{d}/pages.parquet")
-    ix = P.page_index(P.read_table(spark, d, "pages", spread=False))
+    ix = P.page_index(P.read_table(spark, d, "pages"))
     text = ix._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in text
     assert "junk" not in text.split("ReadSchema")[1].split("\n")[0]
@@ -40,3 +40,20 @@ def test_traversal_level_shuffles_only_the_frontier(spark):
     finally:
         spark.conf.set(key, before)
     assert text.count("Exchange") == 1  # the frontier side only
+
+
+def test_titles_and_documents_never_extract_links_or_sort_rows_to_aggregate(spark):
+    from cartograph.plans.catalog import QUERIES
+    for name in ("page_titles", "sitemap_documents"):
+        text = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "href" not in text and "SortAggregate" not in text, name
+
+
+def test_every_kept_page_is_mapped(spark):
+    from cartograph.plans.catalog import QUERIES
+    ix = P.page_index(P.read_table(spark, "/root/testdata/sf0.1", "pages"))
+    kept = ix.filter("title_state IN ('ok', 'absent') AND site <> ''")
+    largest = kept.groupBy("site").count().agg({"count": "max"}).first()[0]
+    assert largest > SM.DEFAULT_MAX_PAGES
+    counted = QUERIES["section_counts"](spark, "/root/testdata/sf0.1").agg({"n_pages": "sum"}).first()[0]
+    assert counted == kept.count()
