@@ -15,17 +15,6 @@ from .text import PY_WS_CLASS, col
 
 # --- fixed values -----------------------------------------------------------
 FENCE_PATTERN = rf"(?s)```(?:json)?{PY_WS_CLASS}*(.*?)```"
-# Escapes are replaced first (one flat pass), so string literals need no
-# repeated group: Java's regex engine recurses once per group repetition and
-# overflows its stack on long strings.
-ESCAPE_PATTERN = r"(?s)\\."
-STRING_LITERAL_PATTERN = r'"[^"]*"'
-SCALAR_PATTERN = r"true|false|null|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-SKELETON_PATTERN = r'^[{}\[\]:,0"\t\n\r ]*$'
-TRAILING_COMMA_PATTERN = r",[\t\n\r ]*[\]}]"
-INNER_PATTERN = r"\{[^{}\[\]]*\}|\[[^{}\[\]]*\]"
-SINGLE_PATTERN = r"^[\t\n\r ]*0[\t\n\r ]*$"
-MAX_DEPTH = 16
 CRITERIA = ["accuracy", "completeness", "specificity", "actionability"]
 ARMS = ["baseline", "enhanced"]
 # ---------------------------------------------------------------------------
@@ -58,21 +47,16 @@ def has_brackets(s, open_ch: str, close_ch: str) -> Column:
 
 
 def single_value(s) -> Column:
-    """True when the text is one bracketed JSON value with nothing after it.
+    """True when the text is one JSON value with nothing after it, nested to any depth.
 
-    String literals are blanked, scalars become ``0``; what is left may only
-    hold JSON punctuation (a lenient parser accepts single quotes, bare words
-    and trailing commas). Innermost brackets are then reduced to ``0`` up to
-    ``MAX_DEPTH`` times; one value leaves exactly ``0`` (a lenient parser
-    also accepts ``{...} text {...}``). Deeper values are rejected.
+    The text is parsed strictly inside an array and inside an object: two
+    values, a stray bracket or trailing text break one of the two. Unlike
+    Python's ``json``, ``NaN`` and objects that repeat a key are rejected.
     """
-    skel = F.regexp_replace(F.regexp_replace(col(s), ESCAPE_PATTERN, "__"), STRING_LITERAL_PATTERN, '""')
-    flat = F.regexp_replace(skel, SCALAR_PATTERN, "0")
-    tokens_ok = flat.rlike(SKELETON_PATTERN) & ~skel.rlike(TRAILING_COMMA_PATTERN)
-    red = F.regexp_replace(flat, r'""', "0")
-    for _ in range(MAX_DEPTH):
-        red = F.regexp_replace(red, INNER_PATTERN, "0")
-    return tokens_ok & red.rlike(SINGLE_PATTERN)
+    s = col(s)
+    listed = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
+    return listed.isNotNull() & member.isNotNull()
 
 
 def with_parsed_scores(df: DataFrame, raw: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,28 +73,17 @@ def excerpt(c, n: int = EXCERPT_CHARS) -> Column:
     return F.concat(F.substring(col(c), 1, n), F.lit("..."))
 
 
-_FORMATTERS: dict[str, object] = {}
+# Java format patterns that give what Python's ".1f" and "+.0f" give: both round the exact binary value, ties to even.
+ONE_DECIMAL = "0.0"
+SIGNED_WHOLE = "+0;-0"
 
 
-def py_format(c, spec: str) -> Column:
-    """Python's ``format(x, spec)`` for report numbers.
-
-    Java's formatter rounds the shortest decimal form half-up (2.25 -> 2.3,
-    7.35 -> 7.4); Python rounds the exact binary value half-even (2.2, 7.3).
-    Report text is a few lines per run, so an Arrow-batched pandas UDF gives
-    exact parity there; tables keep unrounded doubles.
-    """
-    fn = _FORMATTERS.get(spec)
-    if fn is None:
-        @F.pandas_udf("string")
-        def fn(x: pd.Series) -> pd.Series:
-            return x.map(lambda v: None if v is None or v != v else format(float(v), spec))
-
-        _FORMATTERS[spec] = fn
-    return fn(col(c))
+def number_text(c, pattern: str = ONE_DECIMAL) -> Column:
+    """A report number as text (JVM-side, null stays null)."""
+    return F.call_function("format_number", col(c).cast("double"), F.lit(pattern))
 
 
-def signed(c, spec: str = ".1f") -> Column:
-    """``+`` only for positive values, then the number formatted as Python does."""
+def signed(c) -> Column:
+    """``+`` only for positive values, then the number with one decimal."""
     c = col(c)
-    return F.concat(F.when(c > 0, F.lit("+")).otherwise(F.lit("")), py_format(c, spec))
+    return F.concat(F.when(c > 0, F.lit("+")).otherwise(F.lit("")), number_text(c))

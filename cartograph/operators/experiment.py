@@ -6,7 +6,7 @@ holding most of the rows is pre-aggregated in every map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -47,16 +47,18 @@ def scores_long(parsed: DataFrame) -> DataFrame:
 
 
 def criterion_means(parsed: DataFrame) -> DataFrame:
-    """A3: per run and criterion, mean per arm over queries and the delta."""
-    lg = scores_long(parsed)
-    g = lg.groupBy("run_id", "criterion").agg(
-        F.sum(F.when(F.col("arm") == "baseline", F.col("score"))).alias("sb"),
-        F.sum(F.when(F.col("arm") == "enhanced", F.col("score"))).alias("se"),
-        F.count_if(F.col("arm") == "baseline").alias("n"),
-    )
-    b, e = F.col("sb") / F.col("n"), F.col("se") / F.col("n")
-    return g.select("run_id", "criterion", "n", b.alias("baseline_mean"), e.alias("enhanced_mean"),
-                    (e - b).alias("delta"))
+    """A3: per run and criterion, mean per arm over queries and the delta.
+
+    Eight sums per run first; only their results are turned into rows.
+    """
+    sums = valid(parsed).groupBy("run_id").agg(
+        F.count("*").alias("n"), *[F.sum(f"{a[0]}_{c}").alias(f"{a[0]}_{c}") for a in J.ARMS for c in J.CRITERIA])
+    b, e = ("x.b", "x.e")
+    rows = sums.select("run_id", "n", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("criterion"), (F.col(f"b_{c}") / F.col("n")).alias("b"),
+                 (F.col(f"e_{c}") / F.col("n")).alias("e")) for c in J.CRITERIA])).alias("x"))
+    return rows.select("run_id", "x.criterion", "n", F.col(b).alias("baseline_mean"), F.col(e).alias("enhanced_mean"),
+                       (F.col(e) - F.col(b)).alias("delta"))
 
 
 def _sum_arm(arm: str):
@@ -106,73 +108,32 @@ def judge_failures(parsed: DataFrame) -> DataFrame:
 
 # --- inputs and prompts (S3, J4, P15, P16, W2, O4) ---------------------------
 
+TURNS_PER_BUCKET = 1024
+
+
 def qa_pairs(conversations: DataFrame) -> DataFrame:
     """(run_id, query_id, query, answer): each user turn with the next assistant turn.
 
     Paired by role, not turn parity (some conversations open with a system
-    turn). No per-conversation window: turns are range-partitioned on
-    (conv_id, turn descending), so a huge conversation spans many tasks. Each
-    sorted partition is scanned once, carrying the latest assistant text. A
-    question whose answer lies in an earlier partition takes it from a small
-    table with one row per (partition, conversation) piece.
+    turn). Windows see turns in buckets of ``TURNS_PER_BUCKET``, so one huge
+    conversation spreads over many tasks; a question whose answer lies in a
+    later bucket gets it from a table with one row per bucket. Only numbers
+    go through the windows; the answer's text is joined at the end.
     """
-    from cartograph.session import ensure_checkpoint_dir
-    spark = conversations.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    conv = conversations.select("conv_id", "turn", "role", "text")
-    ranged = (conv.repartitionByRange(n, F.col("conv_id"), F.col("turn").desc())
-              .sortWithinPartitions(F.col("conv_id"), F.col("turn").desc())
-              .withColumn("_pid", F.spark_partition_id()))
-    schema = ("_pid int, conv_id long, turn long, text string, answer string, "
-              "needs_carry boolean, is_piece boolean")
-
-    def frame(cols):
-        import pandas as pd
-        return pd.DataFrame({
-            "_pid": pd.Series(cols["_pid"], dtype="int32"),
-            "conv_id": pd.Series(cols["conv_id"], dtype="int64"),
-            "turn": pd.Series(cols["turn"], dtype="Int64"),
-            "text": pd.Series(cols["text"], dtype="object"),
-            "answer": pd.Series(cols["answer"], dtype="object"),
-            "needs_carry": pd.Series(cols["needs_carry"], dtype="bool"),
-            "is_piece": pd.Series(cols["is_piece"], dtype="bool"),
-        })
-
-    def scan(batches):
-        cur, latest, seen_asst, pid = object(), None, False, None
-        pieces = {}
-        for pdf in batches:
-            out = {k: [] for k in ("_pid", "conv_id", "turn", "text", "answer", "needs_carry", "is_piece")}
-            for p_id, c, t, role, text in zip(pdf["_pid"], pdf["conv_id"], pdf["turn"], pdf["role"], pdf["text"]):
-                pid = int(p_id)
-                if c != cur:
-                    cur, latest, seen_asst = c, None, False
-                    pieces.setdefault(int(c), None)
-                if role == "assistant":
-                    latest, seen_asst = text, True
-                    pieces[int(c)] = text  # earliest assistant of this piece so far
-                elif role == "user":
-                    out["_pid"].append(pid); out["conv_id"].append(int(c)); out["turn"].append(int(t))
-                    out["text"].append(text); out["answer"].append(latest)
-                    out["needs_carry"].append(not seen_asst); out["is_piece"].append(False)
-            if out["conv_id"]:
-                yield frame(out)
-        if pieces:
-            k = len(pieces)
-            yield frame({"_pid": [pid] * k, "conv_id": list(pieces), "turn": [None] * k, "text": [None] * k,
-                         "answer": list(pieces.values()), "needs_carry": [False] * k, "is_piece": [True] * k})
-
-    # materialise once: range bounds come from sampling and must be drawn once
-    scanned = ranged.mapInPandas(scan, schema).checkpoint(eager=True)
-    from pyspark.sql import Window
-    pieces = scanned.filter(F.col("is_piece")).select("_pid", "conv_id", F.col("answer").alias("piece_answer"))
-    w = Window.partitionBy("conv_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = pieces.select("_pid", "conv_id", F.last("piece_answer", ignorenulls=True).over(w).alias("carry"))
-    users = scanned.filter(~F.col("is_piece")).join(carry, ["_pid", "conv_id"], "left")
-    return users.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("query_id"),
-                        F.col("text").alias("query"),
-                        F.when(F.col("needs_carry"), F.col("carry")).otherwise(F.col("answer")).alias("answer"))
+    narrow = conversations.select("conv_id", "turn", "role", F.floor(F.col("turn") / TURNS_PER_BUCKET).alias("_b"))
+    said = F.when(F.col("role") == "assistant", F.col("turn"))
+    ahead = Window.partitionBy("conv_id", "_b").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    users = narrow.withColumn("_near", F.min(said).over(ahead)).filter(F.col("role") == "user")
+    buckets = narrow.groupBy("conv_id", "_b").agg(F.min(said).alias("_first"))
+    buckets = buckets.select("conv_id", "_b", F.min("_first").over(later).alias("_far"))
+    paired = users.join(buckets, ["conv_id", "_b"]).select(
+        "conv_id", "turn", F.coalesce("_near", "_far").alias("_answer"))
+    asked = conversations.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
+    answers = conversations.filter(F.col("role") == "assistant").select(
+        "conv_id", F.col("turn").alias("_answer"), F.col("text").alias("answer"))
+    return (asked.join(paired, ["conv_id", "turn"]).join(answers, ["conv_id", "_answer"], "left")
+            .select(F.col("conv_id").alias("run_id"), F.col("turn").alias("query_id"), "query", "answer"))
 
 
 def choose_context(runs: DataFrame, index: DataFrame) -> DataFrame:
@@ -195,7 +156,6 @@ def limit_queries(queries: DataFrame, n: int | None) -> DataFrame:
         return queries
     if n < 0:
         raise ValueError("a negative query limit is not supported")
-    from pyspark.sql import Window
     w = Window.partitionBy("run_id").orderBy("query_id")
     return queries.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
@@ -222,5 +182,5 @@ def judge_prompts(items: DataFrame) -> DataFrame:
 
 def results(items: DataFrame, parsed: DataFrame) -> DataFrame:
     """Query item x responses x valid scores on (run_id, query_id); a failure on
-    any side drops the query."""
-    return items.join(valid(parsed).drop("category"), ["run_id", "query_id"], "inner")
+    any side drops the query. The category is the parsed one."""
+    return items.drop("category").join(valid(parsed), ["run_id", "query_id"], "inner")

@@ -20,6 +20,13 @@ SUMMARY_HEADER = [
     "| Criterion | Baseline (no context) | With llms.txt | Improvement |",
     "|-----------|----------------------|---------------|-------------|",
 ]
+OVERALL_LABEL = "**Overall**"
+IMPROVEMENT_PREFIX, IMPROVEMENT_SUFFIX = "**Overall improvement: ", "%**"
+QUERY_PREFIX, CATEGORY_PREFIX, CATEGORY_SUFFIX = "### Query ", "*Category: ", "*"
+BASELINE_NOTE, ENHANCED_NOTE = "**Baseline note:** ", "**Enhanced note:** "
+DETAILS_OPEN = ["<details>", "<summary>Response excerpts (click to expand)</summary>"]
+BASELINE_LABEL, ENHANCED_LABEL = "**Baseline response:**", "**Enhanced response (with llms.txt):**"
+DETAILS_CLOSE = "</details>"
 QUERY_TABLE_HEADER = ["| Criterion | Baseline | Enhanced | Delta |", "|-----------|----------|----------|-------|"]
 # ---------------------------------------------------------------------------
 
@@ -45,20 +52,20 @@ def summary_lines(parsed: DataFrame) -> DataFrame:
     rows = cm.select("run_id", F.lit(1).alias("block"), F.lit(0).alias("query_no"),
                      (crit_ord + len(SUMMARY_HEADER)).alias("line_no"),
                      F.concat(F.lit("| "), T.py_capitalize("criterion"), F.lit(" | "),
-                              T.py_format("baseline_mean", ".1f"), F.lit(" | "),
-                              T.py_format("enhanced_mean", ".1f"), F.lit(" | "),
+                              T.number_text("baseline_mean"), F.lit(" | "),
+                              T.number_text("enhanced_mean"), F.lit(" | "),
                               T.signed("delta"), F.lit(" |")).alias("line"))
     head = ov.select("run_id", F.posexplode(F.array(*[F.lit(h) for h in SUMMARY_HEADER])).alias("line_no", "line")) \
         .select("run_id", F.lit(1).alias("block"), F.lit(0).alias("query_no"), "line_no", "line")
     n = len(SUMMARY_HEADER) + len(CRITERIA)
     tail = ov.select("run_id", F.explode(_lines(
-        F.concat(F.lit("| **Overall** | **"), T.py_format("overall_baseline", ".1f"), F.lit("** | **"),
-                 T.py_format("overall_enhanced", ".1f"), F.lit("** | **"), T.signed("overall_delta"),
+        F.concat(F.lit(f"| {OVERALL_LABEL} | **"), T.number_text("overall_baseline"), F.lit("** | **"),
+                 T.number_text("overall_enhanced"), F.lit("** | **"), T.signed("overall_delta"),
                  F.lit("** |")),
         "",
         F.when(F.col("improvement_pct").isNotNull(),
-               F.concat(F.lit("**Overall improvement: "), T.py_format("improvement_pct", "+.0f"),
-                        F.lit("%**"))),
+               F.concat(F.lit(IMPROVEMENT_PREFIX), T.number_text("improvement_pct", T.SIGNED_WHOLE),
+                        F.lit(IMPROVEMENT_SUFFIX))),
         "")).alias("x")).filter(F.col("x.line").isNotNull()) \
         .select("run_id", F.lit(1).alias("block"), F.lit(0).alias("query_no"),
                 (F.col("x.line_no") + n).alias("line_no"), F.col("x.line").alias("line"))
@@ -80,16 +87,16 @@ def query_lines(results: DataFrame) -> DataFrame:
         crit.append(F.concat(F.lit(f"| {c.capitalize()} | "), _num(b), F.lit(" | "), _num(e), F.lit(" | "),
                              F.when(d > 0, F.lit("+")).otherwise(F.lit("")), _num(d), F.lit(" |")))
     note = lambda arm, label: F.when(F.coalesce(F.col(f"{arm}_notes"), F.lit("")) != "",
-                                     F.concat(F.lit(f"**{label} note:** "), F.col(f"{arm}_notes")))
+                                     F.concat(F.lit(label), F.col(f"{arm}_notes")))
     block = _lines(
-        F.concat(F.lit("### Query "), F.col("query_no").cast("string"), F.lit(": "), F.col("query")),
-        F.concat(F.lit("*Category: "), F.col("category"), F.lit("*")),
+        F.concat(F.lit(QUERY_PREFIX), F.col("query_no").cast("string"), F.lit(": "), F.col("query")),
+        F.concat(F.lit(CATEGORY_PREFIX), F.col("category"), F.lit(CATEGORY_SUFFIX)),
         "", *QUERY_TABLE_HEADER, *crit, "",
-        note("b", "Baseline"), note("e", "Enhanced"), "",
-        "<details>", "<summary>Response excerpts (click to expand)</summary>", "",
-        "**Baseline response:**", F.concat(F.lit("> "), T.excerpt("baseline")), "",
-        "**Enhanced response (with llms.txt):**", F.concat(F.lit("> "), T.excerpt("enhanced")), "",
-        "</details>", "",
+        note("b", BASELINE_NOTE), note("e", ENHANCED_NOTE), "",
+        *DETAILS_OPEN, "",
+        BASELINE_LABEL, F.concat(F.lit("> "), T.excerpt("baseline")), "",
+        ENHANCED_LABEL, F.concat(F.lit("> "), T.excerpt("enhanced")), "",
+        DETAILS_CLOSE, "",
     )
     return r.select("run_id", F.lit(2).alias("block"), "query_no", F.explode(block).alias("x")) \
         .filter(F.col("x.line").isNotNull()) \

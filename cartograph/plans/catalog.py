@@ -305,14 +305,13 @@ def batch_infer(spark, sf_dir):
 def _report_inputs(spark, sf_dir):
     from cartograph.operators import experiment as X
     ev = P.read_table(spark, sf_dir, "events")
-    parsed = _judge(spark, sf_dir)
+    parsed = _judge(spark, sf_dir).checkpoint(eager=True)  # parsed once; read for the means and the queries
     items = ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("query_id"),
                       F.concat(F.lit("What did event "), F.col("event_id").cast("string"), F.lit(" record?")).alias("query"),
                       F.col("props").alias("baseline"),
                       F.concat(F.lit("Event of type "), F.col("event_type"), F.lit(" with value "),
                                F.col("value").cast("string")).alias("enhanced"))
-    return parsed, X.results(items, parsed).join(parsed.select("run_id", "query_id", "category"),
-                                                 ["run_id", "query_id"])
+    return parsed, X.results(items, parsed)
 
 
 @query("report_lines")
@@ -320,7 +319,8 @@ def report_lines(spark, sf_dir):
     """R2 + R3 as ordered line rows per run (text rounding: see README)."""
     from cartograph.operators import report as R
     parsed, results = _report_inputs(spark, sf_dir)
-    return R.report_lines(parsed, results)
+    return R.report_lines(parsed, results).select(
+        "run_id", "block", F.col("query_no").cast("bigint").alias("query_no"), "line_no", "line")
 
 
 @query("map_unfence")

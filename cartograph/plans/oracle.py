@@ -462,3 +462,60 @@ SELECT s.site,
        count(p.url) FILTER (WHERE {D.site_of('p.url')} = {D.site_of('s.base_url')}) AS n_authority
 FROM seeds s LEFT JOIN (SELECT url FROM ix) p ON starts_with(p.url, s.base_url)
 GROUP BY s.site"""
+
+
+def _report_sql() -> str:
+    from cartograph.functions import jsonparse as J
+    from cartograph.operators import report as R
+    one = lambda x: f"printf('%.1f', {x})"
+    signed = lambda x: f"CASE WHEN {x} > 0 THEN '+' ELSE '' END || {one(x)}"
+    num = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+    n_head = len(R.SUMMARY_HEADER)
+    rank = "CASE criterion " + " ".join(f"WHEN {D.lit(c)} THEN {k}" for k, c in enumerate(J.CRITERIA)) + " END"
+    tail = [
+        f"{D.lit('| ' + R.OVERALL_LABEL + ' | **')} || {one('overall_baseline')} || '** | **' || {one('overall_enhanced')} "
+        f"|| '** | **' || {signed('overall_delta')} || '** |'",
+        "''",
+        f"CASE WHEN improvement_pct IS NOT NULL THEN {D.lit(R.IMPROVEMENT_PREFIX)} || printf('%+.0f', improvement_pct) "
+        f"|| {D.lit(R.IMPROVEMENT_SUFFIX)} END",
+        "''",
+    ]
+    rows = []
+    for c in J.CRITERIA:
+        d = f"(e_{c} - b_{c})"
+        rows.append(f"'| {c.capitalize()} | ' || {num(f'b_{c}')} || ' | ' || {num(f'e_{c}')} || ' | ' "
+                    f"|| CASE WHEN {d} > 0 THEN '+' ELSE '' END || {num(d)} || ' |'")
+    note = lambda arm, label: f"CASE WHEN coalesce({arm}_notes, '') <> '' THEN {D.lit(label)} || {arm}_notes END"
+    block = [
+        f"{D.lit(R.QUERY_PREFIX)} || CAST(query_no AS VARCHAR) || ': ' || query",
+        f"{D.lit(R.CATEGORY_PREFIX)} || category || {D.lit(R.CATEGORY_SUFFIX)}", "''",
+        *[D.lit(x) for x in R.QUERY_TABLE_HEADER], *rows, "''",
+        note("b", R.BASELINE_NOTE), note("e", R.ENHANCED_NOTE), "''",
+        *[D.lit(x) for x in R.DETAILS_OPEN], "''",
+        D.lit(R.BASELINE_LABEL), "'> ' || substr(baseline, 1, 500) || '...'", "''",
+        D.lit(R.ENHANCED_LABEL), "'> ' || substr(enhanced, 1, 500) || '...'", "''",
+        D.lit(R.DETAILS_CLOSE), "''",
+    ]
+    lines = lambda xs: f"unnest([{', '.join(xs)}]) AS line, unnest(range({len(xs)})) AS k"
+    return f"""
+WITH ov AS ({ORACLE['overall_improvement']}),
+cm AS ({ORACLE['criterion_means']}),
+ok AS (SELECT * FROM ({_judge_sql()}) AS j WHERE reason = 'ok'),
+q AS (
+  SELECT ok.*, 'What did event ' || CAST(e.event_id AS VARCHAR) || ' record?' AS query, e.props AS baseline,
+         'Event of type ' || e.event_type || ' with value ' || CAST(e.value AS VARCHAR) AS enhanced,
+         row_number() OVER (PARTITION BY ok.run_id ORDER BY ok.query_id) AS query_no
+  FROM ok JOIN events e ON e.user_id = ok.run_id AND e.event_id = ok.query_id)
+SELECT run_id, 1 AS block, CAST(0 AS BIGINT) AS query_no, CAST(k AS INTEGER) AS line_no, line
+FROM (SELECT run_id, {lines([D.lit(x) for x in R.SUMMARY_HEADER])} FROM ov) AS h
+UNION ALL
+SELECT run_id, 1, 0, CAST({rank} + {n_head} AS INTEGER),
+       '| ' || upper(substr(criterion, 1, 1)) || substr(criterion, 2) || ' | ' || {one('baseline_mean')} || ' | '
+       || {one('enhanced_mean')} || ' | ' || {signed('delta')} || ' |' FROM cm
+UNION ALL
+SELECT run_id, 1, 0, CAST(k + {n_head + len(J.CRITERIA)} AS INTEGER), line FROM (SELECT run_id, {lines(tail)} FROM ov) AS t WHERE line IS NOT NULL
+UNION ALL
+SELECT run_id, 2, query_no, CAST(k AS INTEGER), line FROM (SELECT run_id, query_no, {lines(block)} FROM q) AS b WHERE line IS NOT NULL"""
+
+
+ORACLE["report_lines"] = _report_sql()

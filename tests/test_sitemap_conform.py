@@ -2,7 +2,6 @@
 
 import re
 from collections import defaultdict
-from urllib.parse import urlparse
 
 from conftest import SF_SMALL
 from cartograph.operators import conform as C
@@ -10,35 +9,76 @@ from cartograph.operators import sitemap as SM
 from cartograph.sources import pages as P
 
 
-def render_py(name, base, pages):
-    groups = defaultdict(list)
-    for url, title in pages:
-        parts = urlparse(url).path.strip("/").split("/")
-        groups[parts[0] if parts and parts[0] else "Home"].append((title, url))
-    out = f"# {name}\n\n> Site map of {name} ({base}), auto-generated for LLM context.\n\n"
-    keys = sorted(groups)
-    if "Home" in keys:
-        keys.remove("Home")
-        keys = ["Home"] + keys
-    for k in keys:
-        out += f"## {k.replace('-', ' ').replace('_', ' ').title()}\n\n"
-        for t, u in sorted(groups[k], key=lambda x: len(x[1])):
-            out += f"- [{re.sub(r'\\s+', ' ', t)}]({u})\n"
-        out += "\n"
-    return out
-
-
-def test_documents_match_python_rendering(spark):
+GOLDEN_PAGES = [
+    ("http://www.shop.example", "http://www.shop.example/", "Start", 0),
+    ("http://www.shop.example", "http://www.shop.example/news/long-item-name", "Long  item", 1),
+    ("http://www.shop.example", "http://www.shop.example/news/b", "Two\n lines", 2),
+    ("http://www.shop.example", "http://www.shop.example/news/a", "One", 3),
+    ("http://www.shop.example", "http://www.shop.example/about-us_x/team", "Team", 4),
+    ("http://localhost", "http://localhost/Zed", "Z", 5),
+    ("http://localhost", "http://localhost/abc", "A", 6),
+]
+GOLDEN = {
+    "http://www.shop.example": """# Example
+
+> Site map of Example (http://www.shop.example), auto-generated for LLM context.
+
+## Home
+
+- [Start](http://www.shop.example/)
+
+## About Us X
+
+- [Team](http://www.shop.example/about-us_x/team)
+
+## News
+
+- [Two lines](http://www.shop.example/news/b)
+- [One](http://www.shop.example/news/a)
+- [Long item](http://www.shop.example/news/long-item-name)
+
+""".replace("# Example", "# Shop").replace("map of Example", "map of Shop"),
+    "http://localhost": """# localhost
+
+> Site map of localhost (http://localhost), auto-generated for LLM context.
+
+## Zed
+
+- [Z](http://localhost/Zed)
+
+## Abc
+
+- [A](http://localhost/abc)
+
+""",
+}
+
+
+def test_documents_and_lines_are_the_golden_text(spark):
+    ranked = spark.createDataFrame(GOLDEN_PAGES, "site string, url string, title string, rank long")
+    docs = {r.site: r.doc for r in SM.render_documents(ranked).collect()}
+    assert docs == GOLDEN
+    lines = defaultdict(list)
+    for r in SM.map_lines(ranked).orderBy("site", "section_ord", "link_ord").collect():
+        lines[r.site].append(r.line)
+    assert {k: "\n".join(v) + "\n" for k, v in lines.items()} == GOLDEN
+
+
+def test_documents_hold_every_kept_page_in_order(spark):
     ix = P.page_index(P.read_table(spark, SF_SMALL, "pages"))
     ranked = SM.corpus_ranked(ix)
-    docs = {r.site: r for r in SM.render_documents(ranked).collect()}
-    by_site = defaultdict(list)
-    for r in ranked.orderBy("site", "rank").collect():
-        by_site[r.site].append((r.url, r.title))
-    assert set(docs) == set(by_site)
-    for site, pages in by_site.items():
-        d = docs[site]
-        assert d.doc == render_py(d.site_name, d.base_url, pages)
+    docs = {r.site: r.doc for r in SM.render_documents(ranked).collect()}
+    urls = defaultdict(set)
+    for r in ranked.collect():
+        urls[r.site].add(r.url)
+    assert set(docs) == set(urls)
+    for site, doc in docs.items():
+        sections = doc.split("\n## ")[1:]
+        assert {u for u in urls[site] if f"]({u})\n" in doc} == urls[site]
+        assert doc.count("\n- [") == len(urls[site])
+        for text in sections:
+            lengths = [len(line.rsplit("](", 1)[1]) for line in text.split("\n") if line.startswith("- [")]
+            assert lengths == sorted(lengths) and lengths
 
 
 def test_round_trip_and_self_preservation(spark):
