@@ -22,56 +22,69 @@ CLEAN_PATTERN = (
     rf"|<style\b.*?(?:</style{_W}*>|\z)"
 )
 TITLE_PATTERN = rf"(?is)<title\b[^>]*>(.*?)</title{_W}*>"
-# The attribute scan before href stops at "<" as well as ">": an unclosed
-# "<a " then costs one short scan instead of a scan to the end of the page
-# (quadratic on broken pages). An earlier quoted attribute holding "<" hides
-# the href; see README.
-HREF_PATTERN = (
-    rf"(?is)<a{_W}(?:[^<>]*?{_W})?href(?:{_W}*={_W}*"
-    rf"(\"[^\"]*\"|'[^']*'|[^\t\n\x{{0B}}\f\r >]*)|[\t\n\x{{0B}}\f\r />])"
-)
+# An <a> start tag with its attribute text; quoted values are units, so they may
+# hold ">". The Java form never backtracks into what it has read (linear on
+# broken pages, no recursion); RE2 in the DuckDB twin is linear as it is.
+ANCHOR_PATTERN = r"""(?is)<a(?=[\t\n\r\f />])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+ANCHOR_PATTERN_RE2 = r"""(?is)<a([\t\n\r\f /](?:[^>"']|"[^"]*"|'[^']*')*|)>"""
+# One attribute: name, then optionally "=" and a quoted, bare or missing value.
+ATTRIBUTE_PATTERN = r"""(?s)([^\s/>=][^\s/=>]*)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*|))?"""
 # A child node inside <title>: start tag, end tag, comment or declaration.
 NESTED_PATTERN = r"<[a-zA-Z/!?]"
-# Character references the decoder knows, with or without the semicolon:
-# the HTML 4 named set from Python's standard library, plus "apos".
-NAMED_ENTITIES = {**{name: chr(cp) for name, cp in html.entities.name2codepoint.items()}, "apos": "'"}
-ENTITY_TOKEN_PATTERN = (
-    r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][-.a-zA-Z0-9]*;?|[^&]+|&"
-)
+ENTITY_TOKEN_PATTERN = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"
 TITLE_STATES_KEPT = ("ok", "absent")
 # ---------------------------------------------------------------------------
 
 
+# HTML 5 names with their semicolon, and the old names that also count without one.
+NAMED = {k: v for k, v in html.entities.html5.items() if k.endswith(";")}
+OLD_NAMES = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
+OLD_NAME_PATTERN = "^&(" + "|".join(sorted(OLD_NAMES, key=lambda k: (-len(k), k))) + ")"     # longest first
+# Numeric references that stand for another character: NUL, and 128-159 as Windows-1252 reads them.
+REMAPPED = {0: "\ufffd", 13: "\r", **{n: bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(128, 160)}}
+SEP = "\x01"      # occurs in no name and no value
+
+
 def clean_html(html) -> Column:
     return F.regexp_replace(col(html), CLEAN_PATTERN, " ")
 
 
+def _table(entries: dict) -> Column:
+    """A constant map from two literals (folded once by the optimizer)."""
+    return F.map_from_arrays(F.split(F.lit(SEP.join(map(str, entries))), SEP, -1),
+                             F.split(F.lit(SEP.join(entries.values())), SEP, -1))
+
+
 def _codepoint_char(n: Column) -> Column:
     """Character for a code point, via a UTF-32 byte string."""
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def _entity_map() -> Column:
-    # built per call: Columns need an active SparkContext
-    return F.create_map(*[F.lit(x) for k, v in sorted(NAMED_ENTITIES.items()) for x in (k, v)])
+def dropped_codepoint(n) -> Column:
+    """References to these code points disappear: controls and noncharacters."""
+    low = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
+    return low | (n % 65536).isin(0xFFFE, 0xFFFF)
 
 
 def _decode_token(t: Column) -> Column:
-    dec = F.regexp_extract(t, r"^&#([0-9]{1,7});?$", 1)
-    hx = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]{1,6});?$", 1)
-    name = F.regexp_extract(t, r"^&([a-zA-Z][-.a-zA-Z0-9]*);?$", 1)
-    dec_n = F.when(dec != "", dec.cast("int"))
-    hex_n = F.when(hx != "", F.conv(hx, 16, 10).cast("int"))
-    n = F.coalesce(dec_n, hex_n)
-    valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    named = F.try_element_at(_entity_map(), name)
-    return (F.when(n.isNotNull() & valid, _codepoint_char(n))
-            .when(named.isNotNull(), named)
+    dec = F.regexp_extract(t, r"^&#0*([0-9]+);?$", 1)
+    hx = F.regexp_extract(t, r"^&#[xX]0*([0-9a-fA-F]+);?$", 1)
+    too_long = (F.length(dec) > 7) | (F.length(hx) > 6)
+    n = F.when(dec != "", F.substring(dec, 1, 7).cast("int")).when(hx != "", F.conv(F.substring(hx, 1, 6), 16, 10).cast("int"))
+    old = F.regexp_extract(t, OLD_NAME_PATTERN, 1)
+    number = (F.when(too_long | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+              .when(F.try_element_at(_table(REMAPPED), n.cast("string")).isNotNull(), F.try_element_at(_table(REMAPPED), n.cast("string")))
+              .when(dropped_codepoint(n), F.lit("")).otherwise(_codepoint_char(n)))
+    name = F.try_element_at(_table(NAMED), F.substring(t, 2, 40))
+    return (F.when(n.isNotNull(), number)
+            .when(~t.startswith("&") | (F.length(t) == 1), t)
+            .when(name.isNotNull(), name)
+            .when(old != "", F.concat(F.try_element_at(_table(OLD_NAMES), old), F.substring(t, F.length(old) + 2, F.lit(40))))
             .otherwise(t))
 
 
 def decode_entities(c) -> Column:
-    """Decode numeric references and the named set above; others stay."""
+    """Numeric references, HTML 5 names, and old names without a semicolon (longest match)."""
     c = col(c)
     tokens = F.regexp_extract_all(c, F.lit(ENTITY_TOKEN_PATTERN), 0)
     decoded = F.array_join(F.transform(tokens, _decode_token), "")
@@ -108,13 +121,15 @@ def extract_title(clean, url) -> Column:
     )
 
 
+def unquoted(v: Column) -> Column:
+    return F.when(v.rlike(r"(?s)^\".*\"\z|^'.*'\z") & (F.length(v) >= 2), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+
+
 def extract_hrefs(clean) -> Column:
-    """Every ``<a>`` ``href`` value in document order, unquoted and decoded."""
-    raw = F.regexp_extract_all(col(clean), F.lit(HREF_PATTERN), 1)
-    return F.transform(
-        F.transform(raw, lambda v: F.coalesce(v, F.lit(""))),
-        lambda v: decode_entities(
-            F.when(v.rlike(r"(?s)^\".*\"\z|^'.*'\z") & (F.length(v) >= 2),
-                   F.substring(v, 2, F.length(v) - 2)).otherwise(v)
-        ),
-    )
+    """The first ``href`` of every ``<a>``, in document order, unquoted and decoded."""
+    tags = F.regexp_extract_all(col(clean), F.lit(ANCHOR_PATTERN), 1)
+    pairs = F.transform(tags, lambda t: F.arrays_zip(
+        F.regexp_extract_all(t, F.lit(ATTRIBUTE_PATTERN), 1).alias("n"), F.regexp_extract_all(t, F.lit(ATTRIBUTE_PATTERN), 2).alias("v")))
+    hrefs = F.transform(pairs, lambda p: F.filter(p, lambda a: F.lower(a["n"]) == "href"))
+    found = F.filter(hrefs, lambda p: F.size(p) > 0)
+    return F.transform(found, lambda p: decode_entities(unquoted(F.coalesce(F.get(p, F.lit(0))["v"], F.lit("")))))

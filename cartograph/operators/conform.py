@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cartograph.functions import text as T
 
 # --- fixed values -----------------------------------------------------------
-LINK_PATTERN = r"^- \[(.*)\]\((https?://[^)]*)\)(?:: (.*))?\z"
+LINK_PATTERN = r"^- \[(.*)\]\((https?://.*?)\)(?:: (.*))?\z"    # a URL may hold brackets: up to the ")" before the end or ": "
 MAX_DESCRIPTION_WORDS = 15          # descriptions must stay under this
 OPTIONAL_SECTION = "Optional"
 LINE_KINDS = [  # checked in this order
@@ -158,8 +158,8 @@ def planted_variants(docs: DataFrame) -> DataFrame:
     first_link = F.substring_index(after, "\n", 1)
     dropped = F.when(link_start > 0, F.concat(F.substring(d, F.lit(1), link_start),
                                                F.substring(after, F.length(first_link) + 2, F.lit(1 << 30)))).otherwise(d)
-    described = F.regexp_replace(d, r"(?m)^(- \[.*\]\(https?://[^)]*\))$", "$1: Short page description")
-    long_desc = F.regexp_replace(d, r"(?m)^(- \[.*\]\(https?://[^)]*\))$",
+    described = F.regexp_replace(d, r"(?m)^(- \[.*\]\(https?://.*\))$", "$1: Short page description")
+    long_desc = F.regexp_replace(d, r"(?m)^(- \[.*\]\(https?://.*\))$",
                                  "$1: " + " ".join(["word"] * 16))
     optional = F.concat(F.lit("## Optional\n\n- [More pages]("), base, F.lit("/more)\n\n"))
     variants = [

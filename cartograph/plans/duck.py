@@ -59,14 +59,26 @@ def clean_html(x: str) -> str:
     return f"regexp_replace({x}, {lit(H.CLEAN_PATTERN)}, ' ', 'g')"
 
 
+def _table(entries: dict) -> str:
+    return (f"map(string_split({lit(H.SEP.join(map(str, entries)))}, chr(1)), "
+            f"string_split({lit(H.SEP.join(entries.values()))}, chr(1)))")
+
+
 def _decode_token(t: str) -> str:
-    dec = f"regexp_extract({t}, '^&#([0-9]{{1,7}});?$', 1)"
-    hx = f"regexp_extract({t}, '^&#[xX]([0-9a-fA-F]{{1,6}});?$', 1)"
-    name = f"regexp_extract({t}, '^&([a-zA-Z][-.a-zA-Z0-9]*);?$', 1)"
-    n = f"(CASE WHEN {dec} <> '' THEN CAST({dec} AS INTEGER) WHEN {hx} <> '' THEN CAST('0x' || {hx} AS INTEGER) END)"
-    emap = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in sorted(H.NAMED_ENTITIES.items())) + "}"
-    return (f"CASE WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) THEN chr({n}) "
-            f"WHEN {emap}[{name}] IS NOT NULL THEN {emap}[{name}] ELSE {t} END")
+    dec = f"regexp_extract({t}, '^&#0*([0-9]+);?$', 1)"
+    hx = f"regexp_extract({t}, '^&#[xX]0*([0-9a-fA-F]+);?$', 1)"
+    n = (f"(CASE WHEN {dec} <> '' THEN CAST(substr({dec}, 1, 7) AS INTEGER) "
+         f"WHEN {hx} <> '' THEN CAST('0x' || substr({hx}, 1, 6) AS INTEGER) END)")
+    old = f"regexp_extract({t}, {lit(H.OLD_NAME_PATTERN)}, 1)"
+    gone = (f"({n} BETWEEN 1 AND 8 OR {n} IN (11, 127) OR {n} BETWEEN 14 AND 31 OR {n} BETWEEN 64976 AND 65007 "
+            f"OR {n} % 65536 IN (65534, 65535))")
+    return (f"CASE WHEN {n} IS NOT NULL THEN CASE WHEN length({dec}) > 7 OR length({hx}) > 6 OR {n} > 1114111 "
+            f"OR {n} BETWEEN 55296 AND 57343 THEN chr(65533) "
+            f"WHEN {_table(H.REMAPPED)}[CAST({n} AS VARCHAR)] IS NOT NULL THEN {_table(H.REMAPPED)}[CAST({n} AS VARCHAR)] "
+            f"WHEN {gone} THEN '' ELSE chr({n}) END "
+            f"WHEN NOT starts_with({t}, '&') OR length({t}) = 1 THEN {t} "
+            f"WHEN {_table(H.NAMED)}[substr({t}, 2)] IS NOT NULL THEN {_table(H.NAMED)}[substr({t}, 2)] "
+            f"WHEN {old} <> '' THEN {_table(H.OLD_NAMES)}[{old}] || substr({t}, length({old}) + 2) ELSE {t} END")
 
 
 def decode_entities(x: str) -> str:
@@ -88,10 +100,15 @@ def extract_title(clean: str, state: str, url: str) -> str:
 
 
 def extract_hrefs(clean: str) -> str:
-    unq = (r"""CASE WHEN regexp_matches(hv, '(?s)^".*"\z|^''.*''\z') AND length(hv) >= 2 """
-           "THEN substr(hv, 2, length(hv) - 2) ELSE hv END")
-    return (f"list_transform(regexp_extract_all({clean}, {lit(H.HREF_PATTERN)}, 1), "
-            f"lambda hv: {decode_entities('(' + unq + ')')})")
+    attr = lit(H.ATTRIBUTE_PATTERN)
+    pairs = (f"list_zip(list_transform(regexp_extract_all(tg, {attr}, 1), lambda an: lower(an)), "
+             f"regexp_extract_all(tg, {attr}, 2))")
+    hrefs = (f"list_filter(list_transform(regexp_extract_all({clean}, {lit(H.ANCHOR_PATTERN_RE2)}, 1), "
+             f"lambda tg: list_filter({pairs}, lambda ap: ap[1] = 'href')), lambda fp: len(fp) > 0)")
+    value = "coalesce(fv[1][2], '')"
+    unq = (f"""CASE WHEN regexp_matches({value}, '(?s)^".*"\\z|^''.*''\\z') AND length({value}) >= 2 """
+           f"THEN substr({value}, 2, length({value}) - 2) ELSE {value} END")
+    return f"list_transform(list_transform({hrefs}, lambda fv: {unq}), lambda hv: {decode_entities('hv')})"
 
 
 # --- urls -------------------------------------------------------------------

@@ -128,7 +128,7 @@ def _variants_sql() -> str:
     first_link = f"split_part({after}, {NL}, 1)"
     dropped = (f"CASE WHEN {link_start} > 0 THEN substr({d}, 1, {link_start}) || "
                f"substr({after}, length({first_link}) + 2) ELSE {d} END")
-    link_line = r"'(?m)^(- \[.*\]\(https?://[^)]*\))$'"
+    link_line = r"'(?m)^(- \[.*\]\(https?://.*\))$'"
     described = f"regexp_replace({d}, {link_line}, '\\1: Short page description', 'g')"
     long_desc = f"regexp_replace({d}, {link_line}, '\\1: {' '.join(['word'] * 16)}', 'g')"
     optional = f"'## Optional' || {NL} || {NL} || '- [More pages](' || base_url || '/more)' || {NL} || {NL}"

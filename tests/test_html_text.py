@@ -43,10 +43,62 @@ def test_entity_decoding(spark):
              "caf&eacute; &copy; 2024 &hellip; &mdash; &rsquo;s", "&#0;"]
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     got = [r[0] for r in df.select(H.decode_entities("s")).collect()]
-    assert got == ["a & b", "<x>", "AB", "&lt;", "&unknown; &", '"q"', "'", "café © 2024 … — ’s", "&#0;"]
-    # agrees with html.unescape where the named set covers the input
-    for c, g in zip(cases[:8], got[:8]):
-        assert g == pyhtml.unescape(c)
+    assert got == ["a & b", "<x>", "AB", "&lt;", "&unknown; &", '"q"', "'", "café © 2024 … — ’s", "\ufffd"]
+
+
+HOSTILE = ["/p?id=3&lang=en", "&image=1&part=2&sub=3&real=4&sum=5", "&copy2024", "&notit;", "&lpar;x&rpar;", "&#146;&#150;&#x80;",
+           "&#00000065;", "&#x110000;", "&#xD800;", "&#1;&#127;&#xFFFE;", "&ampamp;", "&amp", "&lt", "&ltx", "&;", "&#;", "&#x;", "&&amp;&",
+           "&NotEqualTilde;", "&nbsp&nbsp;", "&frac12x", "&CounterClockwiseContourIntegral;", "&#99999999999999999999;", "&#x0000000041;",
+           "&Tab;&NewLine;", "&fjlig;", "&notin", "&notin;", "&am p;", "&#13;", "a&b<c>&d"]
+
+
+def test_entities_agree_with_the_standard_library(spark):
+    import html.entities
+    import random
+    rng = random.Random(2)
+    names = sorted(html.entities.html5)
+    cases = HOSTILE + ["".join(rng.choice(["&" + rng.choice(names), "&", ";", "=", "x", " ", f"&#{rng.randint(0, 1200000)}", "&#x9f;"])
+                               for _ in range(rng.randint(1, 6))) for _ in range(400)] + ["&" + n for n in names[::7]]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, s string")
+    got = {r.i: r.d for r in df.select("i", H.decode_entities("s").alias("d")).collect()}
+    bad = [(c, got[i], pyhtml.unescape(c)) for i, c in enumerate(cases) if got[i] != pyhtml.unescape(c)]
+    assert bad == []
+
+
+def test_hrefs_agree_with_html_parser(spark):
+    import random
+    from html.parser import HTMLParser
+    rng = random.Random(4)
+    attrs = ['href="/a"', "href='/b c'", "href=/bare", "href", 'HREF = "/U&amp;v"', 'title="a > b"', "class='x'", "data-href=/no", "id=7",
+             "x-href='q'", "href=''", 'alt="<b>"', "disabled", 'title="it\'s"']
+    tags = ['<a title="a > b" href="/q">', "<a class='x'href='/n'>", "<a>", "<a/>", "<abbr href=/no>", "<A HREF=/up>", "<a\nhref=/nl>",
+            "<a href=/one href=/two>", "<article href='/no'>"]
+    for _ in range(200):
+        parts = [rng.choice(attrs) for _ in range(rng.randint(0, 4))]
+        tags.append(f"<a {rng.choice([' ', chr(10), chr(9)]).join(parts)}{rng.choice(['', ' ', '/', ' /'])}>")
+    tags = [t for t in tags if not t.endswith("/>") or "=/" not in t.split()[-1]]      # "=/bare/>": the slash belongs to the value
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.out += [v or "" for k, v in attrs if k == "href"][:1]
+        handle_startendtag = handle_starttag
+
+    df = spark.createDataFrame(list(enumerate(tags)), "i int, s string")
+    got = {r.i: r.d for r in df.select("i", H.extract_hrefs("s").alias("d")).collect()}
+    for i, t in enumerate(tags):
+        p = Links()
+        p.out = []
+        p.feed(t + "text</a>")
+        p.close()
+        assert got[i] == p.out, t
+
+
+def test_anchors_on_broken_pages_stay_linear(spark):
+    pages = ["<a " * 50000, "<a href=" + "x" * 200000, "<a " + "y='" * 30001, "<a " + "b=1 " * 20000 + "href=/end>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, s string")
+    got = {r.i: r.d for r in df.select("i", H.extract_hrefs("s").alias("d")).collect()}
+    assert got[0] == [] and got[3] == ["/end"]
 
 
 def test_whitespace_title_case_capitalize(spark):

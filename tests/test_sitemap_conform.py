@@ -151,3 +151,11 @@ def test_near_duplicate_keys(spark):
     df = spark.createDataFrame(rows, "site string, url string").selectExpr("site", "'link' AS kind", "url")
     got = C.near_duplicates(df, ["site"]).collect()
     assert [(r.url_key, r.n_urls) for r in got] == [("http://a.com/x", 3)]
+
+
+def test_urls_with_brackets_are_links(spark):
+    doc = "# T\n\n- [Foo](http://a.com/wiki/Foo_(bar))\n- [G](http://a.com/g_(x): A note (short)\n- [H](http://a.com/h): See: (this)\n"
+    df = spark.createDataFrame([("s", doc)], "site string, doc string")
+    got = [(r.title, r.url, r.description) for r in C.line_table(df, ["site"]).filter("kind = 'link'").orderBy("line_no").collect()]
+    assert got == [("Foo", "http://a.com/wiki/Foo_(bar)", ""), ("G", "http://a.com/g_(x", "A note (short)"),
+                   ("H", "http://a.com/h", "See: (this)")]
