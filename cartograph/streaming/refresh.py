@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartograph.operators import sitemap as SM
+from cartograph.session import ensure_checkpoint_dir
 from cartograph.sources import pages as P
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 INDEX_COLUMNS = ["url", "page_id", "site", "title_state", "title"]
+INDEX_DDL = "url string, page_id bigint, site string, title_state string, title string"
+BROADCAST_SITES = 100_000      # touched sites of one batch that may be broadcast (64-byte keys)
 
 
 def _site_key(c):
@@ -29,17 +32,26 @@ def _site_key(c):
     return F.sha2(c, 256)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+
+
 def _apply_batch(spark: SparkSession, batch: DataFrame, index_path: str, docs_path: str,
-                 max_pages: int) -> None:
-    new = P.page_index(batch).select(*INDEX_COLUMNS)
-    touched = new.select("site").distinct()
-    try:
-        old = spark.read.parquet(index_path).select(*INDEX_COLUMNS).join(touched, "site", "left_semi")
-    except Exception:  # first batch: no index yet
-        old = spark.createDataFrame([], new.schema)
-    merged = (old.unionByName(new).groupBy("url")
-              .agg(F.min_by(F.struct(*INDEX_COLUMNS[1:]), F.col("page_id")).alias("b"))
-              .select("url", "b.*"))
+                 max_pages: int | None) -> None:
+    ensure_checkpoint_dir(spark)
+    new = P.page_index(batch).select(*INDEX_COLUMNS).checkpoint(eager=True)
+    if _exists(spark, index_path):
+        # joined on the partition column, so that the scan is pruned to the touched sites;
+        # any failure to read the index fails the batch
+        touched = new.select(_site_key("site").alias("site_key")).distinct()
+        stored = spark.read.schema(f"{INDEX_DDL}, site_key string").parquet(index_path)
+        merged = stored.join(F.broadcast(touched) if touched.count() <= BROADCAST_SITES else touched, "site_key", "left_semi") \
+            .select(*INDEX_COLUMNS).unionByName(new)
+    else:
+        merged = new
+    first = merged.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    merged = merged.join(first, ["url", "page_id"], "left_semi").dropDuplicates(["url"])
     merged = merged.checkpoint(eager=True)  # cut lineage before overwriting what we read
     (merged.withColumn("site_key", _site_key("site")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("site_key").parquet(index_path))
@@ -49,7 +61,7 @@ def _apply_batch(spark: SparkSession, batch: DataFrame, index_path: str, docs_pa
 
 
 def start_refresh(spark: SparkSession, capture_dir: str, index_path: str, docs_path: str,
-                  checkpoint_path: str, max_pages: int = SM.DEFAULT_MAX_PAGES,
+                  checkpoint_path: str, max_pages: int | None = None,
                   glob: str = "*.parquet", available_now: bool = True):
     """Start the refresh query; returns the StreamingQuery."""
     stream = (spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
