@@ -139,44 +139,3 @@ def near_duplicates(lines: DataFrame, keys: list[str]) -> DataFrame:
             .groupBy(*keys, "url_key")
             .agg(F.count("*").alias("n_entries"), F.count_distinct("url").alias("n_urls"))
             .filter(F.col("n_urls") > 1))
-
-
-# Planted faults on generated maps (FIXTURES.md C), all string operations.
-def planted_variants(docs: DataFrame) -> DataFrame:
-    """(site, variant, doc): the map itself plus one copy per planted fault."""
-    d, base = F.col("doc"), F.col("base_url")
-    nl = F.lit("\n")
-
-    def first_replace(s, old, new):
-        pos = F.instr(s, old)
-        new = F.lit(new) if isinstance(new, str) else new
-        return F.when(pos > 0, F.concat(F.substring(s, F.lit(1), pos - 1), new,
-                                        F.substring(s, pos + len(old), F.lit(1 << 30)))).otherwise(s)
-
-    link_start = F.instr(d, "\n- [")
-    after = F.substring(d, link_start + 1, F.lit(1 << 30))
-    first_link = F.substring_index(after, "\n", 1)
-    dropped = F.when(link_start > 0, F.concat(F.substring(d, F.lit(1), link_start),
-                                               F.substring(after, F.length(first_link) + 2, F.lit(1 << 30)))).otherwise(d)
-    described = F.regexp_replace(d, r"(?m)^(- \[.*\]\(https?://.*\))$", "$1: Short page description")
-    long_desc = F.regexp_replace(d, r"(?m)^(- \[.*\]\(https?://.*\))$",
-                                 "$1: " + " ".join(["word"] * 16))
-    optional = F.concat(F.lit("## Optional\n\n- [More pages]("), base, F.lit("/more)\n\n"))
-    variants = [
-        ("basic", d),
-        ("fenced", F.concat(F.lit("```markdown\n"), d, F.lit("```"))),
-        ("json_metadata", F.concat(d, F.lit('{"generated_by": "model", "pages": '),
-                                   F.length(d).cast("string"), F.lit("}\n"))),
-        ("deep_heading", first_replace(d, "\n## ", "\n### ")),
-        ("link_dropped", dropped),
-        ("link_invented", F.concat(d, F.lit("- [Invented page]("), base, F.lit("/invented-page)\n"))),
-        ("duplicate", F.concat(d, first_link, nl)),
-        ("described", described),
-        ("long_description", long_desc),
-        ("with_optional", F.concat(described, optional)),
-        ("optional_not_last", first_replace(described, "\n## ", F.concat(
-            F.lit("\n## Optional\n\n- [More pages]("), base, F.lit("/more)\n\n## ")))),
-    ]
-    return docs.select("site", "base_url", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("variant"), expr.alias("doc")) for name, expr in variants])).alias("v")) \
-        .select("site", "base_url", "v.variant", "v.doc")

@@ -140,9 +140,10 @@ def choose_context(runs: DataFrame, index: DataFrame) -> DataFrame:
     """S3: the full document when given and present, else the index document.
 
     ``runs``: (run_id, full) with ``full`` NULL when not given; ``index``:
-    (run_id, idx). Returns (run_id, kind, context, n_chars).
+    (run_id, idx). A run may be in either or both. Returns (run_id, kind,
+    context, n_chars).
     """
-    j = runs.join(index, "run_id", "left")
+    j = runs.join(index, "run_id", "full_outer")
     ctx = F.coalesce("full", "idx")
     return j.select(
         "run_id",

@@ -61,16 +61,3 @@ def batch_infer(df: DataFrame, fn: InferFn, keys: list[str], prompt_col: str = "
         output_path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batch_infer/{uuid.uuid4().hex}"
     result.write.mode("overwrite").parquet(output_path)
     return spark.read.parquet(output_path)
-
-
-def length_model(prompts, systems=None):
-    """Deterministic stand-in for a model (tests and the registered query):
-    answers with the prompt length and refuses prompts whose length is a
-    multiple of 7."""
-    out = []
-    for p in prompts:
-        if len(p) % 7 == 0:
-            raise ValueError("refused")
-        out.append(f"len={len(p)}")
-    return out
-

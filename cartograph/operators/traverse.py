@@ -127,18 +127,6 @@ def graph_from_index(index: DataFrame, links: DataFrame) -> DataFrame:
     return build_graph(nodes, links.select("src_url", "pos", "dst_url"))
 
 
-def derived_tree_links(ranked_pages: DataFrame) -> DataFrame:
-    """Synthetic link table for tests: in each site (pages r = 0, 1, ... by
-    page_id), page r links to 2r+1, 2r+2, r-1 and r, in that order, where
-    those pages exist. FIFO order is then r order.
-    """
-    src = ranked_pages.select("site", F.col("url").alias("src_url"), "r")
-    edges = src.select("site", "src_url", F.posexplode(F.array(
-        2 * F.col("r") + 1, 2 * F.col("r") + 2, F.col("r") - 1, F.col("r"))).alias("pos", "t"))
-    dst = ranked_pages.select("site", F.col("r").alias("t"), F.col("url").alias("dst_url"))
-    return edges.join(dst, ["site", "t"]).select("src_url", "pos", "dst_url")
-
-
 def prefix_scope_join(pages: DataFrame, seeds: DataFrame, scope: str = "prefix") -> DataFrame:
     """J3 for many seeds: (site, base_url, url) for every page in a seed's scope.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cartograph.functions import urls as U
 from cartograph.operators import sitemap as SM
+from cartograph.sources import fixtures as FX
 from cartograph.sources import pages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +98,7 @@ def _site_pages(spark, sf_dir):
 def _tree_bfs(spark, sf_dir, max_pages_col):
     from cartograph.operators import traverse as TR
     pages = _site_pages(spark, sf_dir).checkpoint(eager=True)  # read by the graph build and the seeds
-    graph = TR.build_graph(pages.select("url", "title"), TR.derived_tree_links(pages))
+    graph = TR.build_graph(pages.select("url", "title"), FX.derived_tree_links(pages))
     seeds = pages.filter(F.col("r") == 0).select(
         "site", F.col("site").alias("base_url"), F.col("url").alias("start_url"),
         max_pages_col.alias("max_pages"))
@@ -131,7 +132,7 @@ def bfs_captured_links(spark, sf_dir):
 def _map_lines(spark, sf_dir):
     from cartograph.operators import conform as C
     docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
-    variants = C.planted_variants(docs)
+    variants = FX.planted_variants(docs)
     return C.line_table(variants, ["site", "variant"])
 
 
@@ -176,7 +177,6 @@ def map_near_duplicates(spark, sf_dir):
 
 def _judge(spark, sf_dir):
     from cartograph.operators import experiment as X
-    from cartograph.sources import fixtures as FX
     return X.parse_judge(FX.judge_raw(P.read_table(spark, sf_dir, "events")))
 
 
@@ -235,8 +235,11 @@ def signal_counts(spark, sf_dir):
 
 
 def _contexts(spark, sf_dir):
-    """Per run (conversation): its first system turn as the full document, else
-    the run's index document (``documents`` row with doc_id = run)."""
+    """Per run: its first system turn as the full document, else its index document.
+
+    Every conversation is a run, and so is every document (the index document
+    of the run with its id).
+    """
     from cartograph.operators import experiment as X
     conv = P.read_table(spark, sf_dir, "conversations")
     runs = conv.groupBy(F.col("conv_id").alias("run_id")).agg(
@@ -280,7 +283,6 @@ def judge_prompts(spark, sf_dir):
 def generated_queries_parse(spark, sf_dir):
     """P12 + S4 shape: question lists in model replies -> query items."""
     from cartograph.functions import jsonparse as J
-    from cartograph.sources import fixtures as FX
     raw = FX.querygen_raw(P.read_table(spark, sf_dir, "events"))
     parsed = J.with_parsed_query_items(raw, "raw")
     # posexplode_outer + a filter on the generated column: a plain posexplode
@@ -299,7 +301,7 @@ def batch_infer(spark, sf_dir):
     """X1 over the judge prompts with the deterministic stand-in model."""
     from cartograph.operators import infer as XI
     prompts = judge_prompts(spark, sf_dir)
-    return XI.batch_infer(prompts, XI.length_model, ["run_id", "query_id"])
+    return XI.batch_infer(prompts, FX.length_model, ["run_id", "query_id"])
 
 
 def _report_inputs(spark, sf_dir):
@@ -327,9 +329,8 @@ def report_lines(spark, sf_dir):
 def map_unfence(spark, sf_dir):
     """P10 on all planted map variants."""
     from cartograph.functions import text as T
-    from cartograph.operators import conform as C
     docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
-    return C.planted_variants(docs).select("site", "variant", T.strip_code_fence("doc").alias("doc"))
+    return FX.planted_variants(docs).select("site", "variant", T.strip_code_fence("doc").alias("doc"))
 
 
 @query("rewrite_prompts")
@@ -388,3 +389,32 @@ def seed_prefix_scope(spark, sf_dir):
     return seeds.join(pre, "site", "left").join(auth, "site", "left").select(
         "site", F.coalesce("n_prefix", F.lit(0)).alias("n_prefix"),
         F.coalesce("n_authority", F.lit(0)).alias("n_authority"))
+
+
+@query("experiment_end_to_end")
+def experiment_end_to_end(spark, sf_dir):
+    """Questions -> arm prompts -> answers -> judge prompts -> replies -> scores -> A4/A5, with stand-in models."""
+    from cartograph.operators import chains as CH
+    from cartograph.operators import experiment as X
+    qa = X.qa_pairs(P.read_table(spark, sf_dir, "conversations"))
+    facts = F.filter(F.split(F.coalesce("answer", F.lit("")), "\n", -1), lambda x: x != "")
+    queries = qa.select("run_id", "query_id", "query", F.lit(None).cast("string").alias("category"), facts.alias("key_facts"))
+    parsed, _ = CH.run_experiment(queries, _contexts(spark, sf_dir), FX.answer_model, FX.judge_model)
+    return X.overall_improvement(parsed)
+
+
+@query("rewrite_end_to_end")
+def rewrite_end_to_end(spark, sf_dir):
+    """Site maps -> rewrite prompts -> model -> unfenced or basic map -> lost and invented URLs."""
+    from cartograph.operators import chains as CH
+    docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir))).checkpoint(eager=True)
+    return CH.rewrite_preservation(docs, CH.rewrite_maps(docs, FX.rewrite_model))
+
+
+@query("questions_end_to_end")
+def questions_end_to_end(spark, sf_dir):
+    """Documents -> question prompts -> model -> strict parse -> question items and reasons."""
+    from cartograph.operators import chains as CH
+    docs = P.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text")
+    return CH.generate_questions(docs, FX.question_model).select(
+        "run_id", "item_pos", "query", "category", F.array_join("key_facts", " | ").alias("key_facts_text"), "reason")

@@ -334,11 +334,11 @@ ORACLE["signal_counts"] = _signals_sql()
 
 
 _CONTEXTS = """
-SELECT r.run_id, CASE WHEN r.full IS NOT NULL THEN 'full' ELSE 'index' END AS kind,
+SELECT coalesce(r.run_id, d.doc_id) AS run_id, CASE WHEN r.full IS NOT NULL THEN 'full' ELSE 'index' END AS kind,
        coalesce(r.full, d.text) AS context, CAST(length(coalesce(r.full, d.text)) AS BIGINT) AS n_chars
 FROM (SELECT conv_id AS run_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS full
       FROM conversations GROUP BY conv_id) AS r
-LEFT JOIN documents d ON d.doc_id = r.run_id"""
+FULL JOIN documents d ON d.doc_id = r.run_id"""
 
 ORACLE["context_choice"] = f"SELECT run_id, kind, n_chars FROM ({_CONTEXTS}) AS c"
 
@@ -364,21 +364,29 @@ FROM ({_QA}) AS q LEFT JOIN ({_CONTEXTS}) AS c ON q.run_id = c.run_id,
 ORACLE["arm_prompts"] = _arm_prompts_sql()
 
 
-def _judge_prompts_sql() -> str:
+def _fill_sql(template: str, values: dict[str, str]) -> str:
     import re
-    from cartograph.functions import prompts as PR
-    values = {"query": "q.query",
-              "key_facts_formatted": "array_to_string(list_transform(list_filter(string_split(coalesce(q.answer, ''), "
-                                     "chr(10)), lambda x: x <> ''), lambda x: '- ' || x), chr(10))",
-              "baseline": "coalesce(q.answer, '')", "enhanced": "coalesce(c.context, '')"}
     parts, pos = [], 0
-    for m in re.finditer(r"\{([a-z_]+)\}", PR.JUDGE_TEMPLATE):
+    for m in re.finditer(r"\{([a-z_]+)\}", template):
         if m.group(1) in values:
-            parts += [D.lit(PR.JUDGE_TEMPLATE[pos:m.start()]), values[m.group(1)]]
+            parts += [D.lit(template[pos:m.start()]), values[m.group(1)]]
             pos = m.end()
-    parts.append(D.lit(PR.JUDGE_TEMPLATE[pos:]))
+    parts.append(D.lit(template[pos:]))
+    return "(" + " || ".join(parts) + ")"
+
+
+def _judge_prompt_expr(baseline: str, enhanced: str) -> str:
+    from cartograph.functions import prompts as PR
+    facts = ("array_to_string(list_transform(list_filter(string_split(coalesce(q.answer, ''), "
+             "chr(10)), lambda x: x <> ''), lambda x: '- ' || x), chr(10))")
+    return _fill_sql(PR.JUDGE_TEMPLATE, {"query": "q.query", "key_facts_formatted": facts, "baseline": baseline, "enhanced": enhanced})
+
+
+def _judge_prompts_sql() -> str:
+    from cartograph.functions import prompts as PR
     return f"""
-SELECT q.run_id, q.query_id, {D.lit(PR.JUDGE_SYSTEM)} AS system, {' || '.join(parts)} AS prompt
+SELECT q.run_id, q.query_id, {D.lit(PR.JUDGE_SYSTEM)} AS system,
+       {_judge_prompt_expr("coalesce(q.answer, '')", "coalesce(c.context, '')")} AS prompt
 FROM ({_QA}) AS q LEFT JOIN ({_CONTEXTS}) AS c ON q.run_id = c.run_id"""
 
 
@@ -416,17 +424,6 @@ SELECT site, variant, {D.strip_code_fence('doc')} AS doc
 FROM ({_variants_sql()}) AS v"""
 
 
-def _fill_sql(template: str, values: dict[str, str]) -> str:
-    import re
-    parts, pos = [], 0
-    for m in re.finditer(r"\{([a-z_]+)\}", template):
-        if m.group(1) in values:
-            parts += [D.lit(template[pos:m.start()]), values[m.group(1)]]
-            pos = m.end()
-    parts.append(D.lit(template[pos:]))
-    return "(" + " || ".join(parts) + ")"
-
-
 def _rewrite_sql() -> str:
     from cartograph.functions import prompts as PR
     return (f"SELECT site, {_fill_sql(PR.REWRITE_TEMPLATE, {'basic_map': 'doc', 'site_name': 'site_name'})} AS prompt "
@@ -519,3 +516,39 @@ SELECT run_id, 2, query_no, CAST(k AS INTEGER), line FROM (SELECT run_id, query_
 
 
 ORACLE["report_lines"] = _report_sql()
+
+
+def _experiment_sql() -> str:
+    from cartograph.functions import prompts as PR
+    pre, post = PR.ENHANCED_SYSTEM.split("{context}")
+    answer = lambda n: f"'Answer of ' || CAST({n} AS VARCHAR) || ' characters.'"
+    cells = lambda step: " + ".join(f"(1 + (n + {step * k + step}) % 10)" for k in range(4))
+    return f"""
+WITH q AS (
+  SELECT qa.*, length(qa.query) + {len(PR.BASELINE_SYSTEM)} AS nb,
+         length(qa.query) + {len(pre) + len(post)} + length(coalesce(c.context, '')) AS ne
+  FROM ({_QA}) AS qa LEFT JOIN ({_CONTEXTS}) AS c ON qa.run_id = c.run_id),
+j AS (SELECT q.run_id, length({_judge_prompt_expr(answer('q.nb'), answer('q.ne'))}) AS n FROM q WHERE nb % 11 <> 0 AND ne % 11 <> 0),
+t AS (SELECT run_id, count(*) AS n_queries, sum({cells(1)}) AS tb, sum({cells(3)}) AS te
+      FROM j WHERE n % 13 <> 0 AND n % 7 <> 0 GROUP BY run_id)
+SELECT run_id, n_queries, b AS overall_baseline, e AS overall_enhanced, e - b AS overall_delta, (e - b) / b * 100 AS improvement_pct
+FROM (SELECT run_id, n_queries, tb / (n_queries * 4) AS b, te / (n_queries * 4) AS e FROM t) AS m"""
+
+
+ORACLE["experiment_end_to_end"] = _experiment_sql()
+
+ORACLE["rewrite_end_to_end"] = f"""
+WITH d AS (SELECT s.site, s.n_pages, s.doc, length(p.prompt) AS n FROM ({ORACLE['sitemap_documents']}) AS s
+           JOIN ({ORACLE['rewrite_prompts']}) AS p ON p.site = s.site),
+m AS (SELECT *, CASE WHEN n % 7 <> 0 AND n % 5 = 0 AND contains(doc, '](http://') THEN 1 ELSE 0 END AS moved FROM d)
+SELECT site, CASE WHEN n % 7 = 0 THEN 'basic' ELSE 'rewritten' END AS source,
+       CAST(moved AS BIGINT) AS n_lost, CAST(moved AS BIGINT) AS n_invented, n_pages - moved AS n_kept FROM m"""
+
+ORACLE["questions_end_to_end"] = f"""
+WITH p AS (SELECT run_id, length(prompt) AS n FROM ({ORACLE['query_gen_prompts']}) AS q)
+SELECT run_id, CAST(NULL AS INTEGER) AS item_pos, NULL AS query, NULL AS category, NULL AS key_facts_text,
+       CASE WHEN n % 7 = 0 THEN 'model_error' ELSE 'no_array' END AS reason FROM p WHERE n % 7 = 0 OR n % 5 = 0
+UNION ALL
+SELECT run_id, 0, 'What is ' || CAST(n AS VARCHAR) || '?', 'size', CAST(n AS VARCHAR), 'ok' FROM p WHERE n % 7 <> 0 AND n % 5 <> 0
+UNION ALL
+SELECT run_id, 1, 'Anything else?', 'general', NULL, 'no_key_facts' FROM p WHERE n % 7 <> 0 AND n % 5 <> 0"""

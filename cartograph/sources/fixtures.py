@@ -13,6 +13,8 @@ filler built from real rows and is labelled so in the README.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +91,107 @@ QUERYGEN_COLUMNS = {"reply_id": "event_id", "run_id": "user_id", "raw": QUERYGEN
 
 def querygen_raw(events: DataFrame) -> DataFrame:
     return events.selectExpr(*[f"{expr} AS {name}" for name, expr in QUERYGEN_COLUMNS.items()])
+
+
+def derived_tree_links(ranked_pages: DataFrame) -> DataFrame:
+    """Synthetic link table for tests: in each site (pages r = 0, 1, ... by
+    page_id), page r links to 2r+1, 2r+2, r-1 and r, in that order, where
+    those pages exist. FIFO order is then r order.
+    """
+    src = ranked_pages.select("site", F.col("url").alias("src_url"), "r")
+    edges = src.select("site", "src_url", F.posexplode(F.array(
+        2 * F.col("r") + 1, 2 * F.col("r") + 2, F.col("r") - 1, F.col("r"))).alias("pos", "t"))
+    dst = ranked_pages.select("site", F.col("r").alias("t"), F.col("url").alias("dst_url"))
+    return edges.join(dst, ["site", "t"]).select("src_url", "pos", "dst_url")
+
+
+# Planted faults on generated maps (FIXTURES.md C), all string operations.
+def planted_variants(docs: DataFrame) -> DataFrame:
+    """(site, variant, doc): the map itself plus one copy per planted fault."""
+    d, base = F.col("doc"), F.col("base_url")
+    nl = F.lit("\n")
+
+    def first_replace(s, old, new):
+        pos = F.instr(s, old)
+        new = F.lit(new) if isinstance(new, str) else new
+        return F.when(pos > 0, F.concat(F.substring(s, F.lit(1), pos - 1), new,
+                                        F.substring(s, pos + len(old), F.lit(1 << 30)))).otherwise(s)
+
+    link_start = F.instr(d, "\n- [")
+    after = F.substring(d, link_start + 1, F.lit(1 << 30))
+    first_link = F.substring_index(after, "\n", 1)
+    dropped = F.when(link_start > 0, F.concat(F.substring(d, F.lit(1), link_start),
+                                               F.substring(after, F.length(first_link) + 2, F.lit(1 << 30)))).otherwise(d)
+    described = F.regexp_replace(d, r"(?m)^(- \[.*\]\(https?://.*\))$", "$1: Short page description")
+    long_desc = F.regexp_replace(d, r"(?m)^(- \[.*\]\(https?://.*\))$",
+                                 "$1: " + " ".join(["word"] * 16))
+    optional = F.concat(F.lit("## Optional\n\n- [More pages]("), base, F.lit("/more)\n\n"))
+    variants = [
+        ("basic", d),
+        ("fenced", F.concat(F.lit("```markdown\n"), d, F.lit("```"))),
+        ("json_metadata", F.concat(d, F.lit('{"generated_by": "model", "pages": '),
+                                   F.length(d).cast("string"), F.lit("}\n"))),
+        ("deep_heading", first_replace(d, "\n## ", "\n### ")),
+        ("link_dropped", dropped),
+        ("link_invented", F.concat(d, F.lit("- [Invented page]("), base, F.lit("/invented-page)\n"))),
+        ("duplicate", F.concat(d, first_link, nl)),
+        ("described", described),
+        ("long_description", long_desc),
+        ("with_optional", F.concat(described, optional)),
+        ("optional_not_last", first_replace(described, "\n## ", F.concat(
+            F.lit("\n## Optional\n\n- [More pages]("), base, F.lit("/more)\n\n## ")))),
+    ]
+    return docs.select("site", "base_url", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("variant"), expr.alias("doc")) for name, expr in variants])).alias("v")) \
+        .select("site", "base_url", "v.variant", "v.doc")
+
+
+# Deterministic stand-ins for a model; each can be written in SQL as well.
+def length_model(prompts, systems=None):
+    """Deterministic stand-in for a model (tests and the registered query):
+    answers with the prompt length and refuses prompts whose length is a
+    multiple of 7."""
+    out = []
+    for p in prompts:
+        if len(p) % 7 == 0:
+            raise ValueError("refused")
+        out.append(f"len={len(p)}")
+    return out
+
+
+def answer_model(prompts, systems=None):
+    """Says how long prompt and system text are; refuses multiples of 11."""
+    sizes = [len(p) + len(s) for p, s in zip(prompts, systems)]
+    if any(n % 11 == 0 for n in sizes):
+        raise ValueError("refused")
+    return [f"Answer of {n} characters." for n in sizes]
+
+
+def judge_model(prompts, systems=None):
+    """Scores from the prompt's length; refuses multiples of 13, gives no verdict on multiples of 7."""
+    if any(len(p) % 13 == 0 for p in prompts):
+        raise ValueError("refused")
+    out = []
+    for n in map(len, prompts):
+        arms = {a: {c: 1 + (n + step * k + step) % 10 for k, c in enumerate(CRITERIA)} for a, step in (("baseline", 1), ("enhanced", 3))}
+        out.append("No verdict." if n % 7 == 0 else "Here you are:\n```json\n" + json.dumps(arms) + "\n```")
+    return out
+
+
+def rewrite_model(prompts, systems=None):
+    """Returns the map in a code fence, its first http link turned to https on multiples of 5; refuses multiples of 7."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise ValueError("refused")
+    out = []
+    for p in prompts:
+        doc = p.split("Here's the raw site map to enhance:\n\n", 1)[1]
+        out.append("```markdown\n" + (doc.replace("](http://", "](https://", 1) if len(p) % 5 == 0 else doc) + "```")
+    return out
+
+
+def question_model(prompts, systems=None):
+    """Two questions about the prompt's length; no list on multiples of 5; refuses multiples of 7."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise ValueError("refused")
+    return ["No questions." if n % 5 == 0 else json.dumps([
+        {"query": f"What is {n}?", "category": "size", "key_facts": [str(n)]}, {"query": "Anything else?"}]) for n in map(len, prompts)]
