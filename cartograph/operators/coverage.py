@@ -25,6 +25,7 @@ EMAIL_PATTERN_JAVA = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+
 # no repeated group (Java's regex engine would recurse per repetition on
 # long digit runs); "1..2" counts once here
 NUMBER_PATTERN = r"[0-9][0-9.,]*[0-9]|[0-9]"
+SALTS = 16
 MD_LINK_PATTERN = r"\[[^\[\]]*\]\(https?://[^)]*\)"  # link text without brackets: linear scan
 # ---------------------------------------------------------------------------
 
@@ -33,6 +34,11 @@ def tokens(text) -> F.Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN_PATTERN), 0))
 
 
+def salted(df: DataFrame) -> DataFrame:
+    """Each row once per salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def covered_facts(responses: DataFrame, facts: DataFrame, resp_id: str = "doc_id",
                   fact_id: str = "item_id") -> DataFrame:
     """(resp_id, fact_id, n_tokens) for every response that covers a fact."""
@@ -40,16 +46,20 @@ def covered_facts(responses: DataFrame, facts: DataFrame, resp_id: str = "doc_id
     fe = ft.select(fact_id, F.size("toks").alias("n_tokens"), F.explode("toks").alias("tok"))
     # Only tokens some fact uses can matter: semi-join the response tokens to
     # the fact vocabulary, then checkpoint (the index is read three times).
-    vocab = fe.select("tok").distinct()
+    # A common word would put every response that holds it into one task: the
+    # responses are dealt over SALTS pieces of a token, and the short side is
+    # repeated for each piece.
+    vocab = salted(fe.select("tok").distinct())
     rt = (responses.select(resp_id, F.explode(tokens("text")).alias("tok"))
-          .join(vocab, "tok", "left_semi").checkpoint(eager=True))
+          .withColumn("salt", F.pmod(F.xxhash64(resp_id), F.lit(SALTS)).cast("int"))
+          .join(vocab, ["tok", "salt"], "left_semi").checkpoint(eager=True))
     df = rt.groupBy("tok").agg(F.count("*").alias("df"))
     rare = fe.join(df, "tok").groupBy(fact_id, "n_tokens").agg(
         F.min(F.struct("df", "tok"))["tok"].alias("tok"),
         F.count("*").alias("n_present"))
     # a token no response has makes the fact uncoverable
     rare = rare.filter(F.col("n_present") == F.col("n_tokens")).drop("n_present")
-    cand = rare.join(rt, "tok").select(fact_id, resp_id, "n_tokens")
+    cand = salted(rare).join(rt, ["tok", "salt"]).select(fact_id, resp_id, "n_tokens")
     check = cand.join(fe.select(fact_id, "tok"), fact_id).join(rt, [resp_id, "tok"])
     return check.groupBy(resp_id, fact_id, "n_tokens").agg(F.count("*").alias("hit")) \
         .filter(F.col("hit") == F.col("n_tokens")).select(resp_id, fact_id, "n_tokens")

@@ -9,9 +9,9 @@ first enqueued a URL, then the link's position on that page. Per level:
     pages -> scope + suffix filters (F2-F4) -> first discovery per URL (W3)
     -> anti join with everything already enqueued (J2) -> next frontier
 
-Only the frontier is shuffled per level: the graph is hash-partitioned by
-URL once and checkpointed, so Spark reuses its partitioning in every join.
-Lineage is cut with reliable checkpoints (``spark.checkpoint.dir``).
+The graph is hash-partitioned by URL once and checkpointed, so no level
+shuffles it; a level shuffles the frontier, the candidates and the set of
+URLs seen so far. Lineage is cut with reliable checkpoints (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from cartograph.functions import urls as U
 from cartograph.session import ensure_checkpoint_dir
 
 
+SALTS = 16
+
+
 def build_graph(nodes: DataFrame, links: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """(url, title, links array<string> in document order), partitioned by url.
 
@@ -142,9 +145,12 @@ def prefix_scope_join(pages: DataFrame, seeds: DataFrame, scope: str = "prefix")
     if not lengths:
         return seeds.select("site", "base_url").limit(0).withColumn("url", F.lit(None).cast("string"))
     cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("url"))
-    cand = pages.select("url", F.explode(F.transform(cut, lambda n: F.substring("url", 1, n))).alias("prefix"))
-    out = cand.join(seeds.select("site", F.col("base_url").alias("prefix")), "prefix") \
-        .select("site", F.col("prefix").alias("base_url"), "url")
+    # one large site is one prefix: its pages are dealt over SALTS pieces, the seeds repeated for each
+    cand = pages.select("url", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt"),
+                        F.explode(F.transform(cut, lambda n: F.substring("url", F.lit(1), n))).alias("prefix"))
+    dealt = seeds.select("site", F.col("base_url").alias("prefix"),
+                         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = cand.join(dealt, ["prefix", "salt"]).select("site", F.col("prefix").alias("base_url"), "url")
     if scope == "authority":
         out = out.filter(U.site_of("url") == U.site_of("base_url"))
     elif scope != "prefix":

@@ -384,9 +384,10 @@ def seed_prefix_scope(spark, sf_dir):
     ix = _index(spark, sf_dir).checkpoint(eager=True)
     pages = ix.select("url")
     seeds = ix.filter(F.col("site") != "").select("site", F.col("site").alias("base_url")).distinct()
-    pre = TR.prefix_scope_join(pages, seeds).groupBy("site").agg(F.count("*").alias("n_prefix"))
-    auth = TR.prefix_scope_join(pages, seeds, "authority").groupBy("site").agg(F.count("*").alias("n_authority"))
-    return seeds.join(pre, "site", "left").join(auth, "site", "left").select(
+    # the authority scope is the prefix scope with one more test on the row
+    hits = TR.prefix_scope_join(pages, seeds).groupBy("site").agg(
+        F.count("*").alias("n_prefix"), F.count_if(U.site_of("url") == U.site_of("base_url")).alias("n_authority"))
+    return seeds.join(hits, "site", "left").select(
         "site", F.coalesce("n_prefix", F.lit(0)).alias("n_prefix"),
         F.coalesce("n_authority", F.lit(0)).alias("n_authority"))
 
