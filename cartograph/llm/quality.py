@@ -96,10 +96,13 @@ def _collect_features(texts: DataFrame, keep: list[str]):
     def run(batches):
         import pyarrow as pa
 
+        from cartograph.llm.chars import slices
+
         for b in batches:
-            rows = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in keep), pa.array([r.tobytes() for r in rows], pa.binary())], names=[*keep, "x"])
+            for lo, texts in slices(b.column("text")):
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(k).slice(lo, len(texts)) for k in keep),
+                     pa.array([r.tobytes() for r in features(texts)], pa.binary())], names=[*keep, "x"])
 
     kinds = dict(texts.dtypes)
     out = texts.select(*keep, "text").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", x binary").toArrow()
@@ -212,10 +215,14 @@ def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        from cartograph.llm.chars import slices
+
         for b in batches:
-            x = features(b.column(place))
-            z = np.clip((x - model["mean"]) / model["dev"], -6, 6) @ model["w"][:-1] + model["w"][-1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sigmoid(z), pa.float64())], names=[*kept, out])
+            z = [np.zeros(0)]
+            for _, texts in slices(b.column(place)):
+                x = features(texts)
+                z.append(np.clip((x - model["mean"]) / model["dev"], -6, 6) @ model["w"][:-1] + model["w"][-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sigmoid(np.concatenate(z)), pa.float64())], names=[*kept, out])
 
     from pyspark.sql import types as T
 
