@@ -328,7 +328,9 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     spans = scratch.write(copied_spans(blocks, scratch, window), "spans")
     for name in ("wanted", "phrases", "blocks", "firsts", "windows"):
         scratch.drop(name)
-    return cut_out(shards, spans)
+    kept = cut_out(shards, spans)
+    spark.sql(f"DROP TABLE {table}")        # only the catalog entry: an external table's files stay
+    return kept
 
 
 def digest(docs: DataFrame) -> DataFrame:

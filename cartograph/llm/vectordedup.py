@@ -226,7 +226,11 @@ def audit(nodes: DataFrame, links: DataFrame, width: int, cosine: float, sample:
 
 
 def neighbour_graph(nodes: DataFrame, width: int, scratch: Scratch, cosine: float = COSINE, k: int = LIST) -> tuple[DataFrame, float]:
-    """Links found (a < b, sim), and the audited recall. ``nodes``: id, label, vec."""
+    """Links found (a < b, sim), and the audited recall. ``nodes``: id, label, vec.
+
+    The search ends below ``RECALL`` only after ``ROUNDS`` rounds; the recall
+    returned then says so.
+    """
     centres = scratch.write(label_centres(nodes, width), "centres")
     sized = scratch.write(nodes.select("id", F.lit(k).cast("bigint").alias("k")), "sizes-0")
     with_k = lambda sizes: nodes.join(sizes, "id")
