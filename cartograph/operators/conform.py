@@ -68,9 +68,12 @@ def conformance(lines: DataFrame, keys: list[str]) -> DataFrame:
     k = F.col("kind")
     by_doc = Window.partitionBy(*keys)
     prev_kind = F.lag("kind").over(by_doc.orderBy("line_no"))
+    above = F.last(F.when(k != "blank", k), ignorenulls=True).over(
+        by_doc.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
     lines = lines.select(
         *keys, "line_no", "kind", "section", "description",
         ((k == "quote") & (F.coalesce(prev_kind, F.lit("")) != "quote")).alias("quote_start"),
+        ((k == "quote") & (F.coalesce(above, F.lit("")) == "h1")).alias("quote_below_h1"),
         F.min(F.when(k == "h2", F.col("line_no"))).over(by_doc).alias("first_h2"))
     h2_line = F.when(k == "h2", F.col("line_no"))
     intro_heading = (k.isin("h1", "deep") & (F.col("line_no") > 1)
@@ -80,6 +83,7 @@ def conformance(lines: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(k == "h1").alias("n_h1"),
         F.coalesce(F.max(F.when(F.col("line_no") == 1, k == "h1")), F.lit(False)).alias("h1_first"),
         F.count_if(F.col("quote_start")).alias("n_quote_blocks"),
+        F.count_if(F.col("quote_below_h1")).alias("n_quotes_below_h1"),
         F.count_if(k == "h2").alias("n_h2"),
         F.count_if(k == "deep").alias("n_deep"),
         F.count_if(intro_heading).alias("n_intro_headings"),
@@ -87,13 +91,15 @@ def conformance(lines: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if((k == "link") & (F.col("description") == "")).alias("n_links_no_desc"),
         F.count_if((k == "link") & (word_count("description") >= MAX_DESCRIPTION_WORDS)).alias("n_long_desc"),
         F.count_if(k == "bullet").alias("n_bullets"),
+        F.count_if((k == "text") & F.col("section").isNotNull()).alias("n_section_text"),
         F.count_if(k == "fence").alias("n_fence"),
         F.count_if(k == "json").alias("n_json"),
         (F.count_if((k == "h2") & (F.col("section") == OPTIONAL_SECTION)) > 0).alias("has_optional"),
         F.coalesce(F.max_by(F.when(k == "h2", F.col("section")), h2_line) == OPTIONAL_SECTION,
                    F.lit(False)).alias("optional_last"),
     )
-    ok = ((F.col("n_h1") == 1) & F.col("h1_first") & (F.col("n_quote_blocks") == 1) & (F.col("n_deep") == 0)
+    ok = ((F.col("n_h1") == 1) & F.col("h1_first") & (F.col("n_quote_blocks") == 1)
+          & (F.col("n_quotes_below_h1") == 1) & (F.col("n_section_text") == 0) & (F.col("n_deep") == 0)
           & (F.col("n_intro_headings") == 0) & (F.col("n_h2") > 0) & (F.col("n_links_no_desc") == 0)
           & (F.col("n_long_desc") == 0) & (F.col("n_bullets") == 0) & (F.col("n_fence") == 0)
           & (F.col("n_json") == 0) & F.col("has_optional") & F.col("optional_last"))
@@ -139,3 +145,41 @@ def near_duplicates(lines: DataFrame, keys: list[str]) -> DataFrame:
             .groupBy(*keys, "url_key")
             .agg(F.count("*").alias("n_entries"), F.count_distinct("url").alias("n_urls"))
             .filter(F.col("n_urls") > 1))
+
+
+def merge_duplicates(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The line table with one entry per normalised URL, the first; it takes the first description given."""
+    is_link = F.col("kind") == "link"
+    entry = F.when(is_link, url_key("url"))
+    links = lines.filter(is_link).withColumn("url_key", entry)
+    first = links.groupBy(*keys, "url_key").agg(
+        F.min("line_no").alias("line_no"),
+        F.min(F.when(F.col("description") != "", F.struct("line_no", "description")))["description"].alias("_said"))
+    kept = links.drop("url_key").join(first.drop("url_key"), [*keys, "line_no"])
+    merged = kept.withColumn("description", F.coalesce("_said", "description")).drop("_said")
+    return lines.filter(~is_link).unionByName(merged.select(*lines.columns))
+
+
+def similar_titles(lines: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
+    """C7 on titles: (keys..., line_a, line_b, similarity) of entries whose title words overlap (Jaccard).
+
+    Two titles that reach ``least`` share a word among the rarest few of each,
+    so only entries of one document that share such a word are compared.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}]+"), 0))
+    titles = lines.filter(F.col("kind") == "link").select(*keys, "line_no", words.alias("words")).filter(F.size("words") > 0)
+    each = titles.select(*keys, "line_no", F.explode("words").alias("word"))
+    seen = each.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    ranked = each.join(seen, [*keys, "word"]).groupBy(*keys, "line_no").agg(
+        F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by_rarity"))
+    n = F.size("by_rarity")
+    few = n - F.ceil(n * F.lit(least)) + 1
+    rare = ranked.select(*keys, "line_no", F.explode(F.slice("by_rarity", F.lit(1), few.cast("int"))).alias("r")).select(
+        *keys, "line_no", F.col("r.word").alias("word"))
+    a, b = rare.withColumnRenamed("line_no", "line_a"), rare.withColumnRenamed("line_no", "line_b")
+    met = a.join(b, [*keys, "word"]).filter("line_a < line_b").select(*keys, "line_a", "line_b").distinct()
+    wa = titles.select(*keys, F.col("line_no").alias("line_a"), F.col("words").alias("wa"))
+    wb = titles.select(*keys, F.col("line_no").alias("line_b"), F.col("words").alias("wb"))
+    both = met.join(wa, [*keys, "line_a"]).join(wb, [*keys, "line_b"])
+    similarity = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    return both.select(*keys, "line_a", "line_b", similarity.alias("similarity")).filter(F.col("similarity") >= least)

@@ -419,3 +419,73 @@ def questions_end_to_end(spark, sf_dir):
     docs = P.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "text")
     return CH.generate_questions(docs, FX.question_model).select(
         "run_id", "item_pos", "query", "category", F.array_join("key_facts", " | ").alias("key_facts_text"), "reason")
+
+
+@query("map_merged_duplicates")
+def map_merged_duplicates(spark, sf_dir):
+    """Every variant's lines with near-duplicate entries merged."""
+    from cartograph.operators import conform as C
+    return C.merge_duplicates(_map_lines(spark, sf_dir), ["site", "variant"]).select(
+        "site", "variant", F.col("line_no").cast("int").alias("line_no"), "kind", "url", "description")
+
+
+@query("map_similar_titles")
+def map_similar_titles(spark, sf_dir):
+    """C7 on titles, on the generated maps."""
+    from cartograph.operators import conform as C
+    docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
+    return C.similar_titles(C.line_table(docs, ["site"]), ["site"])
+
+
+@query("dropped_pages")
+def dropped_pages(spark, sf_dir):
+    """captured pages that no site map holds, with the reason."""
+    ix = _index(spark, sf_dir)
+    bad_title = ~F.col("title_state").isin("ok", "absent")
+    return ix.filter(bad_title | (F.col("site") == "")).select(
+        "page_id", "url", F.when(bad_title, F.concat(F.lit("title_"), F.col("title_state"))).otherwise(F.lit("no_site")).alias("reason"))
+
+
+@query("pages_with_status")
+def pages_with_status(spark, sf_dir):
+    """F1 on a derived status: every third page failed."""
+    pages = P.read_table(spark, sf_dir, "pages").withColumn("status", F.when(F.col("page_id") % 3 == 0, 404).otherwise(200))
+    return P.page_index(pages).select("page_id", "url")
+
+
+def _scratch(spark, name):
+    import uuid
+    from cartograph.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+@query("io_site_maps")
+def io_site_maps(spark, sf_dir):
+    """S6 then S2: site maps written as files and read back as context documents."""
+    from cartograph.sources import documents as SD
+    from cartograph.sources import sinks as SK
+    path = _scratch(spark, "io_site_maps")
+    SK.write_site_maps(SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir))), path)
+    sites = spark.read.text(path, wholetext=True).select("site", F.col("value").alias("doc"))
+    sizes = SD.read_context_documents(spark, f"{path}/*").select(F.col("text").alias("doc"), "n_chars").distinct()
+    return sites.join(sizes, "doc").select("site", "doc", "n_chars")
+
+
+@query("io_query_set")
+def io_query_set(spark, sf_dir):
+    """Benchmark items written as one query-set file and read back."""
+    from cartograph.sources import documents as SD
+    path = _scratch(spark, "io_query_set")
+    item = F.struct(F.col("text").alias("query"), F.array(F.concat(F.lit("item "), F.col("item_id").cast("string"))).alias("key_facts"))
+    (P.read_table(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", item.alias("q")))).alias("all"))
+     .select(F.to_json(F.transform("all", lambda x: x["q"])).alias("value")).write.text(path))
+    return SD.read_query_set(spark, path).select("query_id", "query", "category", F.array_join("key_facts", "|").alias("facts"))
+
+
+@query("io_reports")
+def io_reports(spark, sf_dir):
+    """One report file per run, read back."""
+    from cartograph.operators import report as R
+    path = _scratch(spark, "io_reports")
+    R.write_reports(R.report_lines(*_report_inputs(spark, sf_dir)), path)
+    return spark.read.schema("value string, run_id long").text(path, wholetext=True).select("run_id", F.col("value").alias("report"))

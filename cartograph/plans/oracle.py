@@ -178,12 +178,16 @@ WITH lt AS ({_line_table_sql()}),
 l2 AS (
   SELECT *, kind = 'quote' AND coalesce(lag(kind) OVER (PARTITION BY site, variant ORDER BY line_no), '') <> 'quote'
             AS quote_start,
+         kind = 'quote' AND coalesce(last_value(CASE WHEN kind <> 'blank' THEN kind END IGNORE NULLS) OVER
+            (PARTITION BY site, variant ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'h1'
+            AS quote_below_h1,
          min(CASE WHEN kind = 'h2' THEN line_no END) OVER (PARTITION BY site, variant) AS first_h2
   FROM lt)
 SELECT site, variant, count(*) AS n_lines,
   count(*) FILTER (WHERE kind = 'h1') AS n_h1,
   coalesce(max(CASE WHEN line_no = 1 THEN kind = 'h1' END), false) AS h1_first,
   count(*) FILTER (WHERE quote_start) AS n_quote_blocks,
+  count(*) FILTER (WHERE quote_below_h1) AS n_quotes_below_h1,
   count(*) FILTER (WHERE kind = 'h2') AS n_h2,
   count(*) FILTER (WHERE kind = 'deep') AS n_deep,
   count(*) FILTER (WHERE kind IN ('h1', 'deep') AND line_no > 1 AND (first_h2 IS NULL OR line_no < first_h2))
@@ -193,6 +197,7 @@ SELECT site, variant, count(*) AS n_lines,
   count(*) FILTER (WHERE kind = 'link' AND len(regexp_extract_all(description, {nonws})) >= {C.MAX_DESCRIPTION_WORDS})
     AS n_long_desc,
   count(*) FILTER (WHERE kind = 'bullet') AS n_bullets,
+  count(*) FILTER (WHERE kind = 'text' AND section IS NOT NULL) AS n_section_text,
   count(*) FILTER (WHERE kind = 'fence') AS n_fence,
   count(*) FILTER (WHERE kind = 'json') AS n_json,
   count(*) FILTER (WHERE kind = 'h2' AND section = {D.lit(C.OPTIONAL_SECTION)}) > 0 AS has_optional,
@@ -202,7 +207,7 @@ FROM l2 GROUP BY site, variant"""
 
 
 ORACLE["map_conformance"] = f"""
-SELECT *, (n_h1 = 1 AND h1_first AND n_quote_blocks = 1 AND n_deep = 0 AND n_intro_headings = 0 AND n_h2 > 0
+SELECT *, (n_h1 = 1 AND h1_first AND n_quote_blocks = 1 AND n_quotes_below_h1 = 1 AND n_section_text = 0 AND n_deep = 0 AND n_intro_headings = 0 AND n_h2 > 0
            AND n_links_no_desc = 0 AND n_long_desc = 0 AND n_bullets = 0 AND n_fence = 0 AND n_json = 0 AND has_optional
            AND optional_last) AS ok
 FROM ({_conformance_sql()}) AS c"""
@@ -552,3 +557,39 @@ UNION ALL
 SELECT run_id, 0, 'What is ' || CAST(n AS VARCHAR) || '?', 'size', CAST(n AS VARCHAR), 'ok' FROM p WHERE n % 7 <> 0 AND n % 5 <> 0
 UNION ALL
 SELECT run_id, 1, 'Anything else?', 'general', NULL, 'no_key_facts' FROM p WHERE n % 7 <> 0 AND n % 5 <> 0"""
+
+
+ORACLE["map_merged_duplicates"] = f"""
+WITH lt AS ({_line_table_sql()}),
+l AS (SELECT *, {D.url_key('url')} AS url_key FROM lt WHERE kind = 'link'),
+f AS (SELECT site, variant, url_key, min(line_no) AS line_no, arg_min(description, line_no) FILTER (WHERE description <> '') AS said
+      FROM l GROUP BY site, variant, url_key)
+SELECT l.site, l.variant, l.line_no, l.kind, l.url, coalesce(f.said, l.description) AS description
+FROM l JOIN f ON f.site = l.site AND f.variant = l.variant AND f.line_no = l.line_no
+UNION ALL SELECT site, variant, line_no, kind, url, description FROM lt WHERE kind <> 'link'"""
+
+ORACLE["map_similar_titles"] = f"""
+WITH d AS ({ORACLE['sitemap_documents']}),
+c AS (SELECT site, unnest(string_split(doc, {NL})) AS line, CAST(unnest(range(1, len(string_split(doc, {NL})) + 1)) AS INTEGER) AS line_no FROM d),
+t AS (SELECT site, line_no, list_distinct(regexp_extract_all(lower(regexp_extract(line, '^- \\[(.*)\\]\\(http', 1)), '[\\p{{L}}\\p{{N}}]+')) AS w
+      FROM c WHERE starts_with(line, '- ['))
+SELECT a.site, a.line_no AS line_a, b.line_no AS line_b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity
+FROM t a JOIN t b ON a.site = b.site AND a.line_no < b.line_no
+WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.8"""
+
+ORACLE["dropped_pages"] = f"""
+SELECT page_id, url, CASE WHEN title_state NOT IN ('ok', 'absent') THEN 'title_' || title_state ELSE 'no_site' END AS reason
+FROM ({_index_sql()}) AS ix WHERE title_state NOT IN ('ok', 'absent') OR site = ''"""
+
+ORACLE["pages_with_status"] = """
+SELECT min(page_id) AS page_id, url FROM pages WHERE page_id % 3 <> 0 GROUP BY url"""
+
+ORACLE["io_site_maps"] = f"""
+SELECT site, doc, CAST(length(doc) AS BIGINT) AS n_chars FROM ({ORACLE['sitemap_documents']}) AS d"""
+
+ORACLE["io_query_set"] = """
+SELECT row_number() OVER (ORDER BY item_id) - 1 AS query_id, text AS query, 'general' AS category, 'item ' || CAST(item_id AS VARCHAR) AS facts
+FROM benchmark"""
+
+ORACLE["io_reports"] = f"""
+SELECT run_id, string_agg(line || {NL}, '' ORDER BY block, query_no, line_no) AS report FROM ({ORACLE['report_lines']}) AS r GROUP BY run_id"""

@@ -159,3 +159,22 @@ def test_urls_with_brackets_are_links(spark):
     got = [(r.title, r.url, r.description) for r in C.line_table(df, ["site"]).filter("kind = 'link'").orderBy("line_no").collect()]
     assert got == [("Foo", "http://a.com/wiki/Foo_(bar)", ""), ("G", "http://a.com/g_(x", "A note (short)"),
                    ("H", "http://a.com/h", "See: (this)")]
+
+
+def test_quote_position_and_text_in_sections(spark):
+    late = GOOD.replace("> A short summary.\n\n", "") + "\n> Too late\n"
+    loose = GOOD.replace("- [Two]", "A loose sentence.\n- [Two]")
+    docs = spark.createDataFrame([("good", GOOD), ("late", late), ("loose", loose)], "site string, doc string")
+    res = {r.site: r for r in C.conformance(C.line_table(docs, ["site"]), ["site"]).collect()}
+    assert res["good"].ok and (res["good"].n_quotes_below_h1, res["good"].n_section_text) == (1, 0)
+    assert not res["late"].ok and (res["late"].n_quote_blocks, res["late"].n_quotes_below_h1) == (1, 0)
+    assert not res["loose"].ok and res["loose"].n_section_text == 1
+
+
+def test_merge_and_similar_titles(spark):
+    doc = ("# T\n\n## S\n\n- [Guide to the big city](http://a.com/x)\n- [The big city guide to](http://a.com/y)\n"
+           "- [Else](http://a.com/x/): A note\n- [Else](http://a.com/z)\n")
+    lines = C.line_table(spark.createDataFrame([("s", doc)], "site string, doc string"), ["site"])
+    kept = C.merge_duplicates(lines, ["site"]).filter("kind = 'link'").orderBy("line_no").collect()
+    assert [(r.url, r.description) for r in kept] == [("http://a.com/x", "A note"), ("http://a.com/y", ""), ("http://a.com/z", "")]
+    assert [(r.line_a, r.line_b, r.similarity) for r in C.similar_titles(lines, ["site"]).orderBy("line_a").collect()] == [(5, 6, 1.0), (7, 8, 1.0)]
