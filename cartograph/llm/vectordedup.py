@@ -11,8 +11,8 @@ vectors are collapsed to one node first. Then
 2. Descent: neighbours of a common node are compared with one another (forward
    and reverse neighbours, a sample of fresh and of old ones per round), and
    better ones enter the lists. A node whose whole list is above the threshold
-   is saturated: its list is made four times as long.
-3. The rounds end when they find almost no new link and no list is saturated;
+   is saturated: its list is made eight times as long.
+3. The rounds end when one finds no new link and no list is saturated;
    then recall is audited: a bounded set of nodes is compared with all nodes
    of its label. Below ``RECALL`` the search goes on with fresh trees.
 4. Pairs above the threshold stay; links count copies; components of the links
@@ -38,7 +38,7 @@ LIST = 10            # neighbours per node at the start
 CELL = 96
 CELL_MAX = 512
 START = 0.999
-SIDE = 30            # fresh and old members per direction in a local join
+SIDE = 20            # fresh and old members per direction in a local join
 AUDIT = 300
 RECALL = 0.995
 ROUNDS = 14
@@ -162,6 +162,8 @@ def local_join(lists: DataFrame, nodes: DataFrame, width: int, round_no: int) ->
     edges = lists.select(F.col("a").alias("hub"), F.col("b").alias("m"), "fresh").unionByName(
         lists.select(F.col("b").alias("hub"), F.col("a").alias("m"), "fresh"))
     edges = edges.groupBy("hub", "m").agg(F.max("fresh").alias("fresh"))
+    # hubs without a fresh member have nothing new to compare
+    edges = edges.withColumn("live", F.max("fresh").over(W.partitionBy("hub"))).where("live = 1")
     draw = F.row_number().over(W.partitionBy("hub", "fresh").orderBy(F.xxhash64("hub", "m", F.lit(round_no))))
     edges = edges.withColumn("draw", draw).where(F.col("draw") <= 2 * SIDE).select("hub", "m", "fresh")
     floor = lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
@@ -235,7 +237,7 @@ def neighbour_graph(nodes: DataFrame, width: int, scratch: Scratch, cosine: floa
     sized = scratch.write(nodes.select("id", F.lit(k).cast("bigint").alias("k")), "sizes-0")
     with_k = lambda sizes: nodes.join(sizes, "id")
     state = scratch.write(merge(cell_candidates(nodes, centres, width, cosine, k, 0), None, sized), "lists-0")
-    kept, recall, last, r = ["lists-0"], 0.0, -1, 0
+    kept, last, r = ["lists-0"], -1, 0
     while True:
         r += 1
         offers = local_join(state, with_k(sized), width, r)
@@ -244,7 +246,7 @@ def neighbour_graph(nodes: DataFrame, width: int, scratch: Scratch, cosine: floa
             sized.select(F.col("id").alias("a"), "k"), "a").where((F.col("n") >= F.col("k")) & (F.col("low") >= cosine))
         grown = sized.join(full.select(F.col("a").alias("id"), F.lit(True).alias("full")), "id", "left")
         saturated = full.count()
-        if not saturated and n_links - last <= 0.0005 * n_links and last >= 0 or r > ROUNDS:
+        if not saturated and n_links - last <= 0.00001 * n_links or r > ROUNDS:
             links = state.where(F.col("sim") >= cosine).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
             links = links.groupBy("a", "b").agg(F.max("sim").alias("sim"))
             recall = audit(nodes, links, width, cosine)
@@ -252,7 +254,7 @@ def neighbour_graph(nodes: DataFrame, width: int, scratch: Scratch, cosine: floa
                 return scratch.write(links, "links"), recall
             offers = offers.unionByName(cell_candidates(nodes, centres, width, cosine, k, r))
         last = n_links
-        sized = scratch.write(grown.select("id", F.when(F.col("full"), 4 * F.col("k")).otherwise(F.col("k")).alias("k")), f"sizes-{r}")
+        sized = scratch.write(grown.select("id", F.when(F.col("full"), 8 * F.col("k")).otherwise(F.col("k")).alias("k")), f"sizes-{r}")
         state = scratch.write(merge(offers, state, sized), f"lists-{r}")
         kept.append(f"lists-{r}")
         if len(kept) > 2:
