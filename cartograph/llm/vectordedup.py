@@ -18,8 +18,9 @@ vectors are collapsed to one node first. Then
 4. Pairs above the threshold stay; links count copies; components of the links
    are found by star contraction.
 
-No step lists all pairs of a group: cells above ``CELL_MAX`` are split, and
-local joins see at most ``4 * SIDE`` members per node and round.
+No step lists all pairs of a group: a cell above ``BLOCK`` is cut into blocks,
+every two blocks are compared in a task of their own, and only nearest members
+come out; local joins see at most ``4 * SIDE`` members per node and round.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from cartograph.llm.vectors import by_group, common_width, matrix, runs, usable
 COSINE = 0.98
 LIST = 10            # neighbours per node at the start
 CELL = 96
-CELL_MAX = 512
+BLOCK = 4096         # vectors compared in one task with as many others
+ROWS = 512           # rows of a block's similarities held at once
 START = 0.999
 SIDE = 20            # fresh and old members per direction in a local join
 AUDIT = 300
@@ -82,8 +84,9 @@ def planes_for(n):
     return F.least(F.lit(MAX_PLANES), F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(float(CELL)))))).cast("int")
 
 
-def cell_candidates(nodes: DataFrame, centres: DataFrame, width: int, cosine: float, k: int, seed: int) -> DataFrame:
-    """(a, b, sim): for every node its k nearest members of each of its cells."""
+def cell_candidates(nodes: DataFrame, centres: DataFrame, width: int, cosine: float, k: int, seed: int,
+                    block: int = BLOCK) -> DataFrame:
+    """(a, b, sim): for every node its k nearest members of each of its cells (of each block of a cell above ``block``)."""
     agree = 1 - math.acos(cosine) / math.pi
     plan = centres.withColumn("planes", planes_for(F.col("n"))).withColumn(
         "trees", F.when(F.col("planes") == 0, 1).otherwise(
@@ -116,35 +119,46 @@ def cell_candidates(nodes: DataFrame, centres: DataFrame, width: int, cosine: fl
     kind = dict(nodes.dtypes)["vec"]
     cells = rows.mapInArrow(cut, f"label bigint, tree int, code bigint, id bigint, vec {kind}")
     key = ["label", "tree", "code"]
-    large = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CELL_MAX)
-    split = cells.join(large, key, "left").select(
-        *key, F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.ceil(F.col("m") / CELL_MAX)))
-        .cast("int").alias("salt"), "id", "vec")
+    sizes = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select(
+        *key, F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    # a member of block s goes to every pair of blocks that holds s
+    own = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.col("blocks")).cast("int")
+    split = (cells.join(sizes, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
+             .select(*key, "id", "vec", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select(*key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "vec"))
 
     def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        for b in by_group(batches, 4):
-            at = runs(*(b.column(i).to_numpy() for i in range(4)))
-            ids, x = b.column(4).to_numpy(), _unit(matrix(b.column(5), width))
-            a, c, s = [], [], []
-            for lo, hi in zip(at[:-1], at[1:]):
-                m = hi - lo
-                if m < 2:
-                    continue
-                sim = x[lo:hi] @ x[lo:hi].T
-                np.fill_diagonal(sim, -2)
-                take = min(k, m - 1)
+        def nearest(ids, x, others, y, same):
+            """The k nearest of ``others`` for each of ``ids``."""
+            take = min(k, len(others) - same)
+            for at in range(0, len(ids) if take > 0 else 0, ROWS):
+                sim = x[at:at + ROWS] @ y.T
+                if same:
+                    sim[np.arange(len(sim)), at + np.arange(len(sim))] = -2
                 top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-                a.append(np.repeat(ids[lo:hi], take))
-                c.append(ids[lo:hi][top.ravel()])
-                s.append(np.take_along_axis(sim, top, axis=1).ravel())
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, c, s)], names=["a", "b", "sim"])
+                yield np.repeat(ids[at:at + ROWS], take), others[top.ravel()], np.take_along_axis(sim, top, axis=1).ravel()
 
-    grouped = split.repartition(*key, "salt").sortWithinPartitions(*key, "salt")
-    return grouped.mapInArrow(compare, EDGE)
+        for b in by_group(batches, 5):
+            at = runs(*(b.column(i).to_numpy() for i in range(5)))
+            lo_, hi_, own_, ids = (b.column(i).to_numpy() for i in (3, 4, 5, 6))
+            x = _unit(matrix(b.column(7), width))
+            found = []
+            for lo, hi in zip(at[:-1], at[1:]):
+                one, x1 = ids[lo:hi], x[lo:hi]
+                if lo_[lo] == hi_[lo]:
+                    found += nearest(one, x1, one, x1, True)
+                else:
+                    left = own_[lo:hi] == lo_[lo]
+                    found += nearest(one[left], x1[left], one[~left], x1[~left], False)
+                    found += nearest(one[~left], x1[~left], one[left], x1[left], False)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*found)], names=["a", "b", "sim"])
+
+    pair = [*key, "lo", "hi"]
+    return split.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(compare, EDGE)
 
 
 def merge(offers: DataFrame, lists: DataFrame | None, nodes: DataFrame) -> DataFrame:

@@ -108,3 +108,26 @@ def test_near_dedup_of_nothing(spark):
     assert vectordedup.near_duplicates(frame(spark, [])).collect() == []
     rows = vectordedup.near_duplicates(frame(spark, ODD[:2])).collect()
     assert sorted((r["vec_id"], r["n_links"], r["kept"]) for r in rows) == [(10_000, 0, True), (10_100, 0, True)]
+
+
+def test_pairs_of_a_large_cell_meet(spark):
+    rng = np.random.default_rng(5)
+    top = rng.normal(size=16)
+    x = np.concatenate([top / np.linalg.norm(top) * side + rng.normal(size=(700, 16)) * 0.01 for side in (1, -1)])
+    x[1::2] = x[::2] + rng.normal(size=(700, 16)) * 0.0005
+    nodes = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id bigint, label bigint, vec array<double>")
+    centres = vectordedup.label_centres(nodes, 16)
+    got = {(r["a"], r["b"]) for r in vectordedup.cell_candidates(nodes, centres, 16, 0.98, 10, 0).collect()}
+    assert all((i, i + 1) in got and (i + 1, i) in got for i in range(0, 1400, 2))
+
+
+@pytest.mark.parametrize("block", [4096, 25])
+def test_blocks_of_a_cell_are_compared_with_one_another(spark, block):
+    x = np.random.default_rng(6).normal(size=(90, 8))
+    nodes = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id bigint, label bigint, vec array<double>")
+    centres = vectordedup.label_centres(nodes, 8)
+    got = {(r["a"], r["b"]) for r in vectordedup.cell_candidates(nodes, centres, 8, 0.98, 5, 0, block).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    assert {(i, int(j)) for i in range(90) for j in np.argsort(-sim[i])[:5]} <= got
