@@ -10,13 +10,18 @@ vectors are collapsed to one node first. Then
    start a node's neighbour list.
 2. Descent: neighbours of a common node are compared with one another (forward
    and reverse neighbours, a sample of fresh and of old ones per round), and
-   better ones enter the lists. A node whose whole list is above the threshold
-   is saturated: its list is made eight times as long.
-3. The rounds end when one finds no new link and no list is saturated;
+   better ones enter the lists; fresh ones that were not drawn stay fresh. A
+   node whose whole list is above the threshold is saturated: its list is made
+   ``DENSE`` long, and if that is saturated too, the node is dense.
+3. The rounds end when one finds no new link and no list can be made longer;
    then recall is audited: a bounded set of nodes is compared with all nodes
-   of its label. Below ``RECALL`` the search goes on with fresh trees.
-4. Pairs above the threshold stay; links count copies; components of the links
-   are found by star contraction.
+   of its label. Below ``RECALL`` the search goes on with fresh trees; after
+   ``ROUNDS`` rounds every node is taken as dense.
+4. Links of dense nodes are counted exactly, block against block: vectors go to
+   the leaders within reach (triangle inequality of angles), and a task returns
+   sums per vector and a spanning forest instead of pairs.
+5. Other pairs above the threshold stay; links count copies; components of the
+   links and the forest are found by star contraction.
 
 No step lists all pairs of a group: a cell above ``BLOCK`` is cut into blocks,
 every two blocks are compared in a task of their own, and only nearest members
@@ -40,6 +45,8 @@ CELL = 96
 BLOCK = 4096         # vectors compared in one task with as many others
 ROWS = 512           # rows of a block's similarities held at once
 START = 0.999
+DENSE = 80           # a longer list is not kept: the node's links are counted exactly
+LEADERS = 1024
 SIDE = 20            # fresh and old members per direction in a local join
 AUDIT = 300
 RECALL = 0.995
@@ -161,25 +168,40 @@ def cell_candidates(nodes: DataFrame, centres: DataFrame, width: int, cosine: fl
     return split.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(compare, EDGE)
 
 
-def merge(offers: DataFrame, lists: DataFrame | None, nodes: DataFrame) -> DataFrame:
-    """Best neighbours per node, as many as its list holds; ``fresh`` marks those the lists did not have."""
+def merge(offers: DataFrame, lists: DataFrame | None, nodes: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
+    """Best neighbours per node, as many as its list holds; ``fresh`` marks those the lists did not have and those in ``waiting``."""
     new = offers.select("a", "b", "sim", F.lit(1).alias("fresh"))
-    both = new if lists is None else lists.select("a", "b", "sim", F.lit(0).alias("fresh")).unionByName(new)
+    both = new
+    if lists is not None:
+        old = lists.select("a", "b", "sim").join(waiting.withColumn("w", F.lit(1)), ["a", "b"], "left")
+        both = old.select("a", "b", "sim", F.coalesce("w", F.lit(0)).alias("fresh")).unionByName(new)
     once = both.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     ranked = once.join(nodes.select(F.col("id").alias("a"), "k"), "a").withColumn(
         "rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b")))
     return ranked.where(F.col("rank") <= F.col("k")).select("a", "b", "sim", "fresh")
 
 
-def local_join(lists: DataFrame, nodes: DataFrame, width: int, round_no: int) -> DataFrame:
-    """(a, b, sim): pairs of neighbours of a common node that would improve a list; both directions."""
+def draws(lists: DataFrame, round_no: int) -> DataFrame:
+    """(hub, m, fresh, draw): members of every hub that has a fresh one, numbered at random among the fresh and the old."""
     edges = lists.select(F.col("a").alias("hub"), F.col("b").alias("m"), "fresh").unionByName(
         lists.select(F.col("b").alias("hub"), F.col("a").alias("m"), "fresh"))
     edges = edges.groupBy("hub", "m").agg(F.max("fresh").alias("fresh"))
     # hubs without a fresh member have nothing new to compare
     edges = edges.withColumn("live", F.max("fresh").over(W.partitionBy("hub"))).where("live = 1")
     draw = F.row_number().over(W.partitionBy("hub", "fresh").orderBy(F.xxhash64("hub", "m", F.lit(round_no))))
-    edges = edges.withColumn("draw", draw).where(F.col("draw") <= 2 * SIDE).select("hub", "m", "fresh")
+    return edges.select("hub", "m", "fresh", draw.alias("draw"))
+
+
+def undrawn(drawn: DataFrame) -> DataFrame:
+    """(a, b): both directions of fresh pairs that a local join left out."""
+    left = drawn.where(f"fresh = 1 and draw > {2 * SIDE}")
+    return left.select(F.col("hub").alias("a"), F.col("m").alias("b")).union(
+        left.select(F.col("m").alias("a"), F.col("hub").alias("b"))).distinct()
+
+
+def local_join(lists: DataFrame, drawn: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(a, b, sim): pairs of drawn neighbours of a common node that would improve a list; both directions."""
+    edges = drawn.where(F.col("draw") <= 2 * SIDE).select("hub", "m", "fresh")
     floor = lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
     known = (nodes.join(floor, nodes["id"] == floor["a"], "left")
              .select(F.col("id").alias("m"), "vec", F.when(F.col("n") >= F.col("k"), F.col("low")).otherwise(F.lit(-2.0)).alias("floor")))
@@ -241,11 +263,12 @@ def audit(nodes: DataFrame, links: DataFrame, width: int, cosine: float, sample:
     return found / total if total else 1.0
 
 
-def neighbour_graph(nodes: DataFrame, width: int, scratch: Scratch, cosine: float = COSINE, k: int = LIST) -> tuple[DataFrame, float]:
-    """Links found (a < b, sim), and the audited recall. ``nodes``: id, label, vec.
+def neighbour_graph(nodes: DataFrame, width: int, scratch: Scratch, cosine: float = COSINE,
+                    k: int = LIST) -> tuple[DataFrame, DataFrame, float]:
+    """Links found (a < b, sim), dense nodes (id), and the audited recall among the others. ``nodes``: id, label, vec.
 
-    The search ends below ``RECALL`` only after ``ROUNDS`` rounds; the recall
-    returned then says so.
+    Links of dense nodes are not whole and must be counted by ``dense_links``.
+    If the audit is still below ``RECALL`` after ``ROUNDS`` rounds, all nodes are dense.
     """
     centres = scratch.write(label_centres(nodes, width), "centres")
     sized = scratch.write(nodes.select("id", F.lit(k).cast("bigint").alias("k")), "sizes-0")
@@ -254,27 +277,141 @@ def neighbour_graph(nodes: DataFrame, width: int, scratch: Scratch, cosine: floa
     kept, last, r = ["lists-0"], -1, 0
     while True:
         r += 1
-        offers = local_join(state, with_k(sized), width, r)
         n_links = state.where(F.col("sim") >= cosine).count()
-        full = state.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).join(
-            sized.select(F.col("id").alias("a"), "k"), "a").where((F.col("n") >= F.col("k")) & (F.col("low") >= cosine))
-        grown = sized.join(full.select(F.col("a").alias("id"), F.lit(True).alias("full")), "id", "left")
-        saturated = full.count()
-        if not saturated and n_links - last <= 0.00001 * n_links or r > ROUNDS:
+        full = scratch.write(
+            state.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).join(
+                sized.select(F.col("id").alias("a"), "k"), "a").where((F.col("n") >= F.col("k")) & (F.col("low") >= cosine))
+            .select(F.col("a").alias("id"), (F.col("k") < DENSE).alias("grows")), f"full-{r}")
+        fresh_trees = None
+        if not full.where("grows").count() and n_links - last <= 0.00001 * n_links or r > ROUNDS:
+            dense = full.select("id")
             links = state.where(F.col("sim") >= cosine).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
             links = links.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-            recall = audit(nodes, links, width, cosine)
-            if recall >= RECALL or r > ROUNDS:
-                return scratch.write(links, "links"), recall
-            offers = offers.unionByName(cell_candidates(nodes, centres, width, cosine, k, r))
+            recall = audit(nodes.join(dense, "id", "left_anti"), links, width, cosine)
+            if recall >= RECALL:
+                return scratch.write(links, "links"), dense, recall
+            if r > ROUNDS:
+                return scratch.write(links, "links"), nodes.select("id"), recall
+            fresh_trees = cell_candidates(nodes, centres, width, cosine, k, r)
         last = n_links
-        sized = scratch.write(grown.select("id", F.when(F.col("full"), 8 * F.col("k")).otherwise(F.col("k")).alias("k")), f"sizes-{r}")
-        state = scratch.write(merge(offers, state, sized), f"lists-{r}")
+        drawn = scratch.write(draws(state, r), f"draws-{r}")
+        offers = local_join(state, drawn, with_k(sized), width)
+        if fresh_trees is not None:
+            offers = offers.unionByName(fresh_trees)
+        sized = scratch.write(sized.join(full, "id", "left").select(
+            "id", F.when(F.col("grows"), F.greatest(F.col("k"), F.lit(DENSE))).otherwise(F.col("k")).alias("k")), f"sizes-{r}")
+        state = scratch.write(merge(offers, state, sized, undrawn(drawn)), f"lists-{r}")
+        scratch.drop(f"draws-{r}")
         kept.append(f"lists-{r}")
         if len(kept) > 2:
             scratch.drop(kept.pop(0))
 
 
+def dense_links(nodes: DataFrame, dense: DataFrame, width: int, scratch: Scratch, cosine: float = COSINE,
+                block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All links that have a dense end: (id, others) with the linked rows of either end, and a spanning forest (a, b).
+
+    ``nodes``: id, label, vec, copies. Every dense node has a home leader; a
+    leader's group holds all nodes of the label that one of its dense nodes can
+    reach. Dense nodes and members of a group are cut into blocks, and every
+    two blocks are one task's work.
+    """
+    import numpy as np
+
+    hot = scratch.write(nodes.select("id", "label", "vec").join(dense, "id", "left_semi"), "dense")
+    chosen = hot.orderBy(F.xxhash64("id", F.lit("leader")), "id").limit(min(LEADERS, -(-hot.count() // DENSE))).toArrow()
+    lead = _unit(matrix(chosen.column("vec").combine_chunks(), width)) if chosen.num_rows else np.zeros((0, width))
+    lead_label = chosen.column("label").to_numpy()
+
+    def to_leaders(label, x):
+        return np.where(label[:, None] == lead_label[None, :], np.clip(x @ lead.T, -1, 1), -2)
+
+    def homes_of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            label, x = b.column(1).to_numpy(), _unit(matrix(b.column(2), width))
+            home, angle = np.full(len(x), -1, np.int32), np.zeros(len(x))
+            for at in range(0, len(x), ROWS):
+                sim = to_leaders(label[at:at + ROWS], x[at:at + ROWS])
+                best = sim.argmax(axis=1)
+                top = sim[np.arange(len(sim)), best]
+                home[at:at + ROWS] = np.where(top > -2, best, -1)      # a label without a leader has one group
+                angle[at:at + ROWS] = np.arccos(np.maximum(top, -1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home), pa.array(angle)],
+                                             names=["id", "label", "home", "angle"])
+
+    homes = scratch.write(hot.mapInArrow(homes_of, "id bigint, label bigint, home int, angle double"), "homes")
+    floor = np.full(len(lead), 2.0)                                    # least cosine to the leader of a node within reach
+    for row in homes.where("home >= 0").groupBy("home").agg(F.max("angle").alias("r")).collect():    # at most LEADERS
+        floor[row["home"]] = np.cos(min(np.pi, row["r"] + np.arccos(cosine) + 1e-6)) - 1e-12
+
+    def groups_of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            label, x = b.column(1).to_numpy(), _unit(matrix(b.column(2), width))
+            row, leader = [np.flatnonzero(~np.isin(label, lead_label))], []
+            leader.append(np.full(len(row[0]), -1))
+            for at in range(0, len(x), ROWS):
+                i, j = np.nonzero(to_leaders(label[at:at + ROWS], x[at:at + ROWS]) >= floor[None, :])
+                row.append(at + i)
+                leader.append(j)
+            row, leader = np.concatenate(row), np.concatenate(leader).astype(np.int32)
+            out = b.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(leader)], names=[*out.schema.names, "leader"])
+
+    kind = dict(nodes.dtypes)["vec"]
+    members = scratch.write(
+        nodes.select("id", "label", "vec", "copies").join(homes.select("label").distinct(), "label", "left_semi")
+        .join(homes.select("id", "home"), "id", "left").select("id", "label", "vec", "copies", "home")
+        .mapInArrow(groups_of, f"id bigint, label bigint, vec {kind}, copies bigint, home int, leader int"), "members")
+    at_home = F.coalesce(F.col("home") == F.col("leader"), F.lit(False))
+    key = ["label", "leader"]
+    sizes = members.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m"),
+                                      F.ceil(F.count_if(at_home) / block).cast("int").alias("h")).where("h > 0")
+    h_own, m_own = F.pmod(F.xxhash64("id", F.lit("h")), F.col("h")).cast("int"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
+    place = lambda h, m, side: F.struct(h.alias("hb"), m.alias("mb"), F.lit(side).alias("side"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda h: place(h, m_own, 0))
+    as_dense = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda m: place(h_own, m, 1))
+    placed = (members.join(sizes, key).withColumn("at", F.explode(F.when(at_home, F.concat(as_member, as_dense)).otherwise(as_member)))
+              .select(*key, "at.hb", "at.mb", "at.side", "id", "copies", F.col("home").isNotNull().alias("is_dense"), "vec"))
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in by_group(batches, 4):
+            at = runs(*(b.column(i).to_numpy() for i in range(4)))
+            side_, ids_, copies_ = (b.column(i).to_numpy() for i in (4, 5, 6))
+            dense_, x_ = b.column(7).to_numpy(zero_copy_only=False), _unit(matrix(b.column(8), width))
+            out = []
+            for lo, hi in zip(at[:-1], at[1:]):
+                h, m = lo + np.flatnonzero(side_[lo:hi] == 1), lo + np.flatnonzero(side_[lo:hi] == 0)
+                of_m, tree = np.zeros(len(m), np.int64), np.full(len(m), -1)      # tree: the forest's tree of each member
+                for k in range(0, len(h), ROWS):
+                    rows = h[k:k + ROWS]
+                    near = (x_[rows] @ x_[m].T >= cosine) & (ids_[rows][:, None] != ids_[m][None, :])
+                    of_m += copies_[rows] @ near
+                    out.append((ids_[rows], np.full(len(rows), -1), near @ copies_[m]))
+                    for i, row in zip(rows, near):
+                        cols = np.flatnonzero(row)
+                        if len(cols):
+                            known, first = np.unique(tree[cols], return_index=True)
+                            tie = np.concatenate((cols[first[known >= 0]], cols[tree[cols] < 0]))
+                            out.append((np.full(len(tie), ids_[i]), ids_[m[tie]], np.zeros(len(tie), np.int64)))
+                            tree[np.isin(tree, known[known >= 0])] = i
+                            tree[cols] = i
+                other = ~dense_[m] & (of_m > 0)                        # dense members are counted where they are at home
+                out.append((ids_[m[other]], np.full(int(other.sum()), -1), of_m[other]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in zip(*out)], names=["a", "b", "n"])
+
+    pair = [*key, "hb", "mb"]
+    found = scratch.write(placed.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(count, "a bigint, b bigint, n bigint"), "found")
+    counts = found.where("b < 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    return counts, found.where("b >= 0").select("a", "b")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
                     vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id_col, n_links, component_id, kept), one row per input row.
@@ -295,11 +432,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         classes = scratch.write(
             live.groupBy("label", "vec").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
             .withColumn("node", F.monotonically_increasing_id()), "classes")
-        links, _ = neighbour_graph(classes.select(F.col("node").alias("id"), "label", "vec"), width, scratch, cosine)
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        links, dense, _ = neighbour_graph(classes.select(F.col("node").alias("id"), "label", "vec"), width, scratch, cosine)
+        exact, forest = dense_links(classes.select(F.col("node").alias("id"), "label", "vec", "copies"), dense, width, scratch, cosine)
+        for end in ("a", "b"):
+            links = links.join(dense.withColumnRenamed("id", end), end, "left_anti")
+        links = links.select("a", "b")
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         copies = classes.select(F.col("node").alias("b"), "copies")
-        others = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-        tied = components(links, scratch).select("node", F.col("component").alias("group"))
+        others = (both.join(copies, "b").select(F.col("a").alias("node"), F.col("copies").alias("n"))
+                  .unionByName(exact.select(F.col("id").alias("node"), F.col("others").alias("n")))
+                  .groupBy("node").agg(F.sum("n").alias("others")))
+        tied = components(links.union(forest), scratch).select("node", F.col("component").alias("group"))
         grouped = (classes.select("label", "vec", "node", "low", "copies").join(tied, "node", "left").join(others, "node", "left")
                    .withColumn("group", F.coalesce("group", "node")))
         lowest = grouped.groupBy("group").agg(F.min("low").alias("component_id"))

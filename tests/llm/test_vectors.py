@@ -131,3 +131,70 @@ def test_blocks_of_a_cell_are_compared_with_one_another(spark, block):
     sim = u @ u.T
     np.fill_diagonal(sim, -2)
     assert {(i, int(j)) for i in range(90) for j in np.argsort(-sim[i])[:5]} <= got
+
+
+def hot_vectors(n=1200, dim=16):
+    """One large group of near copies with looser ones about it, beside the usual table."""
+    rng = np.random.default_rng(9)
+    top = rng.normal(size=dim)
+    wide = rng.uniform(0.02, 0.25, size=n // 3)[:, None]
+    x = (top + rng.normal(size=(n // 3, dim)) * wide).astype(np.float32)
+    return vectors(n) + [(20_000 + i, v.tolist(), 1) for i, v in enumerate(x)] + [(30_000 + i, x[0].tolist(), 1) for i in range(5)]
+
+
+def in_rows(data):
+    return [(i, np.float32(v), lab) for i, v, lab in data]
+
+
+def test_lists_do_not_grow_to_the_size_of_a_group(spark):
+    data = hot_vectors()
+    nodes = spark.createDataFrame([(i, lab, v.tolist()) for i, v, lab in in_rows(data)], "id bigint, label bigint, vec array<float>")
+    graph = vectordedup.neighbour_graph(nodes, 16, vectordedup.Scratch(spark, "lists"))
+    want = links_model(data)
+    bound = vectordedup.DENSE * (len(data) - 1200)
+    assert graph[0].where("a >= 20000").count() <= bound < sum(n for i, n, _ in want if i >= 20_000) / 2
+    assert graph[1].count() > 0 and graph[2] >= vectordedup.RECALL
+    rows = vectordedup.near_duplicates(frame(spark, data)).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in rows), key=str) == want
+
+
+def test_a_failed_audit_does_not_lose_links(spark, monkeypatch):
+    data = vectors(600)
+    whole = vectordedup.cell_candidates
+    monkeypatch.setattr(vectordedup, "cell_candidates", lambda *args: whole(*args).where("a % 7 = 0"))
+    monkeypatch.setattr(vectordedup, "ROUNDS", 0)
+    rows = vectordedup.near_duplicates(frame(spark, data)).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in rows), key=str) == links_model(data)
+
+
+def test_dense_links_block_against_block(spark):
+    data = hot_vectors()
+    nodes = spark.createDataFrame([(i, lab, v.tolist(), 1 + i % 3) for i, v, lab in in_rows(data)],
+                                  "id bigint, label bigint, vec array<float>, copies bigint")
+    dense = nodes.where("id >= 20000 and id % 4 > 0").select("id")
+    counts, forest = vectordedup.dense_links(nodes, dense, 16, vectordedup.Scratch(spark, "blocks"), block=50)
+    ids, lab = np.array([i for i, _, _ in data]), np.array([lab for _, _, lab in data])
+    x = np.array([np.float32(v) for _, v, _ in data], dtype=float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hot = (ids >= 20_000) & (ids % 4 > 0)
+    near = (x @ x.T >= 0.98) & (lab[:, None] == lab[None, :]) & (hot[:, None] | hot[None, :])
+    np.fill_diagonal(near, False)
+    want = {int(i): int(n) for i, n in zip(ids, near @ (1 + ids % 3)) if n}
+    assert {r["id"]: r["others"] for r in counts.collect() if r["others"]} == want
+    root = {int(i): int(i) for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def groups(pairs):
+        root.update({int(i): int(i) for i in ids})
+        for a, b in pairs:
+            root[find(int(a))] = find(int(b))
+        top = {}
+        for i in ids.tolist():
+            top.setdefault(find(i), []).append(i)
+        return sorted(top.values())
+
+    assert groups([(r["a"], r["b"]) for r in forest.collect()]) == groups([(ids[i], ids[j]) for i, j in zip(*np.nonzero(near))])
