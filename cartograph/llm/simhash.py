@@ -54,6 +54,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     Null, empty and blank texts have no words and get fingerprint 0. Fewer
     words than ``shingle`` are one shingle.
     """
+    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    return with_fingerprints(narrow, shingle, f"`{id_col}` {dict(narrow.dtypes)[id_col]}, fp bigint")
+
+
+def with_fingerprints(rows: DataFrame, shingle: int, schema: str) -> DataFrame:
+    """``rows`` with the fingerprint in place of their last column, the text."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -81,15 +87,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
         for batch in batches:
             out = []
-            for text in batch.column(1):
+            for text in batch.column(batch.num_columns - 1):
                 text = text.as_py()
                 hashes = shingle_hashes(text) if text else []
                 out.append(fold(hashes) if hashes else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
-    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    kind = dict(narrow.dtypes)[id_col]
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return rows.mapInArrow(run, schema)
 
 
 def block_masks(max_bits: int = MAX_BITS) -> list[int]:
@@ -202,6 +206,21 @@ def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return by_key.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _marked(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, h, fp, component_id), ``h`` the text hash of the row."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col), F.xxhash64(text).alias("h"), text.alias("text"))
+    marked = scratch.write(with_fingerprints(rows, shingle, f"`{id_col}` {dict(rows.dtypes)[id_col]}, h bigint, fp bigint"), "fingerprints")
+    distinct = scratch.write(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "distinct")
+    tied = components(near_pairs(distinct.select("fp"), max_bits), scratch)
+    groups = distinct.join(tied, distinct["fp"] == tied["node"], "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("group"))
+    lowest = groups.groupBy("group").agg(F.min("low").alias("component_id"))
+    per_fp = groups.join(lowest, "group").select("fp", "component_id")
+    return marked.join(per_fp, "fp").select(id_col, "h", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id): groups of rows whose fingerprints are linked within ``max_bits``.
@@ -210,15 +229,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     are null). Texts without words share fingerprint 0 and are linked like any
     other. Repeated rows get the same group. An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = scratch.write(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "distinct")
-    tied = components(near_pairs(distinct.select("fp"), max_bits), scratch)
-    groups = distinct.join(tied, distinct["fp"] == tied["node"], "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("group"))
-    lowest = groups.groupBy("group").agg(F.min("low").alias("component_id"))
-    per_fp = groups.join(lowest, "group").select("fp", "component_id")
-    return marked.join(per_fp, "fp").select(id_col, "fp", "component_id")
+    return _marked(docs, shingle, max_bits, id_col, text_col).select(id_col, "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -231,16 +242,20 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     """The documents that represent their group: the one with the smallest id.
 
     All columns of ``docs`` are kept. A document given in several rows with one
-    id stays one row. If all ids of a group are null, one row of it stays.
+    id stays one row; if its rows have different texts, the row is one that
+    represents its group (the smallest text hash of those). If all ids of a
+    group are null, one row of it stays.
     """
-    marked = near_duplicates(docs, shingle, max_bits)
-    survivors = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
+    marked = _marked(docs, shingle, max_bits, "doc_id", "text")
+    survivors = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "h", "fp").distinct()
+    texts = survivors.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("h"))
     # a merge join at every size: what it would broadcast grows with the documents
-    with_id = docs.join(survivors.where("doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    kept = with_id.dropDuplicates(["doc_id"])
+    with_id = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("h")).join(
+        texts.hint("merge"), ["doc_id", "h"], "left_semi")
+    kept = with_id.dropDuplicates(["doc_id", "h"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
     # rows without an id are matched by their text
     rows = docs.where("doc_id is null").select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("t"))
     by_text = fingerprints(rows.select("t").distinct().withColumn("text", F.col("t")), shingle, "t", "text")
-    nulls = (rows.join(by_text, "t").join(survivors.where("doc_id is null").select("fp"), "fp", "left_semi")
+    nulls = (rows.join(by_text, "t").join(survivors.where("doc_id is null").select("fp").distinct(), "fp", "left_semi")
              .dropDuplicates(["fp"]).select(*[F.col("row")[c].alias(c) for c in docs.columns]))
     return kept.unionByName(nulls)

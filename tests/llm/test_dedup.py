@@ -125,6 +125,17 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert ids == sorted(want)
 
 
+def test_the_row_kept_represents_its_group(spark):
+    words = np.random.default_rng(8).integers(0, 10**6, (24, 60)).astype(str)
+    texts = [" ".join(w) for w in words]
+    # id 100 + k has a text of its own and one of a group that a smaller id represents
+    data = [r for k in range(12) for r in ((100 + k, texts[2 * k], 1), (100 + k, texts[2 * k + 1], 0), (k, texts[2 * k + 1], 1))]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, represents int").repartition(5)
+    rows = simhash.keep_one(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == [*range(12), *range(100, 112)]
+    assert all(r["represents"] for r in rows)
+
+
 def test_near_pairs_join_all_close_fingerprints(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**64, 40, dtype=np.uint64)
