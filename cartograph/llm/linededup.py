@@ -8,7 +8,9 @@ suffixes: level 0 ranks the lines themselves, level k + 1 ranks the pairs
 sorted globally and numbered along the sort), so equal ranks are exactly the
 intervals of the suffix array whose longest common prefix is 2^k or more.
 Suffixes alone in their interval cannot be in a longer one and are dropped, so
-the work shrinks from level to level.
+the work shrinks from level to level. Levels stop at ``min_lines``: the
+registered 2 needs and runs one doubling, a group-by on pairs of neighbouring
+lines. No suffix array and no longer common prefix is built.
 
 Intervals with a common prefix of ``min_lines`` lines follow from the last
 level by two overlapping windows. In each, the earliest suffix (smallest
