@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartograph.llm import ann, linededup, mixing, packing, quality, simhash, substring, tokencounts, toxicity, vectordedup
+from cartograph.llm import (alignment, ann, linededup, merkle, mixing, packing, pitmanyor, quality, simhash, substring,
+                            tokencounts, toxicity, vectordedup)
 from cartograph.llm.common import read_table
 from cartograph.session import prepare_session
 
@@ -41,8 +42,12 @@ QUERIES = {
     "op8_simhash_near_dedup": _on_documents(simhash.digest),
     "op9_toxicity": _on_labelled(toxicity.classify),
     "op10_substring_dedup": _on_documents(substring.digest),
+    "op11_language_scores": _on_documents(pitmanyor.language_scores),
+    "op12_cross_tokenizer_alignment": _on_documents(alignment.align),
+    "op13_merkle_manifest": _on_documents(merkle.digest),
 }
 
 ORACLE: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }

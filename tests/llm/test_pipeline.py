@@ -52,7 +52,7 @@ def test_registered_queries():
 
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == set(map(str, range(1, 11)))
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == set(map(str, range(1, 14)))
     assert set(entry.oracle_sql()) <= names
 
 
