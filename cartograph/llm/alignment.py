@@ -7,15 +7,17 @@ token of a group is linked with every B token of it.
 1. Pieces. The ends of a document's A and B tokens are two ascending lists to
    be merged. Binary searches on the merge's diagonals cut it, without merging,
    into pieces of ``PIECE`` ends each, so a long document becomes many rows of
-   equal work and a short one stays one row. Equal ends are never cut apart.
+   equal work. A document of one piece is finished where it is read. Equal ends
+   are never cut apart.
 2. Overlaps. Pieces of long documents are dealt to tasks, and each finds the
    ends its A and B slices share. What lies before the first and behind the
    last of them is its part of a group that it does not hold whole.
 3. Stitching. These parts, and only these, meet per document and are joined to
-   whole groups. From here on everything is a run: tokens that begin and end
-   at a group's border.
-4. Counts. Runs are dealt to shards of bounded text. A shard sends one row per
-   id pair, with the number of its documents that hold it linked; documents in
+   whole groups. Everything is now a run: tokens that begin and end at a
+   group's border. A run keeps its distinct linked id pairs and how often each
+   is linked.
+4. Counts. Runs belong to shards of bounded text. A shard sends one row per id
+   pair, with the number of its documents that hold it linked; documents in
    several runs send (document, pair) and are counted once.
 5. Results. Every shard gets the corpus-wide counts of its own pairs back and
    adds them up for its runs.
@@ -34,9 +36,12 @@ from cartograph.llm.common import Scratch
 PIECE = 32_768            # A and B ends merged in one piece
 SHARD_BYTES = 8_000_000   # text whose tokens are looked up together
 RUNS_PER_SHARD = 64       # of one long document
+CHUNK = 1_000_000         # bytes of text whose groups are found at once
 WIDE = 64                 # a group with more links is reduced to distinct ids first
 
-RUN = "uid bigint, doc_id bigint, seq int, whole boolean, shard bigint, a binary, b binary"
+FOUND = ("n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, groups_sha256 string, "
+         "pairs binary, times binary")
+READ = "uid bigint, doc_id bigint, shard bigint, piece int, n_pieces int, a binary, b binary, a0 bigint, b0 bigint, " + FOUND
 
 
 def diagonals(ea, eb, work: int):
@@ -83,34 +88,26 @@ class Tokens:
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a, self.b))
         self.kind = "<u2" if max(len(self.a), len(self.b)) <= 1 << 16 else "<u4"
         self.pairs = len(self.a) * len(self.b)
+        self.pair_kind = "<u4" if self.pairs <= 1 << 32 else "<u8"
 
     def pair(self, a, b):
         return a * len(self.b) + b
 
-    def encode(self, text: str | None):
-        """(A ids, B ids) of a text; none where joined bytes differ from space + text."""
+    def encode(self, texts: list):
+        """(A ids, B ids) of every text; none where joined bytes differ from space + text."""
         import numpy as np
 
         none = np.zeros(0, self.kind)
-        if not text:
-            return none, none
-        want = b" " + text.encode()
-        a = self.encode_a(" " + text)
-        if b"".join(map(self.a.__getitem__, a)) != want:
-            return none, none
-        a = np.array(a, self.kind)
-        b = self.encode_b(text)
-        if b"".join(map(self.b.__getitem__, b)) != want:
-            return none, none
-        return a, np.array(b, self.kind)
-
-    def ids(self, column):
-        """(all ids as int64, number per row) of an Arrow column of id blobs."""
-        import numpy as np
-
-        rows = [np.frombuffer(x, self.kind) for x in column.to_pylist()]
-        n = np.array([len(x) for x in rows], np.int64)
-        return (np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)), n
+        for text, b in zip(texts, self.encode_b([x or "" for x in texts], num_threads=1)):
+            if not text:
+                yield none, none
+                continue
+            want = b" " + text.encode()
+            a = self.encode_a(" " + text)
+            if b"".join(map(self.a.__getitem__, a)) != want or b"".join(map(self.b.__getitem__, b)) != want:
+                yield none, none
+            else:
+                yield np.array(a, self.kind), np.array(b, self.kind)
 
 
 _TOKENS: dict[tuple, Tokens] = {}
@@ -124,39 +121,75 @@ def tokens(paths: tuple = (None, None)) -> Tokens:
 
 
 def pieces(docs: DataFrame, paths: tuple = (None, None), work: int = PIECE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(uid, doc_id, piece, n_pieces, shard, a, b, a0, b0): ids of every row's text, cut on the diagonals.
+    """READ: every row of ``docs``, encoded and cut on the diagonals.
 
-    ``a0`` and ``b0`` are the bytes before the piece's first A and B token.
-    Rows without tokens are one empty piece.
+    A row of one piece (or without tokens) comes with its groups found. Longer
+    ones are a row per piece with its ids; ``a0`` and ``b0`` are the bytes
+    before the piece's first A and B token.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
-    schema = ("uid bigint, doc_id bigint, piece int, n_pieces int, shard bigint, a binary, b binary, a0 bigint, b0 bigint")
-    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         from cartograph.llm.chars import slices
 
         t = tokens(paths)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
             uid, doc = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, texts in slices(batch.column(2), shard_bytes):
-                out = []
-                for k, text in enumerate(texts):
-                    a, b = t.encode(text.as_py())
-                    ea, eb = np.cumsum(t.a_len[a]), np.cumsum(t.b_len[b])
-                    i, j = diagonals(ea, eb, work)
-                    for p in range(len(i) - 1):
-                        out.append((uid[lo + k], doc[lo + k], p, len(i) - 1, uid[lo],
-                                    a[i[p]:i[p + 1]].tobytes(), b[j[p]:j[p + 1]].tobytes(),
-                                    int(ea[i[p] - 1]) if i[p] else 0, int(eb[j[p] - 1]) if j[p] else 0))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), types)], names=names)
+            for lo, shard in slices(batch.column(2), shard_bytes):
+                for mid, texts in slices(shard, CHUNK):
+                    at = lo + mid
+                    single, cut = [], []
+                    for k, (a, b) in enumerate(t.encode(texts.to_pylist()), at):
+                        if len(a) + len(b) <= work:
+                            single.append((k, a, b))
+                            continue
+                        ea, eb = np.cumsum(t.a_len[a]), np.cumsum(t.b_len[b])
+                        i, j = diagonals(ea, eb, work)
+                        cut += [(k, p, len(i) - 1, a[i[p]:i[p + 1]].tobytes(), b[j[p]:j[p + 1]].tobytes(),
+                                 int(ea[i[p] - 1]) if i[p] else 0, int(eb[j[p] - 1]) if j[p] else 0) for p in range(len(i) - 1)]
+                    if single:
+                        index, a, b = zip(*single)
+                        n = len(single)
+                        yield _batch(READ, uid=[uid[k] for k in index], doc_id=[doc[k] for k in index], shard=[uid[lo]] * n,
+                                     piece=[0] * n, n_pieces=[1] * n, **found(t, a, b, True))
+                    for k in range(0, len(cut), 64):
+                        index, piece, n_pieces, a, b, a0, b0 = zip(*cut[k:k + 64])
+                        yield _batch(READ, uid=[uid[x] for x in index], doc_id=[doc[x] for x in index], piece=piece,
+                                     n_pieces=n_pieces, a=a, b=b, a0=a0, b0=b0)
+
+    return rows.mapInArrow(run, READ)
+
+
+def _batch(schema: str, **columns):
+    """A record batch of ``schema``; columns that are not given are null."""
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    n = len(next(iter(columns.values()), ()))
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[f] if f in columns else [None] * n, kinds[k]) for f, k in fields],
+                                      names=[f for f, _ in fields])
+
+
+def found(t: Tokens, a, b, whole: bool) -> dict:
+    """The columns FOUND of consecutive runs; the groups as text only of runs that are part of a document."""
+    from hashlib import sha256
 
-    return rows.mapInArrow(run, schema)
+    import numpy as np
+
+    g = Groups(t, a, b)
+    key, times = g.links()
+    texts = g.texts()
+    cut = np.searchsorted(key, np.arange(len(a) + 1) * t.pairs)
+    pair, times = (key % t.pairs).astype("<u8"), times.astype("<u4" if not len(times) or times.max() < 1 << 32 else "<u8")
+    return {"n_a": g.n_a, "n_b": g.n_b, "n_groups": g.n_groups, "n_links": g.n_links,
+            "groups": [None if whole else x.decode() for x in texts],
+            "groups_sha256": [(sha256(x).hexdigest() if x else "") if whole else None for x in texts],
+            "pairs": [pair[x:y].astype(t.pair_kind).tobytes() for x, y in zip(cut, cut[1:])],
+            "times": [times[x:y].tobytes() for x, y in zip(cut, cut[1:])]}
 
 
 def overlaps(cut: DataFrame, paths: tuple = (None, None)) -> DataFrame:
@@ -218,32 +251,47 @@ def stitched(parts: DataFrame) -> DataFrame:
 def runs(docs: DataFrame, scratch: Scratch, paths: tuple = (None, None), work: int = PIECE,
          shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Runs of whole groups: those of documents in one run, and those of documents in several."""
-    cut = scratch.write(pieces(docs, paths, work, shard_bytes), "pieces")
-    single = cut.where("n_pieces = 1").select("uid", "doc_id", F.lit(0).alias("seq"), F.lit(True).alias("whole"), "shard", "a", "b")
-    parts = scratch.write(overlaps(cut.where("n_pieces > 1"), paths), "parts")
+    read = scratch.write(pieces(docs, paths, work, shard_bytes), "read")
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    single = read.where("n_pieces = 1").select("uid", "doc_id", F.lit(0).alias("seq"), F.lit(True).alias("whole"), "shard", *names)
+    parts = scratch.write(overlaps(read.where("n_pieces > 1"), paths), "parts")
     own = parts.where("octet_length(a) > 0").select("uid", "doc_id", (F.col("piece") * 2).alias("seq"), "a", "b")
     joined = stitched(parts.select("uid", "doc_id", "piece", "closes", "head_a", "head_b", "tail_a", "tail_b"))
     shard = F.xxhash64("uid", F.floor(F.col("seq") / RUNS_PER_SHARD))
     several = own.unionByName(joined).select("uid", "doc_id", "seq", F.lit(False).alias("whole"), shard.alias("shard"), "a", "b")
-    return single, scratch.write(several, "several")
+    schema = "uid bigint, doc_id bigint, seq int, whole boolean, shard bigint, " + FOUND
+
+    def run(batches):
+        import numpy as np
+
+        t = tokens(paths)
+        for batch in batches:
+            # each stretch of runs has a bounded number of ids, or is one run
+            size = np.cumsum([len(x) for x in batch.column(5).to_pylist()])
+            for lo, hi in spans(size // CHUNK):
+                part = batch.slice(lo, hi - lo).to_pydict()
+                ids = ([np.frombuffer(x, t.kind) for x in part.pop(c)] for c in ("a", "b"))
+                yield _batch(schema, **part, **found(t, *ids, False))
+
+    return single, scratch.write(several.mapInArrow(run, schema), "several")
 
 
 class Groups:
     """Groups and links of consecutive runs."""
 
-    def __init__(self, t: Tokens, a_column, b_column):
+    def __init__(self, t: Tokens, a: list, b: list):
         import numpy as np
 
         self.t = t
-        self.a, self.n_a = t.ids(a_column)
-        self.b, self.n_b = t.ids(b_column)
+        self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+        self.a, self.b = (np.concatenate(side).astype(np.int64) if len(side) else np.zeros(0, np.int64) for side in (a, b))
         runs_ = len(self.n_a)
         # runs cover equal bytes in A and B, so ends counted through all runs stay comparable
         ea, eb = np.cumsum(t.a_len[self.a]), np.cumsum(t.b_len[self.b])
-        at = np.searchsorted(eb, ea)
-        self.last_a = eb[at] == ea if len(ea) else np.zeros(0, bool)
-        self.last_b = np.zeros(len(eb), bool)
-        self.last_b[at[self.last_a]] = True
+        ends = np.zeros(int(ea[-1]) + 1 if len(ea) else 1, np.uint8)
+        ends[ea] = 1
+        ends[eb] += 2
+        self.last_a, self.last_b = ends[ea] == 3, ends[eb] == 3
         self.of_a, self.of_b = np.cumsum(self.last_a) - self.last_a, np.cumsum(self.last_b) - self.last_b
         n = int(self.last_a.sum())
         self.in_a, self.in_b = np.bincount(self.of_a, minlength=n), np.bincount(self.of_b, minlength=n)
@@ -253,27 +301,31 @@ class Groups:
         np.add.at(self.n_links, self.run, self.in_a * self.in_b)
 
     def links(self):
-        """(run, pair, times): links, those of wide groups added up by ids."""
+        """(key, times): the runs' distinct linked pairs, ascending by run and pair, and how often each is linked."""
         import numpy as np
 
         t = self.t
         size = self.in_a * self.in_b
         cum_b = np.concatenate(([0], np.cumsum(self.in_b)))
-        cum_a = np.concatenate(([0], np.cumsum(self.in_a)))
         near = size[self.of_a] <= WIDE
         a, group = self.a[near], self.of_a[near]
         n = self.in_b[group]
         start = np.cumsum(n) - n
         b = self.b[np.arange(int(n.sum())) - np.repeat(start, n) + np.repeat(cum_b[group], n)]
-        run, pair = [np.repeat(self.run[group], n)], [t.pair(np.repeat(a, n), b)]
-        times = [np.ones(len(b), np.int64)]
-        for g in np.flatnonzero(size > WIDE).tolist():
-            x, nx = np.unique(self.a[cum_a[g]:cum_a[g + 1]], return_counts=True)
-            y, ny = np.unique(self.b[cum_b[g]:cum_b[g + 1]], return_counts=True)
-            pair.append(t.pair(x[:, None], y[None, :]).ravel())
-            times.append((nx[:, None] * ny[None, :]).ravel())
-            run.append(np.full(len(pair[-1]), self.run[g]))
-        return np.concatenate(run), np.concatenate(pair), np.concatenate(times)
+        key, times = np.unique(np.repeat(self.run[group] * t.pairs + t.pair(a, 0), n) + b, return_counts=True)
+        wide = np.flatnonzero(size > WIDE).tolist()
+        if wide:
+            cum_a = np.concatenate(([0], np.cumsum(self.in_a)))
+            keys, more = [key], [times]
+            for g in wide:
+                x, nx = np.unique(self.a[cum_a[g]:cum_a[g + 1]], return_counts=True)
+                y, ny = np.unique(self.b[cum_b[g]:cum_b[g + 1]], return_counts=True)
+                keys.append(self.run[g] * t.pairs + t.pair(x[:, None], y[None, :]).ravel())
+                more.append((nx[:, None] * ny[None, :]).ravel())
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            times = np.zeros(len(key), np.int64)
+            np.add.at(times, at, np.concatenate(more))
+        return key, times
 
     def texts(self) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of every run."""
@@ -301,40 +353,36 @@ def linked_pairs(rows: DataFrame, paths: tuple = (None, None)) -> DataFrame:
     For documents in one run, ``uid`` is null and ``n`` counts the shard's
     documents of a batch; else there is a row per document and pair.
     """
+    schema = "shard bigint, uid bigint, pair bigint, n bigint"
+
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         t = tokens(paths)
         for batch in batches:
-            shard = batch.column(0).to_numpy()
-            # a batch may hold many shards, one after the other
-            for lo, hi in spans(shard):
-                part = batch.slice(lo, hi - lo)
-                g = Groups(t, part.column(3), part.column(4))
-                r, pair, _ = g.links()
-                key = np.unique(r * t.pairs + pair)
-                pair, whole = key % t.pairs, part.column(2).to_numpy(zero_copy_only=False)[key // t.pairs]
-                one, n = np.unique(pair[whole], return_counts=True)
-                rest = pair[~whole]
-                uid = part.column(1).to_numpy()[(key // t.pairs)[~whole]]
-                k = len(one) + len(rest)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(k, shard[lo])), pa.array([None] * len(one) + uid.tolist(), pa.int64()),
-                    pa.array(np.concatenate((one, rest))), pa.array(np.concatenate((n, np.ones(len(rest), np.int64))))],
-                    names=["shard", "uid", "pair", "n"])
-
-    return rows.select("shard", "uid", "whole", "a", "b").mapInArrow(run, "shard bigint, uid bigint, pair bigint, n bigint")
-
-
-def spans(key):
+            shard, uid, whole = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            blobs = batch.column(3).to_pylist()
+            # a batch may hold many shards, one after the other, and many runs of one document
+            for lo, hi in spans(shard, np.where(whole, 0, uid)):
+                pair = np.concatenate([np.frombuffer(x, t.pair_kind) for x in blobs[lo:hi]])
+                one, n = np.unique(pair, return_counts=True)
+                if not whole[lo]:
+                    n[:] = 1
+                for k in range(0, len(one), 100_000):
+                    m = len(one[k:k + 100_000])
+                    yield _batch(schema, shard=[shard[lo]] * m, uid=[None if whole[lo] else uid[lo]] * m,
+                                 pair=one[k:k + 100_000].astype(np.int64), n=n[k:k + 100_000])
+
+    return rows.select("shard", "uid", "whole", "pairs").mapInArrow(run, schema)
+
+
+def spans(*keys):
     """(start, end) of stretches of equal keys."""
     import numpy as np
 
-    if not len(key):
-        return []
-    cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(key)]))
+    n = len(keys[0])
+    cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if n else np.zeros(0, int)
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), n])) if n else []
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -345,39 +393,27 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def measured(rows: DataFrame, facts: DataFrame, paths: tuple = (None, None)) -> DataFrame:
-    """Per run: tokens, groups, links, sums of its pairs' counts, and the groups as text."""
-    schema = ("uid bigint, doc_id bigint, seq int, whole boolean, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
-              "n_best bigint, count_sum bigint, groups string, groups_sha256 string")
+    """Per run: what was found, and the sums of its pairs' counts."""
+    kept = [c.split()[0] for c in FOUND.split(", ")][:6]
+    schema = ("uid bigint, doc_id bigint, seq int, whole boolean, " + ", ".join(FOUND.split(", ")[:6])
+              + ", n_best bigint, count_sum bigint")
 
     def run(table, known):
-        from hashlib import sha256
-
         import numpy as np
         import pyarrow as pa
 
         t = tokens(paths)
         order = np.argsort(known.column("pair").to_numpy())
         pairs, n, best = (known.column(c).to_numpy()[order] for c in ("pair", "n", "best"))
-        out = []
-        for part in table.to_batches():
-            g = Groups(t, part.column("a"), part.column("b"))
-            r, pair, times = g.links()
+        n_best, count_sum = [], []
+        for x, y in zip(table.column("pairs").to_pylist(), table.column("times").to_pylist()):
+            pair = np.frombuffer(x, t.pair_kind)
+            times = np.frombuffer(y, "<u4" if len(y) == 4 * len(pair) else "<u8").astype(np.int64)
             at = np.searchsorted(pairs, pair)
-            n_best, count_sum = np.zeros(len(g.n_a), np.int64), np.zeros(len(g.n_a), np.int64)
-            if len(pair):
-                np.add.at(n_best, r, times * (best[at] == n[at]))
-                np.add.at(count_sum, r, times * n[at])
-            whole = part.column("whole").to_pylist()
-            texts = g.texts()
-            out.append(pa.RecordBatch.from_arrays([
-                part.column("uid"), part.column("doc_id"), part.column("seq"), part.column("whole"),
-                *(pa.array(x) for x in (g.n_a, g.n_b, g.n_groups, g.n_links, n_best, count_sum)),
-                pa.array([None if w else x.decode() for w, x in zip(whole, texts)], pa.string()),
-                pa.array([(sha256(x).hexdigest() if x else "") if w else None for w, x in zip(whole, texts)], pa.string())],
-                names=[c.split()[0] for c in schema.split(", ")]))
-        return pa.Table.from_batches(out) if out else pa.table(
-            {c.split()[0]: pa.array([], {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]])
-             for c in schema.split(", ")})
+            n_best.append(int(times[best[at] == n[at]].sum()) if len(pair) else 0)
+            count_sum.append(int((times * n[at]).sum()) if len(pair) else 0)
+        return (table.select(["uid", "doc_id", "seq", "whole", *kept]).append_column("n_best", pa.array(n_best, pa.int64()))
+                .append_column("count_sum", pa.array(count_sum, pa.int64())))
 
     return rows.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(run, schema)
 
@@ -402,7 +438,7 @@ def align(docs: DataFrame, paths: tuple = (None, None), work: int = PIECE, shard
              .select("shard", "pair", "n", "best"))
     columns = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     out = scratch.write(measured(single.unionByName(several), facts, paths), "measured")
-    scratch.drop("pieces")
+    scratch.drop("read")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "groups"))), lambda s: s["groups"]), ";")
     long = (out.where("not whole").groupBy("uid", "doc_id")
             .agg(*[F.sum(c).alias(c) for c in columns], F.sha2(text, 256).alias("groups_sha256")))
