@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions import text as T
+from cartograph.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 LINK_PATTERN = r"^- \[(.*)\]\((https?://.*?)\)(?:: (.*))?\z"    # a URL may hold brackets: up to the ")" before the end or ": "
@@ -160,26 +161,136 @@ def merge_duplicates(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.filter(~is_link).unionByName(merged.select(*lines.columns))
 
 
-def similar_titles(lines: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
-    """C7 on titles: (keys..., line_a, line_b, similarity) of entries whose title words overlap (Jaccard).
+def title_words(title) -> F.Column:
+    """The distinct words of a title, lower-cased, in ascending order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(T.col(title)), F.lit(r"[\p{L}\p{N}]+"), 0)))
+
+
+def title_classes(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., line_no, words, class_line): entries with equal title words form a class, named after its first line."""
+    entries = (lines.filter(F.col("kind") == "link").select(*keys, "line_no", title_words("title").alias("words"))
+               .filter(F.size("words") > 0))
+    first = entries.groupBy(*keys, "words").agg(F.min("line_no").alias("class_line"))
+    return entries.join(first, [*keys, "words"])
+
 
-    Two titles that reach ``least`` share a word among the rarest few of each,
-    so only entries of one document that share such a word are compared.
+def similar_classes(classes: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
+    """(keys..., class_a, class_b, similarity): classes whose word sets reach ``least`` (Jaccard), class_a < class_b.
+
+    A set-similarity join with three filters, exact at any threshold above 0.
+    Words are put in one order, rarest of the document first. Two sets of n
+    and m words that reach the threshold share at least o = ceil(t / (1 + t) *
+    (n + m)) words, so (prefix) they share one of the first n - ceil(t n) + 1
+    words of each, (length) t n <= m <= n / t, and (position) behind a shared
+    word at places i and j there must be room for o: 1 + min(n - i, m - j) >= o
+    (places from 1), for the first word they share. Only classes are joined,
+    never copies of a title.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}]+"), 0))
-    titles = lines.filter(F.col("kind") == "link").select(*keys, "line_no", words.alias("words")).filter(F.size("words") > 0)
-    each = titles.select(*keys, "line_no", F.explode("words").alias("word"))
+    reps = classes.filter(F.col("line_no") == F.col("class_line")).select(*keys, "class_line", "words")
+    each = reps.select(*keys, "class_line", F.explode("words").alias("word"))
     seen = each.groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    ranked = each.join(seen, [*keys, "word"]).groupBy(*keys, "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by_rarity"))
-    n = F.size("by_rarity")
-    few = n - F.ceil(n * F.lit(least)) + 1
-    rare = ranked.select(*keys, "line_no", F.explode(F.slice("by_rarity", F.lit(1), few.cast("int"))).alias("r")).select(
-        *keys, "line_no", F.col("r.word").alias("word"))
-    a, b = rare.withColumnRenamed("line_no", "line_a"), rare.withColumnRenamed("line_no", "line_b")
-    met = a.join(b, [*keys, "word"]).filter("line_a < line_b").select(*keys, "line_a", "line_b").distinct()
-    wa = titles.select(*keys, F.col("line_no").alias("line_a"), F.col("words").alias("wa"))
-    wb = titles.select(*keys, F.col("line_no").alias("line_b"), F.col("words").alias("wb"))
-    both = met.join(wa, [*keys, "line_a"]).join(wb, [*keys, "line_b"])
-    similarity = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    return both.select(*keys, "line_a", "line_b", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    ordered = each.join(seen, [*keys, "word"]).groupBy(*keys, "class_line").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("words"))
+    size = F.size("words")
+    # 1e-9 keeps products like 0.8 * 5 from being rounded up past a whole number
+    ceil = lambda c: F.ceil(c - F.lit(1e-9)).cast("int")
+    few = size - ceil(size * F.lit(least)) + 1
+    sides = ordered.select(*keys, "class_line", "words", size.alias("size"), F.posexplode(F.slice("words", F.lit(1), few)).alias("at", "word"))
+    a, b = (sides.select(*keys, "word", *[F.col(c).alias(f"{c}_{s}") for c in ("class_line", "words", "size", "at")]) for s in "ab")
+    shared = ceil(F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")))
+    room = 1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1)
+    long_enough = (F.col("size_a") + 1e-9 >= F.col("size_b") * least) & (F.col("size_b") + 1e-9 >= F.col("size_a") * least)
+    met = a.join(b, [*keys, "word"]).filter((F.col("class_line_a") < F.col("class_line_b")) & long_enough)
+    # words are in one order, so the first shared word of the prefixes is the first shared word at all
+    first = met.filter((F.array_position(F.array_intersect("words_a", "words_b"), F.col("word")) == 1) & (room >= shared))
+    both = F.size(F.array_intersect("words_a", "words_b"))
+    similarity = both / (F.col("size_a") + F.col("size_b") - both)
+    return first.select(*keys, F.col("class_line_a").alias("class_a"), F.col("class_line_b").alias("class_b"),
+                        similarity.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def similar_title_classes(lines: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
+    """C7 on titles: (keys..., line_no, class_line, similar_class, similarity).
+
+    One row per entry with its class (``similar_class`` null), and one per pair
+    of similar classes (``line_no`` null, ``class_line`` < ``similar_class``).
+    Entries of linked classes are similar, entries of one class equal.
+    """
+    classes = title_classes(lines, keys)
+    pairs = similar_classes(classes, keys, least)
+    return classes.select(*keys, "line_no", "class_line", F.lit(None).cast("int").alias("similar_class"),
+                          F.lit(None).cast("double").alias("similarity")).unionByName(
+        pairs.select(*keys, F.lit(None).cast("int").alias("line_no"), F.col("class_a").alias("class_line"),
+                     F.col("class_b").alias("similar_class"), "similarity"))
+
+
+def similar_titles(lines: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
+    """C7 on titles as pairs of entries: (keys..., line_a, line_b, similarity).
+
+    Classes are compared, and only what is found is written out as pairs of
+    their entries: n equal titles are n (n - 1) / 2 rows. ``similar_title_classes``
+    gives the same without expanding them.
+    """
+    classes = title_classes(lines, keys)
+    member = lambda c, line: classes.select(*keys, F.col("class_line").alias(c), F.col("line_no").alias(line))
+    equal = (member("c", "line_a").join(member("c", "line_b"), [*keys, "c"]).filter("line_a < line_b")
+             .select(*keys, "line_a", "line_b", F.lit(1.0).alias("similarity")))
+    apart = (similar_classes(classes, keys, least).join(member("class_a", "x"), [*keys, "class_a"]).join(member("class_b", "y"), [*keys, "class_b"])
+             .select(*keys, F.least("x", "y").alias("line_a"), F.greatest("x", "y").alias("line_b"), "similarity"))
+    return equal.unionByName(apart)
+
+
+def connected(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., node, root): the smallest node of every node's component, by star contraction.
+
+    ``edges``: (keys..., a, b). In turn every larger neighbour of a node is
+    tied to the node's smallest neighbour, and every node and its smaller
+    neighbours to the smallest of them, until nothing changes. Rounds are
+    logarithmic in the length of chains; each is written to the checkpoint
+    folder.
+    """
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+    def digest(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first())
+
+    e = edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct().checkpoint()
+    before = digest(e)
+    while True:
+        both = e.select(*keys, F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select(*keys, "e.*")
+        low = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).select(*keys, "u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = large.join(least, [*keys, "u"]).select(*keys, F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e"))
+        e = small.select(*keys, "e.*").filter("u != v").distinct().checkpoint()
+        after = digest(e)
+        if after == before:
+            break
+        before = after
+    return e.select(*keys, F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        e.select(*keys, F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def merge_similar(lines: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
+    """The line table with one entry per class of duplicates by URL or title, the first; it takes the first description given.
+
+    Entries are duplicates if their URLs normalise to one key or their titles
+    are similar, directly or through others (a ~ b ~ c is one class).
+    """
+    is_link = F.col("kind") == "link"
+    links = lines.filter(is_link).withColumn("url_key", url_key("url"))
+    # every entry is tied to the first of its URL and the first of its title words, and similar titles to one another
+    by_url = links.groupBy(*keys, "url_key").agg(F.min("line_no").alias("b"))
+    classes = title_classes(lines, keys)
+    edges = (links.join(by_url, [*keys, "url_key"]).select(*keys, F.col("line_no").alias("a"), "b")
+             .unionByName(classes.select(*keys, F.col("line_no").alias("a"), F.col("class_line").alias("b")))
+             .unionByName(similar_classes(classes, keys, least).select(*keys, F.col("class_a").alias("a"), F.col("class_b").alias("b"))))
+    roots = connected(edges, keys).select(*keys, F.col("node").alias("line_no"), "root")
+    entries = links.drop("url_key").join(roots, [*keys, "line_no"], "left").withColumn("root", F.coalesce("root", "line_no"))
+    said = entries.filter(F.col("description") != "").groupBy(*keys, "root").agg(
+        F.min_by("description", "line_no").alias("_said"))
+    merged = (entries.filter(F.col("line_no") == F.col("root")).join(said, [*keys, "root"], "left")
+              .withColumn("description", F.coalesce("_said", "description")))
+    return lines.filter(~is_link).unionByName(merged.select(*lines.columns))

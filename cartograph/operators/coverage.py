@@ -78,6 +78,6 @@ def response_coverage(responses: DataFrame, facts: DataFrame, resp_id: str = "do
 def signal_counts(responses: DataFrame, resp_id: str = "doc_id") -> DataFrame:
     """K2: concrete signals per response over the whole text."""
     def n(p):
-        return F.size(F.regexp_extract_all("text", F.lit(p), 0)).cast("bigint")
+        return F.regexp_count("text", F.lit(p)).cast("bigint")
     return responses.select(resp_id, n(URL_PATTERN).alias("n_urls"), n(EMAIL_PATTERN_JAVA).alias("n_emails"),
                             n(NUMBER_PATTERN).alias("n_numbers"), n(MD_LINK_PATTERN).alias("n_md_links"))

@@ -9,16 +9,20 @@ first enqueued a URL, then the link's position on that page. Per level:
     pages -> scope + suffix filters (F2-F4) -> first discovery per URL (W3)
     -> anti join with everything already enqueued (J2) -> next frontier
 
-The graph is hash-partitioned by URL once and checkpointed, so no level
-shuffles it; a level shuffles the frontier, the candidates and the set of
-URLs seen so far. Lineage is cut with reliable checkpoints (``spark.checkpoint.dir``).
+Two bucketed tables keep a level's shuffles to what is new in it. The graph is
+written once, bucketed by URL, without links to pages that were not captured.
+Everything ever enqueued is appended to a store bucketed by (site, url), a level
+at a time. A level shuffles its frontier by URL, its hits by site and its
+candidates by (site, url); graph and store are read in their buckets and never
+move. Both are files in the shared checkpoint folder, so a lost executor
+repeats tasks of one level.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions import urls as U
@@ -26,33 +30,71 @@ from cartograph.session import ensure_checkpoint_dir
 
 
 SALTS = 16
+STORE = ("site string, url string, level int, is_page boolean, base_url string, max_pages bigint, found bigint, "
+         "parent_rank bigint, pos bigint, title string, rank bigint")
 
 
-def build_graph(nodes: DataFrame, links: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """(url, title, links array<string> in document order), partitioned by url.
+class Buckets:
+    """A table of files in the checkpoint folder, bucketed by some columns."""
+
+    def __init__(self, spark: SparkSession, name: str, keys: list[str]):
+        self.spark, self.keys = spark, keys
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))    # as many as a shuffle has, so joins need none
+        self.table = f"{name}_{uuid.uuid4().hex[:12]}"
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{self.table}"
+
+    def append(self, rows: DataFrame) -> None:
+        """Add rows; they should be partitioned by the keys already, so that a task writes few buckets."""
+        rows.write.mode("append").bucketBy(self.n, *self.keys).option("path", self.path).saveAsTable(self.table)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+
+def build_graph(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(url, title, links array<string> in document order), bucketed by url.
 
     ``nodes``: (url, title) of pages whose fetch and title step succeeded.
-    ``links``: (src_url, pos, dst_url).
+    ``links``: (src_url, pos, dst_url). Links to other URLs are left out: such
+    a URL is enqueued and fails, which changes neither order nor ranks.
     """
     spark = nodes.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_page = links.groupBy(F.col("src_url").alias("url")).agg(
+    known = nodes.select(F.col("url").alias("dst_url")).distinct()
+    per_page = links.join(known, "dst_url", "left_semi").groupBy(F.col("src_url").alias("url")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst_url"))), lambda x: x["dst_url"]).alias("links"))
-    graph = (
-        nodes.select("url", "title").repartition(n, "url")
-        .join(per_page.repartition(n, "url"), "url", "left")
+    graph = Buckets(spark, "graph", ["url"])
+    graph.append(
+        nodes.select("url", "title").join(per_page, "url", "left")
         .select("url", "title", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+        .repartition(graph.n, "url"))
+    return graph.read()
+
+
+def expand(frontier: DataFrame, graph: DataFrame, seen: DataFrame, cap: int, scope: str) -> tuple[DataFrame, DataFrame]:
+    """One level: (accepted pages, next frontier)."""
+    by_site = Window.partitionBy("site")
+    order = by_site.orderBy("parent_rank", "pos")
+    frontier = frontier.select("site", "base_url", "max_pages", "found", "url", "parent_rank", "pos")
+    hits = frontier.filter(U.in_scope("url", "base_url", scope)).join(graph, "url")
+    accepted = (
+        hits.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= cap)
+        .withColumn("rank", F.col("found") + F.col("rn"))
+        .filter(F.col("rank") <= F.col("max_pages"))
+        .withColumn("found_after", F.max("rank").over(by_site))
     )
-    ensure_checkpoint_dir(spark)
-    # Checkpoint with a static plan so the stored graph keeps its
-    # hash(url) partitioning; every level then shuffles only the frontier.
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return graph.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
+    cand = (
+        accepted.filter(F.col("found_after") < F.col("max_pages"))
+        .select("site", "base_url", "max_pages", F.col("found_after").alias("found"),
+                F.col("rank").alias("parent_rank"), F.posexplode("links").alias("pos", "url"))
+        .filter(U.in_scope("url", "base_url", scope) & ~U.excluded_suffix("url"))
+    )
+    first = cand.groupBy("site", "url").agg(
+        F.min(F.struct(F.col("parent_rank"), F.col("pos").cast("bigint").alias("pos"),
+                       "base_url", "max_pages", "found")).alias("m"))
+    known = seen.select(F.col("site").alias("site"), F.col("url").alias("url"))
+    nxt = (first.join(known, ["site", "url"], "left_anti")
+           .select("site", "m.base_url", "m.max_pages", "m.found", "url", "m.parent_rank", "m.pos"))
+    return accepted, nxt
 
 
 def bounded_bfs(graph: DataFrame, seeds: DataFrame, max_levels: int | None = None,
@@ -74,54 +116,32 @@ def bounded_bfs(graph: DataFrame, seeds: DataFrame, max_levels: int | None = Non
     if cap <= 0:
         return empty
 
-    frontier = seeds.select(
+    store = Buckets(spark, "enqueued", ["site", "url"])
+
+    def stored(rows: DataFrame, level: int, is_page: bool) -> DataFrame:
+        given = {**{c: F.col(c) for c in rows.columns}, "level": F.lit(level), "is_page": F.lit(is_page)}
+        return rows.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in (f.split() for f in STORE.split(", "))])
+
+    start = seeds.select(
         "site", "base_url", F.col("max_pages").cast("bigint").alias("max_pages"),
         F.lit(0).cast("bigint").alias("found"), F.col("start_url").alias("url"),
-        F.lit(0).cast("bigint").alias("parent_rank"), F.lit(0).cast("bigint").alias("pos"),
-    ).checkpoint(eager=True)
-    seen = frontier.select("site", "url")
-    levels: list[DataFrame] = []
-    by_site = Window.partitionBy("site")
-    order = by_site.orderBy("parent_rank", "pos")
-    frontier_cols = ["site", "base_url", "max_pages", "found", "url", "parent_rank", "pos"]
+        F.lit(0).cast("bigint").alias("parent_rank"), F.lit(0).cast("bigint").alias("pos"))
+    store.append(stored(start, 0, False).repartition(store.n, "site", "url"))
     depth = 0
     while True:
-        hits = frontier.filter(U.in_scope("url", "base_url", scope)).join(graph, "url")
-        accepted = (
-            hits.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= cap)
-            .withColumn("rank", F.col("found") + F.col("rn"))
-            .filter(F.col("rank") <= F.col("max_pages"))
-            .withColumn("found_after", F.max("rank").over(by_site))
-        )
-        cand = (
-            accepted.filter(F.col("found_after") < F.col("max_pages"))
-            .select("site", "base_url", "max_pages", F.col("found_after").alias("found"),
-                    F.col("rank").alias("parent_rank"), F.posexplode("links").alias("pos", "url"))
-            .filter(U.in_scope("url", "base_url", scope) & ~U.excluded_suffix("url"))
-        )
-        first = cand.groupBy("site", "url").agg(
-            F.min(F.struct(F.col("parent_rank"), F.col("pos").cast("bigint").alias("pos"),
-                           "base_url", "max_pages", "found")).alias("m"))
-        nxt = (first.join(seen, ["site", "url"], "left_anti")
-               .select("site", "m.base_url", "m.max_pages", "m.found", "url", "m.parent_rank", "m.pos"))
-        # One write per level: accepted pages and the next frontier together
-        # (the shared window stage is computed once and reused).
-        level = (
-            accepted.select("site", "url", "title", "rank", *[F.lit(None).cast(t).alias(c) for c, t in (
-                ("base_url", "string"), ("max_pages", "bigint"), ("found", "bigint"),
-                ("parent_rank", "bigint"), ("pos", "bigint"))], F.lit(True).alias("is_page"))
-            .unionByName(nxt.select(*frontier_cols, F.lit(None).cast("string").alias("title"),
-                                    F.lit(None).cast("bigint").alias("rank"), F.lit(False).alias("is_page")))
-            .checkpoint(eager=True)
-        )
-        levels.append(level.filter(F.col("is_page")).select("site", "url", "title", "rank"))
+        table = store.read()
+        waiting = table.filter(~F.col("is_page"))
+        accepted, nxt = expand(waiting.filter(F.col("level") == depth), graph, waiting, cap, scope)
+        # one write a level: accepted pages and the next frontier
+        store.append(stored(accepted.select("site", "url", "title", "rank"), depth, True).repartition(store.n, "site", "url")
+                     .unionByName(stored(nxt, depth + 1, False)))
         depth += 1
-        frontier = level.filter(~F.col("is_page")).select(*frontier_cols)
-        if (max_levels is not None and depth >= max_levels) or frontier.isEmpty():
+        if (max_levels is not None and depth >= max_levels) or \
+                store.read().filter(~F.col("is_page") & (F.col("level") == depth)).isEmpty():
             break
-        # a union of checkpointed pieces: shallow lineage without another write
-        seen = seen.unionByName(frontier.select("site", "url"))
-    return reduce(DataFrame.unionByName, levels) if levels else empty
+    pages = spark.read.schema(STORE).parquet(store.path).filter("is_page").select("site", "url", "title", "rank")
+    spark.sql(f"DROP TABLE {store.table}")        # only the catalog entry: an external table's files stay
+    return pages
 
 
 def graph_from_index(index: DataFrame, links: DataFrame) -> DataFrame:

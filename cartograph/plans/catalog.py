@@ -129,6 +129,23 @@ def bfs_captured_links(spark, sf_dir):
     return TR.bounded_bfs(graph, seeds)
 
 
+@query("bfs_planted_links")
+def bfs_planted_links(spark, sf_dir):
+    """T1 over links extracted from HTML into which links between captured pages are planted.
+
+    The links lead back, to the page itself, to files with excluded suffixes,
+    to other sites and to pages whose fetch failed; one site has one seed.
+    """
+    from cartograph.operators import traverse as TR
+    ranked = _site_pages(spark, sf_dir).checkpoint(eager=True)      # extracted once; read for both ends of the links
+    pages = FX.planted_links(ranked, P.read_table(spark, sf_dir, "pages")).checkpoint(eager=True)
+    ix = P.page_index(pages).checkpoint(eager=True)  # extracted once; read for nodes, links and seeds
+    graph = TR.graph_from_index(ix, P.page_links(ix))
+    first = _kept_pages(ix).groupBy("site").agg(F.min_by("url", "page_id").alias("start_url"))
+    seeds = first.select("site", F.col("site").alias("base_url"), "start_url", F.lit(SM.DEFAULT_MAX_PAGES).alias("max_pages"))
+    return TR.bounded_bfs(graph, seeds)
+
+
 def _map_lines(spark, sf_dir):
     from cartograph.operators import conform as C
     docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
@@ -437,6 +454,23 @@ def map_similar_titles(spark, sf_dir):
     return C.similar_titles(C.line_table(docs, ["site"]), ["site"])
 
 
+@query("map_title_classes")
+def map_title_classes(spark, sf_dir):
+    """C7 on titles, on the generated maps: every entry's class of equal title words, and pairs of similar classes."""
+    from cartograph.operators import conform as C
+    docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
+    return C.similar_title_classes(C.line_table(docs, ["site"]).checkpoint(eager=True), ["site"])
+
+
+@query("map_merged_similar")
+def map_merged_similar(spark, sf_dir):
+    """Every variant's lines with entries of one URL or of similar titles merged, chains of them too."""
+    from cartograph.operators import conform as C
+    lines = _map_lines(spark, sf_dir).checkpoint(eager=True)      # rendered once; read for entries, URLs and titles
+    return C.merge_similar(lines, ["site", "variant"]).select(
+        "site", "variant", F.col("line_no").cast("int").alias("line_no"), "kind", "url", "description")
+
+
 @query("dropped_pages")
 def dropped_pages(spark, sf_dir):
     """captured pages that no site map holds, with the reason."""

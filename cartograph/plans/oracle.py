@@ -114,6 +114,14 @@ SELECT site, url, title, r + 1 AS rank FROM ({_site_pages_sql()}) AS q WHERE r <
 ORACLE["bfs_limit_per_site"] = f"""
 SELECT site, url, title, r + 1 AS rank FROM ({_site_pages_sql()}) AS q WHERE r < 1 + length(site) % 4"""
 
+# Planted links form the same tree with failed pages: reached pages in r order.
+ORACLE["bfs_planted_links"] = f"""
+WITH RECURSIVE sp AS MATERIALIZED ({_site_pages_sql()}),
+t AS (SELECT site, r FROM sp WHERE r = 0
+      UNION ALL SELECT sp.site, sp.r FROM t JOIN sp ON sp.site = t.site AND (sp.r - 1) // 2 = t.r WHERE sp.r > 0 AND sp.r % 7 <> 5)
+SELECT sp.site, sp.url, sp.title, row_number() OVER (PARTITION BY sp.site ORDER BY sp.r) AS rank
+FROM t JOIN sp ON sp.site = t.site AND sp.r = t.r QUALIFY rank <= {DEFAULT_MAX_PAGES}"""
+
 # Captured links never resolve to another captured page: only the seed is found.
 ORACLE["bfs_captured_links"] = f"""
 SELECT site, url, title, CAST(1 AS BIGINT) AS rank FROM ({_site_pages_sql()}) AS q WHERE r = 0"""
@@ -577,6 +585,37 @@ SELECT a.site, a.line_no AS line_a, b.line_no AS line_b, len(list_intersect(a.w,
 FROM t a JOIN t b ON a.site = b.site AND a.line_no < b.line_no
 WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.8"""
 
+_TITLE_WORDS = "list_sort(list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')))"
+_SIMILARITY = "len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))"
+
+ORACLE["map_title_classes"] = f"""
+WITH d AS ({ORACLE['sitemap_documents']}),
+c AS (SELECT site, unnest(string_split(doc, {NL})) AS line, CAST(unnest(range(1, len(string_split(doc, {NL})) + 1)) AS INTEGER) AS line_no FROM d),
+t AS (SELECT site, line_no, {_TITLE_WORDS.format("regexp_extract(line, '^- \\[(.*)\\]\\(http', 1)")} AS w FROM c WHERE starts_with(line, '- [')),
+m AS (SELECT *, min(line_no) OVER (PARTITION BY site, w) AS class_line FROM t WHERE len(w) > 0),
+r AS (SELECT * FROM m WHERE line_no = class_line)
+SELECT site, line_no, class_line, CAST(NULL AS INTEGER) AS similar_class, CAST(NULL AS DOUBLE) AS similarity FROM m
+UNION ALL
+SELECT a.site, CAST(NULL AS INTEGER), a.line_no, b.line_no, {_SIMILARITY} FROM r a JOIN r b ON a.site = b.site AND a.line_no < b.line_no
+WHERE {_SIMILARITY} >= 0.8"""
+
+# Classes of duplicates: labels spread along equal URL keys and similar titles until nothing changes.
+ORACLE["map_merged_similar"] = f"""
+WITH RECURSIVE lt AS MATERIALIZED ({_line_table_sql()}),
+l AS MATERIALIZED (SELECT *, {D.url_key('url')} AS url_key, {_TITLE_WORDS.format('title')} AS w FROM lt WHERE kind = 'link'),
+e AS MATERIALIZED (SELECT a.site, a.variant, a.line_no AS a, b.line_no AS b FROM l a
+  JOIN l b ON a.site = b.site AND a.variant = b.variant AND a.line_no <> b.line_no
+  WHERE a.url_key = b.url_key OR (len(a.w) > 0 AND len(b.w) > 0 AND {_SIMILARITY} >= 0.8)),
+reach AS (SELECT site, variant, line_no, line_no AS root FROM l
+  UNION SELECT r.site, r.variant, e.b, r.root FROM reach r JOIN e ON e.site = r.site AND e.variant = r.variant AND e.a = r.line_no
+        WHERE r.root < e.b),
+c AS (SELECT site, variant, line_no, min(root) AS root FROM reach GROUP BY ALL),
+s AS (SELECT l.site, l.variant, c.root, arg_min(l.description, l.line_no) FILTER (WHERE l.description <> '') AS said
+      FROM l JOIN c ON c.site = l.site AND c.variant = l.variant AND c.line_no = l.line_no GROUP BY ALL)
+SELECT l.site, l.variant, l.line_no, l.kind, l.url, coalesce(s.said, l.description) AS description
+FROM l JOIN s ON s.site = l.site AND s.variant = l.variant AND s.root = l.line_no
+UNION ALL SELECT site, variant, line_no, kind, url, description FROM lt WHERE kind <> 'link'"""
+
 ORACLE["dropped_pages"] = f"""
 SELECT page_id, url, CASE WHEN title_state NOT IN ('ok', 'absent') THEN 'title_' || title_state ELSE 'no_site' END AS reason
 FROM ({_index_sql()}) AS ix WHERE title_state NOT IN ('ok', 'absent') OR site = ''"""

@@ -105,6 +105,30 @@ def derived_tree_links(ranked_pages: DataFrame) -> DataFrame:
     return edges.join(dst, ["site", "t"]).select("src_url", "pos", "dst_url")
 
 
+def planted_links(ranked_pages: DataFrame, pages: DataFrame) -> DataFrame:
+    """Synthetic captures (page_id, url, html, status): links planted into the HTML of the captured pages.
+
+    In each site (pages r = 0, 1, ... by page_id), page r links to itself, its
+    parent (r-1)/2, a file with an excluded suffix, a missing page, 2r+1 and
+    2r+2, in that order, where those pages exist. Fetching page r failed where
+    r modulo 7 is 5.
+    """
+    url_of = ranked_pages.select("site", F.col("r").alias("t"), F.col("url").alias("dst"))
+    wanted = ranked_pages.select("site", "r", F.posexplode(F.array(
+        F.col("r"), F.floor((F.col("r") - 1) / 2), 2 * F.col("r") + 1, 2 * F.col("r") + 2)).alias("pos", "t"))
+    anchor = F.concat(F.lit('<a href="'), F.replace(F.replace("dst", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")),
+                      F.lit('">x</a>'))
+    extra = F.concat(F.lit('<a href="'), F.col("site"), F.lit('/x.pdf">x</a><a href="'), F.col("site"), F.lit('/missing/page">x</a>'))
+    anchors = (wanted.join(url_of, ["site", "t"]).groupBy("site", "r")
+               .agg(F.array_sort(F.collect_list(F.struct("pos", anchor.alias("a")))).alias("all")))
+    near, far = (F.array_join(F.transform(F.filter("all", part), lambda x: x["a"]), "")
+                 for part in (lambda x: x["pos"] < 2, lambda x: x["pos"] >= 2))
+    planted = ranked_pages.join(anchors, ["site", "r"]).select(
+        "page_id", F.concat(F.lit("<p>"), near, extra, far, F.lit("</p>")).alias("links"),
+        F.when(F.col("r") % 7 == 5, 404).otherwise(200).alias("status"))
+    return pages.join(planted, "page_id").select("page_id", "url", F.concat("links", "html").alias("html"), "status")
+
+
 # Planted faults on generated maps (FIXTURES.md C), all string operations.
 def planted_variants(docs: DataFrame) -> DataFrame:
     """(site, variant, doc): the map itself plus one copy per planted fault."""

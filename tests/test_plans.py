@@ -26,20 +26,44 @@ def test_scan_reads_only_the_columns_it_needs(spark):
     assert "junk" not in text.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_traversal_level_shuffles_only_the_frontier(spark):
-    nodes = spark.createDataFrame([(f"http://a.com/{i}", f"T{i}") for i in range(50)], "url string, title string")
-    links = spark.createDataFrame([(f"http://a.com/{i}", 0, f"http://a.com/{i + 1}") for i in range(49)],
+def test_traversal_level_moves_neither_graph_nor_store(spark):
+    from cartograph.operators import traverse as TR
+    chain = 30
+    nodes = spark.createDataFrame([(f"http://a.com/{i}", f"T{i}") for i in range(chain)], "url string, title string")
+    links = spark.createDataFrame([(f"http://a.com/{i}", 0, f"http://a.com/{i + 1}") for i in range(chain - 1)],
                                   "src_url string, pos int, dst_url string")
-    graph = TR.build_graph(nodes, links)
-    frontier = spark.createDataFrame([("a", "http://a.com/0")], "site string, url string").checkpoint()
-    key = "spark.sql.adaptive.enabled"
+    key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        text = frontier.join(graph, "url")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set(key, before)
-    assert text.count("Exchange") == 1  # the frontier side only
+    graph = TR.build_graph(nodes, links)
+    seen = TR.Buckets(spark, "seen_test", ["site", "url"])
+    rows = spark.createDataFrame([("a", f"http://a.com/{i}", i, "http://a.com", 50, 0, 0, 0) for i in range(20)],
+                                 "site string, url string, level int, base_url string, max_pages bigint, found bigint, "
+                                 "parent_rank bigint, pos bigint")
+    counts = []
+    for _ in range(2):                       # after the first and after the second append
+        seen.append(rows.repartition(seen.n, "site", "url"))
+        spark.conf.set(key, "-1")
+        try:
+            _, nxt = TR.expand(seen.read().filter("level = 19"), graph, seen.read(), 50, "prefix")
+            text = nxt._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set(key, before)
+        counts.append(text.count("Exchange hashpartitioning"))
+        # the frontier by URL, its hits by site, the candidates by (site, url): graph and store stay where they are
+        store = text[text.index("LeftAnti"):]
+        assert store.count("Bucketed: true") == 2
+    assert counts == [3, 3]
+
+
+def test_a_chain_of_thirty_levels(spark):
+    from cartograph.operators import traverse as TR
+    n = 31
+    nodes = spark.createDataFrame([(f"http://a.com/{i}", f"T{i}") for i in range(n)], "url string, title string")
+    links = spark.createDataFrame([(f"http://a.com/{i}", 0, f"http://a.com/{j}") for i in range(n) for j in (i + 1, i - 1, 0)],
+                                  "src_url string, pos int, dst_url string")
+    seeds = spark.createDataFrame([("a", "http://a.com", "http://a.com/0", 100)], "site string, base_url string, start_url string, max_pages int")
+    got = {r["url"]: r["rank"] for r in TR.bounded_bfs(TR.build_graph(nodes, links), seeds).collect()}
+    assert got == {f"http://a.com/{i}": i + 1 for i in range(n)}
 
 
 def test_titles_and_documents_never_extract_links_or_sort_rows_to_aggregate(spark):

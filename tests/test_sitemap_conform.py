@@ -178,3 +178,45 @@ def test_merge_and_similar_titles(spark):
     kept = C.merge_duplicates(lines, ["site"]).filter("kind = 'link'").orderBy("line_no").collect()
     assert [(r.url, r.description) for r in kept] == [("http://a.com/x", "A note"), ("http://a.com/y", ""), ("http://a.com/z", "")]
     assert [(r.line_a, r.line_b, r.similarity) for r in C.similar_titles(lines, ["site"]).orderBy("line_a").collect()] == [(5, 6, 1.0), (7, 8, 1.0)]
+
+
+def _entries(spark, titles, urls=None):
+    rows = [("s", i + 1, "- x", "link", None, t, urls[i] if urls else f"http://a.com/{i}", "") for i, t in enumerate(titles)]
+    return spark.createDataFrame(rows, "site string, line_no int, line string, kind string, section string, title string, url string, description string")
+
+
+def test_equal_titles_are_one_class(spark):
+    got = C.similar_title_classes(_entries(spark, ["The same title"] * 300), ["site"]).collect()
+    assert len(got) == 300 and {r["class_line"] for r in got} == {1}
+
+
+def test_similar_classes_equal_brute_force(spark):
+    import random
+    rng = random.Random(4)
+    words = ["the", "of", "guide", *[f"w{i}" for i in range(14)]]
+    titles = [" ".join(rng.sample(words, rng.randint(1, 9))) for _ in range(250)]
+    titles += [t + " the" for t in titles[:60]] + ["", "!!"]
+    sets = {i + 1: frozenset(t.split()) - {"!!"} for i, t in enumerate(titles)}
+    first = {}
+    for i, w in sets.items():
+        first.setdefault(w, i)
+    for least in (0.5, 0.8, 1.0):
+        rows = C.similar_title_classes(_entries(spark, titles), ["site"], least).collect()
+        assert {(r["line_no"], r["class_line"]) for r in rows if r["line_no"]} == {(i, first[w]) for i, w in sets.items() if w}
+        reps = sorted((i, w) for w, i in first.items() if w)
+        want = {(a, b): len(x & y) / len(x | y) for k, (a, x) in enumerate(reps) for b, y in reps[k + 1:] if len(x & y) / len(x | y) >= least}
+        assert {(r["class_line"], r["similar_class"]): r["similarity"] for r in rows if r["similar_class"]} == want
+
+
+def test_chains_of_duplicates_become_one_entry(spark):
+    # 1 ~ 2 by title, 2 ~ 3 by URL, 3 ~ 4 by title; 5 stands alone; no words link nothing
+    titles = ["one two three four", "one two three four five", "other name", "name other", "alone", "!", "?"]
+    urls = ["http://a.com/1", "http://a.com/2", "http://a.com/2.html", "http://a.com/4", "http://a.com/5", "http://a.com/6", "http://a.com/7"]
+    kept = C.merge_similar(_entries(spark, titles, urls), ["site"]).orderBy("line_no").collect()
+    assert [r["line_no"] for r in kept] == [1, 5, 6, 7]
+
+
+def test_long_chain_of_components(spark):
+    edges = spark.createDataFrame([("s", i + 1, i) for i in range(1, 200)] + [("t", 5, 9)], "site string, a int, b int")
+    got = {(r["site"], r["node"]): r["root"] for r in C.connected(edges, ["site"]).collect()}
+    assert got == {("s", i): 1 for i in range(1, 201)} | {("t", 5): 5, ("t", 9): 5}
