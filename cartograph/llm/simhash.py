@@ -207,7 +207,7 @@ def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def _marked(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, h, fp, component_id), ``h`` the text hash of the row."""
+    """(id_col, h, fp, group, component_id): ``h`` the row's text hash, ``group`` a fingerprint that names its group."""
     scratch = Scratch(docs.sparkSession, "simhash")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -217,8 +217,8 @@ def _marked(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col:
     groups = distinct.join(tied, distinct["fp"] == tied["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("group"))
     lowest = groups.groupBy("group").agg(F.min("low").alias("component_id"))
-    per_fp = groups.join(lowest, "group").select("fp", "component_id")
-    return marked.join(per_fp, "fp").select(id_col, "h", "fp", "component_id")
+    per_fp = groups.join(lowest, "group").select("fp", "group", "component_id")
+    return marked.join(per_fp, "fp").select(id_col, "h", "fp", "group", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
@@ -239,23 +239,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents that represent their group: the one with the smallest id.
+    """One row of every group of linked fingerprints: that of the smallest id (null last), then text hash.
 
-    All columns of ``docs`` are kept. A document given in several rows with one
-    id stays one row; if its rows have different texts, the row is one that
-    represents its group (the smallest text hash of those). If all ids of a
-    group are null, one row of it stays.
+    All columns of ``docs`` are kept. An id with several texts is judged text
+    by text: it stays once for every group that one of its texts represents.
+    Repeated rows stay once. An empty table gives no rows.
     """
     marked = _marked(docs, shingle, max_bits, "doc_id", "text")
-    survivors = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "h", "fp").distinct()
-    texts = survivors.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("h"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
+    kept = marked.groupBy("group").agg(first.alias("r")).select(F.col("r.doc_id").alias("of"), F.col("r.h").alias("text_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("of"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     # a merge join at every size: what it would broadcast grows with the documents
-    with_id = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("h")).join(
-        texts.hint("merge"), ["doc_id", "h"], "left_semi")
-    kept = with_id.dropDuplicates(["doc_id", "h"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    # rows without an id are matched by their text
-    rows = docs.where("doc_id is null").select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("t"))
-    by_text = fingerprints(rows.select("t").distinct().withColumn("text", F.col("t")), shingle, "t", "text")
-    nulls = (rows.join(by_text, "t").join(survivors.where("doc_id is null").select("fp").distinct(), "fp", "left_semi")
-             .dropDuplicates(["fp"]).select(*[F.col("row")[c].alias(c) for c in docs.columns]))
-    return kept.unionByName(nulls)
+    on = rows["of"].eqNullSafe(kept["of"]) & (rows["text_hash"] == kept["text_hash"])
+    return (rows.join(kept.hint("merge"), on, "left_semi").dropDuplicates(["of", "text_hash"])
+            .select(*[F.col("row")[c].alias(c) for c in docs.columns]))

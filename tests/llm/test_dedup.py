@@ -121,8 +121,19 @@ def test_simhash_keeps_one_of_each_group(spark):
     kept = simhash.keep_one(docs)
     assert kept.schema.names == docs.schema.names
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    want = {r[2] for r in simhash.digest(docs).collect() if r[2] is not None}
-    assert ids == sorted(want)
+    # every text of the table has its group; a group's smallest id, then text, stands for it
+    group = {}
+    for r in simhash._marked(docs, simhash.SHINGLE, simhash.MAX_BITS, "doc_id", "text").collect():
+        group.setdefault(r["group"], set()).add((r["doc_id"] is None, r["doc_id"] or 0, r["h"]))
+    assert ids == sorted(i for none, i, _ in {min(g) for g in group.values()} if not none)
+
+
+def test_an_id_keeps_every_text_that_represents_a_group(spark):
+    words = np.random.default_rng(9).integers(0, 10**6, (2, 60)).astype(str)
+    a, b = (" ".join(w) for w in words)
+    data = [(5, a), (5, b), (7, b), (9, a), (5, a)]
+    rows = simhash.keep_one(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted([(5, a), (5, b)])
 
 
 def test_the_row_kept_represents_its_group(spark):
