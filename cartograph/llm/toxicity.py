@@ -86,8 +86,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     marked = labels.where(fold).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     ids = _sample(marked.where("y = 1"), max_rows, F.col("doc_id")).unionByName(
         _sample(marked.where("y = 0"), max_rows, F.col("doc_id")))
-    # bounded by a parameter, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
+    # the ids are bounded by a parameter, so they may be broadcast; their texts, each once, are bounded like them
+    content = F.xxhash64("doc_id", F.col("text").cast("string"))
+    rows = (docs.select("doc_id", "text", content.alias("h")).join(F.broadcast(ids), "doc_id").select("text", "y", "h")
+            .dropDuplicates(["h"]))
+    share = min(1.0, 2.0 * max_rows / max(rows.count(), 1))
+    rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("text", "y")
 
     def count(batches):
         import pyarrow as pa
