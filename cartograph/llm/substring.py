@@ -44,12 +44,52 @@ LAST = 2**63 - 1
 STEP = 1_500_000          # bytes of text scanned at once (a longer document is scanned whole)
 
 
-class Scan:
+class Words:
+    """Words of consecutive documents: places in the texts' bytes, document, and first word of every document."""
+
+    def __init__(self, raw, offsets):
+        import numpy as np
+
+        n = len(raw)
+        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        word = ~blank
+        before = np.concatenate(([False], word[:-1])) if n else word
+        after = np.concatenate((word[1:], [False])) if n else word
+        self.raw = raw
+        self.start = np.flatnonzero(word & (~before | edge[:n]))
+        self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
+        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        self.first = np.searchsorted(self.doc, np.arange(len(offsets)))     # first word of each document
+        self._spaced = None
+
+    def spaced(self, keep=None):
+        """(bytes, ends): the words, or those to ``keep``, with a space before each and after the last, and where they end."""
+        import numpy as np
+
+        if keep is None and self._spaced is not None:
+            return self._spaced
+        start, end = (self.start, self.end) if keep is None else (self.start[keep], self.end[keep])
+        size = end - start
+        ends = np.cumsum(size + 1)
+        out = np.full(int(ends[-1]) + 1 if len(ends) else 1, 32, np.uint8)
+        step = np.arange(int(size.sum()))
+        inner = np.repeat(np.cumsum(size) - size, size)
+        out[step - inner + np.repeat(ends - size, size)] = self.raw[step - inner + np.repeat(start, size)]
+        if keep is None:
+            self._spaced = out, ends
+        return out, ends
+
+
+class Scan(Words):
     """Words, phrase hashes and anchors of consecutive documents."""
 
     def __init__(self, raw, offsets, window: int, phrase: int):
         import numpy as np
 
+        super().__init__(raw, offsets)
+
         def mix(x):
             x = x ^ (x >> np.uint64(30))
             x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -64,18 +104,6 @@ class Scan:
             return np.cumprod(p, dtype=np.uint64)
 
         n = len(raw)
-        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        word = ~blank
-        before = np.concatenate(([False], word[:-1])) if n else word
-        after = np.concatenate((word[1:], [False])) if n else word
-        self.raw = raw
-        self.start = np.flatnonzero(word & (~before | edge[:n]))
-        self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
-        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        self.first = np.searchsorted(self.doc, np.arange(len(offsets)))     # first word of each document
-
         base, back = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(base, n), dtype=np.uint64)))
         value = mix((total[self.end] - total[self.start]) * powers(back, n)[self.start]
@@ -114,12 +142,17 @@ class Scan:
 
     def text(self, at: int, length: int) -> bytes:
         """Words joined by single spaces, with one on either side."""
-        return b" " + b" ".join(self.raw[a:b].tobytes() for a, b in
-                                zip(self.start[at:at + length], self.end[at:at + length])) + b" "
+        out, ends = self.spaced()
+        return out[ends[at - 1] if at else 0:ends[at + length - 1] + 1].tobytes()
 
 
 def scans(column, window: int, phrase: int, step: int = STEP):
     """(first row, Scan) over an Arrow string array, whole documents at a time."""
+    return parts(column, lambda raw, offsets: Scan(raw, offsets, window, phrase), step)
+
+
+def parts(column, make, step: int = STEP):
+    """(first row, ``make`` of bytes and offsets) over an Arrow string array, whole documents at a time."""
     import numpy as np
 
     from cartograph.llm.chars import bytes_of
@@ -128,7 +161,7 @@ def scans(column, window: int, phrase: int, step: int = STEP):
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, side="right")) - 1)
-        yield lo, Scan(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], window, phrase)
+        yield lo, make(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         lo = hi
 
 
@@ -201,23 +234,18 @@ def locate(shards: DataFrame, phrases: DataFrame, window: int, phrase: int) -> D
         out = []
         if len(docs) and len(confirmed):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            # one character a byte on both sides, so a match's end is a place in the bytes
             for text in confirmed.column("phrase").to_pylist():
-                automaton.add_word(text, 1)
+                automaton.add_word(text.encode().decode("latin-1"), 1)
             automaton.make_automaton()
             d, h = (docs.column(c).to_numpy() for c in ("d", "h"))
             b = docs.column("b")[0].as_py()
             for lo, s in scans(docs.column("text").combine_chunks(), window, phrase):
                 found = np.zeros(len(s.start) + 1, bool)        # a recurring phrase starts at this word
-                for k in range(len(s.first) - 1):
-                    i, j = int(s.first[k]), int(s.first[k + 1])
-                    if j - i < window:
-                        continue
-                    flat = s.text(i, j - i).decode()
-                    ends = [e for e, _ in automaton.iter(flat)]
-                    if ends:
-                        # a match ends at the space behind its last word; count the spaces before it
-                        gaps = np.flatnonzero(np.frombuffer(flat.encode("utf-32-le"), "<u4") == 32)
-                        found[i + np.searchsorted(gaps, ends) - phrase] = True
+                flat, word_ends = s.spaced()
+                # a phrase across documents marks a word that no valid window has as its anchor
+                ends = np.fromiter((e for e, _ in automaton.iter(flat.tobytes().decode("latin-1"))), np.int64)
+                found[np.searchsorted(word_ends, ends) - phrase + 1] = True
                 win = np.flatnonzero(s.valid & found[s.arg])
                 if not len(win):
                     continue
@@ -273,19 +301,20 @@ def cut_out(shards: DataFrame, spans: DataFrame) -> DataFrame:
             by.setdefault(key, []).append(k)
         words_, removed, kept = [], [], []
         d, h = (docs.column(c).to_numpy().tolist() for c in ("d", "h"))
-        for key, text in zip(zip(d, h), docs.column("text")):
-            words = text.as_py().encode().split()
-            hit = np.zeros(len(words) + 1, np.int64)
-            for k in by.get(key, ()):
-                hit[start[k]] += 1
-                hit[stop[k]] -= 1
-            covered = np.cumsum(hit[:-1]) > 0
-            gone_n = int(covered.sum())
-            if gone_n:
-                words = [w for w, c in zip(words, covered.tolist()) if not c]
-            words_.append(len(words) + gone_n)
-            removed.append(gone_n)
-            kept.append(b" ".join(words).decode())
+        for lo, s in parts(docs.column("text").combine_chunks(), Words):
+            n = len(s.first) - 1
+            hit = np.zeros(len(s.start) + 1, np.int64)
+            for i, key in enumerate(zip(d[lo:lo + n], h[lo:lo + n])):
+                for k in by.get(key, ()):
+                    hit[s.first[i] + start[k]] += 1
+                    hit[s.first[i] + stop[k]] -= 1
+            left = np.cumsum(hit[:-1]) == 0
+            flat, ends = s.spaced(left)
+            count = np.concatenate(([0], np.cumsum(left)))[s.first]       # words left before each document
+            edge = np.concatenate(([0], ends))[count].tolist()
+            words_ += np.diff(s.first).tolist()
+            removed += (np.diff(s.first) - np.diff(count)).tolist()
+            kept += [flat[x + 1:y].tobytes().decode() for x, y in zip(edge, edge[1:])]
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(words_, pa.int64()),
                          "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
