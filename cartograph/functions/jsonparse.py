@@ -47,7 +47,7 @@ def has_brackets(s, open_ch: str, close_ch: str) -> Column:
 
 
 def single_value(s) -> Column:
-    """True when the text is one JSON value with nothing after it, nested to any depth.
+    """True when the text is one JSON value with nothing after it, as deep and with numbers as long as the engine's parser takes.
 
     The text is parsed strictly inside an array and inside an object: two
     values, a stray bracket or trailing text break one of the two. Unlike

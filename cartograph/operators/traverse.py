@@ -29,7 +29,7 @@ from cartograph.functions import urls as U
 from cartograph.session import ensure_checkpoint_dir
 
 
-SALTS = 16
+RANGES = 4096      # cuts of the byte order of URLs in the prefix join
 STORE = ("site string, url string, level int, is_page boolean, base_url string, max_pages bigint, found bigint, "
          "parent_rank bigint, pos bigint, title string, rank bigint")
 
@@ -150,29 +150,79 @@ def graph_from_index(index: DataFrame, links: DataFrame) -> DataFrame:
     return build_graph(nodes, links.select("src_url", "pos", "dst_url"))
 
 
+def _after(prefix: str) -> str | None:
+    """The least string above everything that starts with ``prefix`` (None: there is none)."""
+    while prefix:
+        last = ord(prefix[-1])
+        if last < 0x10FFFF:
+            return prefix[:-1] + chr(0xE000 if last == 0xD7FF else last + 1)
+        prefix = prefix[:-1]
+    return None
+
+
 def prefix_scope_join(pages: DataFrame, seeds: DataFrame, scope: str = "prefix") -> DataFrame:
     """J3 for many seeds: (site, base_url, url) for every page in a seed's scope.
 
-    An exact prefix join with no pages x seeds product: each URL is cut at
-    the distinct seed lengths (a short list: lengths of URL strings) and the
-    prefixes are equi-joined to the seeds. ``scope='authority'`` also
-    requires the same ``scheme://authority`` (SURVEY: the equi form on the
-    authority alone would drop prefix-only hits such as http://a.co ->
-    http://a.com/x, which the reference admits).
+    In the order of bytes, a seed is an interval: everything that starts with
+    it. Pages are dealt to ranges of that order, cut at up to ``RANGES`` sample
+    URLs, and a seed is copied to the ranges it reaches into. In a range, pages
+    and seeds are walked once in order with a stack of the seeds still open,
+    which are nested prefixes of one another. Work is the pages, the seeds'
+    copies and the result, whatever the seeds' lengths and nesting.
+    ``scope='authority'`` also requires the same ``scheme://authority`` (the
+    equi form on the authority alone would drop prefix-only hits such as
+    http://a.co -> http://a.com/x, which the reference admits). Null URLs and
+    seeds match nothing. ``pages`` should have one row per URL, as the page
+    index has: repeated rows are kept, but all rows of one URL share a range.
     """
-    lengths = sorted(r[0] for r in seeds.select(F.length("base_url").alias("n")).distinct().collect()
-                     if r[0] is not None)
-    if not lengths:
-        return seeds.select("site", "base_url").limit(0).withColumn("url", F.lit(None).cast("string"))
-    cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("url"))
-    # one large site is one prefix: its pages are dealt over SALTS pieces, the seeds repeated for each
-    cand = pages.select("url", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt"),
-                        F.explode(F.transform(cut, lambda n: F.substring("url", F.lit(1), n))).alias("prefix"))
-    dealt = seeds.select("site", F.col("base_url").alias("prefix"),
-                         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = cand.join(dealt, ["prefix", "salt"]).select("site", F.col("prefix").alias("base_url"), "url")
-    if scope == "authority":
-        out = out.filter(U.site_of("url") == U.site_of("base_url"))
-    elif scope != "prefix":
+    if scope not in ("prefix", "authority"):
         raise ValueError(f"unknown scope {scope!r}")
-    return out
+    urls = pages.select("url").filter("url IS NOT NULL")
+    # the RANGES least hashes: a bounded sample, the same at every run
+    cuts = sorted({r[0] for r in urls.select("url", F.xxhash64("url").alias("h")).orderBy("h").limit(RANGES).collect()})
+
+    def dealt(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([bisect.bisect_right(cuts, u) for u in b.column(0).to_pylist()], pa.int32())], names=["url", "part"])
+
+    def copied(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for site, base in zip(*(b.column(k).to_pylist() for k in (0, 1))):
+                end = _after(base)
+                last = len(cuts) if end is None else bisect.bisect_left(cuts, end)
+                out += [(site, base, k) for k in range(bisect.bisect_right(cuts, base), last + 1)]
+            for lo in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo:lo + 10_000]), (pa.string(), pa.string(), pa.int32()))],
+                                                 names=["site", "base_url", "part"])
+
+    def walk(here, open_to):
+        import pyarrow as pa
+
+        given = sorted(zip(open_to.column("base_url").to_pylist(), open_to.column("site").to_pylist()), key=lambda x: x[0])
+        stack, k, out = [], 0, []
+        for url in sorted(here.column("url").to_pylist()) if given else ():
+            while k < len(given) and given[k][0] <= url:
+                while stack and not given[k][0].startswith(stack[-1][0]):
+                    stack.pop()
+                stack.append(given[k])
+                k += 1
+            while stack and not url.startswith(stack[-1][0]):
+                stack.pop()
+            out += [(site, base, url) for base, site in stack]
+        return pa.table([pa.array(c, pa.string()) for c in (list(zip(*out)) or [[]] * 3)], names=["site", "base_url", "url"])
+
+    at = urls.mapInArrow(dealt, "url string, part int")
+    wanted = seeds.select(F.col("site").cast("string").alias("site"), "base_url").filter("base_url IS NOT NULL").mapInArrow(
+        copied, "site string, base_url string, part int")
+    out = at.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(walk, "site string, base_url string, url string")
+    return out.filter(U.site_of("url") == U.site_of("base_url")) if scope == "authority" else out

@@ -100,3 +100,19 @@ def test_prefix_scope_join_matches_brute_force(spark):
     assert got == sorted((k, u) for k, b in seeds for u in urls if u.startswith(b))
     got = sorted((r.site, r.url) for r in TR.prefix_scope_join(p, s, "authority").collect())
     assert got == [("s1", "http://a.co"), ("s1", "http://a.co/y"), ("s2", "http://a.com/x"), ("s3", "https://a.co/z")]
+
+
+def test_many_nested_seeds_equal_brute_force(spark):
+    import random
+    rng = random.Random(8)
+    base = "http://a.com/" + "x" * 300
+    seeds = [(f"s{i}", base[:rng.randint(3, len(base))] + rng.choice(["", "", "y", "é", "\U0010ffff"])) for i in range(100_000)]
+    urls = [base[:rng.randint(0, len(base))] + rng.choice(["", "y", "é/1", "\U0010ffff", "\ud7ff!"]) for _ in range(60)] + ["", None, "http://b.com/", None]
+    got = TR.prefix_scope_join(spark.createDataFrame([(u,) for u in urls], "url string"),
+                               spark.createDataFrame([*seeds, ("n", None), ("all", "")], "site string, base_url string"))
+    want = {}
+    for u in urls:
+        if u is not None:
+            want[u] = want.get(u, 0) + sum(u.startswith(b) for _, b in seeds) + 1
+    assert {r["url"]: r["count"] for r in got.groupBy("url").count().collect()} == want
+    assert got.filter("NOT startswith(url, base_url)").isEmpty()
