@@ -7,10 +7,11 @@ is ever compared with another one pairwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions import text as T
+from cartograph.operators.carry import carry_last
 from cartograph.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
@@ -44,41 +45,43 @@ def word_count(c) -> F.Column:
     return F.size(F.regexp_extract_all(T.col(c), F.lit(NON_WS), 0))
 
 
-def line_table(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., line_no, line, kind, section, title, url, description)."""
-    lines = docs.select(*keys, F.posexplode(F.split("doc", "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("line_no", F.col("line_no") + 1).withColumn("kind", line_kind("line"))
+def lines_of_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """C1 for documents kept as rows (keys..., line_no, line): (keys..., line_no, line, kind, section, title, url, description).
+
+    No task sees a whole document: headings reach the lines below them through
+    ``carry_last``, which reads ``rows`` twice.
+    """
+    lines = rows.select(*keys, "line_no", "line").withColumn("kind", line_kind("line"))
     heading = F.when(F.col("kind") == "h2", T.py_strip(F.substring("line", 4, 1 << 30)))
-    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     is_link = F.col("kind") == "link"
-    return lines.select(
-        *keys, "line_no", "line", "kind",
-        F.last(heading, ignorenulls=True).over(w).alias("section"),
+    return carry_last(lines, keys, "line_no", {"section": heading}).select(
+        *keys, "line_no", "line", "kind", "section",
         F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 1)).alias("title"),
         F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 2)).alias("url"),
         F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 3)).alias("description"),
     )
 
 
+def line_table(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """C1 for documents kept as one string ``doc``: the table of ``lines_of_rows``."""
+    lines = docs.select(*keys, F.posexplode(F.split("doc", "\n", -1)).alias("line_no", "line"))
+    return lines_of_rows(lines.withColumn("line_no", F.col("line_no") + 1), keys)
+
+
 def conformance(lines: DataFrame, keys: list[str]) -> DataFrame:
     """C2-C6, C9 per document, plus ``ok`` when every rule holds.
 
-    One pass: both windows and the aggregate share the partitioning by
-    document, so the line table is shuffled once.
+    The rules are partial aggregates over lines; those that look at the lines
+    above a quote get them from ``carry_last``, so no window spans a document.
     """
     k = F.col("kind")
-    by_doc = Window.partitionBy(*keys)
-    prev_kind = F.lag("kind").over(by_doc.orderBy("line_no"))
-    above = F.last(F.when(k != "blank", k), ignorenulls=True).over(
-        by_doc.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    lines = lines.select(
+    narrow = lines.select(*keys, "line_no", "kind", "section", "description")
+    lines = carry_last(narrow, keys, "line_no", {"prev_kind": k, "above_kind": F.when(k != "blank", k)}, above=True).select(
         *keys, "line_no", "kind", "section", "description",
-        ((k == "quote") & (F.coalesce(prev_kind, F.lit("")) != "quote")).alias("quote_start"),
-        ((k == "quote") & (F.coalesce(above, F.lit("")) == "h1")).alias("quote_below_h1"),
-        F.min(F.when(k == "h2", F.col("line_no"))).over(by_doc).alias("first_h2"))
+        ((k == "quote") & (F.coalesce("prev_kind", F.lit("")) != "quote")).alias("quote_start"),
+        ((k == "quote") & (F.coalesce("above_kind", F.lit("")) == "h1")).alias("quote_below_h1"))
     h2_line = F.when(k == "h2", F.col("line_no"))
-    intro_heading = (k.isin("h1", "deep") & (F.col("line_no") > 1)
-                     & (F.col("first_h2").isNull() | (F.col("line_no") < F.col("first_h2"))))
+    intro_heading = k.isin("h1", "deep") & (F.col("line_no") > 1) & F.col("section").isNull()
     out = lines.groupBy(*keys).agg(
         F.count("*").alias("n_lines"),
         F.count_if(k == "h1").alias("n_h1"),

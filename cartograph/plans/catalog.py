@@ -148,7 +148,7 @@ def bfs_planted_links(spark, sf_dir):
 
 def _map_lines(spark, sf_dir):
     from cartograph.operators import conform as C
-    docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
+    docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir))).checkpoint(eager=True)     # the line table reads it twice
     variants = FX.planted_variants(docs)
     return C.line_table(variants, ["site", "variant"])
 
@@ -163,7 +163,17 @@ def map_line_table(spark, sf_dir):
 @query("map_conformance")
 def map_conformance(spark, sf_dir):
     from cartograph.operators import conform as C
-    return C.conformance(_map_lines(spark, sf_dir), ["site", "variant"])
+    return C.conformance(_map_lines(spark, sf_dir).checkpoint(eager=True), ["site", "variant"])
+
+
+@query("map_lines_conformance")
+def map_lines_conformance(spark, sf_dir):
+    """C1-C6, C9 over the generated maps as line rows: no document string, no task with a whole site."""
+    from cartograph.operators import conform as C
+    from cartograph.operators.numbering import row_number_by
+    rows = SM.map_lines(SM.corpus_ranked(_index(spark, sf_dir))).checkpoint(eager=True)
+    numbered = row_number_by(rows, "site", ["section_ord", "link_ord"], "line_no")
+    return C.conformance(C.lines_of_rows(numbered.checkpoint(eager=True), ["site"]), ["site"])
 
 
 @query("map_url_preservation")

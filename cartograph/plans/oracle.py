@@ -220,6 +220,10 @@ SELECT *, (n_h1 = 1 AND h1_first AND n_quote_blocks = 1 AND n_quotes_below_h1 =
            AND optional_last) AS ok
 FROM ({_conformance_sql()}) AS c"""
 
+# rows end where the text does: the string's last newline starts no line
+ORACLE["map_lines_conformance"] = f"""
+SELECT * EXCLUDE (variant) REPLACE (n_lines - 1 AS n_lines) FROM ({ORACLE['map_conformance']}) AS c WHERE variant = 'basic'"""
+
 ORACLE["map_url_preservation"] = f"""
 WITH lt AS ({_line_table_sql()}),
 src AS (SELECT DISTINCT b.site, v.variant, b.url, true AS in_s FROM lt b

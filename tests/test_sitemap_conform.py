@@ -4,6 +4,10 @@ import re
 from collections import defaultdict
 
 from conftest import SF_SMALL
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cartograph.operators import carry as CARRY
 from cartograph.operators import conform as C
 from cartograph.operators import sitemap as SM
 from cartograph.sources import pages as P
@@ -145,6 +149,48 @@ def test_conformance_rules(spark):
     assert [(r.site, r.url, r.n_entries) for r in dups] == [("bad", "https://s.edu/one", 2)]
 
 
+def test_rules_of_a_document_that_spans_bins(spark):
+    import random
+    rnd = random.Random(7)
+    kinds = ["# T", "## S", "### D", "> q", "", "- [A](http://a.com/a): d", "text", "```"]
+    rows = [(s, n, rnd.choice(kinds if s else kinds[4:5] * 30 + kinds)) for s in range(3) for n in range(1, 3 * CARRY.BIN, 5)]
+    df = spark.createDataFrame(rows, "site int, line_no int, line string")
+    table = C.lines_of_rows(df, ["site"])
+    got = {r.site: r for r in C.conformance(table, ["site"]).collect()}
+    sections = {(r.site, r.line_no): r.section for r in table.collect()}
+    assert len(sections) == len(rows)
+    for s in range(3):
+        section, prev, above, n_start, n_below, n_intro = None, "", "", 0, 0, 0
+        for _, n, line in [r for r in rows if r[0] == s]:
+            n_start += line == "> q" and prev != "> q"
+            n_below += line == "> q" and above == "# T"
+            n_intro += line in ("# T", "### D") and n > 1 and section is None
+            section = "S" if line == "## S" else section
+            prev, above = line, line or above
+            assert sections[s, n] == section
+        assert (got[s].n_quote_blocks, got[s].n_quotes_below_h1, got[s].n_intro_headings) == (n_start, n_below, n_intro)
+
+
+def test_carry_last_matches_a_window_and_keeps_rows_without_a_value(spark):
+    rows = [(k, n, v) for k in "ab" for n, v in enumerate([None, "x", None, None, "y", None, None, None, None, "z", None])]
+    df = spark.createDataFrame(rows, "k string, n int, v string")
+    w = Window.partitionBy("k").orderBy("n")
+    for above, frame in [(False, w.rowsBetween(Window.unboundedPreceding, 0)), (True, w.rowsBetween(Window.unboundedPreceding, -1))]:
+        want = {(r.k, r.n): r.last for r in df.select("k", "n", F.last("v", True).over(frame).alias("last")).collect()}
+        for width in (1, 2, 3, 100):
+            got = CARRY.carry_last(df, ["k"], "n", {"last": F.col("v")}, above, width).collect()
+            assert {(r.k, r.n): r["last"] for r in got} == want and len(got) == len(rows)
+    assert CARRY.carry_last(df.filter("n < 0"), ["k"], "n", {"last": F.col("v")}).collect() == []
+
+
+def test_no_window_spans_a_document(spark):
+    df = spark.createDataFrame([("s", 1, "# T")], "site string, line_no int, line string")
+    plan = C.conformance(C.lines_of_rows(df, ["site"]), ["site"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    # windows over lines are cut into bins; the others see one row per bin
+    assert windows and all("_bin" in x for x in windows)
+
+
 def test_near_duplicate_keys(spark):
     rows = [("s", "http://A.com/x/?utm_source=f#top"), ("s", "http://a.com/x"), ("s", "http://a.com/x.html"),
             ("s", "http://a.com/y?page=2"), ("s", "http://a.com/y?page=3")]
