@@ -7,11 +7,11 @@ is ever compared with another one pairwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions import text as T
-from cartograph.operators.carry import carry_last
+from cartograph.operators.carry import BIN, carry_last
 from cartograph.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
@@ -45,6 +45,16 @@ def word_count(c) -> F.Column:
     return F.size(F.regexp_extract_all(T.col(c), F.lit(NON_WS), 0))
 
 
+def _typed(lines: DataFrame, keys: list[str]) -> DataFrame:
+    is_link = F.col("kind") == "link"
+    return lines.select(
+        *keys, "line_no", "line", "kind", "section",
+        F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 1)).alias("title"),
+        F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 2)).alias("url"),
+        F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 3)).alias("description"),
+    )
+
+
 def lines_of_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """C1 for documents kept as rows (keys..., line_no, line): (keys..., line_no, line, kind, section, title, url, description).
 
@@ -53,55 +63,86 @@ def lines_of_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     lines = rows.select(*keys, "line_no", "line").withColumn("kind", line_kind("line"))
     heading = F.when(F.col("kind") == "h2", T.py_strip(F.substring("line", 4, 1 << 30)))
-    is_link = F.col("kind") == "link"
-    return carry_last(lines, keys, "line_no", {"section": heading}).select(
-        *keys, "line_no", "line", "kind", "section",
-        F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 1)).alias("title"),
-        F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 2)).alias("url"),
-        F.when(is_link, F.regexp_extract("line", LINK_PATTERN, 3)).alias("description"),
-    )
+    return _typed(carry_last(lines, keys, "line_no", {"section": heading}), keys)
 
 
 def line_table(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """C1 for documents kept as one string ``doc``: the table of ``lines_of_rows``."""
-    lines = docs.select(*keys, F.posexplode(F.split("doc", "\n", -1)).alias("line_no", "line"))
-    return lines_of_rows(lines.withColumn("line_no", F.col("line_no") + 1), keys)
-
+    """C1 for documents kept as one string ``doc``: the table of ``lines_of_rows``, without a shuffle.
 
-def conformance(lines: DataFrame, keys: list[str]) -> DataFrame:
+    The array of a document's lines is cut at its headings, so every line gets
+    its section where the document is read.
+    """
+    lines = F.col("_lines")
+    headings = F.filter(F.transform(lines, lambda x, i: F.when(x.startswith("## "), i)), lambda i: i.isNotNull())
+    split = docs.select(*keys, F.split("doc", "\n", -1).alias("_lines"))
+    split = split.select(*keys, "_lines", F.concat(F.array(F.lit(0)), headings).alias("_at"))
+    # the part before the first heading has none, even if the first line is a heading (then it is empty)
+    last = F.size("_at") - 1
+    parts = split.select(*keys, F.posexplode(F.transform("_at", lambda at, j: F.struct(
+        at.alias("at"), F.slice(lines, at + 1, F.when(j < last, F.get("_at", j + 1)).otherwise(F.size(lines)) - at).alias("lines"))
+    )).alias("_part", "_p"))
+    heading = F.when(F.col("_part") > 0, T.py_strip(F.substring(F.col("_p.lines")[0], 4, 1 << 30)))
+    rows = parts.select(*keys, heading.alias("section"), F.col("_p.at").alias("_at"), F.posexplode("_p.lines").alias("_pos", "line"))
+    return _typed(rows.select(*keys, "section", (F.col("_at") + F.col("_pos") + 1).alias("line_no"), "line",
+                              line_kind("line").alias("kind")), keys)
+
+
+def conformance(lines: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
     """C2-C6, C9 per document, plus ``ok`` when every rule holds.
 
-    The rules are partial aggregates over lines; those that look at the lines
-    above a quote get them from ``carry_last``, so no window spans a document.
+    Lines are aggregated in bins of ``width`` line numbers, then a document's
+    bins. Within a bin a window gives the kind of the line above; for the first
+    line, and the first that is not blank, it comes from the bins above. So no
+    window spans a document's lines, and only counts leave a bin.
     """
     k = F.col("kind")
-    narrow = lines.select(*keys, "line_no", "kind", "section", "description")
-    lines = carry_last(narrow, keys, "line_no", {"prev_kind": k, "above_kind": F.when(k != "blank", k)}, above=True).select(
-        *keys, "line_no", "kind", "section", "description",
-        ((k == "quote") & (F.coalesce("prev_kind", F.lit("")) != "quote")).alias("quote_start"),
-        ((k == "quote") & (F.coalesce("above_kind", F.lit("")) == "h1")).alias("quote_below_h1"))
-    h2_line = F.when(k == "h2", F.col("line_no"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("line_no")
+    above = F.last(F.when(k != "blank", k), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("_bin", F.floor(F.col("line_no") / width)).select(
+        *keys, "_bin", "line_no", "kind", "section", "description",
+        F.lag("kind").over(inside).alias("prev"), above.alias("above"))
+    quote = k == "quote"
+    h2_line = F.when(k == "h2", F.struct("line_no", "section"))
     intro_heading = k.isin("h1", "deep") & (F.col("line_no") > 1) & F.col("section").isNull()
-    out = lines.groupBy(*keys).agg(
-        F.count("*").alias("n_lines"),
-        F.count_if(k == "h1").alias("n_h1"),
-        F.coalesce(F.max(F.when(F.col("line_no") == 1, k == "h1")), F.lit(False)).alias("h1_first"),
-        F.count_if(F.col("quote_start")).alias("n_quote_blocks"),
-        F.count_if(F.col("quote_below_h1")).alias("n_quotes_below_h1"),
-        F.count_if(k == "h2").alias("n_h2"),
-        F.count_if(k == "deep").alias("n_deep"),
-        F.count_if(intro_heading).alias("n_intro_headings"),
-        F.count_if(k == "link").alias("n_links"),
-        F.count_if((k == "link") & (F.col("description") == "")).alias("n_links_no_desc"),
-        F.count_if((k == "link") & (word_count("description") >= MAX_DESCRIPTION_WORDS)).alias("n_long_desc"),
-        F.count_if(k == "bullet").alias("n_bullets"),
-        F.count_if((k == "text") & F.col("section").isNotNull()).alias("n_section_text"),
-        F.count_if(k == "fence").alias("n_fence"),
-        F.count_if(k == "json").alias("n_json"),
-        (F.count_if((k == "h2") & (F.col("section") == OPTIONAL_SECTION)) > 0).alias("has_optional"),
-        F.coalesce(F.max_by(F.when(k == "h2", F.col("section")), h2_line) == OPTIONAL_SECTION,
-                   F.lit(False)).alias("optional_last"),
-    )
+    counts = {
+        "n_lines": F.lit(True),
+        "n_h1": k == "h1",
+        "n_first_h1": (k == "h1") & (F.col("line_no") == 1),
+        "n_quote_blocks": quote & (F.col("prev") != "quote"),
+        "n_quotes_below_h1": quote & (F.col("above") == "h1"),
+        "n_h2": k == "h2",
+        "n_deep": k == "deep",
+        "n_intro_headings": intro_heading,
+        "n_links": k == "link",
+        "n_links_no_desc": (k == "link") & (F.col("description") == ""),
+        "n_long_desc": (k == "link") & (word_count("description") >= MAX_DESCRIPTION_WORDS),
+        "n_bullets": k == "bullet",
+        "n_section_text": (k == "text") & F.col("section").isNotNull(),
+        "n_fence": k == "fence",
+        "n_json": k == "json",
+        "n_optional": (k == "h2") & (F.col("section") == OPTIONAL_SECTION),
+    }
+    bins = lines.groupBy(*keys, "_bin").agg(
+        *[F.count_if(c).alias(n) for n, c in counts.items()],
+        F.count_if(quote & F.col("prev").isNull()).alias("opens"),              # the bin's first line is a quote
+        F.count_if(quote & F.col("above").isNull()).alias("leads"),             # its first line that is not blank is one
+        F.max(F.struct("line_no", "kind"))["kind"].alias("last_kind"),
+        F.max(F.when(k != "blank", F.struct("line_no", "kind")))["kind"].alias("last_said"),
+        F.max(h2_line).alias("last_h2"))
+    order = Window.partitionBy(*keys).orderBy("_bin")
+    said = F.last("last_said", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(
+        *keys, "last_h2", *[c for c in counts if c not in ("n_quote_blocks", "n_quotes_below_h1")],
+        (F.col("n_quote_blocks") + F.when(F.coalesce(F.lag("last_kind").over(order), F.lit("")) != "quote", F.col("opens"))
+         .otherwise(0)).alias("n_quote_blocks"),
+        (F.col("n_quotes_below_h1") + F.when(said == "h1", F.col("leads")).otherwise(0)).alias("n_quotes_below_h1"))
+    total = bins.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts], F.max("last_h2")["section"].alias("last_section"))
+    flags = {
+        "h1_first": F.col("n_first_h1") > 0, "has_optional": F.col("n_optional") > 0,
+        "optional_last": F.coalesce(F.col("last_section") == OPTIONAL_SECTION, F.lit(False))}
+    names = ["n_lines", "n_h1", "h1_first", *[c for c in counts if c not in ("n_lines", "n_h1", "n_first_h1", "n_optional")],
+             "has_optional", "optional_last"]
+    out = total.select(*keys, *[flags[n].alias(n) if n in flags else F.col(n) for n in names])
     ok = ((F.col("n_h1") == 1) & F.col("h1_first") & (F.col("n_quote_blocks") == 1)
           & (F.col("n_quotes_below_h1") == 1) & (F.col("n_section_text") == 0) & (F.col("n_deep") == 0)
           & (F.col("n_intro_headings") == 0) & (F.col("n_h2") > 0) & (F.col("n_links_no_desc") == 0)

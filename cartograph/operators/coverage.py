@@ -36,12 +36,12 @@ def tokens(text) -> F.Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN_PATTERN), 0))
 
 
-def rare_pairs(vocab: DataFrame, fe: DataFrame, fact_id: str) -> DataFrame:
+def rare_pairs(held: DataFrame, fe: DataFrame, fact_id: str) -> DataFrame:
     """(fact_id, w1, w2, rest, n_tokens): a fact's two rarest tokens (w2 null if it has one) and the others.
 
     A fact with a token that no response holds is left out.
     """
-    df = vocab.select(F.explode("vocab").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    df = held.groupBy("tok").agg(F.count("*").alias("df"))
     by_rarity = fe.join(df, "tok").groupBy(fact_id, "n_tokens").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("toks"))   # one fact's tokens
     return by_rarity.filter(F.size("toks") == F.col("n_tokens")).select(
@@ -53,26 +53,27 @@ def covered_facts(responses: DataFrame, facts: DataFrame, resp_id: str = "doc_id
                   fact_id: str = "item_id") -> DataFrame:
     """(resp_id, fact_id, n_tokens) for every response that covers a fact.
 
-    ``resp_id`` and ``fact_id`` identify a row. Responses are tokenised once,
-    into one array of distinct tokens each, and written; a null text has none.
+    ``resp_id`` and ``fact_id`` identify a row. Responses are tokenised once;
+    only tokens that some fact uses are written, the others cannot matter. A
+    null text has no tokens.
     """
     spark = responses.sparkSession
     ensure_checkpoint_dir(spark)
     ft = facts.select(fact_id, tokens("text").alias("toks")).filter(F.size("toks") > 0)
     fe = ft.select(fact_id, F.size("toks").alias("n_tokens"), F.explode("toks").alias("tok"))
-    vocab = responses.select(resp_id, tokens("text").alias("vocab")).checkpoint(eager=True)
-    pairs = rare_pairs(vocab, fe, fact_id).checkpoint(eager=True)       # as small as the facts; read by three joins
+    held = (responses.select(resp_id, F.explode(tokens("text")).alias("tok"))
+            .join(fe.select("tok").distinct(), "tok", "left_semi").checkpoint(eager=True))
+    vocab = held.groupBy(resp_id).agg(F.collect_list("tok").alias("vocab"))            # bounded by one response
+    pairs = rare_pairs(held, fe, fact_id).checkpoint(eager=True)        # as small as the facts; read by two joins
     # responses with a fact's rarest token, one row per pair of tokens however many facts share it
-    met = (vocab.select(resp_id, F.explode("vocab").alias("w1"))
-           .join(pairs.select("w1", "w2").distinct(), "w1"))
+    met = held.withColumnRenamed("tok", "w1").join(pairs.select("w1", "w2").distinct(), "w1")
     both = (met.join(vocab, resp_id).filter(F.col("w2").isNull() | F.array_contains("vocab", F.col("w2")))
             .select(resp_id, "w1", "w2"))
     same = [F.col("c.w1") == F.col("p.w1"), F.col("c.w2").eqNullSafe(F.col("p.w2"))]
     candidates = both.alias("c").join(pairs.alias("p"), same).select(f"c.{resp_id}", f"p.{fact_id}", "p.n_tokens", "p.rest")
-    short = candidates.filter("n_tokens <= 2").select(resp_id, fact_id, "n_tokens")
-    held = F.forall("rest", lambda t: F.array_contains("vocab", t))
-    long = candidates.filter("n_tokens > 2").join(vocab, resp_id).filter(held).select(resp_id, fact_id, "n_tokens")
-    return short.unionByName(long)
+    # what a fact has beyond its two rarest tokens is looked up in the response's array
+    all_held = F.forall("rest", lambda t: F.array_contains("vocab", t))
+    return candidates.join(vocab, resp_id).filter(all_held).select(resp_id, fact_id, "n_tokens")
 
 
 def response_coverage(responses: DataFrame, facts: DataFrame, resp_id: str = "doc_id",

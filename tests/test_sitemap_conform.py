@@ -157,6 +157,8 @@ def test_rules_of_a_document_that_spans_bins(spark):
     df = spark.createDataFrame(rows, "site int, line_no int, line string")
     table = C.lines_of_rows(df, ["site"])
     got = {r.site: r for r in C.conformance(table, ["site"]).collect()}
+    narrow = {r.site: r for r in C.conformance(table, ["site"], width=6).collect()}     # one or two lines a bin
+    assert narrow == got
     sections = {(r.site, r.line_no): r.section for r in table.collect()}
     assert len(sections) == len(rows)
     for s in range(3):
@@ -168,7 +170,20 @@ def test_rules_of_a_document_that_spans_bins(spark):
             section = "S" if line == "## S" else section
             prev, above = line, line or above
             assert sections[s, n] == section
-        assert (got[s].n_quote_blocks, got[s].n_quotes_below_h1, got[s].n_intro_headings) == (n_start, n_below, n_intro)
+        want = (n_start, n_below, n_intro)
+        for res in (got, narrow):
+            assert (res[s].n_quote_blocks, res[s].n_quotes_below_h1, res[s].n_intro_headings) == want
+
+
+def test_string_documents_give_the_lines_of_rows(spark):
+    docs = ["", "## A", "## A\nx\n\n## B", "x\n## A \n## \n##\ny\n", "# T\n\n> q\n\n## S\n\n- [A](http://a.com)\n\n", "\n\n"]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(99, None)], "site int, doc string")
+    rows = spark.createDataFrame([(i, n, x) for i, d in enumerate(docs) for n, x in enumerate(d.split("\n"), 1)],
+                                 "site int, line_no int, line string")
+    key = lambda r: (r.site, r.line_no)
+    want = sorted(C.lines_of_rows(rows, ["site"]).collect(), key=key)
+    assert sorted(C.line_table(df, ["site"]).collect(), key=key) == want and len(want) == rows.count()
+    assert "Exchange" not in C.line_table(df, ["site"])._jdf.queryExecution().executedPlan().toString()
 
 
 def test_carry_last_matches_a_window_and_keeps_rows_without_a_value(spark):
