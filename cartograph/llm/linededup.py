@@ -8,15 +8,15 @@ suffixes: level 0 ranks the lines themselves, level k + 1 ranks the pairs
 sorted globally and numbered along the sort), so equal ranks are exactly the
 intervals of the suffix array whose longest common prefix is 2^k or more.
 Suffixes alone in their interval cannot be in a longer one and are dropped, so
-the work shrinks from level to level. Levels stop at ``min_lines``: the
-registered 2 needs and runs one doubling, a group-by on pairs of neighbouring
-lines. No suffix array and no longer common prefix is built.
+the work shrinks from level to level, and doubling goes on until no interval
+holds two suffixes. A ``min_lines`` that is no power of two has a level of its
+own, whose halves overlap; widths double from there.
 
-Intervals with a common prefix of ``min_lines`` lines follow from the last
-level by two overlapping windows. In each, the earliest suffix (smallest
-document id, then position) stays and every other one is a later copy. Windows
-of copies that overlap or touch merge into maximal repeated runs, and the runs
-are deleted.
+In every interval whose common prefix has ``min_lines`` lines or more, the
+earliest suffix (smallest document id, then position) stays and every other one
+is a later copy of that many lines. Copies of all levels that overlap or touch
+merge, per document and in order of position, into maximal repeated runs, and
+the runs are deleted.
 
 Hot lines: intervals are counted with partial aggregation, and only one row
 per interval is joined back; adaptive execution can split the other side.
@@ -25,7 +25,9 @@ Shifted joins use (document, position) and have no hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.llm.common import Scratch
@@ -61,34 +63,48 @@ def _shifted(level: DataFrame, by: int) -> DataFrame:
     return level.select(*KEY, "p", F.col("rank").alias("r1")).join(ahead, [*KEY, "p"])
 
 
-def copied_windows(lines: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
-    """(d, h, p): starts of windows of ``min_lines`` lines that also start earlier."""
+def copied_prefixes(lines: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
+    """(d, h, p, width): suffixes whose first ``width`` lines also start earlier, for every level of ``min_lines`` lines or more."""
     names = scratch.write(_ranks(lines, ["id"]), "ranks-0")
-    level = lines.join(names, "id").select(*KEY, "p", "rank", "first")
-    width, k = 1, 0
-    while width < min_lines:
-        # double; the last step overlaps the two halves if min_lines is no power of two
-        step = min(width, min_lines - width)
-        level = scratch.write(level, f"level-{k}")
+    level, by = lines.join(names, "id"), "ranks-0"
+    width, k, copies = 1, 0, []
+    while True:
+        later = F.struct(*KEY, "p") != F.col("first")
+        level = scratch.write(level.select(*KEY, "p", "rank", later.alias("later")), f"level-{k}")
+        scratch.drop(by)
+        scratch.drop(f"pairs-{k - 1}")
+        if width >= min_lines:
+            copies.append(level.where("later").select(*KEY, "p", F.lit(width).alias("width")))
+        # double; the step up to min_lines overlaps the two halves if it is no power of two
+        step = min(width, min_lines - width) if width < min_lines else width
         pairs = scratch.write(_shifted(level, step), f"pairs-{k}")
-        names = scratch.write(_ranks(pairs, ["r1", "r2"]), f"ranks-{k + 1}")
-        level = pairs.join(names, ["r1", "r2"]).select(*KEY, "p", "rank", "first")
+        by = f"ranks-{k + 1}"
+        names = scratch.write(_ranks(pairs, ["r1", "r2"]), by)
         width, k = width + step, k + 1
-    return level.where(F.struct(*KEY, "p") != F.col("first")).select(*KEY, "p")
+        if names.isEmpty():
+            break
+        level = pairs.join(names, ["r1", "r2"])
+    return reduce(DataFrame.unionByName, copies) if copies else level.where("false").select(*KEY, "p", F.lit(0).alias("width"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(d, h, first_line, n_lines): maximal stretches of lines to delete, lines counted from 0."""
     scratch = Scratch(docs.sparkSession, "linededup")
     lines = scratch.write(line_ids(docs), "lines")
-    copies = copied_windows(lines, scratch, min_lines)
-    gone = copies.select(*KEY, F.explode(F.sequence("p", F.col("p") + min_lines - 1)).alias("p")).distinct()
+    # merged along a document: a copy opens a run if no earlier one reaches it (its rows: one document's suffixes)
+    copies = copied_prefixes(lines, scratch, min_lines).withColumn("end", F.col("p") + F.col("width"))
+    order = Window.partitionBy(*KEY).orderBy("p", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = copies.withColumn("opens", reach.isNull() | (F.col("p") > reach))
+    runs = opened.withColumn("run", F.count_if("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy(*KEY, "run").agg(F.min("p").alias("p"), F.max("end").alias("end"))
+    gone = merged.select(*KEY, F.explode(F.sequence("p", F.col("end") - 1)).alias("p"))
     at = lines.select(*KEY, "p", "ln").join(gone, [*KEY, "p"], "left_semi")
     # neighbouring line numbers minus their order within the document are equal along a run
-    runs = at.groupBy(*KEY).agg(F.array_sort(F.collect_list("ln")).alias("ln"))    # bounded by one document's lines
+    each = at.groupBy(*KEY).agg(F.array_sort(F.collect_list("ln")).alias("ln"))    # bounded by one document's lines
     island = F.transform("ln", lambda x, i: F.struct((x - i).alias("g"), x.alias("ln")))
     return scratch.write(
-        runs.select(*KEY, F.explode(island).alias("x")).groupBy(*KEY, "x.g")
+        each.select(*KEY, F.explode(island).alias("x")).groupBy(*KEY, "x.g")
         .agg(F.min("x.ln").alias("first_line"), F.count(F.lit(1)).cast("int").alias("n_lines"))
         .select(*KEY, "first_line", "n_lines"), "runs")
 

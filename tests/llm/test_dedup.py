@@ -64,6 +64,22 @@ def test_line_dedup_against_windows(spark, min_lines):
     assert removed > 0
 
 
+def test_line_dedup_doubles_until_no_interval_holds_two_suffixes(spark):
+    # a passage of 37 lines in three documents, and two copies inside one document
+    passage = [f"line {i}" for i in range(37)]
+    rows = [(1, ["a", *passage, "b"]), (2, [*passage[:20], "", *passage[20:]]), (3, ["c", *passage, "d", *passage[5:9]])]
+    docs = spark.createDataFrame([(d, "\n".join(x)) for d, x in rows], "doc_id long, text string")
+    scratch = linededup.Scratch(spark, "levels")
+    for least, widths in [(1, {1, 2, 4, 8, 16, 32}), (2, {2, 4, 8, 16, 32}), (3, {3, 6, 12, 24}), (50, set())]:
+        lines = scratch.write(linededup.line_ids(docs), f"lines-{least}")
+        copies = linededup.copied_prefixes(lines, linededup.Scratch(spark, "levels"), least).collect()
+        assert {r["width"] for r in copies} == widths
+        # what starts earlier does so at each width up to the longest
+        assert all(r["p"] + r["width"] <= 43 for r in copies)
+        runs = sorted((r["d"], r["first_line"], r["n_lines"]) for r in linededup.repeated_runs(docs, least).collect())
+        assert runs == ([] if least == 50 else [(2, 0, 20), (2, 21, 17), (3, 1, 37), (3, 39, 4)])
+
+
 def test_line_dedup_keeps_columns_and_rows(spark):
     docs = messy.frame(spark)
     out = linededup.dedup_lines(docs)
