@@ -490,6 +490,15 @@ def dropped_pages(spark, sf_dir):
         "page_id", "url", F.when(bad_title, F.concat(F.lit("title_"), F.col("title_state"))).otherwise(F.lit("no_site")).alias("reason"))
 
 
+@query("row_accounts")
+def row_accounts(spark, sf_dir):
+    """kept rows (reason null) and dropped rows by reason, of captures with planted faults and of judge replies."""
+    from cartograph.operators import accounts as A
+    pages = P.page_reasons(FX.faulty_captures(P.read_table(spark, sf_dir, "pages")))
+    replies = _judge(spark, sf_dir).withColumn("reason", F.nullif(F.col("reason"), F.lit("ok")))
+    return A.reason_counts(pages, "pages").unionByName(A.reason_counts(replies, "replies"))
+
+
 @query("pages_with_status")
 def pages_with_status(spark, sf_dir):
     """F1 on a derived status: every third page failed."""

@@ -624,6 +624,19 @@ ORACLE["dropped_pages"] = f"""
 SELECT page_id, url, CASE WHEN title_state NOT IN ('ok', 'absent') THEN 'title_' || title_state ELSE 'no_site' END AS reason
 FROM ({_index_sql()}) AS ix WHERE title_state NOT IN ('ok', 'absent') OR site = ''"""
 
+_FAULTY_ONCE = """SELECT page_id, url, CASE WHEN page_id % 5 = 1 THEN '<html><title></title></html>' ELSE html END AS html,
+       page_id % 3 <> 0 AS fetched FROM pages"""
+_FAULTY = f"""SELECT * FROM ({_FAULTY_ONCE}) AS a
+UNION ALL SELECT page_id + 1000000000000 AS page_id, url, html, fetched FROM ({_FAULTY_ONCE}) AS b WHERE page_id % 7 = 2"""
+_FAULTY_STATES = D.staged(
+    f"SELECT *, row_number() OVER (PARTITION BY url, fetched ORDER BY page_id) AS nth FROM ({_FAULTY}) AS f",
+    [[f"{D.clean_html('html')} AS clean", f"{D.site_of('url')} AS site"], [f"{D.title_state('clean')} AS title_state"]])
+ORACLE["row_accounts"] = f"""
+SELECT 'pages' AS step, CASE WHEN NOT fetched THEN 'failed' WHEN url IS NULL THEN 'no_url' WHEN nth > 1 THEN 'duplicate_url'
+       WHEN title_state NOT IN ('ok', 'absent') THEN 'title_' || title_state WHEN site = '' THEN 'no_site' END AS reason,
+       count(*) AS n_rows FROM ({_FAULTY_STATES}) AS s GROUP BY ALL
+UNION ALL SELECT 'replies' AS step, nullif(reason, 'ok') AS reason, count(*) AS n_rows FROM ({_judge_sql()}) AS q GROUP BY ALL"""
+
 ORACLE["pages_with_status"] = """
 SELECT min(page_id) AS page_id, url FROM pages WHERE page_id % 3 <> 0 GROUP BY url"""
 

@@ -130,6 +130,19 @@ def planted_links(ranked_pages: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 # Planted faults on generated maps (FIXTURES.md C), all string operations.
+
+
+def faulty_captures(pages: DataFrame) -> DataFrame:
+    """Synthetic captures (page_id, url, html, status) with planted faults.
+
+    A third of the fetches failed, a fifth of the pages have an empty title, a
+    seventh were captured a second time under a later id.
+    """
+    html = F.when(F.col("page_id") % 5 == 1, "<html><title></title></html>").otherwise(F.col("html"))
+    once = pages.select("page_id", "url", html.alias("html"), F.when(F.col("page_id") % 3 == 0, 404).otherwise(200).alias("status"))
+    return once.unionByName(once.filter("page_id % 7 = 2").withColumn("page_id", F.col("page_id") + 1_000_000_000_000))
+
+
 def planted_variants(docs: DataFrame) -> DataFrame:
     """(site, variant, doc): the map itself plus one copy per planted fault."""
     d, base = F.col("doc"), F.col("base_url")

@@ -61,3 +61,20 @@ def page_links(index: DataFrame) -> DataFrame:
     links = kept(index).select(
         "site", F.col("url").alias("src_url"), F.posexplode("hrefs").alias("pos", "href"))
     return U.with_resolved_url(links, "src_url", "href", "dst_url")
+
+
+def page_reasons(pages: DataFrame) -> DataFrame:
+    """every row of ``pages`` with the reason why no site map holds it, null if one does: (page_id, url, reason).
+
+    The first that holds: ``failed`` (status), ``no_url``, ``duplicate_url``
+    (the URL was captured under a lower ``page_id``), ``title_empty`` or
+    ``title_nested``, ``no_site``.
+    """
+    fetched = F.coalesce(F.col("status") == 200, F.lit(False)) if "status" in pages.columns else F.lit(True)
+    first = captured(pages).groupBy("url").agg(F.min("page_id").alias("page_id")).withColumn("first", F.lit(True))
+    rows = pages.select("page_id", "url", fetched.alias("fetched"), U.site_of("url").alias("site"),
+                        H.title_state(H.clean_html("html")).alias("title_state"))
+    reason = (F.when(~F.col("fetched"), "failed").when(F.col("url").isNull(), "no_url").when(F.col("first").isNull(), "duplicate_url")
+              .when(~F.col("title_state").isin(*H.TITLE_STATES_KEPT), F.concat(F.lit("title_"), F.col("title_state")))
+              .when(F.col("site") == "", "no_site"))
+    return rows.join(first, ["url", "page_id"], "left").select("page_id", "url", reason.alias("reason"))
