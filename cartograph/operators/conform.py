@@ -82,7 +82,9 @@ def line_table(docs: DataFrame, keys: list[str]) -> DataFrame:
         at.alias("at"), F.slice(lines, at + 1, F.when(j < last, F.get("_at", j + 1)).otherwise(F.size(lines)) - at).alias("lines"))
     )).alias("_part", "_p"))
     heading = F.when(F.col("_part") > 0, T.py_strip(F.substring(F.col("_p.lines")[0], 4, 1 << 30)))
-    rows = parts.select(*keys, heading.alias("section"), F.col("_p.at").alias("_at"), F.posexplode("_p.lines").alias("_pos", "line"))
+    # the heading is taken before the lines are exploded: above it, every line would carry its part's whole array
+    parts = parts.select(*keys, heading.alias("section"), F.col("_p.at").alias("_at"), F.col("_p.lines").alias("_lines"))
+    rows = parts.select(*keys, "section", "_at", F.posexplode("_lines").alias("_pos", "line"))
     return _typed(rows.select(*keys, "section", (F.col("_at") + F.col("_pos") + 1).alias("line_no"), "line",
                               line_kind("line").alias("kind")), keys)
 
@@ -211,11 +213,16 @@ def title_words(title) -> F.Column:
 
 
 def title_classes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., line_no, words, class_line): entries with equal title words form a class, named after its first line."""
+    """(keys..., line_no, words, class_line): entries with equal title words form a class, named after its first line.
+
+    Written to the checkpoint folder, as it is read for every side of the joins that follow.
+    """
+    ensure_checkpoint_dir(lines.sparkSession)
+    # a title's words are taken once, for the entries and for the classes
     entries = (lines.filter(F.col("kind") == "link").select(*keys, "line_no", title_words("title").alias("words"))
-               .filter(F.size("words") > 0))
+               .filter(F.size("words") > 0)).checkpoint()
     first = entries.groupBy(*keys, "words").agg(F.min("line_no").alias("class_line"))
-    return entries.join(first, [*keys, "words"])
+    return entries.join(first, [*keys, "words"]).checkpoint()
 
 
 def similar_classes(classes: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:

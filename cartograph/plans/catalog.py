@@ -146,6 +146,11 @@ def bfs_planted_links(spark, sf_dir):
     return TR.bounded_bfs(graph, seeds)
 
 
+def _spread(lines, keys):
+    """Lines dealt by document and line number: a large site's lines are worked on in many tasks from here on."""
+    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "line_no")
+
+
 def _map_lines(spark, sf_dir):
     from cartograph.operators import conform as C
     docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
@@ -461,7 +466,8 @@ def map_similar_titles(spark, sf_dir):
     """C7 on titles, on the generated maps."""
     from cartograph.operators import conform as C
     docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
-    return C.similar_titles(C.line_table(docs, ["site"]), ["site"])
+    # rendered once; read for classes and members
+    return C.similar_titles(_spread(C.line_table(docs, ["site"]), ["site"]).checkpoint(eager=True), ["site"])
 
 
 @query("map_title_classes")
@@ -469,14 +475,15 @@ def map_title_classes(spark, sf_dir):
     """C7 on titles, on the generated maps: every entry's class of equal title words, and pairs of similar classes."""
     from cartograph.operators import conform as C
     docs = SM.render_documents(SM.corpus_ranked(_index(spark, sf_dir)))
-    return C.similar_title_classes(C.line_table(docs, ["site"]).checkpoint(eager=True), ["site"])
+    return C.similar_title_classes(_spread(C.line_table(docs, ["site"]), ["site"]).checkpoint(eager=True), ["site"])
 
 
 @query("map_merged_similar")
 def map_merged_similar(spark, sf_dir):
     """Every variant's lines with entries of one URL or of similar titles merged, chains of them too."""
     from cartograph.operators import conform as C
-    lines = _map_lines(spark, sf_dir).checkpoint(eager=True)      # rendered once; read for entries, URLs and titles
+    # rendered once; read for entries, URLs and titles
+    lines = _spread(_map_lines(spark, sf_dir), ["site", "variant"]).checkpoint(eager=True)
     return C.merge_similar(lines, ["site", "variant"]).select(
         "site", "variant", F.col("line_no").cast("int").alias("line_no"), "kind", "url", "description")
 

@@ -281,3 +281,15 @@ def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([("s", i + 1, i) for i in range(1, 200)] + [("t", 5, 9)], "site string, a int, b int")
     got = {(r["site"], r["node"]): r["root"] for r in C.connected(edges, ["site"]).collect()}
     assert got == {("s", i): 1 for i in range(1, 201)} | {("t", 5): 5, ("t", 9): 5}
+
+
+def test_a_line_does_not_carry_its_section(spark):
+    # with the section's array beside every line, a section of n lines took memory by n squared
+    import re
+    docs = spark.createDataFrame([("s", "# x\n## a\n- [t](http://s/1)\n\n## b\ny")], "site string, doc string")
+    lines = C.line_table(docs, ["site"])
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    kept = re.findall(r"Generate posexplode\([^\n]*?\), \[([^\]]*)\], false, \[_pos#", plan)
+    assert len(kept) == 1 and not re.search(r"\b_(p|lines)#", kept[0])
+    assert [(r["line_no"], r["section"], r["line"]) for r in lines.orderBy("line_no").collect()] == [
+        (1, None, "# x"), (2, "a", "## a"), (3, "a", "- [t](http://s/1)"), (4, "a", ""), (5, "b", "## b"), (6, "b", "y")]
