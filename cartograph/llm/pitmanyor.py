@@ -45,9 +45,9 @@ from cartograph.llm.common import Scratch, release
 FOLDS = 10
 SHARD_BYTES = 16_000_000     # text whose words share one dictionary
 BUCKET = 1_000_000           # pairs of shards counted together
-SWEEPS = 2                   # before the first sample; one more before each other
+SWEEPS = 3                   # before each sample
 SAMPLES = 3
-ROUNDS = 1                   # of sampling in the buckets, an exchange before and after each
+ROUNDS = 2                   # of sampling in the buckets, an exchange before and after each: the second sees sampled tables
 ROOT_ROWS = 250_000          # words seated at once in the parent
 STRENGTH = 1.0               # concentration of both levels
 BLOCK = 16                   # beyond 2 * BLOCK customers, one in BLOCK of those seated come at once
@@ -99,7 +99,7 @@ def seat(c, others, p, discount: float, strength: float, rng):
 
 
 def sample_tables(c, others, p, discount: float, strength: float, rng, sweeps: int, samples: int):
-    """Tables per sample and dish: ``sweeps`` block updates before the first of ``samples`` rows, one before each other."""
+    """Tables per sample and dish: ``samples`` rows, ``sweeps`` block updates before each."""
     import numpy as np
 
     order = np.argsort(-c, kind="stable")
@@ -107,7 +107,7 @@ def sample_tables(c, others, p, discount: float, strength: float, rng, sweeps: i
     t, weight = seat(c, others, p, discount, strength, rng)
     out = np.empty((samples, len(c)), np.int64)
     for s in range(samples):
-        for _ in range(1 if s else sweeps):
+        for _ in range(sweeps):
             new, other = seat(c, others, p, discount, strength, rng)
             take = np.log(rng.random(len(c))) < other - weight
             t, weight = np.where(take, new, t), np.where(take, other, weight)

@@ -217,3 +217,26 @@ def test_words_are_split_at_ascii_blanks_only(spark):
     held = next(i for i in range(500) if zlib.crc32(str(i).encode()) % 10)
     rows = pitmanyor.language_scores(messy.frame(spark, [(held, text, "en", "x")])).collect()
     assert answer(rows) == plain([(held, text)]) and rows[0]["n_tokens"] == len(text.encode().translate(LOWER).split()) + 1
+
+
+def test_tables_are_sampled_again_after_an_exchange(spark, monkeypatch):
+    # with one round no dish was ever seated given sampled tables of the others
+    seen = []
+    plain_sampled = pitmanyor.sampled
+
+    def spy(state, facts, number, discount, strength, sweeps, samples, reply):
+        seen.append((number, sweeps, samples, reply))
+        return plain_sampled(state, facts, number, discount, strength, sweeps, samples, reply)
+
+    monkeypatch.setattr(pitmanyor, "sampled", spy)
+    docs = messy.frame(spark, [(i, "a b a c a a b", "en", "x") for i in range(30)])
+    assert pitmanyor.language_scores(docs).count() == 30
+    assert [(n, last) for n, _, _, last in seen] == [(1, False), (2, True)] and all(s >= 3 for _, s, _, _ in seen)
+
+
+def test_every_sample_has_its_own_sweeps(monkeypatch):
+    calls = []
+    plain_seat = pitmanyor.seat
+    monkeypatch.setattr(pitmanyor, "seat", lambda *x: calls.append(1) or plain_seat(*x))
+    pitmanyor.sample_tables(np.full(4, 5), np.zeros(4), np.full(4, .2), .5, 1., np.random.default_rng(1), 3, 3)
+    assert len(calls) == 1 + 3 * 3
