@@ -310,10 +310,34 @@ def pairs_of(ids, words, held):
     """(pair, training?, documents' first places) of consecutive documents' tokens: context in the upper 32 bits, word in the lower."""
     import numpy as np
 
-    w, first = with_ends(ids.astype(np.uint64), words, END)
-    u = np.concatenate((np.zeros(1, np.uint64), w[:-1]))
-    u[first] = BEGIN
-    return u << np.uint64(32) | w, np.repeat(~np.asarray(held, bool), np.asarray(words, np.int64) + 1), first
+    w, first = with_ends(ids, words, END)
+    pair = np.zeros(len(w), np.uint64)
+    pair[1:] = w[:-1]
+    pair[first] = BEGIN
+    pair <<= np.uint64(32)
+    pair |= w
+    return pair, np.repeat(~np.asarray(held, bool), np.asarray(words, np.int64) + 1), first
+
+
+def distinct(pair):
+    """(distinct pairs in ascending order, each pair's place among them): ``np.unique`` with fewer and smaller arrays."""
+    import numpy as np
+
+    order = np.argsort(pair)
+    one = pair[order]
+    head = np.ones(len(one), bool)
+    np.not_equal(one[1:], one[:-1], out=head[1:])
+    one = one[head]
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(head, dtype=np.int32) - np.int32(1)
+    return one, of
+
+
+def tidy() -> None:
+    """Give Arrow's unused memory back: a Python worker stays between tasks and stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def bucket_of(pair, n: int):
@@ -359,13 +383,18 @@ def coded(docs: DataFrame, lex: DataFrame, total: dict, n_buckets: int) -> DataF
             local = spread(rows.column("ids")[0].as_py(), "<u4")[0]
             ids = table[local]
             base, first = with_ends(base[local], words, end)
-            known_, _ = with_ends((ids != UNKNOWN).astype(np.int64), words, int(total["documents"] > 0))
+            del local
+            base = np.add.reduceat(base, first)
+            known_, _ = with_ends(ids != UNKNOWN, words, total["documents"] > 0)
             out.append(pa.table([pa.array(c, t) for c, t in zip((
-                [0] * n, [shard] * n, rows.column("doc_id").to_pylist(), held, words + 1, np.add.reduceat(known_, first),
-                np.add.reduceat(base, first), [squeeze(ids)] + [None] * (n - 1), np.arange(n), [None] * n, [None] * n), types)], names=names))
+                [0] * n, [shard] * n, rows.column("doc_id").to_pylist(), held, words + 1, np.add.reduceat(known_, first, dtype=np.int64),
+                base, [squeeze(ids)] + [None] * (n - 1), np.arange(n), [None] * n, [None] * n), types)], names=names))
             pair, train, _ = pairs_of(ids, words, held)
-            one, of = np.unique(pair, return_inverse=True)
-            times = np.bincount(of, weights=train, minlength=len(one)).astype("<u4")
+            del ids, known_, first
+            one, of = distinct(pair)
+            del pair
+            times = np.bincount(of[train], minlength=len(one)).astype("<u4")
+            del of, train
             asked, cut, buckets = requests(one, n_buckets)
             one, times = one[asked], times[asked]
             m = len(buckets)
@@ -373,6 +402,7 @@ def coded(docs: DataFrame, lex: DataFrame, total: dict, n_buckets: int) -> DataF
                 [1] * m, [shard] * m, *[[None] * m] * 7, buckets, [
                     bundle((one[x:y] >> np.uint64(32)).astype("<u4"), one[x:y].astype("<u4"), times[x:y])
                     for x, y in zip(cut, cut[1:])]), types)], names=names))
+        tidy()
         return pa.concat_tables(out)
 
     import pyarrow as pa
@@ -412,7 +442,9 @@ def dishes(pairs: DataFrame) -> DataFrame:
         sizes = [len(u) for u, _, _ in blobs]
         pair = np.concatenate([u.astype(np.uint64) << np.uint64(32) | w for u, w, _ in blobs])
         n = np.concatenate([k for _, _, k in blobs]).astype(np.int64)
-        one, member = np.unique(pair, return_inverse=True)
+        del blobs
+        one, member = distinct(pair)
+        del pair
         c = np.bincount(member, weights=n, minlength=len(one)).astype(np.int64)
         tell = (c[member] >= 2) | ((c[member] == 1) & (n == 0))
         kept = np.unique(member[tell])
@@ -584,12 +616,16 @@ def scored(docs: DataFrame, facts: DataFrame, model: dict, n_buckets: int) -> Da
 
         rows = rows.take(np.argsort(rows.column("pos").to_numpy()))
         held, words = rows.column("held").to_numpy(zero_copy_only=False), rows.column("n_tokens").to_numpy() - 1
+        del values, cu, order
         doc_ids = spread(rows.column("ids")[0].as_py(), "<u4")[0] if len(rows) else np.zeros(0, np.uint32)
         pairs, train, first = pairs_of(doc_ids, words, held)
+        del doc_ids
         # the distinct pairs, in the order in which the buckets were asked for them
-        own, of = np.unique(pairs, return_inverse=True)
+        own, of = distinct(pairs)
         del pairs
-        c = (np.bincount(of, weights=train, minlength=len(own)) > 0).astype(float)
+        c = np.zeros(len(own))
+        c[of[train]] = 1
+        del train
         t = c.copy()         # a training pair that is not told back occurs once in the corpus
         asked, cut, buckets = requests(own, n_buckets)
         places = {b: (x, y) for b, x, y in zip(buckets.tolist(), cut, cut[1:])}
@@ -599,6 +635,7 @@ def scored(docs: DataFrame, facts: DataFrame, model: dict, n_buckets: int) -> Da
                 bits, c_told, t_told = spread(blob, np.uint8, "<i8", "<i8")
                 at = asked[x:y][np.unpackbits(bits, count=y - x).astype(bool)]
                 c[at], t[at] = c_told, t_told / samples
+        del asked, blobs
         d, h = model["discount"], model["strength"]
         value = np.empty(len(own))
         for lo in range(0, len(own), 500_000):
@@ -609,6 +646,7 @@ def scored(docs: DataFrame, facts: DataFrame, model: dict, n_buckets: int) -> Da
             value[part] = np.log10((c[part] - d * t[part] + back) / (h + customers[u]))
         value = value[of]
         score = np.add.reduceat(value, first) if len(first) else np.zeros(0)
+        tidy()
         return pa.table([rows.column(x) for x in ("doc_id", "held", "n_tokens", "n_known", "base_score")] + [pa.array(score, pa.float64())],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

@@ -240,3 +240,16 @@ def test_every_sample_has_its_own_sweeps(monkeypatch):
     monkeypatch.setattr(pitmanyor, "seat", lambda *x: calls.append(1) or plain_seat(*x))
     pitmanyor.sample_tables(np.full(4, 5), np.zeros(4), np.full(4, .2), .5, 1., np.random.default_rng(1), 3, 3)
     assert len(calls) == 1 + 3 * 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 40_000])
+def test_distinct_pairs_and_their_places(n):
+    import tracemalloc
+    pair = np.random.default_rng(n).integers(0, max(1, n // 3), n).astype(np.uint64) << np.uint64(33)
+    tracemalloc.start()
+    one, of = pitmanyor.distinct(pair)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, places = np.unique(pair, return_inverse=True)
+    assert (one == want).all() and (of == places).all() and len(of) == n
+    assert most < 30 * n + 20_000        # np.unique takes about 50 bytes a pair
