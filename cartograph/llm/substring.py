@@ -31,10 +31,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartograph.llm.common import Scratch
+from cartograph.llm.common import Scratch, release
 
 WINDOW = 20
 PHRASE = 8
@@ -140,10 +140,16 @@ class Scan(Words):
 
         return np.unique(self.arg[self.valid])
 
-    def text(self, at: int, length: int) -> bytes:
-        """Words joined by single spaces, with one on either side."""
+    def texts(self, at, length: int):
+        """Arrow strings: from each position on, ``length`` words joined by single spaces, with one on either side."""
+        import numpy as np
+        import pyarrow as pa
+
         out, ends = self.spaced()
-        return out[ends[at - 1] if at else 0:ends[at + length - 1] + 1].tobytes()
+        start, stop = np.concatenate(([0], ends))[at], ends[at + length - 1] + 1
+        edge = np.concatenate((np.zeros(1, np.int64), np.cumsum(stop - start)))
+        data = out[np.arange(edge[-1]) - np.repeat(edge[:-1] - start, stop - start)]
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(edge), pa.py_buffer(data))
 
 
 def scans(column, window: int, phrase: int, step: int = STEP):
@@ -181,11 +187,13 @@ def find_anchors(shards: DataFrame, window: int, phrase: int) -> DataFrame:
             shard = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, s in scans(batch.column(1), window, phrase):
                 at = s.anchors()
-                pair = np.zeros(len(at), [("b", np.int64), ("a", np.int64)])
-                pair["b"], pair["a"] = shard[lo + s.doc[at]], _signed(s.phrases[at])
-                one, n = np.unique(pair, return_counts=True)
+                b, a = shard[lo + s.doc[at]], _signed(s.phrases[at])
+                order = np.lexsort((a, b))
+                b, a = b[order], a[order]
+                head = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                n = np.diff(np.append(head, len(a)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one["a"]), pa.array(one["b"].astype(np.int32)), pa.array(n.astype(np.int64))],
+                    [pa.array(a[head]), pa.array(b[head].astype(np.int32)), pa.array(n.astype(np.int64))],
                     names=["anchor", "b", "n"])
 
     return shards.select("b", "text").mapInArrow(run, "anchor bigint, b int, n bigint")
@@ -198,20 +206,19 @@ def fetch_phrases(shards: DataFrame, wanted: DataFrame, window: int, phrase: int
         import pyarrow as pa
 
         hashes = np.unique(want.column("anchor").to_numpy().astype(np.int64))
-        count: dict[tuple[int, bytes], int] = {}
+        found = [pa.table({"anchor": pa.array([], pa.int64()), "phrase": pa.array([], pa.large_string()), "n": pa.array([], pa.int64())})]
         text = docs.column("text").combine_chunks()
         for _, s in scans(text, window, phrase) if len(hashes) else ():
             at = s.anchors()
             value = _signed(s.phrases[at])
             spot = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
             hit = hashes[spot] == value
-            for a, p in zip(value[hit].tolist(), at[hit].tolist()):
-                key = (a, s.text(p, phrase))
-                count[key] = count.get(key, 0) + 1
+            part = pa.table({"anchor": value[hit], "phrase": s.texts(at[hit], phrase)})
+            found.append(part.group_by(["anchor", "phrase"]).aggregate([([], "count_all")]).rename_columns(["anchor", "phrase", "n"]))
+        count = pa.concat_tables(found).group_by(["anchor", "phrase"]).aggregate([("n", "sum")])
         b = want.column("b")[0].as_py() if len(want) else 0
-        return pa.table({"b": pa.array([b] * len(count), pa.int32()), "anchor": pa.array([k[0] for k in count], pa.int64()),
-                         "phrase": pa.array([k[1].decode() for k in count], pa.string()),
-                         "n": pa.array(list(count.values()), pa.int64())})
+        return pa.table({"b": pa.array(np.full(len(count), b), pa.int32()), "anchor": count.column("anchor"),
+                         "phrase": count.column("phrase").cast(pa.string()), "n": count.column("n_sum")})
 
     return shards.select("b", "text").groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(
         run, "b int, anchor bigint, phrase string, n bigint")
@@ -271,6 +278,7 @@ def copied_spans(blocks: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     place = F.struct("d", "h", "start")
     firsts = scratch.write(blocks.groupBy("anchor", "content").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
+    release(scratch.spark)
     copies = (blocks.join(firsts.where("times > 1"), ["anchor", "content"])
               .where(place != F.col("first"))
               .select("b", "d", "h", "start", (F.col("start") + F.col("n") + window - 1).alias("stop")))
@@ -282,6 +290,7 @@ def copied_spans(blocks: DataFrame, scratch: Scratch, window: int) -> DataFrame:
             F.sequence(F.lit(0), F.col("n") - 1),
             lambda i: F.struct((F.col("start") + i).alias("start"), F.substring("windows", i * 8 + 1, F.lit(8)).alias("w")))).alias("x"))
         .select("anchor", "x.w", "b", "d", "h", "x.start"), "windows")
+    release(scratch.spark)
     low = windows.groupBy("anchor", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     single = (windows.join(low, ["anchor", "w"]).where(place != F.col("first"))
               .select("b", "d", "h", "start", (F.col("start") + window).alias("stop")))
@@ -347,16 +356,23 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     shards = spark.table(table)
 
     anchors = scratch.write(find_anchors(shards, window, phrase), "anchors")
-    recurring = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = scratch.write(anchors.select("anchor", "b").join(recurring, "anchor", "left_semi").distinct(), "wanted")
+    release(spark)
+    # a shard has a row of an anchor for every batch, so the window over an anchor sees a few rows a shard
+    wanted = scratch.write(anchors.withColumn("n", F.sum("n").over(Window.partitionBy("anchor"))).where("n > 1").select("anchor", "b"), "wanted")
     scratch.drop("anchors")
+    release(spark)
     fetched = scratch.write(fetch_phrases(shards, wanted, window, phrase), "phrases")
+    scratch.drop("wanted")
+    release(spark)
     confirmed = fetched.groupBy("anchor", "phrase").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "phrase")
     by_shard = fetched.select("b", "anchor", "phrase").join(confirmed, ["anchor", "phrase"], "left_semi").select("b", "phrase")
     blocks = scratch.write(locate(shards, by_shard, window, phrase), "blocks")
+    scratch.drop("phrases")
+    release(spark)
     spans = scratch.write(copied_spans(blocks, scratch, window), "spans")
-    for name in ("wanted", "phrases", "blocks", "firsts", "windows"):
+    for name in ("blocks", "firsts", "windows"):
         scratch.drop(name)
+    release(spark)
     kept = cut_out(shards, spans)
     spark.sql(f"DROP TABLE {table}")        # only the catalog entry: an external table's files stay
     return kept

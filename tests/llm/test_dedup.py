@@ -219,3 +219,35 @@ def test_scan_chunks_do_not_matter():
     many = [x for _, s in substring.scans(texts, 20, 8, step=1) for x in s.phrases[s.anchors()].tolist()]
     assert one[0][1] == many
     assert os.path.exists(SF)
+
+
+def test_substring_dedup_frees_each_step_before_the_next(spark, monkeypatch):
+    # shuffle files and tables of finished steps stayed on disk until the end
+    import os
+    there = []
+    plain_write, plain_release = substring.Scratch.write, substring.release
+    monkeypatch.setattr(substring, "release", lambda s: there.append(None) or plain_release(s))
+
+    def write(self, df, name):
+        there.append(name)
+        if name == "blocks":
+            assert not os.path.exists(f"{self.root.removeprefix('file:')}/wanted")
+        return plain_write(self, df, name)
+
+    monkeypatch.setattr(substring.Scratch, "write", write)
+    words = " ".join(f"w{k}" for k in range(40))
+    docs = messy.frame(spark, [(1, words, "en", "x"), (2, f"x {words}", "en", "x")])
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_passages(docs).collect()}
+    assert got == {1: 0, 2: 40}
+    # a step's shuffles are released before the step after it begins
+    for name in ("anchors", "wanted", "blocks", "firsts", "windows", "spans"):
+        assert there.index(name) + 1 < len(there)
+    assert all(there[there.index(name) + 1] is None for name in ("anchors", "wanted", "firsts", "windows", "spans"))
+
+
+def test_substring_phrases_are_cut_out_of_the_bytes():
+    import numpy as np
+    import pyarrow as pa
+    [(_, s)] = substring.scans(pa.array(["  a bb\tc dé e", "f  g h"]), 20, 3)
+    assert s.texts(np.array([0, 2, 5]), 3).to_pylist() == [" a bb c ", " c dé e ", " f g h "]
+    assert s.texts(np.array([], int), 3).to_pylist() == []
