@@ -274,14 +274,18 @@ def locate(shards: DataFrame, phrases: DataFrame, window: int, phrase: int) -> D
 
 
 def copied_spans(blocks: DataFrame, scratch: Scratch, window: int) -> DataFrame:
-    """(b, d, h, start, stop): words of windows that also start earlier."""
+    """(b, d, h, start, stop): words of windows that also start earlier; ``blocks`` are dropped once read.
+
+    Each join is written on its own, so that its shuffles are gone before the next.
+    """
     place = F.struct("d", "h", "start")
     firsts = scratch.write(blocks.groupBy("anchor", "content").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
     release(scratch.spark)
-    copies = (blocks.join(firsts.where("times > 1"), ["anchor", "content"])
-              .where(place != F.col("first"))
-              .select("b", "d", "h", "start", (F.col("start") + F.col("n") + window - 1).alias("stop")))
+    copies = scratch.write(blocks.join(firsts.where("times > 1").drop("times"), ["anchor", "content"])
+                           .where(place != F.col("first"))
+                           .select("b", "d", "h", "start", (F.col("start") + F.col("n") + window - 1).alias("stop")), "copies")
+    release(scratch.spark)
     # anchors whose blocks differ: the first block of each content, window by window
     mixed = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
     heads = firsts.join(mixed, "anchor", "left_semi").select("anchor", "content", "first.*")
@@ -290,10 +294,14 @@ def copied_spans(blocks: DataFrame, scratch: Scratch, window: int) -> DataFrame:
             F.sequence(F.lit(0), F.col("n") - 1),
             lambda i: F.struct((F.col("start") + i).alias("start"), F.substring("windows", i * 8 + 1, F.lit(8)).alias("w")))).alias("x"))
         .select("anchor", "x.w", "b", "d", "h", "x.start"), "windows")
+    scratch.drop("blocks")
+    scratch.drop("firsts")
+    release(scratch.spark)
+    low = windows.groupBy("anchor", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    single = scratch.write(windows.join(low, ["anchor", "w"]).where(place != F.col("first"))
+                           .select("b", "d", "h", "start", (F.col("start") + window).alias("stop")), "spans")
+    scratch.drop("windows")
     release(scratch.spark)
-    low = windows.groupBy("anchor", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    single = (windows.join(low, ["anchor", "w"]).where(place != F.col("first"))
-              .select("b", "d", "h", "start", (F.col("start") + window).alias("stop")))
     return copies.unionByName(single)
 
 
@@ -353,6 +361,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     table = f"shards_{uuid.uuid4().hex[:12]}"
     (rows.repartition(files, "b").write.bucketBy(files, "b").option("path", f"{scratch.root}/shards")
      .option("compression", "zstd").saveAsTable(table))
+    release(spark)
     shards = spark.table(table)
 
     anchors = scratch.write(find_anchors(shards, window, phrase), "anchors")
@@ -369,10 +378,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     blocks = scratch.write(locate(shards, by_shard, window, phrase), "blocks")
     scratch.drop("phrases")
     release(spark)
-    spans = scratch.write(copied_spans(blocks, scratch, window), "spans")
-    for name in ("blocks", "firsts", "windows"):
-        scratch.drop(name)
-    release(spark)
+    spans = copied_spans(blocks, scratch, window)
     kept = cut_out(shards, spans)
     spark.sql(f"DROP TABLE {table}")        # only the catalog entry: an external table's files stay
     return kept

@@ -245,6 +245,24 @@ def test_substring_dedup_frees_each_step_before_the_next(spark, monkeypatch):
     assert all(there[there.index(name) + 1] is None for name in ("anchors", "wanted", "firsts", "windows", "spans"))
 
 
+def test_substring_joins_do_not_share_the_disk(spark, monkeypatch):
+    # blocks, their firsts and both joins' shuffles lay on disk together
+    there = {}
+    plain = substring.Scratch.write
+
+    def write(self, df, name):
+        there[name] = set(os.listdir(self.root.removeprefix("file:")))
+        return plain(self, df, name)
+
+    monkeypatch.setattr(substring.Scratch, "write", write)
+    words = " ".join(f"w{k}" for k in range(40))
+    docs = messy.frame(spark, [(1, words, "en", "x"), (2, f"x {words}", "en", "x"), (3, f"{words} y", "en", "x")])
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_passages(docs).collect()}
+    assert got == {1: 0, 2: 40, 3: 40}
+    assert "copies" in there["windows"]
+    assert not there["spans"] & {"blocks", "firsts"}
+
+
 def test_substring_phrases_are_cut_out_of_the_bytes():
     import numpy as np
     import pyarrow as pa
