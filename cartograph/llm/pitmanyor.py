@@ -56,42 +56,62 @@ PART = 40                    # bits of a word's number within its partition
 BUNDLE = 500_000             # rows of a task that are bundled at once
 
 
-def seat(c, others, p, discount: float, strength: float, rng):
+def rates(c, others, p, tables, seated, discount: float, strength: float):
+    """(weight of a new table, all weights, log tilt) of dishes with so many ``tables`` and ``seated`` customers."""
+    import numpy as np
+
+    all_tables = strength + discount * (others + tables)
+    new, stay = all_tables * p, seated - discount * tables
+    ahead = np.log((c - discount * tables) / stay)
+    gap = np.maximum(discount * (1 - p), 1e-6)
+    later = -new * np.expm1(-gap * ahead) / gap               # tables expected later
+    tilt = np.minimum(later * np.log1p(discount / all_tables) - discount * ahead, 0)
+    new = new * np.exp(tilt)
+    return new, stay + new, tilt
+
+
+def second(c, others, p, discount: float, strength: float):
+    """``rates`` and the log of all weights for the second customer of every dish, which no seating changes."""
+    import numpy as np
+
+    k = int(np.searchsorted(-c, -1, side="left"))
+    new, total, tilt = rates(c[:k], others[:k], p[:k], 1.0, 1, discount, strength)
+    return new, total, tilt, np.log(total)
+
+
+def seat(c, others, p, discount: float, strength: float, rng, opening):
     """(tables, log weight) of dishes whose customers are seated from nothing.
 
     ``c`` are the dishes' customers in descending order, ``others`` the
     restaurant's tables of other dishes, ``p`` the parent's probability of the
-    dish. The chance of a new table is tilted by what the table means for the
-    customers still to come: less weight at old tables, more at new ones. The
-    log weight is that of the seating over the chance of drawing it.
+    dish, ``opening`` what ``second`` gives for them. The chance of a new table
+    is tilted by what the table means for the customers still to come: less
+    weight at old tables, more at new ones. The log weight is that of the
+    seating over the chance of drawing it.
     """
     import numpy as np
 
     t, weight = np.ones(len(c)), np.zeros(len(c))
     n, rising = 1, -c
     while k := int(np.searchsorted(rising, -n, side="left")):         # dishes with more than n customers
-        step = np.minimum(max(1, n // BLOCK), c[:k] - n)
-
-        def rates(tables, seated):
-            """(weight of a new table, all weights, log tilt)."""
-            all_tables = strength + discount * (others[:k] + tables)
-            new, stay = all_tables * p[:k], seated - discount * tables
-            ahead = np.log((c[:k] - discount * tables) / stay)
-            gap = np.maximum(discount * (1 - p[:k]), 1e-6)
-            later = -new * np.expm1(-gap * ahead) / gap               # tables expected later
-            tilt = np.minimum(later * np.log1p(discount / all_tables) - discount * ahead, 0)
-            new = new * np.exp(tilt)
-            return new, stay + new, tilt
-
-        new, total, tilt = rates(t[:k], n)
-        if n < 2 * BLOCK:
+        def now(tables, seated):
+            return rates(c[:k], others[:k], p[:k], tables, seated, discount, strength)
+
+        if n == 1:
+            new, total, tilt, logs = opening
+            opened = rng.random(k) * total < new
+            weight[:k] += logs - opened * tilt
+        elif n < 2 * BLOCK:
+            new, total, tilt = now(t[:k], n)
             opened = rng.random(k) * total < new
             weight[:k] += np.log(total) - opened * tilt
         else:       # a block is seated with the chance at its middle
+            step = np.minimum(n // BLOCK, c[:k] - n)
+            new, total, tilt = now(t[:k], n)
             middle = n + (step - 1) / 2
-            new, total, _ = rates(t[:k] + step * new / total / 2, middle)
+            new, total, _ = now(t[:k] + step * new / total / 2, middle)
             opened = rng.binomial(step, np.minimum(new / total, 1))
-            new, total, tilt = rates(t[:k] + opened / 2, middle)
+            new, total, tilt = now(t[:k] + opened / 2, middle)
             weight[:k] += step * np.log(total) - opened * tilt
         t[:k] += opened
         n += max(1, n // BLOCK)
@@ -104,11 +124,12 @@ def sample_tables(c, others, p, discount: float, strength: float, rng, sweeps: i
 
     order = np.argsort(-c, kind="stable")
     c, others, p = c[order], others[order], p[order]
-    t, weight = seat(c, others, p, discount, strength, rng)
+    opening = second(c, others, p, discount, strength)
+    t, weight = seat(c, others, p, discount, strength, rng, opening)
     out = np.empty((samples, len(c)), np.int64)
     for s in range(samples):
         for _ in range(sweeps):
-            new, other = seat(c, others, p, discount, strength, rng)
+            new, other = seat(c, others, p, discount, strength, rng, opening)
             take = np.log(rng.random(len(c))) < other - weight
             t, weight = np.where(take, new, t), np.where(take, other, weight)
         out[s, order] = t
@@ -216,10 +237,21 @@ def tokenised(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHARD_BYTE
 
         names = ["kind", "shard", "doc_id", "held", "ids", "word", "local", "n"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
-        for batch in batches:
+        def full(batches):
+            """The rows in shards of about ``shard_bytes``, filled across batches."""
+            rest = []
+            for batch in batches:
+                held, rest = pa.Table.from_batches([*rest, batch]).combine_chunks(), []
+                for rows in held.to_batches():
+                    cut = [rows.slice(lo, len(texts)) for lo, texts in slices(rows.column(3), shard_bytes)]
+                    yield from rest + cut[:-1]
+                    rest = cut[-1:]
+            yield from rest
+
+        for batch in full(batches):
             uid, doc, out_ = (batch.column(k).to_pylist() for k in range(3))
-            for lo, texts in slices(batch.column(3), shard_bytes):
-                n = len(texts)
+            texts = batch.column(3)
+            if n := len(texts):
                 # Arrow's blanks are U+0009-U+000D and space; it gives empty words at blank edges
                 lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
                 flat, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
@@ -228,15 +260,15 @@ def tokenised(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHARD_BYTE
                 code = flat.filter(some).dictionary_encode()
                 ids, words = code.indices.to_numpy().astype("<u4"), code.dictionary.cast(pa.binary())
                 edge, m = np.searchsorted(of, np.arange(n + 1)), len(words)
-                held = np.array(out_[lo:lo + n], bool)
+                held = np.array(out_, bool)
                 trained = np.bincount(ids[~held[of]], minlength=m)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
-                    [0] * n, [uid[lo]] * n, doc[lo:lo + n], held, [squeeze(ids)] + [None] * (n - 1),
+                    [0] * n, [uid[0]] * n, doc, held, [squeeze(ids)] + [None] * (n - 1),
                     [None] * n, np.arange(n), np.diff(edge)), types)], names=names)
                 for a in range(0, m, 100_000):
                     z = min(m, a + 100_000) - a
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
-                        [1] * z, [uid[lo]] * z, [None] * z, [None] * z, [None] * z, words.slice(a, z),
+                        [1] * z, [uid[0]] * z, [None] * z, [None] * z, [None] * z, words.slice(a, z),
                         np.arange(a, a + z), trained[a:a + z]), types)], names=names)
 
     return rows.mapInArrow(run, "kind int, shard bigint, doc_id bigint, held boolean, ids binary, word binary, local int, n bigint")
@@ -462,8 +494,7 @@ def dishes(pairs: DataFrame) -> DataFrame:
                             origin=[squeeze(table.column("shard").to_numpy().astype("<i8"), np.array(sizes, "<i8"), told.astype("<i8"))])]
         for kind, key in ((1, one[many] >> np.uint64(32)), (2, one[many] & np.uint64(0xFFFFFFFF))):
             ids, at = np.unique(key.astype(np.int64), return_inverse=True)
-            customers = np.zeros(len(ids), np.int64)
-            np.add.at(customers, at, c[many])
+            customers = np.bincount(at, weights=c[many], minlength=len(ids)).astype(np.int64)
             out.append(_state_batch(kind=np.full(len(ids), kind), bucket=np.full(len(ids), bucket), id=ids,
                                     dishes=np.bincount(at, minlength=len(ids)), customers=customers))
         import pyarrow as pa
@@ -497,20 +528,16 @@ def sampled(state: DataFrame, facts: DataFrame, number: int, discount: float, st
         order = np.argsort(ids)
         ids, value = ids[order], value[order]
 
-        def look(which, key):
-            return value[np.searchsorted(ids, key << 1 | which - 1)]
-
+        found = [(which, *np.unique(key, return_inverse=True)) for which, key in ((1, u), (2, w))]
+        seats, prob = (value[np.searchsorted(ids, one << 1 | which - 1)][at] for which, one, at in found)
         before = [x for x, k in zip(blobs, kind) if k == 0]
         t = np.frombuffer(before[0], "<i8") if before else np.ones(len(u), np.int64)
         rng = np.random.Generator(np.random.Philox(key=[row["bucket"], number]))
         out = [_state_batch(kind=[])]
-        t = sample_tables(c[many], np.maximum(look(1, u) - t, 0), look(2, w), discount, strength, rng, sweeps, samples) \
+        t = sample_tables(c[many], np.maximum(seats - t, 0), prob, discount, strength, rng, sweeps, samples) \
             if len(u) else np.zeros((samples, 0), np.int64)
-        for which, key in ((1, u), (2, w)):
-            one, at = np.unique(key, return_inverse=True)
-            sums = np.zeros((samples, len(one)), np.int64)
-            for s in range(samples):
-                np.add.at(sums[s], at, t[s])
+        for which, one, at in found:
+            sums = np.array([np.bincount(at, weights=t[s], minlength=len(one)) for s in range(samples)]).astype(np.int64)
             out.append(_state_batch(kind=np.full(len(one), which), id=one, tables=list(sums.T)))
         if not reply:
             out.append(_state_batch(kind=[3], bucket=[row["bucket"]], t=[t[-1].astype("<i8").tobytes()]))
@@ -532,7 +559,7 @@ def sampled(state: DataFrame, facts: DataFrame, number: int, discount: float, st
 
 def rooted(words: DataFrame, sums: DataFrame, discount: float | None, total: dict, scratch: Scratch, name: str,
            sweeps: int, samples: int) -> tuple[DataFrame, dict]:
-    """Parent restaurant: (id, cu, seats, k, tau) per word and the samples' totals.
+    """Parent restaurant: (id, cu, seats, k, tau) per word and the samples' totals, those of words that occur once added.
 
     ``seats`` are the tables of the word's context restaurant, ``k`` and
     ``tau`` the word's customers and tables in the parent, each per sample.
@@ -547,7 +574,7 @@ def rooted(words: DataFrame, sums: DataFrame, discount: float | None, total: dic
     joined = scratch.write(joined, f"{name}-sums")
     if discount is None:
         one, two = joined.agg(F.count_if(F.col("k")[0] == 1), F.count_if(F.col("k")[0] == 2)).first()
-        discount = discount_of(one, two)
+        discount = discount_of(one + total["single"], two)
     alpha = 1.0 / (total["vocabulary"] + 1)
 
     def run(batches):
@@ -579,7 +606,8 @@ def rooted(words: DataFrame, sums: DataFrame, discount: float | None, total: dic
     out = scratch.write(joined.mapInArrow(run, "id bigint, cu bigint, seats array<bigint>, k array<bigint>, tau array<bigint>"), name)
     scratch.drop(f"{name}-sums")
     got = out.agg(*[F.coalesce(F.sum(F.col(c)[s]), F.lit(0)) for c in ("k", "tau") for s in range(samples)]).first()
-    return out, {"discount": discount, "k": list(got[:samples]), "tau": list(got[samples:])}
+    return out, {"discount": discount, "k": [x + total["single"] for x in got[:samples]],
+                 "tau": [x + total["single"] for x in got[samples:]]}
 
 
 def discount_of(one: int, two: int) -> float:
@@ -593,6 +621,12 @@ def word_probability(root: dict, total: dict, s: int, strength: float = STRENGTH
     return (F.col("k")[s] - root["discount"] * F.col("tau")[s] + rest) / (strength + root["k"][s])
 
 
+def single_probability(root: dict, total: dict, s: int, strength: float = STRENGTH) -> float:
+    """The same of a word with one training occurrence: one customer at one table."""
+    rest = (strength + root["discount"] * root["tau"][s]) / (total["vocabulary"] + 1)
+    return (1 - root["discount"] + rest) / (strength + root["k"][s])
+
+
 def unknown_probability(root: dict, total: dict, s: int, strength: float = STRENGTH) -> float:
     return (strength + root["discount"] * root["tau"][s]) / (total["vocabulary"] + 1) / (strength + root["k"][s])
 
@@ -610,9 +644,16 @@ def scored(docs: DataFrame, facts: DataFrame, model: dict, n_buckets: int) -> Da
         order = np.argsort(ids)
         # begin, end and unknown first, as their ids are the smallest
         ids = np.concatenate((np.arange(FIRST, dtype=np.uint32), ids[order]))
-        customers = np.concatenate((np.array(model["special_customers"], float), cu[order]))
-        seats = [np.concatenate(([x[s] for x in model["special_seats"]], values[s][order])) for s in range(samples)]
-        prob = [np.concatenate(([x[s] for x in model["special_prob"]], values[samples + s][order])) for s in range(samples)]
+        # and a word that no row tells of, which occurs once, last
+        customers = np.concatenate((np.array(model["special_customers"], float), cu[order], [1]))
+        seats = [np.concatenate(([x[s] for x in model["special_seats"]], values[s][order], [1])) for s in range(samples)]
+        prob = [np.concatenate(([x[s] for x in model["special_prob"]], values[samples + s][order], [model["single_prob"][s]]))
+                for s in range(samples)]
+
+        def place(word):
+            at = np.searchsorted(ids, word)
+            at[ids[np.minimum(at, len(ids) - 1)] != word] = len(ids)
+            return at
 
         rows = rows.take(np.argsort(rows.column("pos").to_numpy()))
         held, words = rows.column("held").to_numpy(zero_copy_only=False), rows.column("n_tokens").to_numpy() - 1
@@ -640,8 +681,7 @@ def scored(docs: DataFrame, facts: DataFrame, model: dict, n_buckets: int) -> Da
         value = np.empty(len(own))
         for lo in range(0, len(own), 500_000):
             p, part = own[lo:lo + 500_000], slice(lo, lo + 500_000)
-            u = np.searchsorted(ids, (p >> np.uint64(32)).astype(np.uint32))
-            w = np.searchsorted(ids, p.astype(np.uint32))
+            u, w = place((p >> np.uint64(32)).astype(np.uint32)), place(p.astype(np.uint32))
             back = sum((h + d * seats[s][u]) * prob[s][w] for s in range(samples)) / samples
             value[part] = np.log10((c[part] - d * t[part] + back) / (h + customers[u]))
         value = value[of]
@@ -665,6 +705,7 @@ def language_scores(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHAR
     gives no rows. Without training texts every token is the unknown one, of
     probability 1. Words may have any length; a text is read in one task.
     """
+    import numpy as np
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -680,7 +721,7 @@ def language_scores(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHAR
         F.count(F.lit(1)), F.coalesce(F.count_if("held"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # dense ids: one row per task of the lexicon
     parts = (lex.where("first and c > 0").groupBy(F.shiftright("number", PART).alias("part"))
-             .agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).orderBy("part").collect())
+             .agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("single")).orderBy("part").collect())
     offsets, low = [], FIRST
     for p in parts:
         offsets.append((p["part"], low))
@@ -689,7 +730,7 @@ def language_scores(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHAR
         raise ValueError("more than 2 ** 32 distinct words")
     trained = n_docs - n_held
     total = {"documents": trained, "tokens": sum(p["c"] for p in parts) + trained,
-             "vocabulary": low - FIRST + (trained > 0)}
+             "vocabulary": low - FIRST + (trained > 0), "single": sum(p["single"] for p in parts)}
     start = F.broadcast(spark.createDataFrame(pa.table({"part": pa.array([p for p, _ in offsets], pa.int64()),
                                                         "low": pa.array([n for _, n in offsets], pa.int64())})))
     lex = lex.withColumn("part", F.shiftright("number", PART)).join(start, "part", "left").select(
@@ -713,7 +754,8 @@ def language_scores(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHAR
         *[F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "dishes", "twos")]).first()
     discount = discount_of(total["tokens"] - customers, twos)
     special = spark.createDataFrame(pa.table({"id": [BEGIN, END], "cu": [trained, 0], "cw": [0, trained]}))
-    words = lex.where("first and c > 0").select("id", F.col("c").alias("cu"), F.col("c").alias("cw")).unionByName(special)
+    # a word that occurs once has one table in its restaurant, one customer and one table in the parent: only counted
+    words = lex.where("first and c > 1").select("id", F.col("c").alias("cu"), F.col("c").alias("cw")).unionByName(special)
     # first exchange: all customers of a dish at one table
     in_dishes = state.where("kind > 0").groupBy("kind", "id").agg(
         F.sum("customers").alias("customers"), F.sum("dishes").alias("d"))
@@ -742,12 +784,13 @@ def language_scores(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHAR
     probs = [word_probability(root, total, s, strength) for s in range(samples)]
     ends = {r["id"]: r for r in params.where(F.col("id") < FIRST).select("id", "seats", F.array(*probs).alias("p")).collect()}
     unknown = [unknown_probability(root, total, s, strength) for s in range(samples)]
-    model = {"samples": samples, "discount": discount, "strength": strength,
+    single = [float(np.float32(single_probability(root, total, s, strength))) for s in range(samples)]
+    model = {"samples": samples, "single_prob": single, "discount": discount, "strength": strength,
              "special_seats": [list(ends[BEGIN]["seats"]), [0] * samples, [0] * samples],
              "special_prob": [[0.0] * samples, list(ends[END]["p"]) if trained else unknown, unknown],
              "special_customers": [trained, 0, 0]}
 
-    of_words = bundled(lex.where(F.col("id") >= FIRST).select("shard", "id").join(params.where(F.col("id") >= FIRST).select(
+    of_words = bundled(lex.where("c > 1").select("shard", "id").join(params.where(F.col("id") >= FIRST).select(
         "id", "cu", *[F.col("seats")[s].cast("float").alias(f"s{s}") for s in range(samples)],
         *[probs[s].cast("float").alias(f"p{s}") for s in range(samples)]).hint("shuffle_hash"), "id")
         .select("shard", "id", "cu", *[f"{x}{s}" for x in "sp" for s in range(samples)]),

@@ -253,3 +253,31 @@ def test_distinct_pairs_and_their_places(n):
     want, places = np.unique(pair, return_inverse=True)
     assert (one == want).all() and (of == places).all() and len(of) == n
     assert most < 30 * n + 20_000        # np.unique takes about 50 bytes a pair
+
+
+def test_second_customer_is_weighed_once(monkeypatch):
+    # the second customer's chances do not depend on a seating, but every sweep worked them out again
+    calls = []
+    plain = pitmanyor.rates
+    monkeypatch.setattr(pitmanyor, "rates", lambda *x: calls.append(1) or plain(*x))
+    pitmanyor.sample_tables(np.full(4, 2), np.zeros(4), np.full(4, .2), .5, 1., np.random.default_rng(1), 3, 3)
+    assert len(calls) == 1
+
+
+def test_words_that_occur_once_are_counted_and_not_joined(spark, monkeypatch):
+    seen = []
+    plain = pitmanyor.rooted
+
+    def spy(words, sums, discount, total, *rest):
+        out, root = plain(words, sums, discount, total, *rest)
+        seen.append(({r["cu"] for r in words.where("id >= 3").collect()}, total["single"], root["k"]))
+        return out, root
+
+    monkeypatch.setattr(pitmanyor, "rooted", spy)
+    rows = [(i, f"a b once{i} a b", "en", "x") for i in range(40)]
+    trained = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 10]
+    got = pitmanyor.language_scores(messy.frame(spark, rows)).collect()
+    assert all(r["n_known"] == (6 if r["doc_id"] in trained else 5) and r["score"] < 0 for r in got)
+    for counts, single, k in seen:
+        # every word that occurs once has one customer in the parent
+        assert counts == {2 * len(trained)} and single == len(trained) and min(k) > single
