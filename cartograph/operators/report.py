@@ -6,8 +6,9 @@ A run's report is never gathered into one string: it is a set of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cartograph.functions import text as T
 from cartograph.functions.jsonparse import CRITERIA
@@ -27,6 +28,8 @@ BASELINE_NOTE, ENHANCED_NOTE = "**Baseline note:** ", "**Enhanced note:** "
 DETAILS_OPEN = ["<details>", "<summary>Response excerpts (click to expand)</summary>"]
 BASELINE_LABEL, ENHANCED_LABEL = "**Baseline response:**", "**Enhanced response (with llms.txt):**"
 DETAILS_CLOSE = "</details>"
+NULL_RUN = "__HIVE_DEFAULT_PARTITION__"      # as Spark names a partition of null
+REPORT_FILE = "part-00000.txt"
 QUERY_TABLE_HEADER = ["| Criterion | Baseline | Enhanced | Delta |", "|-----------|----------|----------|-------|"]
 # ---------------------------------------------------------------------------
 
@@ -107,7 +110,82 @@ def report_lines(parsed: DataFrame, results: DataFrame) -> DataFrame:
     return summary_lines(parsed).unionByName(query_lines(results))
 
 
+def _store(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop sees them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_reports(lines: DataFrame, path: str) -> None:
-    """One text report per run (``run_id=<id>/part-*``), lines in order."""
-    (lines.repartition("run_id").sortWithinPartitions("run_id", "block", "query_no", "line_no")
-     .select("run_id", "line").write.mode("overwrite").partitionBy("run_id").text(path))
+    """One text report per run (``run_id=<id>/part-*``), lines in order.
+
+    Without its native library, Hadoop's local file system starts a process
+    for every folder, file and checksum it makes, which is most of the time of
+    many small reports. In a plain folder each task therefore writes the files
+    of its runs itself, under a hidden name until they are whole; a task that
+    is tried again writes the same files. Other stores, and ids that are not
+    integers, are written by Spark's text sink.
+    """
+    spark = lines.sparkSession
+    order = ["run_id", "block", "query_no", "line_no"]
+    ordered = lines.repartition("run_id").sortWithinPartitions(*order)
+    at, store = _store(spark, path)
+    if store.getUri().getScheme() != "file" or not isinstance(lines.schema["run_id"].dataType, IntegralType):
+        ordered.select("run_id", "line").write.mode("overwrite").partitionBy("run_id").text(path)
+        return
+    store.delete(at, True)
+    store.mkdirs(at)
+    folder = at.toUri().getPath()
+
+    def run(batches):
+        import os
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        hidden, written = f"_part-{TaskContext.get().taskAttemptId()}", 0
+        name, out = None, None
+
+        def close():
+            out.close()
+            os.replace(out.name, os.path.join(os.path.dirname(out.name), REPORT_FILE))
+
+        for batch in batches:
+            names, texts = batch.column(0), batch.column(1)
+            if not len(names):
+                continue
+            new = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.concatenate(([True], new))).tolist()
+            for a, z in zip(start, [*start[1:], len(names)]):
+                if (this := names[a].as_py()) != name:      # a run may go on from the batch before
+                    if out:
+                        close()
+                    name, written = this, written + 1
+                    os.makedirs(f"{folder}/run_id={name}", exist_ok=True)
+                    out = open(f"{folder}/run_id={name}/{hidden}", "w", encoding="utf-8", newline="")
+                out.write("".join(texts.slice(a, z - a).to_pylist()))
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])
+
+    (ordered.select(F.coalesce(F.col("run_id").cast("string"), F.lit(NULL_RUN)).alias("run"),
+                    F.concat(F.coalesce("line", F.lit("")), F.lit("\n")).alias("line"))
+     .mapInArrow(run, "n bigint").agg(F.sum("n")).collect())
+    store.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"), True).close()
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, report): the files of ``write_reports``, each whole.
+
+    Spark lists up to 10,000 folders with one task each; a few tasks a core list the same ones.
+    """
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(tasks)
+    spark.conf.set(tasks, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        files = spark.read.schema("value string, run_id long").text(path, wholetext=True)       # lists the folders
+    finally:
+        spark.conf.set(tasks, before)
+    return files.select("run_id", F.col("value").alias("report"))
