@@ -41,6 +41,7 @@ PHRASE = 8
 SHARD_BYTES = 4_000_000
 MAX_FILES = 20_000
 LAST = 2**63 - 1
+KEPT_POWERS = 1_600_000   # powers kept for a step of text
 STEP = 1_500_000          # bytes of text scanned at once (a longer document is scanned whole)
 
 
@@ -82,63 +83,98 @@ class Words:
         return out, ends
 
 
-class Scan(Words):
-    """Words, phrase hashes and anchors of consecutive documents."""
+def mix(x):
+    import numpy as np
 
-    def __init__(self, raw, offsets, window: int, phrase: int):
-        import numpy as np
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-        super().__init__(raw, offsets)
 
-        def mix(x):
-            x = x ^ (x >> np.uint64(30))
-            x = x * np.uint64(0xBF58476D1CE4E5B9)
-            x = x ^ (x >> np.uint64(27))
-            x = x * np.uint64(0x94D049BB133111EB)
-            return x ^ (x >> np.uint64(31))
+_POWERS: dict = {}
+
+
+def powers(base: int, n: int):
+    """The first ``n`` powers of ``base`` modulo 2 ** 64; those of one step of text are worked out once a worker."""
+    import numpy as np
+
+    def made(n):
+        p = np.full(n, base, np.uint64)
+        p[:1] = 1
+        return np.cumprod(p, dtype=np.uint64)
+
+    if n > KEPT_POWERS:
+        return made(n)
+    if base not in _POWERS:
+        _POWERS[base] = made(KEPT_POWERS)
+    return _POWERS[base][:n]
 
-        def powers(base, n):
-            p = np.full(n, base, np.uint64)
-            if n:
-                p[0] = 1
-            return np.cumprod(p, dtype=np.uint64)
 
+def leftmost_least(x, span: int):
+    """For each of ``span`` consecutive values of ``x``, the place of the least, of equal ones the first."""
+    import numpy as np
+
+    best, at, size = x, np.arange(len(x), dtype=np.int32 if len(x) < 1 << 31 else np.int64), 1
+    while size < span:
+        step = min(size, span - size)
+        n = max(0, len(best) - step)
+        less = best[step:] < best[:n]
+        at = np.where(less, at[step:], at[:n])
+        best = np.minimum(best[step:], best[:n])
+        size += step
+    return at
+
+
+class Hashed(Words):
+    """Words of consecutive documents and their hashes."""
+
+    def __init__(self, raw, offsets):
+        import numpy as np
+
+        super().__init__(raw, offsets)
         n = len(raw)
         base, back = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(base, n), dtype=np.uint64)))
-        value = mix((total[self.end] - total[self.start]) * powers(back, n)[self.start]
-                    + (self.end - self.start).astype(np.uint64)) if len(self.start) else np.zeros(0, np.uint64)
-        m = len(value)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(base, n), dtype=np.uint64, out=total[1:])
+        self.value = mix((total[self.end] - total[self.start]) * powers(back, n)[self.start]
+                         + (self.end - self.start).astype(np.uint64)) if len(self.start) else np.zeros(0, np.uint64)
+
+
+class Scan(Hashed):
+    """Words, phrase hashes and anchors of consecutive documents."""
+
+    def __init__(self, raw, offsets, window: int, phrase: int):
+        import numpy as np
+
+        super().__init__(raw, offsets)
+        m = len(self.value)
         step, undo = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
         self.undo = powers(undo, m + 1)
-        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * powers(step, m), dtype=np.uint64)))
-        self.mix = mix
+        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.value * powers(step, m), dtype=np.uint64)))
         self.window, self.phrase = window, phrase
 
         w = max(0, m - window + 1)
         self.valid = self.doc[:w] == self.doc[window - 1:] if w else np.zeros(0, bool)
-        phrases = self.hashes(np.arange(max(0, m - phrase + 1)), phrase)
-        best = phrases[:w].copy()
-        arg = np.zeros(w, np.int64)
-        for k in range(1, window - phrase + 1):
-            other = phrases[k:k + w]
-            less = other < best
-            best[less] = other[less]
-            arg[less] = k
-        self.arg = np.arange(w) + arg             # anchor position of each window
-        self.phrases = phrases
+        n = max(0, m - phrase + 1)
+        self.phrases = mix((self.sum[phrase:] - self.sum[:n]) * self.undo[:n] + np.uint64(phrase)) if n else np.zeros(0, np.uint64)
+        self.arg = leftmost_least(self.phrases, window - phrase + 1)[:w]      # anchor position of each window
 
     def hashes(self, at, length):
         """Hashes of the ``length`` words from each position on."""
         import numpy as np
 
-        return self.mix((self.sum[at + length] - self.sum[at]) * self.undo[at] + np.asarray(length).astype(np.uint64))
+        return mix((self.sum[at + length] - self.sum[at]) * self.undo[at] + np.asarray(length).astype(np.uint64))
 
     def anchors(self):
         """Positions of anchors, ascending."""
         import numpy as np
 
-        return np.unique(self.arg[self.valid])
+        at = self.arg[self.valid].astype(np.int64)         # never falls from one window to the next
+        new = np.ones(len(at), bool)
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        return at[new]
 
     def texts(self, at, length: int):
         """Arrow strings: from each position on, ``length`` words joined by single spaces, with one on either side."""
@@ -224,6 +260,31 @@ def fetch_phrases(shards: DataFrame, wanted: DataFrame, window: int, phrase: int
         run, "b int, anchor bigint, phrase string, n bigint")
 
 
+class Letters:
+    """Words as two letters each, so that an automaton of phrases has two nodes a word and not one a byte.
+
+    First and second letters are different ones, so that a match begins at a
+    word; a word that no phrase holds is twice the letter 0, which none has.
+    """
+
+    def __init__(self, values):
+        import numpy as np
+
+        self.known = np.unique(values)
+        self.base = int(np.ceil(np.sqrt(len(self.known))))
+
+    def __call__(self, values) -> str:
+        import numpy as np
+
+        at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1).astype(np.int32)
+        some = self.known[at] == values
+        out = np.empty((len(at), 2), "<u4")
+        out[:, 0] = np.where(some, 1 + at // self.base, 0)
+        out[:, 1] = np.where(some, 1 + self.base + at % self.base, 0)
+        # code points for surrogates are no letters
+        return (out + (out >= 0xD800) * np.uint32(0x800)).astype("<u4").tobytes().decode("utf-32-le")
+
+
 def locate(shards: DataFrame, phrases: DataFrame, window: int, phrase: int) -> DataFrame:
     """(anchor, content, b, d, h, start, n, windows): blocks around every occurrence of a phrase.
 
@@ -241,22 +302,23 @@ def locate(shards: DataFrame, phrases: DataFrame, window: int, phrase: int) -> D
         out = []
         if len(docs) and len(confirmed):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            # one character a byte on both sides, so a match's end is a place in the bytes
-            for text in confirmed.column("phrase").to_pylist():
-                automaton.add_word(text.encode().decode("latin-1"), 1)
+            values = np.concatenate([x.value for _, x in parts(confirmed.column("phrase").combine_chunks(), Hashed)])
+            letters = Letters(values)
+            spelt = letters(values)
+            for i in range(0, len(spelt), 2 * phrase):
+                automaton.add_word(spelt[i:i + 2 * phrase], 1)
             automaton.make_automaton()
             d, h = (docs.column(c).to_numpy() for c in ("d", "h"))
             b = docs.column("b")[0].as_py()
             for lo, s in scans(docs.column("text").combine_chunks(), window, phrase):
                 found = np.zeros(len(s.start) + 1, bool)        # a recurring phrase starts at this word
-                flat, word_ends = s.spaced()
                 # a phrase across documents marks a word that no valid window has as its anchor
-                ends = np.fromiter((e for e, _ in automaton.iter(flat.tobytes().decode("latin-1"))), np.int64)
-                found[np.searchsorted(word_ends, ends) - phrase + 1] = True
+                ends = np.fromiter((e for e, _ in automaton.iter(letters(s.value))), np.int64)
+                found[ends // 2 - phrase + 1] = True
                 win = np.flatnonzero(s.valid & found[s.arg])
                 if not len(win):
                     continue
-                arg = s.arg[win]
+                arg = s.arg[win].astype(np.int64)
                 head = np.flatnonzero(np.concatenate(([True], (arg[1:] != arg[:-1]) | (win[1:] != win[:-1] + 1))))
                 count = np.diff(np.append(head, len(win)))
                 at, anchor_at = win[head], arg[head]

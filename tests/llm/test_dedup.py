@@ -263,6 +263,32 @@ def test_substring_joins_do_not_share_the_disk(spark, monkeypatch):
     assert not there["spans"] & {"blocks", "firsts"}
 
 
+def test_anchors_are_the_first_least_of_their_window():
+    rng = np.random.default_rng(5)
+    for n, span, high in ((40, 13, 4), (12, 13, 9), (13, 13, 9), (0, 13, 9), (50, 1, 3), (200, 6, 1000)):
+        x = rng.integers(0, high, n).astype(np.uint64)
+        want = [i + int(np.argmin(x[i:i + span])) for i in range(n - span + 1)]
+        assert substring.leftmost_least(x, span).tolist() == want
+
+
+def test_an_automaton_of_phrases_has_two_nodes_a_word():
+    import ahocorasick
+
+    values = np.array([7, 900, 12, 7, 5], np.uint64)
+    letters = substring.Letters(values)
+    spelt = letters(values)
+    assert len(spelt) == 10 and letters(np.array([8, 901], np.uint64)) == "\0" * 4
+    assert not {*spelt[::2]} & {*spelt[1::2]}
+    assert [letters(values[:1]), letters(values[3:4])] == [spelt[:2], spelt[6:8]] == [spelt[:2]] * 2
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    automaton.add_word(letters(np.array([12, 7], np.uint64)), 1)
+    automaton.make_automaton()
+    assert [e // 2 for e, _ in automaton.iter(letters(np.array([7, 12, 3, 12, 7, 12, 7], np.uint64)))] == [4, 6]
+    many = substring.Letters(np.arange(4_000_000_000, 4_000_000_000 + 60_000, dtype=np.uint64))
+    many.base = 60_000                  # letters beyond the surrogates' code points stay apart
+    assert len({*many(many.known)[::2]}) == 1 and len({*many(many.known)[1::2]}) == 60_000
+
+
 def test_substring_phrases_are_cut_out_of_the_bytes():
     import numpy as np
     import pyarrow as pa
