@@ -70,13 +70,19 @@ def rates(c, others, p, tables, seated, discount: float, strength: float):
     return new, stay + new, tilt
 
 
-def second(c, others, p, discount: float, strength: float):
-    """``rates`` and the log of all weights for the second customer of every dish, which no seating changes."""
+def early(c, others, p, discount: float, strength: float):
+    """``rates`` and the log of all weights for the second and third customers of every dish.
+
+    The second finds one table, the third one or two: no seating changes them, so they are worked out once for all.
+    """
     import numpy as np
 
-    k = int(np.searchsorted(-c, -1, side="left"))
-    new, total, tilt = rates(c[:k], others[:k], p[:k], 1.0, 1, discount, strength)
-    return new, total, tilt, np.log(total)
+    def now(n, tables):
+        k = int(np.searchsorted(-c, -n, side="left"))             # dishes with more than n customers
+        new, total, tilt = rates(c[:k], others[:k], p[:k], tables, n, discount, strength)
+        return new, total, tilt, np.log(total)
+
+    return {(n, tables): now(n, tables) for n, tables in ((1, 1.0), (2, 1.0), (2, 2.0))}
 
 
 def seat(c, others, p, discount: float, strength: float, rng, opening):
@@ -84,7 +90,7 @@ def seat(c, others, p, discount: float, strength: float, rng, opening):
 
     ``c`` are the dishes' customers in descending order, ``others`` the
     restaurant's tables of other dishes, ``p`` the parent's probability of the
-    dish, ``opening`` what ``second`` gives for them. The chance of a new table
+    dish, ``opening`` what ``early`` gives for them. The chance of a new table
     is tilted by what the table means for the customers still to come: less
     weight at old tables, more at new ones. The log weight is that of the
     seating over the chance of drawing it.
@@ -98,7 +104,12 @@ def seat(c, others, p, discount: float, strength: float, rng, opening):
             return rates(c[:k], others[:k], p[:k], tables, seated, discount, strength)
 
         if n == 1:
-            new, total, tilt, logs = opening
+            new, total, tilt, logs = opening[1, 1.0]
+            opened = rng.random(k) * total < new
+            weight[:k] += logs - opened * tilt
+        elif n == 2:
+            two = t[:k] == 2
+            new, total, tilt, logs = (np.where(two, b, a) for a, b in zip(opening[2, 1.0], opening[2, 2.0]))
             opened = rng.random(k) * total < new
             weight[:k] += logs - opened * tilt
         elif n < 2 * BLOCK:
@@ -124,7 +135,7 @@ def sample_tables(c, others, p, discount: float, strength: float, rng, sweeps: i
 
     order = np.argsort(-c, kind="stable")
     c, others, p = c[order], others[order], p[order]
-    opening = second(c, others, p, discount, strength)
+    opening = early(c, others, p, discount, strength)
     t, weight = seat(c, others, p, discount, strength, rng, opening)
     out = np.empty((samples, len(c)), np.int64)
     for s in range(samples):
@@ -136,6 +147,14 @@ def sample_tables(c, others, p, discount: float, strength: float, rng, sweeps: i
     return out
 
 
+def by_few(numbers):
+    """Stable order of small numbers from 0 on: numpy sorts 16 bits by counting."""
+    import numpy as np
+
+    few = not len(numbers) or int(numbers.max()) < 1 << 16
+    return np.argsort(numbers.astype(np.uint16) if few else numbers, kind="stable")
+
+
 def squeeze(*columns) -> bytes:
     """Columns of numbers as bytes: the numbers' first bytes together, then their second ones, each compressed."""
     import struct
@@ -197,7 +216,8 @@ def bundled(df: DataFrame, kind: int, *types) -> DataFrame:
         def out(table):
             key, *cols = (table.column(k).to_numpy() for k in range(table.num_columns))
             cols = [c.astype(t) for c, t in zip(cols, types)]
-            order = np.lexsort((cols[0], key))
+            order = np.argsort(cols[0])
+            order = order[by_few(np.searchsorted(np.unique(key), key)[order])]
             key, cols = key[order], [c[order] for c in cols]
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             stop = np.append(cut[1:], len(key))
@@ -386,7 +406,7 @@ def requests(one, n_buckets: int):
 
     seen = np.flatnonzero(((one >> np.uint64(32)) != UNKNOWN) & ((one & np.uint64(0xFFFFFFFF)) != UNKNOWN))
     b = bucket_of(one[seen], n_buckets)
-    order = np.argsort(b, kind="stable")
+    order = by_few(b)
     b = b[order]
     cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, int)
     return seen[order], np.append(cut, len(b)), b[cut]
@@ -479,7 +499,9 @@ def dishes(pairs: DataFrame) -> DataFrame:
         del pair
         c = np.bincount(member, weights=n, minlength=len(one)).astype(np.int64)
         tell = (c[member] >= 2) | ((c[member] == 1) & (n == 0))
-        kept = np.unique(member[tell])
+        kept = np.zeros(len(one), bool)
+        kept[member[tell]] = True
+        kept = np.flatnonzero(kept)
         cut = np.cumsum([0, *sizes])
         told = np.add.reduceat(tell, cut[:-1], dtype=np.int64)
         bits = b"".join(np.packbits(tell[a:z]).tobytes() for a, z in zip(cut, cut[1:]))

@@ -281,3 +281,22 @@ def test_words_that_occur_once_are_counted_and_not_joined(spark, monkeypatch):
     for counts, single, k in seen:
         # every word that occurs once has one customer in the parent
         assert counts == {2 * len(trained)} and single == len(trained) and min(k) > single
+
+
+def test_few_numbers_are_ordered_as_a_stable_sort_does():
+    rng = np.random.default_rng(4)
+    for high in (1, 50, 1 << 16, 1 << 20):
+        x = rng.integers(0, high, 3_000)
+        assert (pitmanyor.by_few(x) == np.argsort(x, kind="stable")).all()
+    assert len(pitmanyor.by_few(np.zeros(0, np.int64))) == 0
+
+
+def test_chances_of_the_third_customer_are_those_of_the_tables_there():
+    c = np.array([9, 4, 3, 2])
+    others, p = np.array([5.0, 0, 2, 7]), np.array([0.3, 0.01, 0.9, 0.5])
+    opening = pitmanyor.early(c, others, p, 0.6, 1.0)
+    assert {k: len(v[0]) for k, v in opening.items()} == {(1, 1.0): 4, (2, 1.0): 3, (2, 2.0): 3}
+    for (n, tables), (new, total, tilt, logs) in opening.items():
+        k = len(new)
+        want = pitmanyor.rates(c[:k], others[:k], p[:k], np.full(k, tables), n, 0.6, 1.0)
+        assert all((a == b).all() for a, b in zip((new, total, tilt), want)) and (logs == np.log(total)).all()
