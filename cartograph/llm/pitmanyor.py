@@ -82,7 +82,7 @@ def early(c, others, p, discount: float, strength: float):
         new, total, tilt = rates(c[:k], others[:k], p[:k], tables, n, discount, strength)
         return new, total, tilt, np.log(total)
 
-    return {(n, tables): now(n, tables) for n, tables in ((1, 1.0), (2, 1.0), (2, 2.0))}
+    return {(n, tables): now(n, tables) for n, tables in ((1, 1.0), (2, 1.0), (2, 2.0)) if len(c) and c[0] > n}
 
 
 def seat(c, others, p, discount: float, strength: float, rng, opening):
