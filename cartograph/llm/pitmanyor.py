@@ -25,8 +25,9 @@ of a restaurant are those of the last exchange: at first every dish has one tabl
 and each of ``rounds`` rounds of sampling is followed by an exchange. A dish
 of one customer has one table and needs no sampling.
 
-Spark. Texts are read once: words become ids within a shard of text, words are
-counted over shards, and from then on a token is a 32-bit number. A shard sends
+Spark. Texts are read once: words become ids within a shard of text, a shard's
+words are dealt to buckets by a hash of the word, where they are counted over
+shards, and from then on a token is a 32-bit number. A shard sends
 the distinct pairs of its texts, dealt to buckets by a hash of the pair, so no
 context and no word is a hot key. A bucket counts its pairs, samples the tables
 of those seen twice or more, and exchanges sums by context and by word with
@@ -44,7 +45,8 @@ from cartograph.llm.common import Scratch, release
 
 FOLDS = 10
 SHARD_BYTES = 16_000_000     # text whose words share one dictionary
-BUCKET = 1_000_000           # pairs of shards counted together
+BUCKET = 1_000_000           # pairs of shards counted together, and words of shards
+WORD_BYTES = 16              # a bucket of words has this many bytes for each of its words, or fewer
 SWEEPS = 3                   # before each sample
 SAMPLES = 3
 ROUNDS = 2                   # of sampling in the buckets, an exchange before and after each: the second sees sampled tables
@@ -52,7 +54,7 @@ ROOT_ROWS = 250_000          # words seated at once in the parent
 STRENGTH = 1.0               # concentration of both levels
 BLOCK = 16                   # beyond 2 * BLOCK customers, one in BLOCK of those seated come at once
 BEGIN, END, UNKNOWN, FIRST = 0, 1, 2, 3
-PART = 40                    # bits of a word's number within its partition
+NEVER = (1 << 32) - 1        # number of a word without training occurrences
 BUNDLE = 500_000             # rows of a task that are bundled at once
 
 
@@ -242,7 +244,8 @@ def bundled(df: DataFrame, kind: int, *types) -> DataFrame:
 def tokenised(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Documents by place in their shard (kind 0), and the shards' words with training counts (kind 1).
 
-    The word numbers of all documents of a shard are with its first one.
+    The word numbers of all documents of a shard are with its first one. A
+    shard's words are one row: their training counts, lengths and bytes.
     """
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -253,10 +256,10 @@ def tokenised(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHARD_BYTE
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from cartograph.llm.chars import slices
+        from cartograph.llm.chars import bytes_of, slices
 
-        names = ["kind", "shard", "doc_id", "held", "ids", "word", "local", "n"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+        names = ["kind", "shard", "doc_id", "held", "ids", "local", "n", "size"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
         def full(batches):
             """The rows in shards of about ``shard_bytes``, filled across batches."""
             rest = []
@@ -278,71 +281,138 @@ def tokenised(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHARD_BYTE
                 some = pc.greater(pc.binary_length(flat), 0)
                 of = of[some.to_numpy(zero_copy_only=False)]
                 code = flat.filter(some).dictionary_encode()
-                ids, words = code.indices.to_numpy().astype("<u4"), code.dictionary.cast(pa.binary())
-                edge, m = np.searchsorted(of, np.arange(n + 1)), len(words)
+                ids, (raw, at) = code.indices.to_numpy().astype("<u4"), bytes_of(code.dictionary)
+                edge, m = np.searchsorted(of, np.arange(n + 1)), len(at) - 1
                 held = np.array(out_, bool)
-                trained = np.bincount(ids[~held[of]], minlength=m)
+                trained = np.bincount(ids[~held[of]], minlength=m).astype("<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
                     [0] * n, [uid[0]] * n, doc, held, [squeeze(ids)] + [None] * (n - 1),
-                    [None] * n, np.arange(n), np.diff(edge)), types)], names=names)
-                for a in range(0, m, 100_000):
-                    z = min(m, a + 100_000) - a
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
-                        [1] * z, [uid[0]] * z, [None] * z, [None] * z, [None] * z, words.slice(a, z),
-                        np.arange(a, a + z), trained[a:a + z]), types)], names=names)
+                    np.arange(n), np.diff(edge), [None] * n), types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((
+                    1, uid[0], None, None, squeeze(trained, np.diff(at).astype("<u4"), raw), None, m, len(raw)), types)], names=names)
 
-    return rows.mapInArrow(run, "kind int, shard bigint, doc_id bigint, held boolean, ids binary, word binary, local int, n bigint")
+    return rows.mapInArrow(run, "kind int, shard bigint, doc_id bigint, held boolean, ids binary, local int, n bigint, size bigint")
 
 
-def lexicon(words: DataFrame) -> DataFrame:
-    """(shard, local, number, c, first): every shard's words with their corpus-wide training count.
+def word_hash(raw, size):
+    """A 64-bit hash of each word: ``size`` bytes of ``raw`` each, one word after another."""
+    import numpy as np
 
-    ``number`` numbers words with training occurrences: the partition in its
-    upper bits, an order within it in the lower ``PART``; -1 for others.
-    ``first`` marks one row per word.
-    """
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.empty(len(size), np.uint64)
+    up = down = np.ones(1, np.uint64)
+    lo = 0
+    while lo < len(size):              # words of about a million bytes, or one word
+        start = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + 1_000_000, side="right")))
+        part = raw[start:int(ends[hi - 1])].astype(np.uint64)
+        if len(up) <= len(part):
+            up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(part), x, np.uint64)))) for x in (base, inverse))
+        sums = np.cumsum((part + np.uint64(1)) * up[:len(part)])
+        sums = np.concatenate((np.zeros(1, np.uint64), sums))
+        cut = np.concatenate(([0], ends[lo:hi] - start))
+        out[lo:hi] = (sums[cut[1:]] - sums[cut[:-1]]) * down[cut[:-1]]
+        lo = hi
+    return out
+
+
+def dealt(words: DataFrame, n_buckets: int) -> DataFrame:
+    """(shard, bucket, x): every shard's words by bucket: places in the shard, training counts, lengths and bytes."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
-
-        part, count = TaskContext.get().partitionId() << PART, 0
-        names = ["shard", "local", "number", "c", "first"]
-
-        def rows(table):
-            nonlocal count
-            word = table.column("word").combine_chunks()
-            head = np.concatenate(([True], pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)))
-            start = np.flatnonzero(head)
-            c = np.add.reduceat(table.column("n").to_numpy(), start)
-            number = np.where(c > 0, part + count + np.cumsum(c > 0) - 1, -1)
-            count += int((c > 0).sum())
-            of = np.cumsum(head) - 1
-            return pa.RecordBatch.from_arrays([
-                table.column("shard").combine_chunks(), table.column("local").combine_chunks(), pa.array(number[of]),
-                pa.array(c[of]), pa.array(head)], names=names)
-
-        rest = None                        # rows of the last word so far
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            word = table.column("word").combine_chunks()
-            last = word[len(word) - 1].as_py()
-            cut = len(word)
-            while cut and word[cut - 1].as_py() == last:
-                cut -= 1
-            if cut:
-                yield rows(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None:
-            yield rows(rest)
-
-    return (words.repartition("word").sortWithinPartitions("word")
-            .mapInArrow(run, "shard bigint, local int, number bigint, c bigint, first boolean"))
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, size, raw = spread(blob, "<u4", "<u4", np.uint8)
+                if not len(n):
+                    continue
+                b = bucket_of(word_hash(raw, size), n_buckets)
+                order = by_few(b)
+                at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+                word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+                raw = np.frombuffer(word.take(pa.array(order)).buffers()[2], np.uint8)
+                b, n, size = b[order], n[order], size[order]
+                at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+                cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+                stop = np.append(cut[1:], len(b))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(cut), shard)), pa.array(b[cut]), pa.array([
+                        bundle(order[x:y].astype("<u4"), n[x:y], size[x:y], raw[at[x]:at[y]]) for x, y in zip(cut, stop)], pa.binary())],
+                    names=["shard", "bucket", "x"])
+        tidy()
+
+    return words.mapInArrow(run, "shard bigint, bucket bigint, x binary")
+
+
+def lexicon(words: DataFrame) -> DataFrame:
+    """Per bucket of words: what shards are told of theirs (kind 0), words that occur twice or more (1), totals (2).
+
+    ``number`` numbers a bucket's words with training occurrences in their
+    order, ``c`` is the corpus-wide training count. A shard's ``x`` has its
+    words' places, numbers (``NEVER`` for words without) and counts; the totals
+    are words, occurrences and words that occur once.
+    """
+    import pyarrow as pa
+
+    names = ["kind", "bucket", "shard", "number", "c", "single", "x"]
+    types = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+
+    def run(table):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        table = table.take(np.argsort(table.column("shard").to_numpy()))      # words are met in one order in every run
+        got = [spread(x, "<u4", "<u4", "<u4", np.uint8) for x in table.column("x").to_pylist()]
+        at = np.concatenate([np.zeros(1, np.int64), *(size for _, _, size, _ in got)]).cumsum()
+        raw, n = np.concatenate([g[3] for g in got]), np.concatenate([g[1] for g in got])
+        got = [np.cumsum(g[0], dtype="<u4") for g in got]
+        code = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
+        of = code.indices.to_numpy()
+        c = np.bincount(of, weights=n, minlength=len(code.dictionary)).astype("<i8")
+        seen = np.flatnonzero(c)
+        seen = seen[pc.sort_indices(code.dictionary.take(pa.array(seen))).to_numpy()]
+        del raw, n, code
+        number = np.full(len(c), NEVER, "<u4")
+        number[seen] = np.arange(len(seen))
+        cut = np.cumsum([0, *map(len, got)])
+        bucket, m, many = table.column("bucket")[0].as_py(), len(got), np.flatnonzero(c[seen] > 1)
+        out = [([0] * m, [bucket] * m, table.column("shard").to_numpy(), [None] * m, [None] * m, [None] * m,
+                [bundle(local, number[of[x:y]], c[of[x:y]]) for local, x, y in zip(got, cut, cut[1:])]),
+               (np.full(len(many), 1), np.full(len(many), bucket), [None] * len(many), many, c[seen[many]], [None] * len(many), [None] * len(many)),
+               ([2], [bucket], [None], [len(seen)], [int(c.sum())], [int((c == 1).sum())], [None])]
+        tidy()
+        return pa.concat_tables([pa.table([pa.array(x, t) for x, t in zip(cols, types)], names=names) for cols in out])
+
+    return words.groupBy("bucket").applyInArrow(
+        run, "kind int, bucket bigint, shard bigint, number bigint, c bigint, single bigint, x binary")
+
+
+def told_words(lex: DataFrame, params: DataFrame, low) -> DataFrame:
+    """(key, kind, id, x): for every shard, a bucket's words of its own that occur twice or more with their parameters."""
+    def run(own, known):
+        import numpy as np
+        import pyarrow as pa
+
+        known = known.take(np.argsort(known.column("id").to_numpy()))
+        ids = known.column("id").to_numpy()
+        cols = [known.column(k).to_numpy() for k in range(3, known.num_columns)]
+        keys, blobs = [], []
+        for bucket, shard, x in zip(*(own.column(c).to_pylist() for c in ("bucket", "shard", "x"))):
+            _, number, c = spread(x, "<u4", "<u4", "<i8")
+            some = np.flatnonzero(c > 1)
+            if len(some):
+                number = np.sort(number[some]).astype(np.int64) + low[bucket]
+                at = np.searchsorted(ids, number)
+                keys.append(shard)
+                blobs.append(bundle(number.astype("<u4"), known.column("cu").to_numpy()[at], *(c[at] for c in cols)))
+        tidy()
+        m = len(keys)
+        return pa.table([pa.array(keys, pa.int64()), pa.array([0] * m, pa.int32()), pa.array([None] * m, pa.int64()), pa.array(blobs, pa.binary())],
+                        names=["key", "kind", "id", "x"])
+
+    return lex.groupBy("bucket").cogroup(params.groupBy("part")).applyInArrow(run, "key bigint, kind int, id bigint, x binary")
 
 
 def with_ends(values, words, end):
@@ -412,8 +482,11 @@ def requests(one, n_buckets: int):
     return seen[order], np.append(cut, len(b)), b[cut]
 
 
-def coded(docs: DataFrame, lex: DataFrame, total: dict, n_buckets: int) -> DataFrame:
-    """Documents with corpus-wide word ids and base scores (kind 0), and the shards' pairs by bucket (kind 1)."""
+def coded(docs: DataFrame, lex: DataFrame, low, total: dict, n_buckets: int) -> DataFrame:
+    """Documents with corpus-wide word ids and base scores (kind 0), and the shards' pairs by bucket (kind 1).
+
+    A word's id is its number and ``low`` of its bucket.
+    """
     schema = ("kind int, shard bigint, doc_id bigint, held boolean, n_tokens bigint, n_known bigint, base_score double, "
               "ids binary, pos int, bucket bigint, pairs binary")
 
@@ -421,12 +494,15 @@ def coded(docs: DataFrame, lex: DataFrame, total: dict, n_buckets: int) -> DataF
         import numpy as np
         import pyarrow as pa
 
-        local, ids_, counts = unbundle(known.column("x").to_pylist(), "<u4", "<u4", "<i8")
-        size = len(local)
+        told = [spread(x, "<u4", "<u4", "<i8") for x in known.column("x").to_pylist()]
+        size = sum(len(local) for local, _, _ in told)
         table, count = np.zeros(size, np.uint32), np.zeros(size)
-        table[local], count[local] = ids_, counts
-        low = np.log10(total["tokens"] + 0.1 * (total["vocabulary"] + 1))
-        base, end = np.log10(count + 0.1) - low, np.log10(total["documents"] + 0.1) - low
+        for bucket, (local, number, c) in zip(known.column("bucket").to_pylist(), told):
+            local = np.cumsum(local, dtype=np.int64)
+            table[local], count[local] = np.where(number == NEVER, UNKNOWN, number + low[bucket]), c
+        del told
+        whole = np.log10(total["tokens"] + 0.1 * (total["vocabulary"] + 1))
+        base, end = np.log10(count + 0.1) - whole, np.log10(total["documents"] + 0.1) - whole
         rows = rows.take(np.argsort(rows.column("local").to_numpy()))
         n, words, held = len(rows), rows.column("n").to_numpy(), rows.column("held").to_numpy(zero_copy_only=False)
         out = [pa.table([pa.array([], t) for t in types], names=names)]
@@ -462,7 +538,7 @@ def coded(docs: DataFrame, lex: DataFrame, total: dict, n_buckets: int) -> DataF
     names = [c.split()[0] for c in schema.split(", ")]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int32(),
              pa.int64(), pa.binary()]
-    return docs.groupBy("shard").cogroup(lex.groupBy("key")).applyInArrow(run, schema)
+    return docs.groupBy("shard").cogroup(lex.groupBy("shard")).applyInArrow(run, schema)
 
 
 STATE = ("kind int, bucket bigint, id bigint, dishes bigint, customers bigint, twos bigint, tables array<bigint>, "
@@ -581,7 +657,7 @@ def sampled(state: DataFrame, facts: DataFrame, number: int, discount: float, st
 
 def rooted(words: DataFrame, sums: DataFrame, discount: float | None, total: dict, scratch: Scratch, name: str,
            sweeps: int, samples: int) -> tuple[DataFrame, dict]:
-    """Parent restaurant: (id, cu, seats, k, tau) per word and the samples' totals, those of words that occur once added.
+    """Parent restaurant: (id, cu, part, seats, k, tau) per word and the samples' totals, those of words that occur once added.
 
     ``seats`` are the tables of the word's context restaurant, ``k`` and
     ``tau`` the word's customers and tables in the parent, each per sample.
@@ -590,7 +666,7 @@ def rooted(words: DataFrame, sums: DataFrame, discount: float | None, total: dic
         "id", F.col("customers").alias(f"{c}_customers"), F.col("tables").alias(f"{c}_tables"))
     none = F.array(*[F.lit(0).cast("bigint")] * samples)
     joined = (words.join(by(1, "u").hint("shuffle_hash"), "id", "left").join(by(2, "w").hint("shuffle_hash"), "id", "left")
-              .select("id", "cu",
+              .select("id", "cu", "part",
                       F.transform(F.coalesce("u_tables", none), lambda t: t + F.col("cu") - F.coalesce("u_customers", F.lit(0))).alias("seats"),
                       F.transform(F.coalesce("w_tables", none), lambda t: t + F.col("cw") - F.coalesce("w_customers", F.lit(0))).alias("k")))
     joined = scratch.write(joined, f"{name}-sums")
@@ -625,7 +701,7 @@ def rooted(words: DataFrame, sums: DataFrame, discount: float | None, total: dic
         if held:
             yield seated(pa.Table.from_batches(held))
 
-    out = scratch.write(joined.mapInArrow(run, "id bigint, cu bigint, seats array<bigint>, k array<bigint>, tau array<bigint>"), name)
+    out = scratch.write(joined.mapInArrow(run, "id bigint, cu bigint, part bigint, seats array<bigint>, k array<bigint>, tau array<bigint>"), name)
     scratch.drop(f"{name}-sums")
     got = out.agg(*[F.coalesce(F.sum(F.col(c)[s]), F.lit(0)) for c in ("k", "tau") for s in range(samples)]).first()
     return out, {"discount": discount, "k": [x + total["single"] for x in got[:samples]],
@@ -735,33 +811,30 @@ def language_scores(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHAR
     read = tokenised(docs, folds, shard_bytes)
     read.write.option("compression", "zstd").partitionBy("kind").parquet(f"{scratch.root}/tokens")
     read = spark.read.schema(read.schema).parquet(f"{scratch.root}/tokens")
-    lex = scratch.write(lexicon(read.where("kind = 1").select("shard", "word", "local", "n")), "lexicon")
+    own_words, own_bytes = read.where("kind = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "size")]).first()
+    word_buckets = int(max(1, -(-own_words // bucket), -(-own_bytes // (WORD_BYTES * bucket))))
+    lex = scratch.write(lexicon(dealt(read.where("kind = 1").select("shard", "ids"), word_buckets)), "lexicon")
     scratch.drop("tokens/kind=1")
     release(spark)
     read = spark.read.schema(read.schema).parquet(f"{scratch.root}/tokens")
     n_docs, n_held, n_words = read.where("kind = 0").agg(
         F.count(F.lit(1)), F.coalesce(F.count_if("held"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # dense ids: one row per task of the lexicon
-    parts = (lex.where("first and c > 0").groupBy(F.shiftright("number", PART).alias("part"))
-             .agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("single")).orderBy("part").collect())
-    offsets, low = [], FIRST
+    # dense ids: one row per bucket of words
+    parts = lex.where("kind = 2").select("bucket", "number", "c", "single").orderBy("bucket").collect()
+    low, ids = np.zeros(word_buckets, np.int64), FIRST
     for p in parts:
-        offsets.append((p["part"], low))
-        low += p["k"]
-    if low >= 1 << 32:
+        low[p["bucket"]] = ids
+        ids += p["number"]
+    if ids >= 1 << 32:
         raise ValueError("more than 2 ** 32 distinct words")
     trained = n_docs - n_held
     total = {"documents": trained, "tokens": sum(p["c"] for p in parts) + trained,
-             "vocabulary": low - FIRST + (trained > 0), "single": sum(p["single"] for p in parts)}
-    start = F.broadcast(spark.createDataFrame(pa.table({"part": pa.array([p for p, _ in offsets], pa.int64()),
-                                                        "low": pa.array([n for _, n in offsets], pa.int64())})))
-    lex = lex.withColumn("part", F.shiftright("number", PART)).join(start, "part", "left").select(
-        "shard", "local", "c", "first", F.when(F.col("number") < 0, UNKNOWN).otherwise(
-            F.col("number").bitwiseAND((1 << PART) - 1) + F.col("low")).alias("id"))
+             "vocabulary": ids - FIRST + (trained > 0), "single": sum(p["single"] for p in parts)}
+    start = F.broadcast(spark.createDataFrame(pa.table({"bucket": np.arange(word_buckets), "low": low})))
+    of_shards = lex.where("kind = 0").select("bucket", "shard", "x")
 
     n_buckets = int(max(1, -(-(n_words + n_docs) // bucket)))
-    out = coded(read.where("kind = 0").select("shard", "doc_id", "held", "ids", "local", "n"),
-                bundled(lex.select("shard", "local", "id", "c"), 0, "<u4", "<u4", "<i8"), total, n_buckets)
+    out = coded(read.where("kind = 0").select("shard", "doc_id", "held", "ids", "local", "n"), of_shards, low, total, n_buckets)
     out.write.option("compression", "zstd").partitionBy("kind").parquet(f"{scratch.root}/coded")
     scratch.drop("tokens")
     release(spark)
@@ -775,9 +848,10 @@ def language_scores(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHAR
     customers, n_dishes, twos = state.where("kind = 0").agg(
         *[F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "dishes", "twos")]).first()
     discount = discount_of(total["tokens"] - customers, twos)
-    special = spark.createDataFrame(pa.table({"id": [BEGIN, END], "cu": [trained, 0], "cw": [0, trained]}))
+    special = spark.createDataFrame(pa.table({"id": [BEGIN, END], "cu": [trained, 0], "cw": [0, trained], "part": [-1, -1]}))
     # a word that occurs once has one table in its restaurant, one customer and one table in the parent: only counted
-    words = lex.where("first and c > 1").select("id", F.col("c").alias("cu"), F.col("c").alias("cw")).unionByName(special)
+    words = lex.where("kind = 1").join(start, "bucket").select(
+        (F.col("number") + F.col("low")).alias("id"), F.col("c").alias("cu"), F.col("c").alias("cw"), F.col("bucket").alias("part")).unionByName(special)
     # first exchange: all customers of a dish at one table
     in_dishes = state.where("kind > 0").groupBy("kind", "id").agg(
         F.sum("customers").alias("customers"), F.sum("dishes").alias("d"))
@@ -812,11 +886,9 @@ def language_scores(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHAR
              "special_prob": [[0.0] * samples, list(ends[END]["p"]) if trained else unknown, unknown],
              "special_customers": [trained, 0, 0]}
 
-    of_words = bundled(lex.where("c > 1").select("shard", "id").join(params.where(F.col("id") >= FIRST).select(
-        "id", "cu", *[F.col("seats")[s].cast("float").alias(f"s{s}") for s in range(samples)],
-        *[probs[s].cast("float").alias(f"p{s}") for s in range(samples)]).hint("shuffle_hash"), "id")
-        .select("shard", "id", "cu", *[f"{x}{s}" for x in "sp" for s in range(samples)]),
-        0, "<u4", "<i8", *["<f4"] * (2 * samples)).select("key", "kind", F.lit(None).cast("bigint").alias("id"), "x")
+    of_words = told_words(of_shards, params.where(F.col("id") >= FIRST).select(
+        "part", "id", "cu", *[F.col("seats")[s].cast("float").alias(f"s{s}") for s in range(samples)],
+        *[probs[s].cast("float").alias(f"p{s}") for s in range(samples)]), low)
     of_pairs = drawn.where("kind = 4").select(F.col("shard").alias("key"), F.lit(1).alias("kind"), F.col("bucket").alias("id"),
                                               F.col("pairs").alias("x"))
     result = scored(out.where("kind = 0").select("shard", "doc_id", "held", "n_tokens", "n_known", "base_score", "ids", "pos"),

@@ -300,3 +300,42 @@ def test_chances_of_the_third_customer_are_those_of_the_tables_there():
         k = len(new)
         want = pitmanyor.rates(c[:k], others[:k], p[:k], np.full(k, tables), n, 0.6, 1.0)
         assert all((a == b).all() for a, b in zip((new, total, tilt), want)) and (logs == np.log(total)).all()
+
+
+def test_shards_words_travel_in_one_row_and_a_bundle_per_bucket(spark):
+    # before, every word of every shard was a row of its own, sorted by the JVM
+    docs = messy.frame(spark)
+    read = pitmanyor.tokenised(docs, shard_bytes=3000).localCheckpoint()
+    rows = read.where("kind = 1").collect()
+    assert len(rows) == len({r["shard"] for r in rows}) > 5 and sum(r["n"] for r in rows) > 100 * len(rows)
+    dealt = pitmanyor.dealt(read.where("kind = 1").select("shard", "ids"), 7).localCheckpoint()
+    keys = [(r["shard"], r["bucket"]) for r in dealt.collect()]
+    assert len(keys) == len(set(keys)) and {b for _, b in keys} == set(range(7))
+    lex = pitmanyor.lexicon(dealt).collect()
+    count = Counter(w for r in docs.collect() if zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 10
+                    for w in (r["text"] or "").encode().translate(LOWER).split())
+    totals = [r for r in lex if r["kind"] == 2]
+    assert len(totals) == 7 and sum(r["number"] for r in totals) == len(count) and sum(r["c"] for r in totals) == sum(count.values())
+    assert sum(r["single"] for r in totals) == sum(c == 1 for c in count.values())
+    assert sorted(r["c"] for r in lex if r["kind"] == 1) == sorted(c for c in count.values() if c > 1)
+    words = {r["shard"]: 0 for r in rows}
+    for r in lex:
+        if r["kind"] == 0:
+            place, number, c = pitmanyor.unbundle([r["x"]], "<u4", "<u4", "<i8")
+            assert ((number == pitmanyor.NEVER) == (c == 0)).all() and len(set(place.tolist())) == len(place)
+            words[r["shard"]] += len(place)
+    assert words == {r["shard"]: r["n"] for r in rows}
+
+
+def test_equal_words_have_equal_hashes_wherever_they_stand():
+    rng = np.random.default_rng(5)
+    some = [b"a", b"ab", b"ba", b"\x00", b"\x00\x00", b"x" * 2_500_000] + [b"w%d" % k for k in range(300_000)]
+    words = [some[k] for k in rng.permutation(len(some))] + some
+    got = pitmanyor.word_hash(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], "<u4"))
+    by = {}
+    for w, h in zip(words, got.tolist()):
+        by.setdefault(w, set()).add(h)
+    assert all(len(h) == 1 for h in by.values()) and len({h for s in by.values() for h in s}) == len(some)
+    share = np.bincount(pitmanyor.bucket_of(got, 20), minlength=20) / len(got)
+    assert abs(share - 0.05).max() < 0.005
+    assert len(pitmanyor.word_hash(np.zeros(0, np.uint8), np.zeros(0, "<u4"))) == 0
